@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_context"]
+MODULES = ["q_context", "q_routing"]
 
 
 def _load():
