@@ -53,6 +53,15 @@ FROM documents""",
 SELECT event_id AS id, concat('{"current":{"temp":', event_id % 40, ',"feels_like":', event_id % 38, ',"humidity":', event_id % 100, ',"wind_speed":', event_id % 25,
        ',"sunrise":', 1704088800 + event_id % 3600, ',"sunset":', 1704124800 + event_id % 3600, ',"weather":[{"description":"', event_type, '"}]},"daily":[{"temp":{"day":', event_id % 30,
        '},"summary":"a","weather":[{"description":"x"}]},{"temp":{"day":', event_id % 31, '},"summary":"b","weather":[{"description":"y"}]}]}') AS payload
+FROM events""",
+    "settings_commands": """
+SELECT concat('!r', user_id % 10, ':', CASE user_id % 10 % 3 WHEN 0 THEN 'alpha.example' WHEN 1 THEN 'beta.example' ELSE 'gamma.example' END) AS room_id,
+       event_id,
+       regexp_replace(concat('!bot roomsettings ',
+         CASE event_id % 7 WHEN 0 THEN 'classification' WHEN 1 THEN 'timing' WHEN 2 THEN 'systemmessage'
+              WHEN 3 THEN 'always_reply' WHEN 4 THEN 'model' WHEN 5 THEN 'tts' ELSE 'bogus' END, ' ',
+         CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'FALSE' WHEN 2 THEN 'yes' WHEN 3 THEN ''
+              ELSE concat('Be brief ', user_id) END), '\\s+$', '') AS body, ts
 FROM events""",
     "log_records": """
 SELECT ts, concat('f', user_id % 5) AS caller,

@@ -225,3 +225,17 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("reply_id"),
                     F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("query"),
                     reply.alias("reply"))
+
+
+def settings_commands(spark: SparkSession, sf_dir: str, prefix: str = "!bot") -> DataFrame:
+    """Settings commands derived from the event stream: every alias, an
+    unknown name, and values that are valid, invalid or missing."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    i = F.col("event_id")
+    name = (F.when(i % 7 == 0, "classification").when(i % 7 == 1, "timing").when(i % 7 == 2, "systemmessage")
+            .when(i % 7 == 3, "always_reply").when(i % 7 == 4, "model").when(i % 7 == 5, "tts")
+            .otherwise("bogus"))
+    value = (F.when(i % 5 == 0, F.lit("true")).when(i % 5 == 1, F.lit("FALSE")).when(i % 5 == 2, F.lit("yes"))
+             .when(i % 5 == 3, F.lit("")).otherwise(F.concat(F.lit("Be brief "), F.col("user_id").cast("string"))))
+    body = F.regexp_replace(F.concat(F.lit(prefix + " roomsettings "), name, F.lit(" "), value), r"\s+$", "")
+    return e.select(_room(F.col("user_id")).alias("room_id"), i.alias("event_id"), body.alias("body"), F.col("ts"))
