@@ -128,7 +128,7 @@ FROM log_records"""),
     "message_timing": """
 SELECT event_id,
        (epoch_us(ts) - (epoch_us(ts) // 1000 - event_id % 5000) * 1000) / 1e6 AS latency_s,
-       CAST(CAST(value * 1000 AS BIGINT) AS DOUBLE) / 1e6 AS processing_s
+       CAST(CAST(trunc(value * 1000) AS BIGINT) AS DOUBLE) / 1e6 AS processing_s
 FROM events""",
     "format_ts": with_ctes(["usage_log"], [], "SELECT message_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text FROM usage_log"),
     "latest_by_join": with_ctes(["settings_log"], [("sm", """
