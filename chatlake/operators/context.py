@@ -169,3 +169,64 @@ def prepare_messages(ctx: DataFrame, cfg: BotConfig = DEFAULT_CONFIG,
                  F.array_sort(F.collect_list(F.struct("seq", "part"))).alias("_parts"))
             .select("room_id", "msg_seq", "role",
                     F.transform("_parts", lambda x: x["part"]).alias("parts")))
+
+
+# --------------------------------------------------------------------------
+# Prompt sequences (U1, U2, P17-P19).  Per-room arrays are only built from
+# the context window, whose size is bounded by ``n`` (W1), never from a
+# whole room.
+
+MSG = "struct<seq:bigint,role:string,content:string,tool_call_id:string>"
+
+
+def prompt_arrays(rows: DataFrame, content: str = "body", tool_kinds_prefix: str | None = None) -> DataFrame:
+    """Context rows → one ordered message array per room.  Rows of custom
+    kinds (``tool_kinds_prefix``) become ``tool`` messages carrying their
+    event id as ``tool_call_id``."""
+    is_tool = F.startswith(F.col("kind"), F.lit(tool_kinds_prefix)) if tool_kinds_prefix else F.lit(False)
+    msg = F.struct(F.col("seq").cast("bigint").alias("seq"),
+                   F.when(is_tool, F.lit("tool")).otherwise(F.col("role")).alias("role"),
+                   F.col(content).alias("content"),
+                   F.when(is_tool, F.col("event_id")).alias("tool_call_id"))
+    return rows.groupBy("room_id").agg(F.array_sort(F.collect_list(msg)).alias("messages"))
+
+
+def text_parts_only(msgs: DataFrame, parts: str = "parts") -> DataFrame:
+    """Keep text parts; messages left without any are dropped."""
+    return (msgs.withColumn(parts, F.filter(parts, lambda p: p["type"] == "text"))
+            .where(F.size(parts) > 0))
+
+
+def contents_only(msgs: DataFrame, parts: str = "parts") -> DataFrame:
+    """The contents of each message without its role."""
+    return msgs.select("room_id", "msg_seq", F.col(parts).alias("content"))
+
+
+def rewrite_tool_roles(messages) -> Column:
+    """``tool`` → ``system`` and ``tool_call_id`` removed; NULL entries
+    (non-records) dropped."""
+    kept = F.filter(T.col(messages), lambda m: m.isNotNull())
+    return F.transform(kept, lambda m: F.struct(
+        m["seq"].alias("seq"),
+        F.when(m["role"] == "tool", F.lit("system")).otherwise(m["role"]).alias("role"),
+        m["content"].alias("content")))
+
+
+def splice_round(messages, choice: Column, results) -> Column:
+    """``orig[:-1] + [choice] + results + orig[-1:]``."""
+    a = T.col(messages)
+    n = F.size(a)
+    head = F.when(n > 1, F.slice(a, 1, n - 1)).otherwise(F.array().cast("array<" + MSG + ">"))
+    tail = F.when(n > 0, F.slice(a, n, 1)).otherwise(F.array().cast("array<" + MSG + ">"))
+    return F.concat(head, F.array(choice.cast(MSG)), T.col(results), tail)
+
+
+def assemble_prompt(kept: DataFrame, system_text: Column, role: str = "role", content: str = "body") -> DataFrame:
+    """System message first, then the pinned oldest row and the kept
+    tail in chronological order (W2 output, bounded per room)."""
+    rows = kept.select("room_id", F.struct(F.col("seq").cast("bigint").alias("seq"), F.col(role).alias("role"),
+                                           F.col(content).alias("content")).alias("m"))
+    agg = rows.groupBy("room_id").agg(F.array_sort(F.collect_list("m")).alias("_tail"))
+    system = F.struct(F.lit(None).cast("bigint").alias("seq"), F.lit("system").alias("role"),
+                      system_text.alias("content"))
+    return agg.select("room_id", F.concat(F.array(system), F.col("_tail")).alias("messages"))

@@ -87,7 +87,7 @@ def validate_commands(cmds: DataFrame, body: str = "body", cfg: BotConfig = DEFA
     toks = T.tokens(body)
     raw_setting = F.try_element_at(toks, F.lit(3))
     alias = F.create_map(*[F.lit(x) for kv in SETTING_ALIASES.items() for x in kv])
-    setting = F.coalesce(F.element_at(alias, raw_setting), raw_setting)
+    setting = F.coalesce(F.try_element_at(alias, raw_setting), raw_setting)
     value = F.when(F.size(toks) > 3, F.array_join(F.slice(toks, 4, 1 << 30), " "))
     has_value = value.isNotNull() & (value != "")
     is_bool = setting.isin(list(BOOLEAN_SETTINGS))

@@ -24,7 +24,7 @@ def read_attachments(spark: SparkSession, path: str, glob: str = "*") -> DataFra
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     ext = F.lower(F.element_at(F.split(name, r"\."), -1))
-    mime = F.coalesce(F.element_at(F.create_map(*[x for kv in MIME_BY_EXTENSION.items() for x in map(F.lit, kv)]), ext),
+    mime = F.coalesce(F.try_element_at(F.create_map(*[x for kv in MIME_BY_EXTENSION.items() for x in map(F.lit, kv)]), ext),
                       F.lit("application/octet-stream"))
     return df.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("event_id"), F.col("content"),
                      mime.alias("mimetype"), F.col("length").alias("size"))
