@@ -31,7 +31,13 @@ def _room(n: Column) -> Column:
 def messages(spark: SparkSession, sf_dir: str, bot_id: str = "@bot:alpha.example",
              prefix: str = "!bot", custom_kind: str = "bot.tool_result") -> DataFrame:
     """V1: chat messages of ten rooms, every kind and command form present."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return messages_of(table(spark, sf_dir, "conversations"), bot_id, prefix, custom_kind)
+
+
+def messages_of(conversations: DataFrame, bot_id: str = "@bot:alpha.example",
+                prefix: str = "!bot", custom_kind: str = "bot.tool_result") -> DataFrame:
+    """V1 over any conversations frame (batch or stream)."""
+    c = conversations.select("conv_id", "turn", "role", "text")
     conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
     k = (conv * 7 + turn * 3) % 16
     kind = (F.when(k == 5, "m.notice").when(k == 6, "m.image").when(k == 7, "m.audio")
@@ -78,7 +84,11 @@ def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: one usage record per event."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return usage_log_of(table(spark, sf_dir, "events"))
+
+
+def usage_log_of(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", "ts", "user_id", "event_type", "value")
     return e.select(
         F.concat(F.lit("$"), F.col("event_id").cast("string")).alias("message_id"),
         F.concat(F.lit("!r"), (F.col("user_id") % 10).cast("string")).alias("room_id"),
@@ -90,7 +100,11 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def member_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: membership changes of 2000 rooms."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return member_events_of(table(spark, sf_dir, "events"))
+
+
+def member_events_of(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", "ts", "user_id", "event_type")
     return e.select(
         F.concat(F.lit("!m"), (F.col("event_id") % 2000).cast("string")).alias("room_id"),
         F.concat(F.lit("@u"), F.col("user_id").cast("string"), F.lit(":alpha.example")).alias("user_id"),
@@ -230,7 +244,11 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settings_commands(spark: SparkSession, sf_dir: str, prefix: str = "!bot") -> DataFrame:
     """Settings commands derived from the event stream: every alias, an
     unknown name, and values that are valid, invalid or missing."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return settings_commands_of(table(spark, sf_dir, "events"), prefix)
+
+
+def settings_commands_of(events: DataFrame, prefix: str = "!bot") -> DataFrame:
+    e = events.select("event_id", "user_id", "ts")
     i = F.col("event_id")
     name = (F.when(i % 7 == 0, "classification").when(i % 7 == 1, "timing").when(i % 7 == 2, "systemmessage")
             .when(i % 7 == 3, "always_reply").when(i % 7 == 4, "model").when(i % 7 == 5, "tts")
