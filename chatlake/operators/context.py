@@ -17,8 +17,16 @@ from ..config import (AUDIO_KIND, DEFAULT_CONFIG, FILE_KIND, IMAGE_KIND, MEDIA_K
                       NOTICE_KIND, TEXT_KIND, VIDEO_KIND, BotConfig)
 from ..functions import text as T
 
-NEWEST_FIRST = Window.partitionBy("room_id").orderBy(F.col("seq").desc())
-RUNNING_NEWEST = NEWEST_FIRST.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def newest_first():
+    """Rooms, newest message first (built lazily: window specs need a
+    session, and this module is also imported inside Python workers)."""
+    return Window.partitionBy("room_id").orderBy(F.col("seq").desc())
+
+
+def running_newest():
+    return newest_first().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def role_of(sender, cfg: BotConfig = DEFAULT_CONFIG) -> Column:
@@ -59,13 +67,13 @@ def last_n_messages(messages: DataFrame, cfg: BotConfig = DEFAULT_CONFIG, n: int
     """
     n = n or cfg.max_messages
     raw = (messages.where(F.col("kind").isNotNull())          # P1: no kind → skipped
-           .withColumn("raw_rank", F.row_number().over(NEWEST_FIRST))
+           .withColumn("raw_rank", F.row_number().over(newest_first()))
            .where(F.col("raw_rank") <= 2 * n))                  # WindowGroupLimit
     flagged = (raw
                .withColumn("_marker", F.when(is_marker(cfg), 1).otherwise(0))
                .withColumn("_keep", F.when(context_eligible(cfg, ignore_notices), 1).otherwise(0))
-               .withColumn("_markers_seen", F.sum("_marker").over(RUNNING_NEWEST))
-               .withColumn("ctx_rank", F.sum("_keep").over(RUNNING_NEWEST)))
+               .withColumn("_markers_seen", F.sum("_marker").over(running_newest()))
+               .withColumn("ctx_rank", F.sum("_keep").over(running_newest())))
     return (flagged
             .where((F.col("_markers_seen") == 0) & (F.col("_keep") == 1) & (F.col("ctx_rank") <= n))
             .drop("_marker", "_keep", "_markers_seen"))
@@ -125,7 +133,6 @@ def prepare_messages(ctx: DataFrame, cfg: BotConfig = DEFAULT_CONFIG,
     gaps-and-islands).  Output: one row per message with
     ``(room_id, msg_seq, role, parts)``; ``msg_seq`` is the first row's seq.
     """
-    from .. import sources  # noqa: F401  (keeps import graph explicit)
     from ..sources.attachments import data_url, utf8_text
 
     rows = ctx.withColumn("branch", media_kind_branch(cfg)).where(F.col("branch") != "drop")

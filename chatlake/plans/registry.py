@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_context", "q_routing", "q_settings", "q_usage", "q_spaces", "q_payloads", "q_prompt", "q_stream"]
+MODULES = ["q_context", "q_routing", "q_settings", "q_usage", "q_spaces", "q_payloads", "q_prompt", "q_stream", "q_plugins"]
 
 
 def _load():
