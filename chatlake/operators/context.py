@@ -66,7 +66,9 @@ def last_n_messages(messages: DataFrame, cfg: BotConfig = DEFAULT_CONFIG, n: int
     by ``seq`` for the chronological list (L2).
     """
     n = n or cfg.max_messages
-    raw = (messages.where(F.col("kind").isNotNull())          # P1: no kind → skipped
+    # Rows without a kind still occupy a slot of the fetched page; they
+    # are never kept (context_eligible is false for a NULL kind).
+    raw = (messages
            .withColumn("raw_rank", F.row_number().over(newest_first()))
            .where(F.col("raw_rank") <= 2 * n))                  # WindowGroupLimit
     flagged = (raw

@@ -45,7 +45,7 @@ SELECT * FROM (
            WHEN kind = 'm.notice' THEN 0
            WHEN kind IN ('m.image', 'm.audio', 'm.file', 'm.video') THEN 1 ELSE 0 END AS keep
     FROM (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY seq DESC) AS raw_rank
-          FROM messages WHERE kind IS NOT NULL) r
+          FROM messages) r
     WHERE raw_rank <= {2 * n}) f
   WINDOW w AS (PARTITION BY room_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x
 WHERE markers_seen = 0 AND keep = 1 AND ctx_rank <= {n}"""
