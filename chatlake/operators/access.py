@@ -72,17 +72,16 @@ def _split_by_table(msgs: DataFrame, allow: DataFrame) -> tuple[DataFrame, DataF
     """J8 with the list in a table ``allow(user_id)``: candidate keys +
     ``left_semi`` on the key, then one left join back on ``event_id``
     (unique per message).  An empty table allows everyone: the list size is
-    a one-row global aggregate, broadcast (bounded by construction)."""
+    a scalar subquery (no join)."""
     keys = allow.select(F.col("user_id").alias("_key")).distinct()
-    size = F.broadcast(keys.agg(F.count("*").alias("_n")).withColumn("_k", F.lit(1)))
+    size = keys.agg(F.count("*")).scalar()
     exploded = msgs.select("event_id", F.explode(
         F.array_distinct(F.concat(candidate_keys("sender"), candidate_keys("room_id")))).alias("_key"))
     hit = (exploded.join(keys, "_key", "left_semi").select("event_id").distinct()
            .withColumn("_hit", F.lit(True)))
-    tagged = (msgs.withColumn("_k", F.lit(1)).join(size, "_k").drop("_k")
-              .join(hit, "event_id", "left"))
-    ok = F.coalesce(F.col("_hit"), F.lit(False)) | (F.col("_n") == 0)
-    return tagged.where(ok).drop("_hit", "_n"), tagged.where(~ok).drop("_hit", "_n")
+    tagged = msgs.join(hit, "event_id", "left")
+    ok = F.coalesce(F.col("_hit"), F.lit(False)) | (size == 0)
+    return tagged.where(ok).drop("_hit"), tagged.where(~ok).drop("_hit")
 
 
 def deny_notices(denied: DataFrame, members: DataFrame, cfg: BotConfig = DEFAULT_CONFIG) -> DataFrame:

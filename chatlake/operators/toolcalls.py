@@ -20,9 +20,21 @@ def strip_fence(text) -> Column:
     return F.regexp_replace(s, r"```\z", "")
 
 
+def strict_parse_json(text) -> Column:
+    """``try_parse_json`` stops after the first complete value and ignores
+    trailing text; a strict parser rejects it.  Objects and arrays must
+    therefore end (after trailing whitespace) with their closing bracket."""
+    t = T.col(text)
+    v = F.try_parse_json(t)
+    tail = F.substring(F.regexp_replace(t, r"\s+\z", ""), -1, 1)
+    head = F.substring(F.regexp_replace(t, r"\A\s+", ""), 1, 1)
+    ok = (F.when(head == "{", tail == "}").when(head == "[", tail == "]").otherwise(F.lit(True)))
+    return F.when(ok, v)
+
+
 def json_decode(text) -> Column:
     """fenced JSON → VARIANT; NULL when it does not parse."""
-    return F.try_parse_json(strip_fence(text))
+    return strict_parse_json(strip_fence(text))
 
 
 def is_object(v) -> Column:
@@ -50,7 +62,7 @@ def classify(df: DataFrame, reply: str = "reply", query: str = "query", prefix:
     """F8: classifier reply ``{type, prompt}``; any failure → ``chat`` with
     the original query.  Non-chat results are rewritten to a command body
     ``<prefix> {type} {prompt}`` for the command parser (P9)."""
-    parsed = F.when(is_object(F.try_parse_json(T.col(reply))),
+    parsed = F.when(is_object(strict_parse_json(T.col(reply))),
                     F.from_json(T.col(reply), "struct<type:string,prompt:string>"))
     ok = parsed.isNotNull() & parsed["type"].isNotNull()
     typ = F.when(ok, parsed["type"]).otherwise(F.lit("chat"))
