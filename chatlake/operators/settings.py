@@ -44,11 +44,14 @@ def text_bool(value) -> Column:
     return T.col(value).try_cast("int") != 0
 
 
-def settings_wide(latest: DataFrame) -> DataFrame:
-    """F13 pivot: one row per room with the raw latest value of each known
-    setting (conditional aggregation; one value per key after W4)."""
-    return latest.groupBy("room_id").agg(*[
-        F.max(F.when(F.col("setting") == s, F.col("value"))).alias(f"raw_{s}") for s in SETTING_COLUMNS])
+def settings_wide(log: DataFrame) -> DataFrame:
+    """W4 + F13 pivot in one hash aggregation keyed by room: for each known
+    setting, the value of its newest write (``max_by`` skips rows whose
+    ordering is NULL, i.e. other settings).  Works on the raw change log or
+    on its W4 result alike; partial aggregation runs before the shuffle."""
+    order = F.struct(F.col("ts"), F.col("event_id"))
+    return log.groupBy("room_id").agg(*[
+        F.max_by(F.col("value"), F.when(F.col("setting") == s, order)).alias(f"raw_{s}") for s in SETTING_COLUMNS])
 
 
 def resolve_system_message(raw, cfg: BotConfig = DEFAULT_CONFIG) -> Column:
@@ -60,14 +63,15 @@ def resolve_system_message(raw, cfg: BotConfig = DEFAULT_CONFIG) -> Column:
     return F.regexp_replace(F.concat(default, own), r"^\s+|\s+$", "")
 
 
-def room_profile(rooms: DataFrame, latest: DataFrame, cfg: BotConfig = DEFAULT_CONFIG) -> DataFrame:
+def room_profile(rooms: DataFrame, log: DataFrame, cfg: BotConfig = DEFAULT_CONFIG) -> DataFrame:
     """J2 + F13 + F18 + F12: every room with typed settings and defaults.
 
-    The wide settings table has one row per room; it is joined on
-    ``room_id`` and left for AQE to broadcast when its measured size is
-    under the threshold (it grows with the number of rooms, so no
-    unconditional broadcast hint)."""
-    wide = settings_wide(latest)
+    ``log`` is the settings change log (or its latest-per-key view).  The
+    wide settings table has one row per room; it is joined on ``room_id``
+    and left for AQE to broadcast when its measured size is under the
+    threshold (it grows with the number of rooms, so no unconditional
+    broadcast hint)."""
+    wide = settings_wide(log)
     j = rooms.join(wide, "room_id", "left")
     cols = [F.col("room_id")]
     for s, default in BOOLEAN_SETTINGS.items():

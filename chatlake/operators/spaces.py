@@ -45,7 +45,9 @@ def running_total(df: DataFrame, key: str, value: str, bucket: str, order: list[
     (a small per-bucket table with one row per ``(key, bucket)``)."""
     inner = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumn("_local", F.sum(value).over(inner))
-    totals = df.groupBy(key, bucket).agg(F.sum(value).alias("_bt"))
+    # bucket totals come from the local sums, which are already partitioned
+    # by (key, bucket): no second shuffle of the rows
+    totals = local.groupBy(key, bucket).agg(F.sum(value).alias("_bt"))
     prior = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(prior), F.lit(0))).drop("_bt")
     return (local.join(offsets, [key, bucket], "inner")

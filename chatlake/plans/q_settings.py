@@ -42,8 +42,7 @@ def q_settings_latest(spark, sf):
 
 def _profile(spark, sf):
     rooms = V.messages(spark, sf).select("room_id").distinct()
-    latest = S.latest_per_key(V.settings_log(spark, sf), ["room_id", "setting"], ["value"])
-    return S.room_profile(rooms, latest, CFG)
+    return S.room_profile(rooms, V.settings_log(spark, sf), CFG)
 
 
 def q_settings_profile(spark, sf):
