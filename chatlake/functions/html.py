@@ -28,13 +28,14 @@ DECLARATION = r"(?s)<![^>]*>"
 ANCHOR_HREF = r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
 ANCHOR_BARE = r"(?is)<a(?:\s[^>]*)?>(.*?)</a\s*>"
 TAG = r"(?s)</?[a-zA-Z][^>]*>"
+REMOVED = [r"(?is)<!--.*?-->", r"<script\b[^>]*>.*?</script\s*>", r"<style\b[^>]*>.*?</style\s*>", r"<![^>]*>"]
 SPACE = "[\\s\u00a0]+"
 
 
 def html_to_text(html) -> Column:
-    s = col(html)
-    for pattern in (COMMENT, SCRIPT, STYLE, DECLARATION):
-        s = F.regexp_replace(s, pattern, "")
+    # one pass removes comments, scripts, styles and declarations (the
+    # alternation tries them left to right at each position)
+    s = F.regexp_replace(col(html), "|".join(REMOVED), "")
     s = F.regexp_replace(s, ANCHOR_HREF, "$4 ($1$2$3)")
     s = F.regexp_replace(s, ANCHOR_BARE, "$1 (None)")
     s = F.regexp_replace(s, TAG, "")

@@ -62,7 +62,10 @@ WEATHER_SCHEMA = (f"struct<current:struct<temp:string,feels_like:string,humidity
 
 
 def _hhmm(epoch) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "HH:mm")
+    """``HH:mm`` of an epoch second in UTC, computed arithmetically so the
+    result does not depend on the session time zone."""
+    s = F.pmod(col(epoch), F.lit(86400))
+    return F.format_string("%02d:%02d", (s / 3600).cast("int"), ((s % 3600) / 60).cast("int"))
 
 
 def weather_report(payload, name=None) -> tuple[Column, Column]:

@@ -2,8 +2,8 @@
 P13, P22, P23, J7, F19).
 
 Every operator is a projection or a filter over the message table — no
-shuffle — except the registry lookup (J7), which joins a fixed-size
-registry that is broadcast because its size is bounded by construction.
+shuffle.  Fixed registries (J7) are literal maps, so a lookup is a
+projection too; registries kept in storage use an equi join instead.
 """
 
 from __future__ import annotations
@@ -64,26 +64,37 @@ def parse_command(df: DataFrame, body: str = "body") -> DataFrame:
                                        F.array_join(F.slice("tokens", 3, 1 << 30), " "))))
 
 
+def registry_map(names: list[str] | dict[str, str]) -> Column:
+    """A fixed name → handler registry as a literal map.  Looking a name up
+    is a projection: no join and nothing to broadcast."""
+    pairs = names.items() if isinstance(names, dict) else ((n, n) for n in names)
+    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+
+
 def registry(spark: SparkSession, names: list[str]) -> DataFrame:
-    """Name → handler registry as a DataFrame (fixed size)."""
+    """The same registry as a table (for registries that live in storage:
+    join it with ``join_registry``)."""
     return spark.createDataFrame([(n, n) for n in names], "name string, handler string")
 
 
+def join_registry(df: DataFrame, reg: DataFrame, key: str) -> DataFrame:
+    """J7 against a registry table: a left equi join; AQE broadcasts the
+    registry when its measured size is under the threshold."""
+    r = reg.withColumnRenamed("name", "_name")
+    return df.join(r, F.col(key) == F.col("_name"), "left").drop("_name")
+
+
 def lookup_command(df: DataFrame, command: str = "command") -> DataFrame:
-    """Command name → handler; unknown or missing → ``unknown``.  The
-    registry has a fixed, small size, so the broadcast is bounded."""
-    reg = F.broadcast(registry(df.sparkSession, COMMANDS).withColumnRenamed("name", "_name"))
-    return (df.join(reg, F.col(command) == F.col("_name"), "left")
-            .withColumn("handler", F.coalesce(F.col("handler"), F.lit("unknown"))).drop("_name"))
+    """Command name → handler; unknown or missing → ``unknown``."""
+    return df.withColumn("handler", F.coalesce(F.try_element_at(registry_map(COMMANDS), F.col(command)),
+                                               F.lit("unknown")))
 
 
 def lookup_tool(df: DataFrame, tool: str = "tool") -> DataFrame:
     """Tool name → tool; unknown → status ``not_found``."""
-    reg = F.broadcast(registry(df.sparkSession, TOOLS).withColumnRenamed("name", "_name")
-                      .withColumnRenamed("handler", "tool_impl"))
-    return (df.join(reg, F.col(tool) == F.col("_name"), "left")
-            .withColumn("tool_status", F.when(F.col("tool_impl").isNull(), F.lit("not_found")).otherwise(F.lit("ok")))
-            .drop("_name"))
+    impl = F.try_element_at(registry_map(TOOLS), F.col(tool))
+    return (df.withColumn("tool_impl", impl)
+            .withColumn("tool_status", F.when(F.col("tool_impl").isNull(), F.lit("not_found")).otherwise(F.lit("ok"))))
 
 
 def space_request(tokens="tokens") -> Column:

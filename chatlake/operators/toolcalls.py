@@ -85,12 +85,14 @@ def normalise_tool_args(df: DataFrame, tool: str = "tool", arguments: str = "arg
     merged map rendered as sorted ``k=v`` pairs."""
     t = F.col(tool)
     params = F.coalesce(F.from_json(F.col(arguments), "map<string,string>"), _map_lit({}))
-    defaults = F.lit(None).cast("map<string,string>")
-    required = F.lit(None).cast("array<string>")
-    for name in TOOL_REQUIRED:
-        defaults = F.when(t == name, _map_lit(TOOL_DEFAULTS.get(name, {}))).otherwise(defaults)
-        required = F.when(t == name, F.array(*[F.lit(k) for k in TOOL_REQUIRED[name]]).cast("array<string>")) \
-            .otherwise(required)
+    # per-tool defaults and required names: literal maps keyed by tool
+    all_defaults = F.create_map(*[x for name in TOOL_REQUIRED
+                                  for x in (F.lit(name), _map_lit(TOOL_DEFAULTS.get(name, {})))])
+    all_required = F.create_map(*[x for name in TOOL_REQUIRED
+                                  for x in (F.lit(name), F.array(*[F.lit(k) for k in TOOL_REQUIRED[name]])
+                                            .cast("array<string>"))])
+    defaults = F.try_element_at(all_defaults, t)
+    required = F.try_element_at(all_required, t)
     known = t.isin(list(TOOL_REQUIRED))
     merged = F.map_concat(F.map_filter(F.coalesce(defaults, _map_lit({})),
                                        lambda k, v: ~F.array_contains(F.map_keys(params), k)), params)

@@ -42,7 +42,7 @@ def system_messages(spark, sf):
     return s.select("room_id", F.concat(F.lit("$"), F.col("event_id").cast("string")).alias("message_id"),
                     F.concat(F.lit("@u"), (F.col("event_id") % 17).cast("string"), F.lit(":alpha.example")).alias("user_id"),
                     F.col("value").alias("body"),
-                    F.unix_millis(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("timestamp"))
+                    (F.unix_date(F.to_date("ts")).cast("bigint") * 86400000).alias("timestamp"))
 
 
 def q_usage_by_room(spark, sf):
