@@ -9,10 +9,11 @@ task as raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import windows as W
 from .settings import latest_per_key
 
 
@@ -27,39 +28,24 @@ def member_counts(events: DataFrame) -> DataFrame:
     return cur.groupBy("room_id").agg(F.count_if(F.col("membership") == "join").cast("bigint").alias("members"))
 
 
-def membership_deltas(events: DataFrame) -> DataFrame:
+def membership_deltas(events: DataFrame, bucket_fmt: str = W.HOUR) -> DataFrame:
     """+1 when a user becomes joined, -1 when a joined user stops being
-    joined, 0 otherwise (per ``(room, user)`` in event order)."""
-    w = Window.partitionBy("room_id", "user_id").orderBy("ts", "event_id")
-    joined = (F.col("membership") == "join").cast("int")
-    prev = F.coalesce(F.lag(joined).over(w), F.lit(0))
-    return events.withColumn("delta", joined - prev)
-
-
-def running_total(df: DataFrame, key: str, value: str, bucket: str, order: list[str],
-                  out: str = "running") -> DataFrame:
-    """Running sum of ``value`` per ``key`` in ``order``, computed in two
-    levels so that a key holding a large share of all rows is spread over
-    its ``bucket`` values (e.g. days): a running sum inside each
-    ``(key, bucket)``, plus the total of all earlier buckets of the key
-    (a small per-bucket table with one row per ``(key, bucket)``)."""
-    inner = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn("_local", F.sum(value).over(inner))
-    # bucket totals come from the local sums, which are already partitioned
-    # by (key, bucket): no second shuffle of the rows
-    totals = local.groupBy(key, bucket).agg(F.sum(value).alias("_bt"))
-    prior = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(prior), F.lit(0))).drop("_bt")
-    return (local.join(offsets, [key, bucket], "inner")
-            .withColumn(out, F.col("_off") + F.col("_local")).drop("_off", "_local"))
-
-
-def abandoned_events(events: DataFrame) -> DataFrame:
+    joined, 0 otherwise (per ``(room, user)`` in event order).  The previous
+    state comes from a bucketed lag, so a hot (room, user) pair is spread
+    over its time buckets."""
+    d = (events.withColumn("_joined", (F.col("membership") == "join").cast("int"))
+         .withColumn("_bucket", W.time_bucket("ts", bucket_fmt)))
+    d = W.bucketed_lag(d, ["room_id", "user_id"], "_bucket", ["ts", "event_id"], "_joined", out="_prev")
+    return d.withColumn("delta", F.col("_joined") - F.coalesce(F.col("_prev"), F.lit(0))).drop("_joined", "_prev")
+
+
+def abandoned_events(events: DataFrame, bucket_fmt: str = W.HOUR) -> DataFrame:
     """T2 (batch twin): leave events after which exactly one member is left
     in the room.  The member count at each event is a running sum of
-    membership deltas per room, bucketed by day."""
-    d = membership_deltas(events).withColumn("_day", F.to_date("ts"))
-    r = running_total(d, "room_id", "delta", "_day", ["ts", "event_id"], out="members_after")
+    membership deltas per room, computed per time bucket plus the totals of
+    earlier buckets (no single task sorts a whole room)."""
+    d = membership_deltas(events, bucket_fmt)
+    r = W.running_total(d, "room_id", "delta", "_bucket", ["ts", "event_id"], out="members_after")
     return r.where((F.col("membership") == "leave") & (F.col("members_after") == 1)) \
         .select("room_id", "user_id", "event_id", "ts", "members_after")
 
