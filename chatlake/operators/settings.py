@@ -83,6 +83,18 @@ def room_profile(rooms: DataFrame, log: DataFrame, cfg: BotConfig = DEFAULT_CONF
     return j.select(*cols)
 
 
+def room_info(profile: DataFrame, cfg: BotConfig = DEFAULT_CONFIG) -> DataFrame:
+    """the room info report of each room (model, limits, ids, system
+    message), one blank line between fields."""
+    text = F.concat(
+        F.lit("GPT Room info:\n\nModel: "), F.col("model"),
+        F.lit("\n\nMaximum context tokens: "), F.col("max_tokens").cast("string"),
+        F.lit("\n\nMaximum context messages: "), F.col("max_messages").cast("string"),
+        F.lit(f"\n\nBot user ID: {cfg.bot_id}\n\nCurrent room ID: "), F.col("room_id"),
+        F.lit("\n\nSystem message: "), F.col("system_message"), F.lit("\n"))
+    return profile.select("room_id", text.alias("info"))
+
+
 def validate_commands(cmds: DataFrame, body: str = "body", cfg: BotConfig = DEFAULT_CONFIG) -> DataFrame:
     """Settings command → ``(setting, value, status)``.
 

@@ -49,6 +49,10 @@ def q_settings_profile(spark, sf):
     return _profile(spark, sf)
 
 
+def q_room_info(spark, sf):
+    return S.room_info(_profile(spark, sf), CFG)
+
+
 def q_system_message_resolve(spark, sf):
     return _profile(spark, sf).select("room_id", "system_message")
 
@@ -111,6 +115,13 @@ FROM acc a LEFT JOIN mem m ON a.room_id = m.room_id WHERE NOT a.ok"""),
     "settings_profile": with_ctes(["messages", "settings_log"], [_LATEST, _WIDE, _PROFILE], "SELECT * FROM profile"),
     "system_message_resolve": with_ctes(["messages", "settings_log"], [_LATEST, _WIDE, _PROFILE],
                                         "SELECT room_id, system_message FROM profile"),
+    "room_info": with_ctes(["messages", "settings_log"], [_LATEST, _WIDE, _PROFILE], f"""
+SELECT room_id, concat('GPT Room info:', chr(10), chr(10), 'Model: ', model, chr(10), chr(10),
+                       'Maximum context tokens: ', max_tokens, chr(10), chr(10),
+                       'Maximum context messages: ', max_messages, chr(10), chr(10),
+                       'Bot user ID: {CFG.bot_id}', chr(10), chr(10), 'Current room ID: ', room_id, chr(10), chr(10),
+                       'System message: ', system_message, chr(10)) AS info
+FROM profile"""),
     "settings_validate": with_ctes(["settings_commands"], [("t", """
 SELECT *, list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '') AS toks FROM settings_commands"""), ("u", """
 SELECT *, CASE toks[3] WHEN 'classification' THEN 'use_classification' WHEN 'timing' THEN 'use_timing'
@@ -143,6 +154,7 @@ QUERIES = {
     "settings_latest": q_settings_latest,
     "settings_profile": q_settings_profile,
     "system_message_resolve": q_system_message_resolve,
+    "room_info": q_room_info,
     "settings_validate": q_settings_validate,
     "reply_gate": q_reply_gate,
     "state_lookup": q_state_lookup,

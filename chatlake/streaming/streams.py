@@ -135,7 +135,8 @@ def _abandon(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
         if row.membership == "leave" and joined == 1:
             out.append((key[0], row.user_id, int(row.event_id), row.ts, joined))
     state.update((json.dumps(members),))
-    yield pd.DataFrame(out, columns=["room_id", "user_id", "event_id", "ts", "members_after"])
+    if out:
+        yield pd.DataFrame(out, columns=["room_id", "user_id", "event_id", "ts", "members_after"])
 
 
 def abandoned_stream(events: DataFrame) -> DataFrame:
