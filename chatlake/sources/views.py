@@ -179,36 +179,6 @@ def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(i.alias("id"), payload.alias("payload"))
 
 
-def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V7: calculation results, one query per customer, one pod per order,
-    one subpod per line.  Built with two group-bys (partial aggregation on
-    the map side; the group size is bounded by orders per customer and
-    lines per order)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey")
-    sub = li.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("l_linenumber").alias("pos"),
-            F.col("l_returnflag").alias("title"),
-            F.when(F.col("l_linenumber") % 2 == 0,
-                   F.concat(F.lit("img-"), F.col("l_orderkey").cast("string"), F.lit("-"),
-                            F.col("l_linenumber").cast("string"))).alias("img"),
-            F.col("l_partkey").cast("string").alias("plaintext")))).alias("subs"))
-    pod = (o.join(sub, o.o_orderkey == sub.l_orderkey, "left")
-           .select("o_custkey", "o_orderkey",
-                   F.struct(
-                       F.col("o_orderkey").alias("pos"),
-                       F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).otherwise(F.col("o_orderpriority")).alias("title"),
-                       F.transform(F.coalesce(F.col("subs"), F.array().cast(sub.schema["subs"].dataType)),
-                                   lambda x: F.struct(x["title"].alias("title"), x["img"].alias("img"),
-                                                      x["plaintext"].alias("plaintext"))).alias("subpods"))
-                   .alias("pod")))
-    q = pod.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.col("pod"))).alias("pods"))
-    return q.select(F.col("o_custkey").alias("query_id"),
-                    F.transform("pods", lambda p: F.struct(p["title"].alias("title"),
-                                                           p["subpods"].alias("subpods"))).alias("pods"))
-
-
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: log records with every level."""
     e = table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "props")
