@@ -150,3 +150,12 @@ def test_space_edges_self_pair(spark):
     got = sorted((r.src, r.dst, r.type, tuple(r.via), r.canonical) for r in SP.space_edges(pairs).collect())
     assert got == [("!r:b.org", "!sp:a.org", "m.room.parent", ("a.org", "b.org"), True),
                    ("!sp:a.org", "!r:b.org", "m.space.child", ("b.org", "a.org"), None)]
+
+
+def test_deny_notice_only_in_two_member_rooms(spark):
+    msgs = spark.createDataFrame([("!dm:x", "$1", "@a:x"), ("!big:x", "$2", "@b:x"), ("!none:x", "$3", "@c:x")],
+                                 "room_id string, event_id string, sender string")
+    members = spark.createDataFrame([("!dm:x", 2), ("!big:x", 5)], "room_id string, members int")
+    _, denied = A.split_allowed(msgs, ["@z:q"], CFG)
+    got = {r.room_id: (r.members, r.notice, r.notice_body is not None) for r in A.deny_notices(denied, members, CFG).collect()}
+    assert got == {"!dm:x": (2, True, True), "!big:x": (5, False, False), "!none:x": (0, False, False)}

@@ -188,3 +188,11 @@ def test_pod_lines_from_nested(spark):
     fails = spark.createDataFrame([("2+2",), (None,)], "s string").select(P.failed_query_lines("s").alias("l")).collect()
     assert [r.l for r in fails] == [["Could not process your query.", "Did you mean: 2+2"],
                                     ["Could not process your query."]]
+
+
+def test_result_list_bullets_and_top_k(spark):
+    rows = [("carriers", i, f"Carrier {i}", f"c{i}") for i in (3, 1, 2)] + [("other", 1, "Solo", "s")]
+    df = spark.createDataFrame(rows, "q string, rank int, name string, code string")
+    line = F.concat(F.lit("* "), F.col("name"), F.lit(" - "), F.col("code"))
+    got = {r.q: r.text for r in P.result_list(df, "q", "rank", 2, line, sep="\n").collect()}
+    assert got == {"carriers": "* Carrier 1 - c1\n* Carrier 2 - c2", "other": "* Solo - s"}
