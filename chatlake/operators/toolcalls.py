@@ -25,11 +25,18 @@ def strict_parse_json(text) -> Column:
     trailing text; a strict parser rejects it.  Objects and arrays must
     therefore end (after trailing whitespace) with their closing bracket."""
     t = T.col(text)
-    v = F.try_parse_json(t)
-    tail = F.substring(F.regexp_replace(t, r"\s+\z", ""), -1, 1)
-    head = F.substring(F.regexp_replace(t, r"\A\s+", ""), 1, 1)
+    trimmed = F.btrim(t, F.lit(" \t\n\r"))
+    head, tail = F.left(trimmed, F.lit(1)), F.right(trimmed, F.lit(1))
     ok = (F.when(head == "{", tail == "}").when(head == "[", tail == "]").otherwise(F.lit(True)))
-    return F.when(ok, v)
+    return F.when(ok, F.try_parse_json(t))
+
+
+def looks_like_object(text) -> Column:
+    """Cheap shape test: after surrounding whitespace, ``{`` … ``}``.  A
+    strict parser rejects trailing text after an object, so this is also the
+    end check ``try_parse_json`` lacks."""
+    trimmed = F.btrim(T.col(text), F.lit(" \t\n\r"))
+    return F.coalesce((F.left(trimmed, F.lit(1)) == "{") & (F.right(trimmed, F.lit(1)) == "}"), F.lit(False))
 
 
 def json_decode(text) -> Column:
@@ -45,24 +52,30 @@ def extract_tool_call(df: DataFrame, reply: str = "reply") -> DataFrame:
     """``kind`` = ``call`` (object with ``tool``; ``arguments`` = JSON of
     ``parameters``, ``{}`` when absent), ``regenerate`` (object without
     ``tool``) or ``text`` (anything else, including unparsable text)."""
-    v = json_decode(reply)
-    obj = is_object(v)
-    tool_v = F.try_variant_get(v, "$.tool", "variant")
-    params_v = F.try_variant_get(v, "$.parameters", "variant")
-    has_tool = obj & tool_v.isNotNull()
-    kind = F.when(has_tool, F.lit("call")).when(obj, F.lit("regenerate")).otherwise(F.lit("text"))
-    return (df.withColumn("_v", v)
-            .withColumn("kind", kind)
-            .withColumn("tool", F.when(has_tool, F.try_variant_get(F.col("_v"), "$.tool", "string")))
-            .withColumn("arguments", F.when(has_tool, F.coalesce(F.to_json(params_v), F.lit("{}"))))
-            .drop("_v"))
+    # only text shaped like an object can be a call, so nothing else is
+    # parsed; each step is its own column so the reply is parsed once
+    # Filters on ``kind`` are pushed below this projection with the columns
+    # inlined, so every derived column refers to the parsed value once:
+    # ``_call`` holds the tool key and the parameters of a call (NULL for
+    # anything else), extracted in one pass over the parsed value.
+    call_t = "struct<tool:variant,parameters:variant>"
+    d = (df.withColumn("_s", strip_fence(reply))
+         .withColumn("_v", F.when(looks_like_object("_s"), F.try_parse_json("_s")))
+         .withColumn("_call", F.try_variant_get("_v", "$", call_t)))
+    tool_v = F.col("_call.tool")
+    has_tool = tool_v.isNotNull()
+    return (d.withColumn("kind", F.when(has_tool, F.lit("call")).when(F.col("_v").isNotNull(), F.lit("regenerate"))
+                         .otherwise(F.lit("text")))
+            .withColumn("tool", F.when(has_tool, F.try_variant_get(tool_v, "$", "string")))
+            .withColumn("arguments", F.when(has_tool, F.coalesce(F.to_json(F.col("_call.parameters")), F.lit("{}"))))
+            .drop("_s", "_v", "_call"))
 
 
 def classify(df: DataFrame, reply: str = "reply", query: str = "query", prefix: str = "!bot") -> DataFrame:
     """F8: classifier reply ``{type, prompt}``; any failure → ``chat`` with
     the original query.  Non-chat results are rewritten to a command body
     ``<prefix> {type} {prompt}`` for the command parser (P9)."""
-    parsed = F.when(is_object(strict_parse_json(T.col(reply))),
+    parsed = F.when(looks_like_object(reply) & F.try_parse_json(T.col(reply)).isNotNull(),
                     F.from_json(T.col(reply), "struct<type:string,prompt:string>"))
     ok = parsed.isNotNull() & parsed["type"].isNotNull()
     typ = F.when(ok, parsed["type"]).otherwise(F.lit("chat"))
@@ -94,17 +107,22 @@ def normalise_tool_args(df: DataFrame, tool: str = "tool", arguments: str = "arg
     defaults = F.try_element_at(all_defaults, t)
     required = F.try_element_at(all_required, t)
     known = t.isin(list(TOOL_REQUIRED))
-    merged = F.map_concat(F.map_filter(F.coalesce(defaults, _map_lit({})),
-                                       lambda k, v: ~F.array_contains(F.map_keys(params), k)), params)
+    d = (df.withColumn("_params", params)
+         .withColumn("_merged", F.map_concat(
+             F.map_filter(F.coalesce(defaults, _map_lit({})),
+                          lambda k, v: ~F.array_contains(F.map_keys(F.col("_params")), k)), F.col("_params"))))
     falsy = ["", "false", "0", "0.0", "null", "[]", "{}"]
-    missing = F.filter(F.coalesce(required, F.array().cast("array<string>")),
-                       lambda k: ~F.coalesce(~F.try_element_at(merged, k).isin(falsy), F.lit(False)))
-    rendered = F.array_join(F.transform(F.array_sort(F.map_entries(merged)),
+    d = d.withColumn("_missing", F.filter(
+        F.coalesce(required, F.array().cast("array<string>")),
+        lambda k: ~F.coalesce(~F.try_element_at(F.col("_merged"), k).isin(falsy), F.lit(False))))
+    rendered = F.array_join(F.transform(F.array_sort(F.map_entries("_merged")),
                                         lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    return (df.withColumn("status", F.when(~known, F.lit("not_found"))
-                          .when(F.size(missing) > 0, F.lit("missing_argument")).otherwise(F.lit("ok")))
-            .withColumn("missing", F.when(known & (F.size(missing) > 0), F.element_at(missing, 1)))
-            .withColumn("args", F.when(known, rendered)))
+    has_missing = F.size("_missing") > 0
+    return (d.withColumn("status", F.when(~known, F.lit("not_found"))
+                         .when(has_missing, F.lit("missing_argument")).otherwise(F.lit("ok")))
+            .withColumn("missing", F.when(known & has_missing, F.element_at("_missing", 1)))
+            .withColumn("args", F.when(known, rendered))
+            .drop("_params", "_merged", "_missing"))
 
 
 def is_tool_model(model) -> Column:
