@@ -65,7 +65,9 @@ def _hhmm(epoch) -> Column:
     """``HH:mm`` of an epoch second in UTC, computed arithmetically so the
     result does not depend on the session time zone."""
     s = F.pmod(col(epoch), F.lit(86400))
-    return F.format_string("%02d:%02d", (s / 3600).cast("int"), ((s % 3600) / 60).cast("int"))
+    hh = F.lpad((s / 3600).cast("int").cast("string"), 2, "0")
+    mm = F.lpad(((s % 3600) / 60).cast("int").cast("string"), 2, "0")
+    return F.concat(hh, F.lit(":"), mm)
 
 
 def weather_report(payload, name=None) -> tuple[Column, Column]:
