@@ -44,16 +44,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
+               max_shuffle_partitions: int = 100_000) -> dict[str, str]:
     """Shuffle and scan sizing for an input of ``input_bytes`` on a cluster
     with ``total_cores`` task slots.
 
     Scan splits and shuffle partitions aim at ``target_partition_bytes``
     each, so a task's working set fits executor memory whatever the scale;
-    the shuffle starts with at least one partition per target-sized slice
-    of the input (and at least two waves of tasks), and AQE coalesces small
-    ones and splits skewed ones at run time."""
-    initial = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    the shuffle starts with one partition per target-sized slice of the
+    input (at least two waves of tasks, at most ``max_shuffle_partitions``
+    because shuffle blocks grow as mappers × reducers), and AQE coalesces
+    small ones and splits skewed ones at run time."""
+    initial = min(max(2 * total_cores, -(-input_bytes // target_partition_bytes)), max_shuffle_partitions)
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(initial),
