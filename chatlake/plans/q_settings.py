@@ -23,6 +23,14 @@ def q_allowed_messages(spark, sf):
     return ok.select("room_id", "event_id", "sender")
 
 
+def q_allowed_by_table(spark, sf):
+    """J8 with the allow list in a table that grows with the data: users
+    who have an active space."""
+    allow = V.user_spaces(spark, sf).where(F.col("active")).select("user_id")
+    ok, _ = A.split_allowed(V.messages(spark, sf), allow, CFG)
+    return ok.select("room_id", "event_id", "sender")
+
+
 def room_senders(msgs):
     """Member count per room from the distinct senders seen in it."""
     return msgs.groupBy("room_id").agg(F.count_distinct("sender").alias("members"))
@@ -104,8 +112,18 @@ SELECT *, coalesce({_id_ok('sender')} OR {_id_ok('room_id')}, false) AS ok
 FROM messages WHERE sender <> '{CFG.bot_id}'""")
 _NOTICE = f"You are not allowed to use this bot. Please contact {CFG.operator} for more information."
 
+def _id_ok_table(c: str) -> str:
+    srv = f"CASE WHEN contains({c}, ':') THEN split_part({c}, ':', 2) END"
+    return (f"({c} IN (SELECT user_id FROM al) OR (NOT starts_with({c}, '!') AND {srv} IS NOT NULL AND "
+            f"(concat('*:', {srv}) IN (SELECT user_id FROM al) OR concat('@*:', {srv}) IN (SELECT user_id FROM al))))")
+
+
 ORACLE = {
     "allowed_messages": with_ctes(["messages"], [_ACCESS], "SELECT room_id, event_id, sender FROM acc WHERE ok"),
+    "allowed_by_table": with_ctes(["messages", "user_spaces"], [("al", "SELECT user_id FROM user_spaces WHERE active")], f"""
+SELECT room_id, event_id, sender FROM messages
+WHERE sender <> '{CFG.bot_id}'
+  AND ((SELECT count(*) FROM al) = 0 OR coalesce({_id_ok_table('sender')} OR {_id_ok_table('room_id')}, false))"""),
     "denied_notices": with_ctes(["messages"], [_ACCESS, ("mem", """
 SELECT room_id, count(DISTINCT sender) AS members FROM messages GROUP BY room_id""")], f"""
 SELECT a.room_id, a.event_id, coalesce(m.members, 0) AS members, coalesce(m.members, 0) = 2 AS notice,
@@ -150,6 +168,7 @@ QUALIFY row_number() OVER (PARTITION BY room_id ORDER BY ts DESC, event_id DESC)
 
 QUERIES = {
     "allowed_messages": q_allowed_messages,
+    "allowed_by_table": q_allowed_by_table,
     "denied_notices": q_denied_notices,
     "settings_latest": q_settings_latest,
     "settings_profile": q_settings_profile,
