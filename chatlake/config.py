@@ -87,6 +87,54 @@ TOOLS = [
     "weather", "geocode", "dice", "websearch", "webrequest", "imagine",
     "imagedescription", "wikipedia", "datetime", "newroom",
 ]
+# Texts the bot sends or reports (placeholders in braces).
+DENY_NOTICE = "You are not allowed to use this bot. Please contact {operator} for more information."
+TOOL_NOT_FOUND = "Error: Tool not found"
+TOOL_FAILED = "Error: Something went wrong calling tool {tool}"
+CALC_FAILED = "Could not process your query."
+CALC_DID_YOU_MEAN = "Did you mean: {suggestion}"
+WEB_REPORT = "**Web request**\nURL: {url}\nStatus: {status} {reason}\n\n{text}\n"
+WIKI_REQUEST = "https://{language}.wikipedia.org/w/api.php?{query}"
+WIKI_REQUEST_ARGS = [("action", "query"), ("format", "json"), ("titles", None), ("prop", "revisions"),
+                     ("rvprop", "content")]
+WIKI_REPORT = "**Wikipedia: {title}**\n{content}"
+WIKI_NO_RESULTS = "No results for {query} found in Wikipedia."
+WEATHER_REPORT = (
+    "**Weather report{for_name}**\n"
+    "Current: {temp}°C, {description}\n"
+    "Feels like: {feels_like}°C\n"
+    "Humidity: {humidity}%\n"
+    "Wind: {wind_speed}m/s\n"
+    "Sunrise: {sunrise}\n"
+    "Sunset: {sunset}\n"
+    "\n"
+    "Today: {day0}°C, {description0}, {summary0}\n"
+    "Tomorrow: {day1}°C, {description1}, {summary1}\n"
+)
+SEARCH_HEADER = "**Search results for {query}**"
+SEARCH_RESULT = "\n{title}\n{url}\n{description}\n"
+CARRIER_LINE = "* {name} - {code}"
+ROOM_INFO = (
+    "GPT Room info:\n"
+    "\n"
+    "Model: {model}\n"
+    "\n"
+    "Maximum context tokens: {max_tokens}\n"
+    "\n"
+    "Maximum context messages: {max_messages}\n"
+    "\n"
+    "Bot user ID: {bot_id}\n"
+    "\n"
+    "Current room ID: {room_id}\n"
+    "\n"
+    "System message: {system_message}\n"
+)
+LOG_LINE = "[{ts}] - {caller} - [{level}] {message}"
+LOG_TS_FORMAT = "yyyy-MM-dd HH:mm:ss:SSSSSS"
+DATA_URL = "data:{mimetype};base64,{payload}"
+HTML_MESSAGE_FORMAT = "org.matrix.custom.html"
+SPACE_CHILD_EVENT = "m.space.child"
+ROOM_PARENT_EVENT = "m.room.parent"
 # Sub-commands of the space command.
 SPACE_SUBCOMMANDS = ["enable", "disable", "update", "invite"]
 

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from ..config import WEB_REPORT
+from .text import col, fill
 
 # Entities decoded after tags are removed (``&amp;`` last).
 ENTITIES = [
@@ -47,6 +48,5 @@ def html_to_text(html) -> Column:
 
 def page_report(url, status, reason, text) -> Column:
     """the web-request tool's report; only status 200 yields one."""
-    return F.when(col(status) == 200, F.concat(
-        F.lit("**Web request**\nURL: "), col(url), F.lit("\nStatus: "), col(status).cast("string"),
-        F.lit(" "), col(reason), F.lit("\n\n"), col(text), F.lit("\n")))
+    return F.when(col(status) == 200, fill(WEB_REPORT, url=col(url), status=col(status), reason=col(reason),
+                                           text=col(text)))

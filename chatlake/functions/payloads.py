@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_CONFIG, BotConfig
-from .text import col
+from ..config import (CALC_DID_YOU_MEAN, CALC_FAILED, DEFAULT_CONFIG, HTML_MESSAGE_FORMAT, WEATHER_REPORT,
+                      WIKI_NO_RESULTS, WIKI_REPORT, WIKI_REQUEST, WIKI_REQUEST_ARGS, BotConfig)
+from .text import col, fill
 
 # --------------------------------------------------------------------- F3/F4
 
@@ -31,9 +32,8 @@ def query_string(pairs: list[tuple[str, Column | str]]) -> Column:
 def wiki_url(query, language="en") -> Column:
     """The encyclopedia request of the lookup tool."""
     lang = language if isinstance(language, Column) else F.lit(language)
-    qs = query_string([("action", "query"), ("format", "json"), ("titles", col(query)),
-                       ("prop", "revisions"), ("rvprop", "content")])
-    return F.concat(F.lit("https://"), lang, F.lit(".wikipedia.org/w/api.php?"), qs)
+    qs = query_string([(k, col(query) if v is None else v) for k, v in WIKI_REQUEST_ARGS])
+    return fill(WIKI_REQUEST, language=lang, query=qs)
 
 
 # ------------------------------------------------------------------------ F9
@@ -48,8 +48,8 @@ def wiki_report(payload, query) -> tuple[Column, Column]:
     page = F.try_element_at(F.map_values(doc["query"]["pages"]), F.lit(1))
     content = F.try_element_at(page["revisions"], F.lit(1))["*"]
     ok = page.isNotNull() & content.isNotNull()
-    text = F.when(ok, F.concat(F.lit("**Wikipedia: "), page["title"], F.lit("**\n"), content)) \
-        .otherwise(F.concat(F.lit("No results for "), col(query), F.lit(" found in Wikipedia.")))
+    text = F.when(ok, fill(WIKI_REPORT, title=page["title"], content=content)) \
+        .otherwise(fill(WIKI_NO_RESULTS, query=col(query)))
     return F.when(ok, F.lit("ok")).otherwise(F.lit("no_results")), text
 
 
@@ -82,17 +82,13 @@ def weather_report(payload, name=None) -> tuple[Column, Column]:
         return F.try_element_at(w["weather"], F.lit(1))["description"]
 
     nm = col(name) if name is not None else F.lit(None).cast("string")
-    header = F.concat(F.lit("**Weather report"), F.coalesce(F.concat(F.lit(" for "), nm), F.lit("")), F.lit("**\n"))
-    parts = [header,
-             F.lit("Current: "), cur["temp"], F.lit("°C, "), desc(cur), F.lit("\n"),
-             F.lit("Feels like: "), cur["feels_like"], F.lit("°C\n"),
-             F.lit("Humidity: "), cur["humidity"], F.lit("%\n"),
-             F.lit("Wind: "), cur["wind_speed"], F.lit("m/s\n"),
-             F.lit("Sunrise: "), _hhmm(cur["sunrise"]), F.lit("\n"),
-             F.lit("Sunset: "), _hhmm(cur["sunset"]), F.lit("\n\n"),
-             F.lit("Today: "), day0["temp"]["day"], F.lit("°C, "), desc(day0), F.lit(", "), day0["summary"], F.lit("\n"),
-             F.lit("Tomorrow: "), day1["temp"]["day"], F.lit("°C, "), desc(day1), F.lit(", "), day1["summary"], F.lit("\n")]
-    text = F.concat(*parts)          # NULL as soon as any part is missing
+    text = fill(WEATHER_REPORT,             # NULL as soon as any part is missing
+                for_name=F.coalesce(F.concat(F.lit(" for "), nm), F.lit("")),
+                temp=cur["temp"], description=desc(cur), feels_like=cur["feels_like"],
+                humidity=cur["humidity"], wind_speed=cur["wind_speed"],
+                sunrise=_hhmm(cur["sunrise"]), sunset=_hhmm(cur["sunset"]),
+                day0=day0["temp"]["day"], description0=desc(day0), summary0=day0["summary"],
+                day1=day1["temp"]["day"], description1=desc(day1), summary1=day1["summary"])
     return F.when(text.isNull(), F.lit("error")).otherwise(F.lit("ok")), text
 
 
@@ -145,8 +141,7 @@ def choose_pods(results_only: bool, pods: DataFrame, results: DataFrame) -> Data
 def failed_query_lines(suggestion) -> Column:
     """F11 failure: a fixed line plus an optional "Did you mean" line."""
     s = col(suggestion)
-    return F.filter(F.array(F.lit("Could not process your query."),
-                            F.when(s.isNotNull(), F.concat(F.lit("Did you mean: "), s))), lambda x: x.isNotNull())
+    return F.filter(F.array(F.lit(CALC_FAILED), fill(CALC_DID_YOU_MEAN, suggestion=s)), lambda x: x.isNotNull())
 
 
 # ------------------------------------------------------------------------ A9
@@ -229,7 +224,7 @@ def message_envelope(body, notice=None, msgtype=None, custom_prefix: str = "gptb
                     F.when(n, F.lit("m.notice")).otherwise(F.lit("m.text")))
     custom = F.to_json(F.struct(mt.alias("msgtype"), col(body).alias("content")))
     plain = F.to_json(F.struct(mt.alias("msgtype"), col(body).alias("body"),
-                               F.lit("org.matrix.custom.html").alias("format"),
+                               F.lit(HTML_MESSAGE_FORMAT).alias("format"),
                                html_escape(body).alias("formatted_body")))
     return mt, F.when(F.startswith(mt, F.lit(custom_prefix)), custom).otherwise(plain)
 

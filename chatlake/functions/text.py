@@ -5,6 +5,7 @@ Python in the task)."""
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,19 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def fill(template: str, **values) -> Column:
+    """A brace template as a ``concat`` of literal pieces and columns (or
+    plain values); NULL when any filled-in value is NULL."""
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if field is not None:
+            v = values[field]
+            parts.append(v.cast("string") if isinstance(v, Column) else F.lit(str(v)))
+    return F.concat(*parts)
+
+
 def tokens(text) -> Column:
     """Whitespace split with empty pieces removed (Python ``str.split()``)."""
     return F.filter(F.split(col(text), WS), lambda t: t != "")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_CONFIG, BotConfig
+from ..config import DEFAULT_CONFIG, DENY_NOTICE, BotConfig
 from ..functions import text as T
 
 
@@ -87,7 +87,7 @@ def _split_by_table(msgs: DataFrame, allow: DataFrame) -> tuple[DataFrame, DataF
 def deny_notices(denied: DataFrame, members: DataFrame, cfg: BotConfig = DEFAULT_CONFIG) -> DataFrame:
     """A denied message in a room with exactly two members yields a
     notice; ``members(room_id, members)`` comes from A4."""
-    text = f"You are not allowed to use this bot. Please contact {cfg.operator} for more information."
+    text = DENY_NOTICE.format(operator=cfg.operator)
     d = denied.join(members, "room_id", "left").withColumn("members", F.coalesce(F.col("members"), F.lit(0)))
     return d.withColumn("notice", F.col("members") == 2) \
         .withColumn("notice_body", F.when(F.col("notice"), F.lit(text)))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_RETRY_ATTEMPTS, DEFAULT_RETRY_INTERVAL_SEC
+from ..config import DEFAULT_RETRY_ATTEMPTS, DEFAULT_RETRY_INTERVAL_SEC, TOOL_FAILED, TOOL_NOT_FOUND
 from ..functions import text as T
 from .toolcalls import classify
 
@@ -117,7 +117,7 @@ def run_tools(calls: DataFrame, registry: dict[str, ToolFn], keys: list[str], to
                 name = rec[tool]
                 fn = registry.get(name)
                 if fn is None:
-                    status, result = "not_found", "Error: Tool not found"
+                    status, result = "not_found", TOOL_NOT_FOUND
                 else:
                     try:
                         args = json.loads(rec[arguments] or "{}")
@@ -128,9 +128,9 @@ def run_tools(calls: DataFrame, registry: dict[str, ToolFn], keys: list[str], to
                     except Handover:
                         status, result = "handover", None
                     except KeyError:
-                        status, result = "missing", "Error: Tool not found"
+                        status, result = "missing", TOOL_NOT_FOUND
                     except Exception:  # noqa: BLE001
-                        status, result = "error", f"Error: Something went wrong calling tool {name}"
+                        status, result = "error", TOOL_FAILED.format(tool=name)
                 out.append([rec[k] for k in keys] + [name, status, result])
             yield pd.DataFrame(out, columns=keys + [tool, "status", "result"])
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BOOLEAN_SETTINGS, DEFAULT_CONFIG, SETTING_ALIASES, BotConfig
+from ..config import BOOLEAN_SETTINGS, DEFAULT_CONFIG, ROOM_INFO, SETTING_ALIASES, BotConfig
 from ..functions import text as T
 
 SETTING_COLUMNS = list(BOOLEAN_SETTINGS) + ["model", "system_message"]
@@ -86,12 +86,9 @@ def room_profile(rooms: DataFrame, log: DataFrame, cfg: BotConfig = DEFAULT_CONF
 def room_info(profile: DataFrame, cfg: BotConfig = DEFAULT_CONFIG) -> DataFrame:
     """the room info report of each room (model, limits, ids, system
     message), one blank line between fields."""
-    text = F.concat(
-        F.lit("GPT Room info:\n\nModel: "), F.col("model"),
-        F.lit("\n\nMaximum context tokens: "), F.col("max_tokens").cast("string"),
-        F.lit("\n\nMaximum context messages: "), F.col("max_messages").cast("string"),
-        F.lit(f"\n\nBot user ID: {cfg.bot_id}\n\nCurrent room ID: "), F.col("room_id"),
-        F.lit("\n\nSystem message: "), F.col("system_message"), F.lit("\n"))
+    text = T.fill(ROOM_INFO, model=F.col("model"), max_tokens=F.col("max_tokens"),
+                  max_messages=F.col("max_messages"), bot_id=cfg.bot_id, room_id=F.col("room_id"),
+                  system_message=F.col("system_message"))
     return profile.select("room_id", text.alias("info"))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import ROOM_PARENT_EVENT, SPACE_CHILD_EVENT
 from ..functions import text as T
 from . import windows as W
 from .settings import latest_per_key
@@ -118,9 +119,9 @@ def space_edges(pairs: DataFrame) -> DataFrame:
     rs, ss = T.server_of("room_id"), T.server_of("space_id")
     edge = "struct<src:string,dst:string,type:string,via:array<string>,canonical:boolean>"
     child = F.struct(F.col("space_id").alias("src"), F.col("room_id").alias("dst"),
-                     F.lit("m.space.child").alias("type"), F.array(rs, ss).alias("via"),
+                     F.lit(SPACE_CHILD_EVENT).alias("type"), F.array(rs, ss).alias("via"),
                      F.lit(None).cast("boolean").alias("canonical")).cast(edge)
     parent = F.struct(F.col("room_id").alias("src"), F.col("space_id").alias("dst"),
-                      F.lit("m.room.parent").alias("type"), F.array(ss, rs).alias("via"),
+                      F.lit(ROOM_PARENT_EVENT).alias("type"), F.array(ss, rs).alias("via"),
                       F.lit(True).alias("canonical")).cast(edge)
     return p.select(F.explode(F.array(child, parent)).alias("e")).select("e.*")

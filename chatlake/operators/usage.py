@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LOG_LEVELS
+from ..config import LOG_LEVELS, LOG_LINE, LOG_TS_FORMAT
 from ..functions import text as T
 
 USAGE_COLUMNS = ["message_id", "room_id", "api", "tokens", "ts"]
@@ -80,24 +80,23 @@ def level_filter(logs: DataFrame, min_level: str = "info", levels: list[str] = L
     return logs.where(checked >= levels.index(min_level) + 1)
 
 
-LOG_TS_FORMAT = "yyyy-MM-dd HH:mm:ss:SSSSSS"
-LOG_LINE = r"(?s)^\[([^\]]*)\] - (.*?) - \[([A-Z]+)\] (.*)$"
+LOG_PARSE = r"(?s)^\[([^\]]*)\] - (.*?) - \[([A-Z]+)\] (.*)$"
 
 
 def render_log(ts="ts", caller="caller", level="level", message="message") -> Column:
     """F16: ``[ts] - caller - [LEVEL] message`` with microseconds after a colon."""
-    return F.concat(F.lit("["), F.date_format(T.col(ts), LOG_TS_FORMAT), F.lit("] - "), T.col(caller),
-                    F.lit(" - ["), F.upper(T.col(level)), F.lit("] "), T.col(message))
+    return T.fill(LOG_LINE, ts=F.date_format(T.col(ts), LOG_TS_FORMAT), caller=T.col(caller),
+                  level=F.upper(T.col(level)), message=T.col(message))
 
 
 def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
     """F16 reversed: split rendered log lines back into columns."""
     c = F.col(line)
     return lines.select(
-        F.to_timestamp_ntz(F.regexp_extract(c, LOG_LINE, 1), F.lit(LOG_TS_FORMAT)).alias("ts"),
-        F.regexp_extract(c, LOG_LINE, 2).alias("caller"),
-        F.lower(F.regexp_extract(c, LOG_LINE, 3)).alias("level"),
-        F.regexp_extract(c, LOG_LINE, 4).alias("message"))
+        F.to_timestamp_ntz(F.regexp_extract(c, LOG_PARSE, 1), F.lit(LOG_TS_FORMAT)).alias("ts"),
+        F.regexp_extract(c, LOG_PARSE, 2).alias("caller"),
+        F.lower(F.regexp_extract(c, LOG_PARSE, 3)).alias("level"),
+        F.regexp_extract(c, LOG_PARSE, 4).alias("message"))
 
 
 def timing(sent_ms, received, processed) -> tuple[Column, Column]:

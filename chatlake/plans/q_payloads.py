@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_CONFIG
+from ..config import DEFAULT_CONFIG, SEARCH_HEADER, SEARCH_RESULT
 from ..functions import html as H
 from ..functions import payloads as P
 from ..functions import text as T
@@ -91,9 +91,9 @@ def q_result_list(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
     r = s.join(n, s.s_nationkey == n.n_nationkey).withColumnRenamed("n_name", "query")
     key = F.col("s_suppkey").cast("string")
-    line = F.concat(F.lit("\n"), F.col("s_name"), F.lit("\nhttps://example.com/supplier/"), key,
-                    F.lit("\nsupplier "), key, F.lit(" of "), F.col("query"), F.lit("\n"))
-    header = F.concat(F.lit("**Search results for "), F.col("query"), F.lit("**"))
+    line = T.fill(SEARCH_RESULT, title=F.col("s_name"), url=F.concat(F.lit("https://example.com/supplier/"), key),
+                  description=F.concat(F.lit("supplier "), key, F.lit(" of "), F.col("query")))
+    header = T.fill(SEARCH_HEADER, query=F.col("query"))
     return P.result_list(r, "query", [F.col("s_acctbal").desc(), F.col("s_suppkey")], TOP_RESULTS, line, header)
 
 

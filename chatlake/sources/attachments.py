@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..config import DATA_URL
+from ..functions.text import col, fill
 
 # File extension → MIME type for attachments read from a folder.
 MIME_BY_EXTENSION = {
@@ -49,4 +50,4 @@ def base64_oneline(content) -> Column:
 
 def data_url(mimetype, content) -> Column:
     """``data:{type};base64,{payload}``."""
-    return F.concat(F.lit("data:"), col(mimetype), F.lit(";base64,"), base64_oneline(content))
+    return fill(DATA_URL, mimetype=col(mimetype), payload=base64_oneline(content))
