@@ -51,6 +51,40 @@ def abandoned_events(events: DataFrame, bucket_fmt: str = W.HOUR) -> DataFrame:
         .select("room_id", "user_id", "event_id", "ts", "members_after")
 
 
+def abandoned_increment(events: DataFrame, state: DataFrame | None,
+                        bucket_fmt: str = W.HOUR) -> tuple[DataFrame, DataFrame]:
+    """T2 for one batch of new membership events on top of the current
+    membership ``state(room_id, user_id, membership, ts, event_id)`` left by
+    earlier batches.  Returns ``(abandoned leave events, new state)``.
+
+    Same algorithm as ``abandoned_events``: the previous membership of a
+    (room, user) comes from the batch (bucketed lag) or, for its first event
+    in the batch, from the state; each room's count starts from its joined
+    members in the state.  The new state is the latest row per (room, user)
+    over state ∪ batch."""
+    cols = ["room_id", "user_id", "membership", "ts", "event_id"]
+    d = (events.select(*cols).withColumn("_joined", (F.col("membership") == "join").cast("int"))
+         .withColumn("_bucket", W.time_bucket("ts", bucket_fmt)))
+    d = W.bucketed_lag(d, ["room_id", "user_id"], "_bucket", ["ts", "event_id"], "_joined", out="_prev")
+    if state is not None:
+        prior = state.select("room_id", "user_id", (F.col("membership") == "join").cast("int").alias("_prior"))
+        base = state.groupBy("room_id").agg(F.count_if(F.col("membership") == "join").alias("_base"))
+        d = d.join(prior, ["room_id", "user_id"], "left")
+    else:
+        d = d.withColumn("_prior", F.lit(None).cast("int"))
+    d = d.withColumn("delta", F.col("_joined") - F.coalesce(F.col("_prev"), F.col("_prior"), F.lit(0)))
+    r = W.running_total(d, "room_id", "delta", "_bucket", ["ts", "event_id"], out="_run")
+    if state is not None:
+        r = r.join(base, "room_id", "left")
+    else:
+        r = r.withColumn("_base", F.lit(0))
+    r = r.withColumn("members_after", (F.coalesce(F.col("_base"), F.lit(0)) + F.col("_run")).cast("bigint"))
+    out = (r.where((F.col("membership") == "leave") & (F.col("members_after") == 1))
+           .select("room_id", "user_id", "event_id", "ts", "members_after"))
+    log = events.select(*cols) if state is None else state.select(*cols).unionByName(events.select(*cols))
+    return out, latest_per_key(log, ["room_id", "user_id"], ["membership"])
+
+
 def pending_invites(invites: DataFrame, ignored: DataFrame, joined: DataFrame) -> DataFrame:
     """Invited rooms minus the ignore list minus rooms already joined."""
     return (invites.select("room_id").distinct()

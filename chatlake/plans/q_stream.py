@@ -62,10 +62,9 @@ def q_stream_dedup(spark, sf):
 
 def q_stream_abandoned(spark, sf):
     out = ST.new_run_dir(spark, "abandoned")
-    members = ST.with_event_time(V.member_events_of(_src(spark, sf, "events")))
-    ST.run_available_now(ST.abandoned_stream(members), out)
-    r = spark.read.parquet(f"{out}/data")
-    return r.select("room_id", "user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "members_after")
+    members = V.member_events_of(_src(spark, sf, "events"))
+    ST.run_available_now(members, out, foreach_batch=ST.abandoned_sink(out))
+    return ST.read_abandoned(spark, out).select("room_id", "user_id", "event_id", "ts", "members_after")
 
 
 _SETTINGS_STORE = with_ctes(["settings_commands"], [("t", """

@@ -3,14 +3,17 @@
 * S2/T1: a file stream with a checkpoint is the resume token; the first
   run is the full catch-up, later runs continue where the checkpoint left
   off; ``trigger(availableNow=True)`` is the one-last-sync on shutdown.
-* T3: settings commands are parsed per micro-batch and merged into a
-  versioned latest-per-key snapshot by ``foreachBatch`` (one folder per
-  batch id, so a replayed batch rewrites the same version: idempotent).
+* T3: settings commands are parsed per micro-batch and appended to a change
+  log by ``foreachBatch`` (one partition per batch id, so a replayed batch
+  rewrites the same partition: idempotent); current settings are W4 over
+  the log.
 * T4: usage totals as a streaming aggregation in complete mode, written by
   ``foreachBatch``.
 * T5: re-delivered events are dropped with
   ``dropDuplicatesWithinWatermark`` (state bounded by the watermark).
-* T2: per-room membership state with ``applyInPandasWithState``.
+* T2: ``foreachBatch`` with the distributed membership algorithm over a
+  per-(room, user) state snapshot; an ``applyInPandasWithState`` variant
+  for small micro-batches.
 
 All sinks and checkpoints live under the session's ``spark.checkpoint.dir``
 (a shared folder on a cluster), so a lost executor or driver restart
@@ -28,7 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pyspark.errors import AnalysisException
+
 from ..operators.settings import latest_per_key
+from ..operators.spaces import abandoned_increment
 from ..session import checkpoint_path
 
 
@@ -115,6 +121,48 @@ def read_latest_snapshot(spark: SparkSession, out_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------- T2
 
+
+def _state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The state snapshot written by the newest batch before ``batch_id``
+    (None before the first batch)."""
+    try:
+        s = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    prev = s.where(F.col(BATCH) < batch_id)
+    top = prev.agg(F.max(BATCH)).scalar()
+    return prev.where(F.col(BATCH) == top).drop(BATCH)
+
+
+def abandoned_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body for T2: the batch's events on top of the membership
+    state of earlier batches, with the distributed (bucketed) batch
+    algorithm — no room is gathered into one task.  Emitted events and the
+    new state are written as partitions of the batch id, so a replayed
+    batch rewrites the same output."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            state = _state_before(spark, f"{out_dir}/state", batch_id)
+            out, new_state = abandoned_increment(batch, state)
+            _write_batch(out, f"{out_dir}/abandoned", batch_id)
+            _write_batch(new_state, f"{out_dir}/state", batch_id)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
+def read_abandoned(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{out_dir}/abandoned").drop(BATCH)
+
+
+# The same operator with Python state per room (``applyInPandasWithState``):
+# simple, but one room's micro-batch is gathered into one pandas frame, so it
+# suits streams whose micro-batches are small; ``abandoned_sink`` has no such
+# limit.
 ABANDON_SCHEMA = "room_id string, user_id string, event_id bigint, ts timestamp, members_after bigint"
 ABANDON_STATE = "members string"
 
