@@ -10,8 +10,6 @@ import re
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG
-from ..functions import text as T
-from ..operators import context as C
 from ..operators import plugins as PL
 from ..operators import routing as R
 from ..sources import views as V

@@ -11,11 +11,9 @@ from ..operators import settings as S
 from ..operators import usage as U
 from ..sources import views as V
 from ..streaming import streams as ST
-from .q_prompt import ORACLE as PROMPT_ORACLE  # noqa: F401  (keeps module order explicit)
 from .q_routing import ORACLE as ROUTING_ORACLE
-from .q_settings import ORACLE as SETTINGS_ORACLE  # noqa: F401
 from .q_spaces import ORACLE as SPACES_ORACLE
-from .q_usage import ORACLE as USAGE_ORACLE  # noqa: F401
+from .q_usage import ORACLE as USAGE_ORACLE
 from .oracle_views import with_ctes
 
 CFG = DEFAULT_CONFIG
