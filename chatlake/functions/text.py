@@ -72,6 +72,14 @@ def message_cost(text, counter=native_token_count) -> Column:
     return counter(text) + F.lit(1)
 
 
+def parts_cost(parts, counter=native_token_count) -> Column:
+    """A6 on list-form content: only the first part's text counts; content
+    that starts with an image (no text) costs 1."""
+    first = F.try_element_at(col(parts), F.lit(1))
+    text = F.when(first["type"] == "text", first["text"]).otherwise(F.lit(""))
+    return counter(F.coalesce(text, F.lit(""))) + F.lit(1)
+
+
 def system_cost(text, counter=native_token_count) -> Column:
     """Cost of a system message; an empty one costs 0."""
     t = col(text)

@@ -83,6 +83,17 @@ def q_prompt_build(spark, sf):
     return _explode_msgs(p, "messages").select("room_id", "pos", "role", "content")
 
 
+def q_prompt_pipeline(spark, sf):
+    """The main path: history window → prepared messages (roles, media
+    merge, failed attachments) → token budget on the prepared messages,
+    each costing its first text part (A6)."""
+    pm = C.prepare_messages(_ctx(spark, sf), CFG).withColumnRenamed("msg_seq", "seq")
+    kept = C.truncate_to_budget(pm.withColumn("cost", T.parts_cost("parts")), BUDGET,
+                                system_cost=T.system_cost(F.lit(CFG.default_system_message)))
+    return kept.select("room_id", F.col("seq").alias("msg_seq"), "role", F.size("parts").alias("n_parts"),
+                       "cost", "cum", "pinned")
+
+
 def _calls(spark, sf):
     return TC.extract_tool_call(V.model_replies(spark, sf))
 
@@ -219,6 +230,14 @@ SELECT * FROM (SELECT *, {SYS_COST} + sum(cost) OVER (PARTITION BY room_id ORDER
 SELECT DISTINCT room_id, 1 AS pos, 'system' AS role, '{CFG.default_system_message}' AS content FROM kept
 UNION ALL
 SELECT room_id, CAST(1 + row_number() OVER (PARTITION BY room_id ORDER BY seq) AS INT) AS pos, role, body AS content FROM kept"""),
+    "prompt_pipeline": with_ctes(["messages"], _MM + [("pm", """
+SELECT room_id, msg_seq, any_value(role) AS role, CAST(count(*) AS INT) AS n_parts,
+       CAST(ceil(length(coalesce(max(CASE WHEN part_pos = 1 AND type = 'text' THEN text END), '')) / 4) AS BIGINT) + 1 AS cost
+FROM mm GROUP BY room_id, msg_seq"""), ("w", f"""
+SELECT *, msg_seq = min(msg_seq) OVER (PARTITION BY room_id) AS pinned FROM pm"""), ("run", f"""
+SELECT *, CAST({SYS_COST} + sum(cost) OVER (PARTITION BY room_id ORDER BY pinned DESC, msg_seq DESC
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum FROM w""")],
+        f"SELECT room_id, msg_seq, role, n_parts, cost, cum, pinned FROM run WHERE cum <= {BUDGET}"),
     "toolcall_extract": with_ctes(["model_replies"], [_JS, _CALLS], "SELECT reply_id, kind, tool, arguments FROM c"),
     "tool_args": with_ctes(["model_replies"], [
         _JS, _CALLS,
@@ -277,6 +296,7 @@ QUERIES = {
     "tool_role_rewrite": q_tool_role_rewrite,
     "splice_round": q_splice_round,
     "prompt_build": q_prompt_build,
+    "prompt_pipeline": q_prompt_pipeline,
     "toolcall_extract": q_toolcall_extract,
     "tool_args": q_tool_args,
     "tool_lookup": q_tool_lookup,

@@ -29,4 +29,4 @@ def test_entry_smoke(spark):
 
     df = entry.entry(spark)
     assert df.count() >= 0
-    assert [f.name for f in df.schema.fields] == ["room_id", "seq", "role", "cost", "cum", "pinned"]
+    assert [f.name for f in df.schema.fields] == ["room_id", "msg_seq", "role", "n_parts", "cost", "cum", "pinned"]

@@ -21,7 +21,8 @@ def exchanges(text):
     return len(re.findall(r"[-+] Exchange \(", text))
 
 
-@pytest.mark.parametrize("name", ["context_last_n", "context_token_budget", "media_merge", "prompt_build"])
+@pytest.mark.parametrize("name", ["context_last_n", "context_token_budget", "media_merge", "prompt_build",
+                                  "prompt_pipeline"])
 def test_context_windows_share_one_exchange(spark, sf_dir, name):
     o = overview(Q[name](spark, sf_dir))
     assert exchanges(o) == 1, o
