@@ -29,24 +29,44 @@ def member_counts(events: DataFrame) -> DataFrame:
     return cur.groupBy("room_id").agg(F.count_if(F.col("membership") == "join").cast("bigint").alias("members"))
 
 
-def membership_deltas(events: DataFrame, bucket_fmt: str = W.HOUR) -> DataFrame:
-    """+1 when a user becomes joined, -1 when a joined user stops being
-    joined, 0 otherwise (per ``(room, user)`` in event order).  The previous
-    state comes from a bucketed lag, so a hot (room, user) pair is spread
-    over its time buckets."""
-    d = (events.withColumn("_joined", (F.col("membership") == "join").cast("int"))
-         .withColumn("_bucket", W.time_bucket("ts", bucket_fmt)))
-    d = W.bucketed_lag(d, ["room_id", "user_id"], "_bucket", ["ts", "event_id"], "_joined", out="_prev")
-    return d.withColumn("delta", F.col("_joined") - F.coalesce(F.col("_prev"), F.lit(0))).drop("_joined", "_prev")
+PAIR = ["room_id", "user_id"]
+ORDER = ["ts", "event_id"]
+
+
+def _member_counts_at_events(events: DataFrame, bucket_fmt: str, prior: DataFrame | None = None,
+                             base: DataFrame | None = None) -> DataFrame:
+    """Members of the room right after each event (``members_after``).
+
+    A user's delta is +1 on becoming joined and -1 on leaving a joined
+    state.  The previous state comes from a bucketed lag (a hot (room,
+    user) pair is spread over its time buckets); the count is a bucketed
+    running sum per room.  Per (room, user, bucket) the deltas add up to
+    "last state in the bucket − state before it", so the per-bucket totals
+    come from the small carry table without touching the rows again.
+    ``prior`` (room, user, _prior) and ``base`` (room, _base) carry state
+    from earlier data (streaming)."""
+    d0 = (events.withColumn("_joined", (F.col("membership") == "join").cast("int"))
+          .withColumn("_bucket", W.time_bucket("ts", bucket_fmt)))
+    carry = W.bucket_carry(d0, PAIR, "_bucket", ORDER, "_joined")
+    if prior is not None:
+        carry = (carry.join(prior, PAIR, "left")
+                 .withColumn("_carry", F.coalesce(F.col("_carry"), F.col("_prior"))).drop("_prior"))
+    d = W.bucketed_lag(d0, PAIR, "_bucket", ORDER, "_joined", out="_prev", carry=carry)
+    d = d.withColumn("delta", F.col("_joined") - F.coalesce(F.col("_prev"), F.lit(0)))
+    totals = carry.groupBy("room_id", "_bucket").agg(
+        F.sum(F.col("_last") - F.coalesce(F.col("_carry"), F.lit(0))).alias("_bt"))
+    r = W.running_total(d, "room_id", "delta", "_bucket", ORDER, out="_run", totals=totals)
+    if base is not None:
+        r = r.join(base, "room_id", "left")
+    else:
+        r = r.withColumn("_base", F.lit(0))
+    return r.withColumn("members_after", (F.coalesce(F.col("_base"), F.lit(0)) + F.col("_run")).cast("bigint"))
 
 
 def abandoned_events(events: DataFrame, bucket_fmt: str = W.HOUR) -> DataFrame:
     """T2 (batch twin): leave events after which exactly one member is left
-    in the room.  The member count at each event is a running sum of
-    membership deltas per room, computed per time bucket plus the totals of
-    earlier buckets (no single task sorts a whole room)."""
-    d = membership_deltas(events, bucket_fmt)
-    r = W.running_total(d, "room_id", "delta", "_bucket", ["ts", "event_id"], out="members_after")
+    in the room (no single task sorts a whole room or a whole pair)."""
+    r = _member_counts_at_events(events, bucket_fmt)
     return r.where((F.col("membership") == "leave") & (F.col("members_after") == 1)) \
         .select("room_id", "user_id", "event_id", "ts", "members_after")
 
@@ -63,22 +83,11 @@ def abandoned_increment(events: DataFrame, state: DataFrame | None,
     members in the state.  The new state is the latest row per (room, user)
     over state ∪ batch."""
     cols = ["room_id", "user_id", "membership", "ts", "event_id"]
-    d = (events.select(*cols).withColumn("_joined", (F.col("membership") == "join").cast("int"))
-         .withColumn("_bucket", W.time_bucket("ts", bucket_fmt)))
-    d = W.bucketed_lag(d, ["room_id", "user_id"], "_bucket", ["ts", "event_id"], "_joined", out="_prev")
+    prior = base = None
     if state is not None:
-        prior = state.select("room_id", "user_id", (F.col("membership") == "join").cast("int").alias("_prior"))
+        prior = state.select(*PAIR, (F.col("membership") == "join").cast("int").alias("_prior"))
         base = state.groupBy("room_id").agg(F.count_if(F.col("membership") == "join").alias("_base"))
-        d = d.join(prior, ["room_id", "user_id"], "left")
-    else:
-        d = d.withColumn("_prior", F.lit(None).cast("int"))
-    d = d.withColumn("delta", F.col("_joined") - F.coalesce(F.col("_prev"), F.col("_prior"), F.lit(0)))
-    r = W.running_total(d, "room_id", "delta", "_bucket", ["ts", "event_id"], out="_run")
-    if state is not None:
-        r = r.join(base, "room_id", "left")
-    else:
-        r = r.withColumn("_base", F.lit(0))
-    r = r.withColumn("members_after", (F.coalesce(F.col("_base"), F.lit(0)) + F.col("_run")).cast("bigint"))
+    r = _member_counts_at_events(events.select(*cols), bucket_fmt, prior, base)
     out = (r.where((F.col("membership") == "leave") & (F.col("members_after") == 1))
            .select("room_id", "user_id", "event_id", "ts", "members_after"))
     log = events.select(*cols) if state is None else state.select(*cols).unionByName(events.select(*cols))

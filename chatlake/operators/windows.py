@@ -7,6 +7,11 @@ helpers here split each key by a time bucket, do the ordered work inside
 a small table with one row per ``(key, bucket)``.  The carried table is
 ordered per key by bucket only, so its size is bounded by the number of
 buckets, not by the number of rows.
+
+The small tables are aggregations of the *input* rows (partial aggregation
+before their shuffle), never of the windowed rows: a join of the windowed
+rows with a table derived from those same rows would make Spark compute the
+row-level window twice.
 """
 
 from __future__ import annotations
@@ -24,34 +29,39 @@ def time_bucket(ts: str = "ts", fmt: str = HOUR) -> Column:
     return F.date_format(F.col(ts), fmt)
 
 
+def bucket_carry(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str) -> DataFrame:
+    """Per ``(keys, bucket)``: the bucket's last ``value`` (``_last``) and the
+    last value of the nearest earlier bucket of the same key (``_carry``)."""
+    last = df.groupBy(*keys, bucket).agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
+    return last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(bucket)))
+
+
 def bucketed_lag(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str,
-                 out: str = "prev") -> DataFrame:
+                 out: str = "prev", carry: DataFrame | None = None) -> DataFrame:
     """``lag(value)`` per ``keys`` in ``order``.
 
     Inside each ``(keys, bucket)`` the previous row is a plain lag; the
     first row of a bucket takes the last value of the nearest earlier
-    bucket of the same key (from the per-bucket table)."""
+    bucket of the same key (``carry``, from ``bucket_carry``)."""
     part = keys + [bucket]
+    carry = carry if carry is not None else bucket_carry(df, keys, bucket, order, value)
     w = Window.partitionBy(*part).orderBy(*order)
     local = df.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    last = local.groupBy(*part).agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
-    carry = (last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(bucket)))
-             .drop("_last"))
-    return (local.join(carry, part, "left")
+    return (local.join(carry.select(*part, "_carry"), part, "left")
             .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
             .drop("_lag", "_first", "_carry"))
 
 
 def running_total(df: DataFrame, key: str, value: str, bucket: str, order: list[str],
-                  out: str = "running") -> DataFrame:
+                  out: str = "running", totals: DataFrame | None = None) -> DataFrame:
     """Running sum of ``value`` per ``key`` in ``order``: a running sum
     inside each ``(key, bucket)`` plus the total of all earlier buckets of
-    the key."""
+    the key.  ``totals(key, bucket, _bt)`` may be supplied when the bucket
+    totals are known from a smaller table."""
+    if totals is None:
+        totals = df.groupBy(key, bucket).agg(F.sum(value).alias("_bt"))
     inner = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumn("_local", F.sum(value).over(inner))
-    # bucket totals come from the local sums, which are already partitioned
-    # by (key, bucket): no second shuffle of the rows
-    totals = local.groupBy(key, bucket).agg(F.sum(value).alias("_bt"))
     prior = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(prior), F.lit(0))).drop("_bt")
     return (local.join(offsets, [key, bucket], "inner")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from chatlake.config import DEFAULT_CONFIG as CFG  # noqa: E402
 from chatlake.functions import text as T  # noqa: E402
 from chatlake.operators import context as C  # noqa: E402
+from chatlake.operators import spaces as SP  # noqa: E402
 from chatlake.session import ship_package  # noqa: E402
 from chatlake.sources import views as V  # noqa: E402
 from chatlake.sources.tables import table  # noqa: E402
@@ -44,6 +45,17 @@ def skewed_messages(spark, sf, repeat):
     return m.withColumn("room_id", F.when(hot, F.lit("!hot:alpha.example")).otherwise(F.col("room_id")))
 
 
+def skewed_members(spark, sf, repeat):
+    """Membership events repeated ``repeat`` times (shifted by whole days),
+    a third of them in one hot room."""
+    ev = table(spark, sf, "events")
+    big = (ev.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
+           .withColumn("event_id", F.col("event_id") * repeat + F.col("_r"))
+           .withColumn("ts", F.col("ts") + F.make_interval(days=F.col("_r").cast("int"))).drop("_r"))
+    m = V.member_events_of(big)
+    return m.withColumn("room_id", F.when(F.col("event_id") % 3 == 0, F.lit("!hot")).otherwise(F.col("room_id")))
+
+
 def stage_metrics(log_dir):
     files = [f for f in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True)
              if os.path.isfile(f) and not os.path.basename(f).startswith((".", "appstatus"))
@@ -75,6 +87,7 @@ def main():
     ap.add_argument("--repeat", type=int, default=100)
     ap.add_argument("--cpus", type=int, default=8)
     ap.add_argument("--splits", type=int, default=16)
+    ap.add_argument("--what", choices=["context", "membership"], default="context")
     args = ap.parse_args()
     scratch = tempfile.mkdtemp(prefix="run-skew-")
     spark = (SparkSession.builder.master(f"local[{args.cpus}]").appName("skew-probe")
@@ -87,14 +100,19 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
     # spread the derived table over several splits, as a large table would be
-    msgs = skewed_messages(spark, args.sf, args.repeat).repartition(args.splits).cache()
-    counts = msgs.groupBy((F.col("room_id") == "!hot:alpha.example").alias("hot")).count().collect()
-    ctx = C.last_n_messages(msgs, CFG)
-    pm = C.prepare_messages(ctx, CFG).withColumnRenamed("msg_seq", "seq")
-    kept = C.truncate_to_budget(pm.withColumn("cost", T.parts_cost("parts")), 1000,
-                                system_cost=T.system_cost(F.lit(CFG.default_system_message)))
+    if args.what == "context":
+        msgs = skewed_messages(spark, args.sf, args.repeat).repartition(args.splits).cache()
+        counts = msgs.groupBy((F.col("room_id") == "!hot:alpha.example").alias("hot")).count().collect()
+        ctx = C.last_n_messages(msgs, CFG)
+        pm = C.prepare_messages(ctx, CFG).withColumnRenamed("msg_seq", "seq")
+        result = C.truncate_to_budget(pm.withColumn("cost", T.parts_cost("parts")), 1000,
+                                      system_cost=T.system_cost(F.lit(CFG.default_system_message)))
+    else:
+        mem = skewed_members(spark, args.sf, args.repeat).repartition(args.splits).cache()
+        counts = mem.groupBy((F.col("room_id") == "!hot").alias("hot")).count().collect()
+        result = SP.abandoned_events(mem)
     t = time.perf_counter()
-    kept.write.format("noop").mode("overwrite").save()
+    result.write.format("noop").mode("overwrite").save()
     secs = time.perf_counter() - t
     spark.stop()
     stages = stage_metrics(scratch)
