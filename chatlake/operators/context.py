@@ -140,7 +140,12 @@ def prepare_messages(ctx: DataFrame, cfg: BotConfig = DEFAULT_CONFIG,
     rows = ctx.withColumn("branch", media_kind_branch(cfg)).where(F.col("branch") != "drop")
     rows = rows.withColumn("role", role_of("sender", cfg))
     if attachments is not None:
-        att = attachments.select("event_id", F.col("content").alias("_bytes"), F.col("mimetype").alias("_mime"))
+        # Reduce the (large) attachments table to the media rows of the
+        # context first: a semi join whose small side (context ids, at most
+        # n per room) can be broadcast, so attachment bytes are not shuffled.
+        wanted = rows.where(F.col("branch").isin("file", "image", "video")).select("event_id")
+        att = (attachments.join(wanted, "event_id", "left_semi")
+               .select("event_id", F.col("content").alias("_bytes"), F.col("mimetype").alias("_mime")))
         rows = rows.join(att, "event_id", "left")
     else:
         rows = (rows.withColumn("_bytes", F.lit(None).cast("binary"))
