@@ -71,6 +71,23 @@ def extract_tool_call(df: DataFrame, reply: str = "reply") -> DataFrame:
             .drop("_s", "_v", "_call"))
 
 
+def tool_calls(df: DataFrame, reply: str = "reply") -> DataFrame:
+    """Only the rows whose reply is a tool call, with ``tool`` and
+    ``arguments``.  The selection is an ``explode`` of a one-element array
+    built only for calls: a filter on a derived ``kind`` would be pushed
+    below the projection with the parse inlined (parsed twice per row);
+    a generator is evaluated once."""
+    call_t = "struct<tool:variant,parameters:variant>"
+    d = (df.withColumn("_s", strip_fence(reply))
+         .withColumn("_call", F.try_variant_get(F.when(looks_like_object("_s"), F.try_parse_json("_s")), "$", call_t)))
+    tool_v = F.col("_call.tool")
+    found = F.when(tool_v.isNotNull(), F.array(F.struct(
+        F.try_variant_get(tool_v, "$", "string").alias("tool"),
+        F.coalesce(F.to_json(F.col("_call.parameters")), F.lit("{}")).alias("arguments"))))
+    keep = [c for c in df.columns]
+    return d.select(*keep, F.explode(found).alias("_c")).select(*keep, "_c.tool", "_c.arguments")
+
+
 def classify(df: DataFrame, reply: str = "reply", query: str = "query", prefix: str = "!bot") -> DataFrame:
     """F8: classifier reply ``{type, prompt}``; any failure → ``chat`` with
     the original query.  Non-chat results are rewritten to a command body

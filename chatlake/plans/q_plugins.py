@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_CONFIG
 from ..operators import plugins as PL
 from ..operators import routing as R
+from ..operators import toolcalls as TC
 from ..sources import views as V
 from ..sources.tables import table
 from .oracle_views import with_ctes
 from .q_prompt import ORACLE as PROMPT_ORACLE
-from .q_prompt import _CALLS, _JS, q_prompt_build, q_toolcall_extract
+from .q_prompt import _CALLS, _JS, q_prompt_build
 
 CFG = DEFAULT_CONFIG
 
@@ -68,7 +69,7 @@ def q_batch_model_call(spark, sf):
 
 
 def q_batch_tools(spark, sf):
-    calls = q_toolcall_extract(spark, sf).where(F.col("kind") == "call")
+    calls = TC.tool_calls(V.model_replies(spark, sf))
     return PL.run_tools(calls, STUB_TOOLS, ["reply_id"])
 
 

@@ -103,12 +103,12 @@ def q_toolcall_extract(spark, sf):
 
 
 def q_tool_args(spark, sf):
-    c = _calls(spark, sf).where(F.col("kind") == "call")
+    c = TC.tool_calls(V.model_replies(spark, sf))
     return TC.normalise_tool_args(c).select("reply_id", "tool", "status", "missing", "args")
 
 
 def q_tool_lookup(spark, sf):
-    c = _calls(spark, sf).where(F.col("kind") == "call")
+    c = TC.tool_calls(V.model_replies(spark, sf))
     return R.lookup_tool(c).select("reply_id", "tool", "tool_status")
 
 
