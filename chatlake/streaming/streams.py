@@ -68,6 +68,19 @@ def run_available_now(df: DataFrame, out_dir: str, output_mode: str = "append",
     q.awaitTermination()
 
 
+def run_continuously(df: DataFrame, out_dir: str, interval: str = "30 seconds", output_mode: str = "append",
+                     foreach_batch: Callable[[DataFrame, int], None] | None = None):
+    """S2's sync loop: a micro-batch every ``interval`` from the checkpointed
+    position; returns the running query (stop it, then call
+    ``run_available_now`` with the same ``out_dir`` for the final catch-up)."""
+    w = (df.writeStream.outputMode(output_mode)
+         .option("checkpointLocation", f"{out_dir}/_checkpoint")
+         .trigger(processingTime=interval))
+    if foreach_batch is not None:
+        return w.foreachBatch(foreach_batch).start()
+    return w.format("parquet").option("path", f"{out_dir}/data").start()
+
+
 # --------------------------------------------------------------------- T3
 
 BATCH = "batch_id"
