@@ -62,7 +62,7 @@ TOOL_DEFAULTS = {
     "dice": {"dice": "6"},
     "wikipedia": {"language": "en", "summarize": "false"},
     "imagine": {"orientation": "square"},
-    "newroom": {"name": "GPTBot"},
+    "newroom": {"name": "Bot"},
 }
 # Required tool arguments.
 TOOL_REQUIRED = {
@@ -87,6 +87,8 @@ TOOLS = [
     "weather", "geocode", "dice", "websearch", "webrequest", "imagine",
     "imagedescription", "wikipedia", "datetime", "newroom",
 ]
+# Api code under which parcel lookups are logged (one unit per call).
+PARCEL_API_CODE = "parcel"
 # Texts the bot sends or reports (placeholders in braces).
 DENY_NOTICE = "You are not allowed to use this bot. Please contact {operator} for more information."
 TOOL_NOT_FOUND = "Error: Tool not found"

@@ -214,7 +214,8 @@ def html_escape(text) -> Column:
     return t
 
 
-def message_envelope(body, notice=None, msgtype=None, custom_prefix: str = "gptbot.") -> tuple[Column, Column]:
+def message_envelope(body, notice=None, msgtype=None,
+                     custom_prefix: str = DEFAULT_CONFIG.custom_kind_prefix + ".") -> tuple[Column, Column]:
     """``(msgtype, content JSON)``: the given type, else ``m.notice``
     for notices, else ``m.text``; custom types carry ``{msgtype, content}``,
     others ``{msgtype, body, format, formatted_body}`` (the formatted body is

@@ -1,7 +1,7 @@
 """Usage accounting, logs and timing.
 
-Every aggregate here is a hash aggregate with partial aggregation before
-the shuffle, so a hot room or api is pre-reduced per map task.
+Every aggregate here runs with partial aggregation before the shuffle, so a
+hot room, api or request is pre-reduced to one row per map task.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LOG_LEVELS, LOG_LINE, LOG_TS_FORMAT
+from ..config import LOG_LEVELS, LOG_LINE, LOG_TS_FORMAT, PARCEL_API_CODE
 from ..functions import text as T
 
 USAGE_COLUMNS = ["message_id", "room_id", "api", "tokens", "ts"]
@@ -42,7 +42,7 @@ def unit_of(api) -> Column:
     api logs one lookup per call, every other api logs tokens."""
     a = T.col(api)
     return (F.when(F.contains(a, F.lit("-dall-e")), F.lit("images"))
-            .when(F.startswith(a, F.lit("trackingmore-")), F.lit("lookups"))
+            .when(F.startswith(a, F.lit(PARCEL_API_CODE + "-")), F.lit("lookups"))
             .otherwise(F.lit("tokens")))
 
 

@@ -104,7 +104,7 @@ ORACLE = {
 SELECT room_id, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS total_tokens FROM usage_log GROUP BY room_id"""),
     "usage_by_api": with_ctes(["usage_log"], [], """
 SELECT api, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS units, count(*) AS requests,
-       CASE WHEN contains(api, '-dall-e') THEN 'images' WHEN starts_with(api, 'trackingmore-') THEN 'lookups'
+       CASE WHEN contains(api, '-dall-e') THEN 'images' WHEN starts_with(api, 'parcel-') THEN 'lookups'
             ELSE 'tokens' END AS unit
 FROM usage_log GROUP BY api"""),
     "request_tokens": with_ctes([], [("r", """

@@ -159,14 +159,14 @@ def test_attachment_text_and_data_url(spark):
 def test_envelopes(spark):
     import json
 
-    df = spark.createDataFrame([("hi <b>", False, None), ("n", True, None), ("r", False, "gptbot.tool_result")],
+    df = spark.createDataFrame([("hi <b>", False, None), ("n", True, None), ("r", False, "bot.tool_result")],
                                "body string, notice boolean, mt string")
     mt, env = P.message_envelope("body", "notice", "mt")
     got = [(r.m, json.loads(r.e)) for r in df.select(mt.alias("m"), env.alias("e")).collect()]
     assert got[0] == ("m.text", {"msgtype": "m.text", "body": "hi <b>", "format": "org.matrix.custom.html",
                                  "formatted_body": "hi &lt;b&gt;"})
     assert got[1][0] == "m.notice"
-    assert got[2][1] == {"msgtype": "gptbot.tool_result", "content": "r"}
+    assert got[2][1] == {"msgtype": "bot.tool_result", "content": "r"}
     f = spark.createDataFrame([("a.png", "image/png", bytearray(b"1234"), 10, 20)],
                               "n string, m string, c binary, w int, h int")
     e = json.loads(f.select(P.file_envelope("n", "m", "c", F.lit("m.image"), F.lit("mxc://s/1"), "w", "h").alias("e"))

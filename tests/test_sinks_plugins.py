@@ -15,7 +15,7 @@ from chatlake.sources import attachments as AT
 def test_append_usage_and_totals(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="chatlake-usage-"), "usage")
     recs = spark.createDataFrame([("$1", "!r", "openai", "gpt-4o", 10), ("$2", "!r", "openai", "dall-e-3", 1),
-                                  ("$3", "!s", "trackingmore", "parcel", 1)],
+                                  ("$3", "!s", "parcel", "tracking", 1)],
                                  "m string, r string, code string, api string, tokens int")
     rows = recs.select(U.usage_record("m", "r", "code", "api", "tokens", F.to_timestamp(F.lit("2024-01-01 10:00:00")))
                        .alias("u")).select("u.*")
@@ -26,7 +26,7 @@ def test_append_usage_and_totals(spark):
     assert back.count() == 6
     got = {r.api: (r.units, r.requests, r.unit) for r in U.usage_by_api(back).collect()}
     assert got == {"openai-gpt-4o": (20, 2, "tokens"), "openai-dall-e-3": (2, 2, "images"),
-                   "trackingmore-parcel": (2, 2, "lookups")}
+                   "parcel-tracking": (2, 2, "lookups")}
     assert {r.room_id: r.total_tokens for r in U.tokens_by_room(back).collect()} == {"!r": 22, "!s": 2}
 
 
