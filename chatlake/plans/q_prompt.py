@@ -83,7 +83,7 @@ def q_prompt_build(spark, sf):
     return _explode_msgs(p, "messages").select("room_id", "pos", "role", "content")
 
 
-def q_prompt_pipeline(spark, sf):
+def q_prompt_context(spark, sf):
     """The main path: history window → prepared messages (roles, media
     merge, failed attachments) → token budget on the prepared messages,
     each costing its first text part (A6)."""
@@ -230,7 +230,7 @@ SELECT * FROM (SELECT *, {SYS_COST} + sum(cost) OVER (PARTITION BY room_id ORDER
 SELECT DISTINCT room_id, 1 AS pos, 'system' AS role, '{CFG.default_system_message}' AS content FROM kept
 UNION ALL
 SELECT room_id, CAST(1 + row_number() OVER (PARTITION BY room_id ORDER BY seq) AS INT) AS pos, role, body AS content FROM kept"""),
-    "prompt_pipeline": with_ctes(["messages"], _MM + [("pm", """
+    "prompt_context": with_ctes(["messages"], _MM + [("pm", """
 SELECT room_id, msg_seq, any_value(role) AS role, CAST(count(*) AS INT) AS n_parts,
        CAST(ceil(length(coalesce(max(CASE WHEN part_pos = 1 AND type = 'text' THEN text END), '')) / 4) AS BIGINT) + 1 AS cost
 FROM mm GROUP BY room_id, msg_seq"""), ("w", f"""
@@ -296,7 +296,7 @@ QUERIES = {
     "tool_role_rewrite": q_tool_role_rewrite,
     "splice_round": q_splice_round,
     "prompt_build": q_prompt_build,
-    "prompt_pipeline": q_prompt_pipeline,
+    "prompt_context": q_prompt_context,
     "toolcall_extract": q_toolcall_extract,
     "tool_args": q_tool_args,
     "tool_lookup": q_tool_lookup,

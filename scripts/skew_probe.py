@@ -3,7 +3,7 @@ given conversations.
 
 Each conversation is repeated ``--repeat`` times (new conversation ids), and
 a third of the conversations are put into one hot room.  The probe runs the
-flagship pipeline (history window → prepared messages → token budget) and
+flagship query (history window → prepared messages → token budget) and
 reads the stage metrics from Spark's event log, written to a fresh scratch
 folder: rows shuffled per stage and the largest task input, which for the
 window stage stays bounded by (map tasks × 2n) rows although the hot room
@@ -117,7 +117,7 @@ def main():
     spark.stop()
     stages = stage_metrics(scratch)
     print(json.dumps({"rows": {("hot" if r.hot else "other"): r["count"] for r in counts},
-                      "pipeline_sec": round(secs, 2), "n": CFG.max_messages, "stages": stages}))
+                      "flagship_sec": round(secs, 2), "n": CFG.max_messages, "stages": stages}))
 
 
 if __name__ == "__main__":
