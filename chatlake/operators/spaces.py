@@ -24,9 +24,13 @@ def current_membership(events: DataFrame) -> DataFrame:
 
 
 def member_counts(events: DataFrame) -> DataFrame:
-    """A4: joined members per room (rooms whose members all left count 0)."""
-    cur = current_membership(events)
-    return cur.groupBy("room_id").agg(F.count_if(F.col("membership") == "join").cast("bigint").alias("members"))
+    """A4: joined members per room (rooms whose members all left count 0).
+    Only the latest joined flag per (room, user) is needed; with a packed
+    ordering key both aggregations are hash aggregates."""
+    joined = (F.col("membership") == "join").cast("int")
+    cur = events.groupBy("room_id", "user_id").agg(
+        F.max_by(joined, W.ordering(events, ["ts", "event_id"])).alias("_joined"))
+    return cur.groupBy("room_id").agg(F.coalesce(F.sum("_joined"), F.lit(0)).cast("bigint").alias("members"))
 
 
 PAIR = ["room_id", "user_id"]

@@ -16,11 +16,37 @@ row-level window twice.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOUR = "yyyy-MM-dd HH"
 DAY = "yyyy-MM-dd"
+_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def epoch_micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch without the session time zone
+    (wall-clock for TIMESTAMP_NTZ, instant for TIMESTAMP)."""
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH_NTZ}, `{ts}`)")
+    return F.unix_micros(F.col(ts))
+
+
+def ordering(df: DataFrame, order: list[str]) -> Column:
+    """Sort key for ``max_by``/``min_by``.  ``(timestamp, non-negative id)``
+    is packed into one DECIMAL(38,0) — micros × 10^19 + id keeps the order —
+    so an aggregate whose value is fixed-width runs as a hash aggregate (a
+    struct key forces a sort-based one).  Other orders use a struct."""
+    if len(order) == 2:
+        t0, t1 = (df.schema[c].dataType for c in order)
+        if isinstance(t0, (T.TimestampType, T.TimestampNTZType)) and isinstance(t1, (T.LongType, T.IntegerType)):
+            big = "decimal(38,0)"
+            return (epoch_micros(df, order[0]).cast(big) * F.lit(Decimal(10 ** 19)).cast(big)
+                    + F.col(order[1]).cast(big))
+    return F.struct(*[F.col(c) for c in order])
 
 
 def time_bucket(ts: str = "ts", fmt: str = HOUR) -> Column:
@@ -32,7 +58,7 @@ def time_bucket(ts: str = "ts", fmt: str = HOUR) -> Column:
 def bucket_carry(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str) -> DataFrame:
     """Per ``(keys, bucket)``: the bucket's last ``value`` (``_last``) and the
     last value of the nearest earlier bucket of the same key (``_carry``)."""
-    last = df.groupBy(*keys, bucket).agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
+    last = df.groupBy(*keys, bucket).agg(F.max_by(F.col(value), ordering(df, order)).alias("_last"))
     return last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(bucket)))
 
 
