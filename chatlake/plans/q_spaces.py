@@ -45,7 +45,10 @@ def q_space_status(spark, sf):
 
 
 def q_space_edges(spark, sf):
-    return SP.space_edges(SP.rooms_for_spaces(V.member_events(spark, sf), V.user_spaces(spark, sf)))
+    e = SP.space_edges(SP.rooms_for_spaces(V.member_events(spark, sf), V.user_spaces(spark, sf)))
+    # the two via servers as plain columns (flat output for comparison)
+    return e.select("src", "dst", "type", F.col("via")[0].alias("via_first"), F.col("via")[1].alias("via_second"),
+                    "canonical")
 
 
 def q_space_disable(spark, sf):
@@ -99,10 +102,10 @@ FROM users u LEFT JOIN a ON u.user_id = a.user_id"""),
 SELECT user_id, min(space_id) AS space_id FROM user_spaces WHERE active GROUP BY user_id"""), ("p", """
 SELECT DISTINCT a.space_id, c.room_id FROM cur c JOIN act a ON c.user_id = a.user_id
 WHERE c.membership = 'join' AND a.space_id <> c.room_id""")], f"""
-SELECT space_id AS src, room_id AS dst, 'm.space.child' AS type, [{_srv('room_id')}, {_srv('space_id')}] AS via,
+SELECT space_id AS src, room_id AS dst, 'm.space.child' AS type, {_srv('room_id')} AS via_first, {_srv('space_id')} AS via_second,
        CAST(NULL AS BOOLEAN) AS canonical FROM p
 UNION ALL
-SELECT room_id AS src, space_id AS dst, 'm.room.parent' AS type, [{_srv('space_id')}, {_srv('room_id')}] AS via,
+SELECT room_id AS src, space_id AS dst, 'm.room.parent' AS type, {_srv('space_id')} AS via_first, {_srv('room_id')} AS via_second,
        true AS canonical FROM p"""),
     "space_disable": with_ctes(["member_events", "user_spaces"], [], """
 SELECT s.space_id, s.user_id,
