@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import LOG_LEVELS, LOG_LINE, LOG_TS_FORMAT, PARCEL_API_CODE
 from ..functions import text as T
+from . import windows as W
 
 USAGE_COLUMNS = ["message_id", "room_id", "api", "tokens", "ts"]
 
@@ -53,19 +54,28 @@ def usage_by_api(usage: DataFrame) -> DataFrame:
         .withColumn("unit", unit_of("api"))
 
 
-def request_tokens(rounds: DataFrame) -> DataFrame:
+OUTCOMES = ["ok", "stop", "handover"]
+
+
+def request_tokens(rounds: DataFrame, outcomes: list[str] = OUTCOMES) -> DataFrame:
     """Tokens per request = all rounds' usage (missing → 0); when the
     request ends in ``stop`` or ``handover`` the outer round's usage is
     dropped.  ``rounds(request_id, tokens, ts, seq, outcome)``; the outer
-    round is the first by ``(ts, seq)`` and the final outcome is the last."""
-    order = F.struct("ts", "seq")
+    round is the first by ``(ts, seq)`` and the final outcome is the last.
+
+    The outcome travels as its index in ``outcomes`` and the order as a
+    packed key, so every buffer is fixed-width and the aggregation is a
+    hash aggregate; an outcome outside the list comes back as NULL."""
+    order = W.ordering(rounds, ["ts", "seq"])
+    codes = F.array(*[F.lit(o) for o in outcomes])
     agg = rounds.groupBy("request_id").agg(
         F.sum(F.coalesce(F.col("tokens"), F.lit(0))).alias("_all"),
         F.min_by(F.coalesce(F.col("tokens"), F.lit(0)), order).alias("_outer"),
-        F.max_by(F.col("outcome"), order).alias("outcome"),
+        F.max_by(F.array_position(codes, F.col("outcome")).cast("int"), order).alias("_code"),
         F.count("*").alias("rounds"))
-    dropped = F.col("outcome").isin("stop", "handover")
-    return agg.select("request_id", "rounds", "outcome",
+    outcome = F.when(F.col("_code") > 0, F.element_at(codes, F.col("_code")))
+    dropped = F.coalesce(outcome.isin("stop", "handover"), F.lit(False))
+    return agg.select("request_id", "rounds", outcome.alias("outcome"),
                       (F.col("_all") - F.when(dropped, F.col("_outer")).otherwise(F.lit(0))).cast("bigint").alias("tokens"))
 
 

@@ -8,7 +8,7 @@ Q = registry.queries()
 
 
 def test_membership_counts_hash_aggregate(spark, sf_dir):
-    for name in ("room_members", "abandoned_rooms"):
+    for name in ("room_members", "abandoned_rooms", "request_tokens"):
         text = plan_text(Q[name](spark, sf_dir))
         assert "SortAggregate" not in text and "HashAggregate" in text, name
 
