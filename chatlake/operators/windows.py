@@ -36,16 +36,18 @@ def epoch_micros(df: DataFrame, ts: str) -> Column:
 
 
 def ordering(df: DataFrame, order: list[str]) -> Column:
-    """Sort key for ``max_by``/``min_by``.  ``(timestamp, non-negative id)``
-    is packed into one DECIMAL(38,0) — micros × 10^19 + id keeps the order —
+    """Sort key for ``max_by``/``min_by``.  ``(timestamp, integer id)`` is
+    packed into one DECIMAL(38,0) — micros × 10^20 + (id + 2^63) keeps the
+    order —
     so an aggregate whose value is fixed-width runs as a hash aggregate (a
     struct key forces a sort-based one).  Other orders use a struct."""
     if len(order) == 2:
         t0, t1 = (df.schema[c].dataType for c in order)
         if isinstance(t0, (T.TimestampType, T.TimestampNTZType)) and isinstance(t1, (T.LongType, T.IntegerType)):
             big = "decimal(38,0)"
-            return (epoch_micros(df, order[0]).cast(big) * F.lit(Decimal(10 ** 19)).cast(big)
-                    + F.col(order[1]).cast(big))
+            # id + 2^63 lies in [0, 2^64) < 10^20, so any long id keeps its order
+            return (epoch_micros(df, order[0]).cast(big) * F.lit(Decimal(10 ** 20)).cast(big)
+                    + F.col(order[1]).cast(big) + F.lit(Decimal(2 ** 63)).cast(big))
     return F.struct(*[F.col(c) for c in order])
 
 

@@ -10,7 +10,8 @@ from chatlake.operators import windows as W
 def test_packed_ordering_matches_pair(spark):
     base = dt.datetime(2024, 3, 10, 1, 59, 59)
     rows = [(base + dt.timedelta(microseconds=m), i) for m, i in
-            [(0, 5), (0, 3), (1, 0), (3_600_000_000, 1), (-1, 9_000_000_000_000_000_000), (7, 2)]]
+            [(0, 5), (0, 3), (1, 0), (3_600_000_000, 1), (-1, 9_000_000_000_000_000_000), (7, 2),
+             (0, -4), (0, -9_223_372_036_854_775_808), (1, 9_223_372_036_854_775_807)]]
     for typ in ("timestamp_ntz", "timestamp"):
         df = spark.createDataFrame(rows, f"ts {typ}, id bigint")
         key = W.ordering(df, ["ts", "id"])
