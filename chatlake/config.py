@@ -168,7 +168,7 @@ class BotConfig:
     vision: bool = True
     video: bool = True
     allowed_users: tuple[str, ...] = field(default_factory=tuple)
-    operator: str = "the operator"
+    operator: str | None = None         # an unset operator renders as "None" in notices
 
     def with_(self, **kw) -> "BotConfig":
         return replace(self, **kw)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import BOOLEAN_SETTINGS, DEFAULT_CONFIG
+from ..config import BOOLEAN_SETTINGS, DEFAULT_CONFIG, DENY_NOTICE
 from ..operators import access as A
 from ..operators import routing as R
 from ..operators import settings as S
@@ -110,7 +110,7 @@ def _id_ok(c: str) -> str:
 _ACCESS = ("acc", f"""
 SELECT *, coalesce({_id_ok('sender')} OR {_id_ok('room_id')}, false) AS ok
 FROM messages WHERE sender <> '{CFG.bot_id}'""")
-_NOTICE = f"You are not allowed to use this bot. Please contact {CFG.operator} for more information."
+_NOTICE = DENY_NOTICE.format(operator=CFG.operator)
 
 def _id_ok_table(c: str) -> str:
     srv = f"CASE WHEN contains({c}, ':') THEN split_part({c}, ':', 2) END"
