@@ -165,13 +165,23 @@ class BotConfig:
     image_model: str = "dall-e-3"
     image_long_side: int = DEFAULT_IMAGE_LONG_SIDE
     image_short_side: int = DEFAULT_IMAGE_SHORT_SIDE
-    vision: bool = True
-    video: bool = True
+    force_vision: bool = False
+    force_video: bool = False
     allowed_users: tuple[str, ...] = field(default_factory=tuple)
     operator: str | None = None         # an unset operator renders as "None" in notices
 
     def with_(self, **kw) -> "BotConfig":
         return replace(self, **kw)
 
+    @property
+    def vision(self) -> bool:
+        """Images enter the prompt when the chat model takes them (or forced)."""
+        return self.chat_model in VISION_MODELS or "vision" in self.chat_model or self.force_vision
+
+    @property
+    def video(self) -> bool:
+        """Video enters the prompt only when forced."""
+        return self.force_video
+
 
 DEFAULT_CONFIG = BotConfig()

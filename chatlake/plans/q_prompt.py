@@ -142,7 +142,8 @@ _MM = [
 SELECT room_id, seq, event_id, body,
        CASE WHEN kind IN ('m.text', 'm.notice') THEN 'text'
             WHEN kind = 'm.audio' OR (kind = 'm.file' AND ends_with(body, '.mp3')) THEN 'audio'
-            WHEN kind = 'm.file' THEN 'file' WHEN kind = 'm.image' THEN 'image' WHEN kind = 'm.video' THEN 'video'
+            WHEN kind = 'm.file' THEN 'file' WHEN kind = 'm.image' THEN '{"image" if CFG.vision else "drop"}'
+            WHEN kind = 'm.video' THEN '{"video" if CFG.video else "drop"}'
             ELSE 'drop' END AS branch,
        CASE WHEN sender = '{_BOT}' THEN 'assistant' ELSE 'user' END AS role0
 FROM ctx"""),

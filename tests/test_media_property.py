@@ -23,7 +23,7 @@ def ref_prepare(rows):
             out.append([role, ["text"]])
         elif kind == "m.file":
             out.append(["system", ["text"]])
-        elif kind in ("m.image", "m.video"):
+        elif (kind == "m.image" and CFG.vision) or (kind == "m.video" and CFG.video):
             if out and out[-1][0] == role:
                 out[-1][1].append("image_url")
             else:
