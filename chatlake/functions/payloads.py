@@ -83,7 +83,7 @@ def weather_report(payload, name=None) -> tuple[Column, Column]:
 
     nm = col(name) if name is not None else F.lit(None).cast("string")
     text = fill(WEATHER_REPORT,             # NULL as soon as any part is missing
-                for_name=F.coalesce(F.concat(F.lit(" for "), nm), F.lit("")),
+                for_name=F.when(nm != "", F.concat(F.lit(" for "), nm)).otherwise(F.lit("")),
                 temp=cur["temp"], description=desc(cur), feels_like=cur["feels_like"],
                 humidity=cur["humidity"], wind_speed=cur["wind_speed"],
                 sunrise=_hhmm(cur["sunrise"]), sunset=_hhmm(cur["sunset"]),
