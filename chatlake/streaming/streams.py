@@ -162,6 +162,12 @@ def abandoned_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
             out, new_state = abandoned_increment(batch, state)
             _write_batch(out, f"{out_dir}/abandoned", batch_id)
             _write_batch(new_state, f"{out_dir}/state", batch_id)
+            # retention: batch N-1 is committed once batch N runs, so the
+            # snapshot of N-2 can never be read again; empty it (a state
+            # snapshot never shrinks, so an empty one is never the newest)
+            if batch_id >= 2:
+                (spark.createDataFrame([], new_state.schema).write.mode("overwrite")
+                 .parquet(f"{out_dir}/state/{BATCH}={batch_id - 2}"))
         finally:
             batch.unpersist()
 

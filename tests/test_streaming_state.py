@@ -47,3 +47,9 @@ def test_abandoned_sink_incremental(spark):
     assert run() == [4, 8, 10]
     whole = spark.read.parquet(os.path.join(src, "*"))
     assert sorted(r.event_id for r in SP.abandoned_events(whole).collect()) == [4, 8, 10]
+    # a third batch empties the snapshot of the first (retention of two)
+    _write(spark, src, "p3", [("!c", "@q", "join", _ts("2024-01-03 00:00"), 11)])
+    assert run() == [4, 8, 10]
+    state = spark.read.parquet(os.path.join(out, "state"))
+    sizes = {r.batch_id: r["count"] for r in state.groupBy("batch_id").count().collect()}
+    assert 0 not in sizes and sizes[2] > 0
