@@ -81,6 +81,30 @@ def last_n_messages(messages: DataFrame, cfg: BotConfig = DEFAULT_CONFIG, n: int
             .drop("_marker", "_keep", "_markers_seen"))
 
 
+def context_with_trigger(messages: DataFrame, cfg: BotConfig = DEFAULT_CONFIG, n: int | None = None,
+                         ignore_notices: bool = True) -> DataFrame:
+    """W1 + P13 in the same window: the trigger is the room's newest row
+    (``raw_rank = 1``); its history copy is dropped and the trigger is put
+    last (``is_trigger``, ``pos``), whether or not it is eligible for the
+    context.  No aggregation or join: everything stays inside the one
+    shuffle by room."""
+    n = n or cfg.max_messages
+    raw = (messages
+           .withColumn("raw_rank", F.row_number().over(newest_first()))
+           .where(F.col("raw_rank") <= 2 * n))
+    flagged = (raw
+               .withColumn("_marker", F.when(is_marker(cfg), 1).otherwise(0))
+               .withColumn("_keep", F.when(context_eligible(cfg, ignore_notices), 1).otherwise(0))
+               .withColumn("_markers_seen", F.sum("_marker").over(running_newest()))
+               .withColumn("ctx_rank", F.sum("_keep").over(running_newest())))
+    in_ctx = (F.col("_markers_seen") == 0) & (F.col("_keep") == 1) & (F.col("ctx_rank") <= n)
+    rows = (flagged.withColumn("is_trigger", F.col("raw_rank") == 1)
+            .where(in_ctx | F.col("is_trigger"))
+            .drop("_marker", "_keep", "_markers_seen"))
+    order = Window.partitionBy("room_id").orderBy(F.col("is_trigger"), F.col("seq"))
+    return rows.withColumn("pos", F.row_number().over(order))
+
+
 def truncate_to_budget(ctx: DataFrame, max_tokens: int, cost: Column | str = "cost",
                        system_cost: Column | int = 0) -> DataFrame:
     """Token-budget truncation of every room's context.

@@ -50,11 +50,8 @@ def q_command_flags(spark, sf):
 
 
 def q_trigger_dedup(spark, sf):
-    msgs = V.messages(spark, sf)
-    cols = ["room_id", "event_id", "seq"]
-    ctx = C.last_n_messages(msgs, CFG).select(*cols)
-    trig = R.newest_per_room(msgs.select(*cols))
-    return R.trigger_context(ctx, trig).select("room_id", "event_id", "seq", "is_trigger", "pos")
+    out = C.context_with_trigger(V.messages(spark, sf), CFG)
+    return out.select("room_id", "event_id", "seq", "is_trigger", "pos")
 
 
 _TOKS = "list_filter(string_split_regex(CASE WHEN starts_with(body, '* ') THEN substr(body, 3) ELSE body END, '\\s+'), lambda t: t <> '')"

@@ -22,7 +22,7 @@ def exchanges(text):
 
 
 @pytest.mark.parametrize("name", ["context_last_n", "context_token_budget", "media_merge", "prompt_build",
-                                  "prompt_context"])
+                                  "prompt_context", "trigger_dedup"])
 def test_context_windows_share_one_exchange(spark, sf_dir, name):
     o = overview(Q[name](spark, sf_dir))
     assert exchanges(o) == 1, o
