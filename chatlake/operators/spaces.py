@@ -153,7 +153,10 @@ def deactivate_users(spaces: DataFrame, users: DataFrame) -> DataFrame:
 def rooms_for_spaces(membership: DataFrame, spaces: DataFrame) -> DataFrame:
     """Every room whose current members include a user with an active
     space → ``(space_id, room_id)``."""
-    cur = current_membership(membership).where(F.col("membership") == "join")
+    joined = (F.col("membership") == "join").cast("int")
+    cur = (membership.groupBy("room_id", "user_id")
+           .agg(F.max_by(joined, W.ordering(membership, ["ts", "event_id"])).alias("_joined"))
+           .where(F.col("_joined") == 1))
     act = one_space_per_user(spaces, True).select("user_id", "space_id")
     return cur.join(act, "user_id").select("space_id", "room_id").distinct()
 
