@@ -69,7 +69,11 @@ def messages_of(conversations: DataFrame, bot_id: str = "@bot:alpha.example",
 
 def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: room setting writes; rooms 8 and 9 have none."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return settings_log_of(table(spark, sf_dir, "events"))
+
+
+def settings_log_of(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", "ts", "user_id", "event_type")
     u, et, eid = F.col("user_id"), F.col("event_type"), F.col("event_id")
     setting = (F.when(et == "click", "always_reply").when(et == "view", "tts")
                .when(et == "error", "stt").when(et == "signup", "model")

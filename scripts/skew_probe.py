@@ -30,6 +30,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from chatlake.config import DEFAULT_CONFIG as CFG  # noqa: E402
 from chatlake.functions import text as T  # noqa: E402
 from chatlake.operators import context as C  # noqa: E402
+from chatlake.operators import settings as S  # noqa: E402
 from chatlake.operators import spaces as SP  # noqa: E402
 from chatlake.session import ship_package  # noqa: E402
 from chatlake.sources import views as V  # noqa: E402
@@ -56,6 +57,15 @@ def skewed_members(spark, sf, repeat):
     return m.withColumn("room_id", F.when(F.col("event_id") % 3 == 0, F.lit("!hot")).otherwise(F.col("room_id")))
 
 
+def skewed_settings(spark, sf, repeat):
+    """Settings writes repeated ``repeat`` times, a third in one hot room."""
+    ev = table(spark, sf, "events")
+    big = (ev.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
+           .withColumn("event_id", F.col("event_id") * repeat + F.col("_r")).drop("_r"))
+    s = V.settings_log_of(big)
+    return s.withColumn("room_id", F.when(F.col("event_id") % 3 == 0, F.lit("!hot")).otherwise(F.col("room_id")))
+
+
 def stage_metrics(log_dir):
     files = [f for f in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True)
              if os.path.isfile(f) and not os.path.basename(f).startswith((".", "appstatus"))
@@ -87,7 +97,7 @@ def main():
     ap.add_argument("--repeat", type=int, default=100)
     ap.add_argument("--cpus", type=int, default=8)
     ap.add_argument("--splits", type=int, default=16)
-    ap.add_argument("--what", choices=["context", "membership"], default="context")
+    ap.add_argument("--what", choices=["context", "membership", "settings"], default="context")
     args = ap.parse_args()
     scratch = tempfile.mkdtemp(prefix="run-skew-")
     spark = (SparkSession.builder.master(f"local[{args.cpus}]").appName("skew-probe")
@@ -107,10 +117,14 @@ def main():
         pm = C.prepare_messages(ctx, CFG).withColumnRenamed("msg_seq", "seq")
         result = C.truncate_to_budget(pm.withColumn("cost", T.parts_cost("parts")), 1000,
                                       system_cost=T.system_cost(F.lit(CFG.default_system_message)))
-    else:
+    elif args.what == "membership":
         mem = skewed_members(spark, args.sf, args.repeat).repartition(args.splits).cache()
         counts = mem.groupBy((F.col("room_id") == "!hot").alias("hot")).count().collect()
         result = SP.abandoned_events(mem)
+    else:
+        log = skewed_settings(spark, args.sf, args.repeat).repartition(args.splits).cache()
+        counts = log.groupBy((F.col("room_id") == "!hot").alias("hot")).count().collect()
+        result = S.room_profile(log.select("room_id").distinct(), log, CFG)
     t = time.perf_counter()
     result.write.format("noop").mode("overwrite").save()
     secs = time.perf_counter() - t
