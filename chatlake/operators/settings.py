@@ -4,9 +4,11 @@ validation of settings commands, system message resolution, state lookup
 
 Settings are an append-only change log ``(room_id, setting, value, ts,
 event_id)``.  "Last write wins" is a ``max_by`` aggregation keyed by
-``(room_id, setting)`` ordered by ``(ts, event_id)``: a hash aggregate with
-partial aggregation on the map side, so a room that writes a third of all
-changes is pre-reduced to one row per map task before the shuffle.
+``(room_id, setting)`` ordered by ``(ts, event_id)``, with partial
+aggregation on the map side, so a room that writes a third of all changes
+is pre-reduced to one row per map task before the shuffle.  (String values
+make it a sort-based aggregate; see ``windows.ordering`` for the hash path
+when the value is fixed-width.)
 """
 
 from __future__ import annotations
