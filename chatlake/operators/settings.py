@@ -47,7 +47,7 @@ def text_bool(value) -> Column:
 
 
 def settings_wide(log: DataFrame) -> DataFrame:
-    """W4 + F13 pivot in one hash aggregation keyed by room: for each known
+    """W4 + F13 pivot in one aggregation keyed by room: for each known
     setting, the value of its newest write (``max_by`` skips rows whose
     ordering is NULL, i.e. other settings).  Works on the raw change log or
     on its W4 result alike; partial aggregation runs before the shuffle."""
