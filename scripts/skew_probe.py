@@ -29,6 +29,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from chatlake.config import DEFAULT_CONFIG as CFG  # noqa: E402
 from chatlake.functions import text as T  # noqa: E402
+from chatlake.operators import access as A  # noqa: E402
 from chatlake.operators import context as C  # noqa: E402
 from chatlake.operators import settings as S  # noqa: E402
 from chatlake.operators import spaces as SP  # noqa: E402
@@ -97,7 +98,7 @@ def main():
     ap.add_argument("--repeat", type=int, default=100)
     ap.add_argument("--cpus", type=int, default=8)
     ap.add_argument("--splits", type=int, default=16)
-    ap.add_argument("--what", choices=["context", "membership", "settings"], default="context")
+    ap.add_argument("--what", choices=["context", "membership", "settings", "access"], default="context")
     args = ap.parse_args()
     scratch = tempfile.mkdtemp(prefix="run-skew-")
     spark = (SparkSession.builder.master(f"local[{args.cpus}]").appName("skew-probe")
@@ -121,6 +122,16 @@ def main():
         mem = skewed_members(spark, args.sf, args.repeat).repartition(args.splits).cache()
         counts = mem.groupBy((F.col("room_id") == "!hot").alias("hot")).count().collect()
         result = SP.abandoned_events(mem)
+    elif args.what == "access":
+        # allow list in a table, joined without broadcast (as when it is too
+        # large to broadcast); the wildcard of one server matches a third of
+        # all senders, so its key is hot in the semi join
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        msgs = skewed_messages(spark, args.sf, args.repeat).repartition(args.splits).cache()
+        counts = msgs.groupBy(F.col("sender").endswith(":alpha.example").alias("hot")).count().collect()
+        users = V.user_spaces(spark, args.sf).where("active").select("user_id")
+        allow = users.unionByName(spark.range(1).select(F.lit("*:alpha.example").alias("user_id")))
+        result, _ = A.split_allowed(msgs, allow, CFG)
     else:
         log = skewed_settings(spark, args.sf, args.repeat).repartition(args.splits).cache()
         counts = log.groupBy((F.col("room_id") == "!hot").alias("hot")).count().collect()
