@@ -13,15 +13,24 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontam, linededup, quality
+from . import decontam, linededup, packing, quality, simhash
 from .oracles import ORACLE  # noqa: F401
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark, sf_dir):
     r = linededup.report(table(spark, sf_dir, "documents"))
     return r.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_simhash(spark, sf_dir):
+    r = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_decontamination(spark, sf_dir):
     r = decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return r.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -42,4 +51,5 @@ def _shipped(fn):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op6_line_dedup, op8_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: _shipped(f) for f in (
+    op1_best_fit_packing, op6_line_dedup, op7_simhash, op8_decontamination, op10_quality_rules)}
