@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontam, linededup, packing, quality, simhash
+from . import decontam, kdshard, linededup, packing, quality, simhash
 from .oracles import ORACLE  # noqa: F401
 
 
@@ -21,6 +21,12 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_kd_sharding(spark, sf_dir):
+    r = kdshard.shard(table(spark, sf_dir, "documents"), shards=24)
+    return r.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_line_dedup(spark, sf_dir):
     r = linededup.report(table(spark, sf_dir, "documents"))
     return r.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2("text", 256).alias("kept_sha256"))
@@ -52,4 +58,4 @@ def _shipped(fn):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (
-    op1_best_fit_packing, op6_line_dedup, op7_simhash, op8_decontamination, op10_quality_rules)}
+    op1_best_fit_packing, op4_kd_sharding, op6_line_dedup, op7_simhash, op8_decontamination, op10_quality_rules)}
