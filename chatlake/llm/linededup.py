@@ -7,11 +7,12 @@ A chunk of two lines or more with a character other than white space that
 occurs more than once in all documents, by its bytes, is removed everywhere but
 at its first occurrence (smallest id, null ids last; then first place in the text).
 
-Distribution: chunks travel as 16-byte digests; only chunks whose digest repeats
+Distribution: the repeated chunks are written once and read for both the grouping and the
+join, and each join starts from written tables, so that adaptive execution
+can split its hot keys.  Chunks travel as 16-byte digests; only chunks whose digest repeats
 are compared by their bytes, as a grouping by the text itself.  Both
 groupings combine before the shuffle, so a chunk that a third of all
-documents hold leaves each task as one row; the join back to its occurrences
-is one that adaptive execution can split.
+documents hold leaves each task as one row.
 
 Nulls and edge cases: a null text has no lines and stays null; an empty
 text is one empty line; a text that loses all its lines becomes empty; a last
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, row_key
+from .common import cut, let, row_key
 
 WINDOW = 2
 DIVISOR = 4
@@ -82,12 +83,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                      F.col("_at").alias("at"))
     every = chunks(docs, id_col, text_col, window, divisor).select("*", digest.alias("_digest"))
     # digests that occur at two places; equal places are repeated rows of one document
-    twice = (every.groupBy("_digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-             .where("lo != hi").select(F.col("_digest").alias("_twice")))
-    some = every.join(twice, F.col("_digest") == F.col("_twice"), "left_semi")
+    twice = cut(every.groupBy("_digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+                .where("lo != hi").select(F.col("_digest").alias("_twice")))
+    some = cut(every.join(twice, F.col("_digest") == F.col("_twice"), "left_semi"))
     # byte comparison: the text itself is the grouping key
     first = some.groupBy("_digest", "_chunk").agg(F.min(place).alias("_first"))
-    first = first.groupBy("_digest").agg(F.collect_list(F.struct("_chunk", "_first")).alias("_firsts"))
+    first = cut(first.groupBy("_digest").agg(F.collect_list(F.struct("_chunk", "_first")).alias("_firsts")))
     same = F.filter("_firsts", lambda f: f["_chunk"] == F.col("_chunk"))[0]["_first"]
     later = some.join(first.withColumnRenamed("_digest", "_d"), F.col("_digest") == F.col("_d")).where(same != place)
     return later.groupBy("_key").agg(F.collect_set(F.struct(F.col("_at").alias("at"), F.col("_n").alias("n"))).alias("_gone"))
