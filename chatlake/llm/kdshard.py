@@ -59,11 +59,12 @@ def points(docs: DataFrame, id_col: str, text_col: str, dims: tuple[str, ...]) -
         F.array(*[F.nanvl(_number(docs, d), F.lit(None).cast("double")) for d in dims]).alias("_raw"))
     raw = cut(raw)
     n = range(len(dims))
-    ends = raw.agg(F.array(*[F.min(F.col("_raw")[i]) for i in n]).alias("_lo"), F.array(*[F.max(F.col("_raw")[i]) for i in n]).alias("_hi"))
+    low, high = (raw.agg(F.array(*[f(F.col("_raw")[i]) for i in n])).scalar() for f in (F.min, F.max))
+    raw = raw.withColumns({"_lo": low, "_hi": high})
     scaled = F.transform("_raw", lambda x, i: F.coalesce(
         F.when(F.get(F.col("_hi"), i) > F.get(F.col("_lo"), i),
                (x - F.get(F.col("_lo"), i)) / (F.get(F.col("_hi"), i) - F.get(F.col("_lo"), i))), F.lit(0.0)))
-    return raw.join(F.broadcast(ends)).select("_id", "_size", "_crc", "_tie", scaled.alias("_c"))
+    return raw.select("_id", "_size", "_crc", "_tie", scaled.alias("_c"))
 
 
 def _cuts(t: DataFrame, dims: int) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .common import base, cut, rank_in_groups
 from .tokens import encoder, tokenizer_path
 
@@ -47,6 +48,7 @@ MAX_PLAN = 4_000_000
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json",
            capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every piece of every text."""
+    ship_package(docs.sparkSession)
     d = base(docs, id_col, text_col)
     schema = T.StructType([T.StructField("_id", d.schema["_id"].dataType), T.StructField("piece", T.IntegerType()),
                            T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),

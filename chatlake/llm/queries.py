@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontam, kdshard, linededup, packing, quality, simhash
+from . import decontam, kdshard, langid, linededup, packing, quality, simhash, urls
 from .oracles import ORACLE  # noqa: F401
 
 
@@ -21,12 +21,25 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark, sf_dir):
+    r = urls.judge(table(spark, sf_dir, "pages"))
+    return r.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_kd_sharding(spark, sf_dir):
     r = kdshard.shard(table(spark, sf_dir, "documents"), shards=24)
     return r.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    model = langid.train(docs.where(rest != 0))
+    return langid.identify(docs, model).select(
+        "doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op6_line_dedup(spark, sf_dir):
     r = linededup.report(table(spark, sf_dir, "documents"))
     return r.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2("text", 256).alias("kept_sha256"))
@@ -58,4 +71,4 @@ def _shipped(fn):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (
-    op1_best_fit_packing, op4_kd_sharding, op6_line_dedup, op7_simhash, op8_decontamination, op10_quality_rules)}
+    op1_best_fit_packing, op2_url_filter, op4_kd_sharding, op5_language_id, op6_line_dedup, op7_simhash, op8_decontamination, op10_quality_rules)}

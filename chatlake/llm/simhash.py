@@ -34,6 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import base, cut
 from .components import components
 
@@ -64,6 +65,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``_id`` and ``_fp``: the fingerprint as a (signed) long."""
+    ship_package(docs.sparkSession)
     d = base(docs, id_col, text_col)
 
     def each(batches) -> Iterator:
@@ -181,6 +183,7 @@ def block_masks(n: int, max_bits: int, members: int = 64) -> list[int]:
 def links(fps: DataFrame, max_bits: int = MAX_BITS, subtrie: int = SUBTRIE) -> DataFrame:
     """Edges ``u``, ``v`` between distinct fingerprints (``_fp``) whose components are
     those of all links."""
+    ship_package(fps.sparkSession)
     n = fps.count()
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     masks = F.array(*[F.lit(signed(m)).cast("long") for m in block_masks(n, max_bits)])
