@@ -12,6 +12,10 @@ from __future__ import annotations
 import os
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import ship_package
 
 CACHE = 600_000
 #: Longer pieces are encoded but not kept.
@@ -58,3 +62,21 @@ class Encoder:
             if len(p) > LONG_PIECE:
                 del self.known[p]
         return out
+
+
+def counted(docs: DataFrame, text_col: str = "text", tokenizer: str = "word_bpe_49k.json", name: str = "n_tokens") -> DataFrame:
+    """All columns but the text, and the number of its tokens (null: 0)."""
+    ship_package(docs.sparkSession)
+    rest = [c for c in docs.columns if c != text_col]
+    d = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text_col))
+
+    def each(batches):
+        import pyarrow as pa
+
+        encode = encoder(tokenizer_path(tokenizer)).ids
+        for b in batches:
+            n = [len(encode(t)) // 4 for t in b.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*rest, name])
+
+    schema = d.select(*[F.col(f"`{c}`") for c in rest]).schema.add(name, "long")
+    return d.mapInArrow(each, schema)
