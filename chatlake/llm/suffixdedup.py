@@ -275,7 +275,7 @@ def _counted_suffixes(contexts: DataFrame) -> DataFrame:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 class_, entry, last, first = (c.to_numpy() for c in part.columns[:4])
-                n = last - first + 1
+                n = first - last + 1
                 d = np.concatenate([np.arange(x, y + 1) for x, y in zip(last, first)])
                 h = [xxh3_128_intdigest(t[f - x:f - x + LENGTH]) for t, y, f in zip(part.column(4).to_pylist(), last.tolist(), first.tolist())
                      for x in range(y, f + 1)]
