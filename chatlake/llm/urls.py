@@ -97,10 +97,11 @@ def ratios(distinct_windows: DataFrame, grams: DataFrame, contexts: DataFrame, o
 
 
 def scores(strings: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
-    """``s`` and ``score``: the mean of its windows' ratios."""
+    """``key`` and ``score``: the mean of its windows' ratios.  The key, a digest, stands for ``s``:
+    a row for each character must not hold the whole string."""
     w = table.select(F.col("w").alias("_w"), "ratio")
-    return (windows(strings.select("s"), order).join(w, F.col("w") == F.col("_w"))
-            .groupBy("s").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score")))
+    return (windows(strings.select("key", "s"), order).select("key", "w").join(w, F.col("w") == F.col("_w"))
+            .groupBy("key").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score")))
 
 
 def threshold(calibration: DataFrame) -> Column:
@@ -123,18 +124,19 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = host_and_path(F.col(f"`{url_col}`"))
     split = pages.select(F.col(f"`{id_col}`").alias("_id"), host.alias("host"), path.alias("path"))
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
-    ruled = cut(split.select("*", rule.alias("rule"), verdict.alias("_verdict"), F.lower(F.concat("host", "path")).alias("s")))
-    fold = F.pmod(F.conv(F.substring(F.md5("s"), 1, 6), 16, 10).cast("long"), F.lit(folds))
-    strings = cut(ruled.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_verdict") == "allow").alias("accepted"))
+    ruled = cut(split.select("*", rule.alias("rule"), verdict.alias("_verdict"), F.lower(F.concat("host", "path")).alias("s"))
+                .withColumn("key", F.md5("s")))
+    fold = F.pmod(F.conv(F.substring("key", 1, 6), 16, 10).cast("long"), F.lit(folds))
+    strings = cut(ruled.groupBy("key", "s").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_verdict") == "allow").alias("accepted"))
                   .withColumn("fold", fold))
     labelled = strings.where("accepted IS NOT NULL")
-    to_score = strings.where("accepted IS NULL OR fold = 0").select("s")
+    to_score = strings.where("accepted IS NULL OR fold = 0").select("key", "s")
     grams, contexts = count_tables(labelled.where("fold != 0"), order)
     table = cut(ratios(windows(to_score, order).select("w").distinct(), grams, contexts, order))
-    scored = cut(scores(to_score, table, order)).select(F.col("s").alias("_s"), "score")
-    best = threshold(scored.join(labelled, F.col("_s") == F.col("s")))
+    scored = cut(scores(to_score, table, order)).select(F.col("key").alias("_k"), "score")
+    best = threshold(scored.join(labelled, F.col("_k") == F.col("key")))
     both = contexts.where("ctx = ''").agg(F.coalesce(F.max((F.col("na") > 0) & (F.col("nr") > 0)), F.lit(False))).scalar()
-    out = ruled.join(scored, F.col("rule").isNull() & (F.col("s") == F.col("_s")), "left")
+    out = ruled.join(scored, F.col("rule").isNull() & (F.col("key") == F.col("_k")), "left")
     score = F.when(both, F.col("score")).when(F.col("rule").isNull(), F.lit(0.0))
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", score.alias("score"),
                       F.coalesce("_verdict", F.when(~both | (score >= best), "allow").otherwise("block")).alias("verdict"))
