@@ -164,9 +164,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
         at, lang = np.nonzero(both)
         yield pd.DataFrame({"at": at, "lang": lang, "n": both[at, lang]})
 
-    counts = rows.mapInPandas(count, "at long, lang long, n long").groupBy("at", "lang").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInPandas(count, "at long, lang long, n long").groupBy("at", "lang").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((FEATURES + len(SCRIPTS), len(langs)))
-    table[counts["at"], counts["lang"]] = counts["n"]
+    table[counts["at"].to_numpy(), counts["lang"].to_numpy()] = counts["n"].to_numpy()
     seen, table = table[FEATURES:], table[:FEATURES] + 0.5
     return Model(langs, np.log(table / table.sum(axis=0)), seen >= SCRIPT_SHARE * np.maximum(seen.sum(axis=0), 1))
 
