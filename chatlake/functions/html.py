@@ -19,20 +19,40 @@ from .text import col, fill
 # Entities decoded after tags are removed (``&amp;`` last).
 ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
+    ("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
+    ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
+    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&euro;", "€"),
+    ("&amp;", "&"),
 ]
 
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
 STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 DECLARATION = r"(?s)<![^>]*>"
-ANCHOR_HREF = r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
-ANCHOR_BARE = r"(?is)<a(?:\s[^>]*)?>(.*?)</a\s*>"
+# An anchor's content ends at the next opening or closing anchor tag, so an anchor that
+# is never closed costs no more than the way to the next one.
+ANCHOR_TEXT = r"([^<]*+(?:<(?!/?a[\s>])[^<]*+)*+)</a\s*>"
+ANCHOR_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>""" + ANCHOR_TEXT
+ANCHOR_BARE = r"(?is)<a(?:\s[^>]*)?>" + ANCHOR_TEXT
 TAG = r"(?s)</?[a-zA-Z][^>]*>"
 REMOVED = [r"(?is)<!--.*?-->", r"<script\b[^>]*>.*?</script\s*>", r"<style\b[^>]*>.*?</style\s*>", r"<![^>]*>"]
 SPACE = "[\\s\u00a0]+"
 
 
+def _numeric_entities(s: Column) -> Column:
+    """``&#8217;`` and ``&#x2019;`` as their characters; numbers that name none stay as written."""
+    def one(part: Column, i: Column) -> Column:
+        digits = F.regexp_extract(part, r"^(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});", 0)
+        number = F.when(F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring_index(F.substr(digits, F.lit(2)), ";", 1), 16, 10)) \
+            .otherwise(F.substring_index(digits, ";", 1)).try_cast("int")
+        valid = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(i == 0, part).when(F.coalesce(valid, F.lit(False)), F.concat(char, F.substr(part, F.length(digits) + 1))) \
+            .otherwise(F.concat(F.lit("&#"), part))
+
+    return F.when(F.contains(s, F.lit("&#")), F.array_join(F.transform(F.split(s, "&#"), one), "")).otherwise(s)
+
+
 def html_to_text(html) -> Column:
     # one pass removes comments, scripts, styles and declarations (the
     # alternation tries them left to right at each position)
@@ -40,8 +60,9 @@ def html_to_text(html) -> Column:
     s = F.regexp_replace(s, ANCHOR_HREF, "$4 ($1$2$3)")
     s = F.regexp_replace(s, ANCHOR_BARE, "$1 (None)")
     s = F.regexp_replace(s, TAG, "")
-    for ent, ch in ENTITIES:
+    for ent, ch in ENTITIES[:-1]:
         s = F.replace(s, F.lit(ent), F.lit(ch))
+    s = F.replace(_numeric_entities(s), F.lit(ENTITIES[-1][0]), F.lit(ENTITIES[-1][1]))
     s = F.regexp_replace(s, SPACE, " ")
     return F.btrim(s)
 

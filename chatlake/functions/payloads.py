@@ -5,11 +5,11 @@ so their text is kept exactly."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import (CALC_DID_YOU_MEAN, CALC_FAILED, DEFAULT_CONFIG, HTML_MESSAGE_FORMAT, WEATHER_REPORT,
-                      WIKI_NO_RESULTS, WIKI_REPORT, WIKI_REQUEST, WIKI_REQUEST_ARGS, BotConfig)
+from ..config import (CALC_DID_YOU_MEAN, CALC_FAILED, DEFAULT_CONFIG, HTML_MESSAGE_FORMAT, CARRIER_LINE,
+                      SEARCH_HEADER, SEARCH_RESULT, WEATHER_REPORT, WIKI_NO_RESULTS, WIKI_REPORT, WIKI_REQUEST, WIKI_REQUEST_ARGS, BotConfig)
 from .text import col, fill
 
 # --------------------------------------------------------------------- F3/F4
@@ -47,7 +47,7 @@ def wiki_report(payload, query) -> tuple[Column, Column]:
     doc = F.from_json(col(payload), WIKI_SCHEMA)
     page = F.try_element_at(F.map_values(doc["query"]["pages"]), F.lit(1))
     content = F.try_element_at(page["revisions"], F.lit(1))["*"]
-    ok = page.isNotNull() & content.isNotNull()
+    ok = page["title"].isNotNull() & content.isNotNull()
     text = F.when(ok, fill(WIKI_REPORT, title=page["title"], content=content)) \
         .otherwise(fill(WIKI_NO_RESULTS, query=col(query)))
     return F.when(ok, F.lit("ok")).otherwise(F.lit("no_results")), text
@@ -147,20 +147,22 @@ def failed_query_lines(suggestion) -> Column:
 # ------------------------------------------------------------------------ A9
 
 
-def result_list(results: DataFrame, group: str, rank: str, top: int, line: Column, header: Column | None = None,
-                sep: str = "") -> DataFrame:
-    """The ordered string of the best ``top`` results per group (a
-    results page).  ``row_number() <= top`` is planned as a
-    ``WindowGroupLimit`` on both sides of the shuffle, so a group holding a
-    large share of the rows ships at most ``top`` rows per map task and the
-    collected array is bounded by ``top``."""
-    ranks = [rank] if isinstance(rank, (str, Column)) else rank
-    w = Window.partitionBy(group).orderBy(*[F.col(c) if isinstance(c, str) else c for c in ranks])
-    ranked = results.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= top)
-    agg = ranked.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("_rank"), line.alias("_line")))).alias("_l"))
-    body = F.array_join(F.transform("_l", lambda x: x["_line"]), sep)
-    out = F.concat(header, body) if header is not None else body
-    return agg.select(group, out.alias("text"))
+def item_list(payload, fields: list[str], template: str, sep: str = "") -> Column:
+    """Every element of a JSON array of objects, rendered in its order.  A
+    function of the row: nothing is grouped, cut or moved.  NULL for a payload that is
+    no array; an element that lacks a field renders as an empty string."""
+    items = F.from_json(col(payload), "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>")
+    return F.array_join(F.transform(items, lambda x: F.coalesce(fill(template, **{f: x[f] for f in fields}), F.lit(""))), sep)
+
+
+def result_list(payload, query) -> Column:
+    """All results of a search, after its header."""
+    return F.concat(fill(SEARCH_HEADER, query=col(query)), item_list(payload, ["title", "url", "description"], SEARCH_RESULT))
+
+
+def carrier_list(payload) -> Column:
+    """All carriers, one line each."""
+    return item_list(payload, ["name", "code"], CARRIER_LINE, "\n")
 
 
 # ----------------------------------------------------------------------- F17

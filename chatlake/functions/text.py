@@ -30,6 +30,11 @@ def fill(template: str, **values) -> Column:
     return F.concat(*parts)
 
 
+def tail(arr, start: int) -> Column:
+    """The elements of an array from ``start`` (counted from 1) to its end."""
+    return F.filter(col(arr), lambda x, i: i >= start - 1)
+
+
 def tokens(text) -> Column:
     """Whitespace split with empty pieces removed (Python ``str.split()``)."""
     return F.filter(F.split(col(text), WS), lambda t: t != "")

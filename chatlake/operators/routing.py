@@ -51,7 +51,7 @@ def route(sender="sender", body="body", cfg: BotConfig = DEFAULT_CONFIG) -> Colu
 def strip_edit_marker(body="body") -> Column:
     """Remove a leading ``"* "`` (edited message)."""
     b = T.col(body)
-    return F.when(F.startswith(b, F.lit("* ")), F.substring(b, 3, 1 << 30)).otherwise(b)
+    return F.when(F.startswith(b, F.lit("* ")), F.substr(b, F.lit(3))).otherwise(b)
 
 
 def parse_command(df: DataFrame, body: str = "body") -> DataFrame:
@@ -61,7 +61,7 @@ def parse_command(df: DataFrame, body: str = "body") -> DataFrame:
     return (df.withColumn("tokens", toks)
             .withColumn("command", F.try_element_at(F.col("tokens"), F.lit(2)))
             .withColumn("args", F.when(F.size("tokens") > 2,
-                                       F.array_join(F.slice("tokens", 3, 1 << 30), " "))))
+                                       F.array_join(T.tail("tokens", 3), " "))))
 
 
 def registry_map(names: list[str] | dict[str, str]) -> Column:
@@ -114,7 +114,7 @@ def calculate_flags(df: DataFrame, body: str = "body") -> DataFrame:
     """Strip the first ``--text`` and the first ``--details`` anywhere in
     the prompt; ``text`` turns on, ``results_only`` off; an empty rest gives
     ``status = need_prompt``."""
-    prompt = F.slice(T.tokens(body), 3, 1 << 30)
+    prompt = T.tail(T.tokens(body), 3)
     has_text = F.array_contains(prompt, "--text")
     p1 = F.when(has_text, _remove_first(prompt, "--text")).otherwise(prompt)
     has_details = F.array_contains(p1, "--details")
@@ -144,7 +144,7 @@ def image_flags(df: DataFrame, prompt: str = "prompt", orientation: Column | Non
             .otherwise(F.lit(ORIENTATION_SIZES["square"])))
     delete_first = sized & ((~portrait_arg & portrait_flag) |
                             (~portrait_arg & ~portrait_flag & ~landscape_arg & landscape_flag))
-    new_prompt = F.when(delete_first, F.array_join(F.slice(toks, 2, 1 << 30), " ")).otherwise(T.col(prompt))
+    new_prompt = F.when(delete_first, F.array_join(T.tail(toks, 2), " ")).otherwise(T.col(prompt))
     return (df.withColumn("size", size).withColumn("image_prompt", new_prompt)
             .withColumn("quality", F.lit("hd" if cfg.image_model == "dall-e-3" else "standard")))
 
@@ -155,25 +155,3 @@ def reply_gate(df: DataFrame, always_reply: str = "always_reply", from_chat_comm
     replies, or when the body mentions the bot."""
     fc = F.col(from_chat_command) if from_chat_command else F.lit(False)
     return fc | F.col(always_reply) | F.coalesce(F.contains(F.col("body"), F.lit(cfg.bot_id)), F.lit(False))
-
-
-def trigger_context(ctx: DataFrame, triggers: DataFrame) -> DataFrame:
-    """Drop the history copy of each room's trigger (by ``event_id``)
-    and append the trigger itself as the last row (``is_trigger``).
-    ``triggers`` has one row per room with the context columns."""
-    trig_ids = triggers.select("room_id", F.col("event_id").alias("_tid"))
-    hist = (ctx.join(trig_ids, "room_id", "left")
-            .where(F.col("_tid").isNull() | (F.col("event_id") != F.col("_tid")))
-            .drop("_tid").withColumn("is_trigger", F.lit(False)))
-    trig = triggers.select(*ctx.columns).withColumn("is_trigger", F.lit(True))
-    out = hist.unionByName(trig)
-    w = Window.partitionBy("room_id").orderBy(F.col("is_trigger"), F.col("seq"))
-    return out.withColumn("pos", F.row_number().over(w))
-
-
-def newest_per_room(messages: DataFrame) -> DataFrame:
-    """The newest message of each room (its trigger), by a max-by
-    aggregation (partial on the map side, no sort)."""
-    cols = [c for c in messages.columns if c != "room_id"]
-    agg = messages.groupBy("room_id").agg(F.max_by(F.struct(*cols), F.col("seq")).alias("_t"))
-    return agg.select("room_id", *[F.col("_t")[c].alias(c) for c in cols])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import BOOLEAN_SETTINGS, DEFAULT_CONFIG, ROOM_INFO, SETTING_ALIASES, BotConfig
 from ..functions import text as T
+from .routing import parse_command
 
 SETTING_COLUMNS = list(BOOLEAN_SETTINGS) + ["model", "system_message"]
 
@@ -97,26 +98,36 @@ def room_info(profile: DataFrame, cfg: BotConfig = DEFAULT_CONFIG) -> DataFrame:
 def validate_commands(cmds: DataFrame, body: str = "body", cfg: BotConfig = DEFAULT_CONFIG) -> DataFrame:
     """Settings command → ``(setting, value, status)``.
 
-    ``status``: ``store`` (``value`` normalised: booleans become ``1``/``0``),
-    ``read`` (no value given), ``invalid_boolean`` or ``unknown``."""
-    toks = T.tokens(body)
-    raw_setting = F.try_element_at(toks, F.lit(3))
+    Reads ``roomsettings <name> <value…>`` and ``systemmessage <text…>``, plain or
+    edited (``"* "`` in front).  ``status``: ``store`` (``value`` normalised: booleans
+    become ``1``/``0``), ``read`` (no value given), ``invalid_boolean``, ``unknown`` (no such
+    setting) or ``other_command`` (not a settings command; setting and value NULL)."""
+    d = parse_command(cmds, body)
+    d = d.withColumns({"_tokens": F.col("tokens"), "_command": F.col("command")})
+    d = d.select(*cmds.columns, "_tokens", "_command")
+    message = F.col("_command") == "systemmessage"
+    ours = F.coalesce(F.startswith(F.get("_tokens", F.lit(0)), F.lit(cfg.prefix)) & F.col("_command").isin("roomsettings", "systemmessage"), F.lit(False))
+    raw_setting = F.when(message, F.lit("system_message")).otherwise(F.try_element_at(F.col("_tokens"), F.lit(3)))
     alias = F.create_map(*[F.lit(x) for kv in SETTING_ALIASES.items() for x in kv])
-    setting = F.coalesce(F.try_element_at(alias, raw_setting), raw_setting)
-    value = F.when(F.size(toks) > 3, F.array_join(F.slice(toks, 4, 1 << 30), " "))
+    d = d.withColumn("_setting", F.when(ours, F.coalesce(F.try_element_at(alias, raw_setting), raw_setting)))
+    setting = F.col("_setting")
+    d = d.withColumn("_value", F.array_join(F.when(message, T.tail("_tokens", 3)).otherwise(T.tail("_tokens", 4)), " "))
+    value = F.col("_value")
     has_value = value.isNotNull() & (value != "")
     is_bool = setting.isin(list(BOOLEAN_SETTINGS))
     lv = F.lower(value)
-    status = (F.when(setting == "system_message", F.when(has_value, "store").otherwise("read"))
+    status = (F.when(~ours, "other_command")
+              .when(setting == "system_message", F.when(has_value, "store").otherwise("read"))
               .when(is_bool, F.when(~has_value, "read")
                     .when(lv.isin("true", "false"), "store").otherwise("invalid_boolean"))
               .when(F.lit(cfg.allow_model_override) & (setting == "model"),
                     F.when(has_value, "store").otherwise("read"))
               .otherwise("unknown"))
-    norm = (F.when(status != "store", F.lit(None).cast("string"))
+    norm = (F.when(F.col("status") != "store", F.lit(None).cast("string"))
             .when(is_bool, F.when(lv == "true", "1").otherwise("0"))
             .otherwise(value))
-    return cmds.withColumn("setting", setting).withColumn("status", status).withColumn("value", norm)
+    return (d.withColumns({"setting": setting, "status": status}).withColumn("value", norm)
+            .drop("_tokens", "_command", "_setting", "_value"))
 
 
 def state_lookup(state: DataFrame, event_type: str, state_key: str | None = None) -> DataFrame:

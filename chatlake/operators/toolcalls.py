@@ -21,20 +21,21 @@ def strip_fence(text) -> Column:
 
 
 def strict_parse_json(text) -> Column:
-    """``try_parse_json`` stops after the first complete value and ignores
-    trailing text; a strict parser rejects it.  Objects and arrays must
-    therefore end (after trailing whitespace) with their closing bracket."""
+    """A VARIANT if the whole text is one JSON value, else NULL.
+
+    ``try_parse_json`` stops after the first complete value and ignores what
+    follows.  The text is therefore parsed as the first element of an array
+    whose second one is the text's own digest: only if nothing but one value
+    stands before it does the digest come back as the second element."""
     t = T.col(text)
-    trimmed = F.btrim(t, F.lit(" \t\n\r"))
-    head, tail = F.left(trimmed, F.lit(1)), F.right(trimmed, F.lit(1))
-    ok = (F.when(head == "{", tail == "}").when(head == "[", tail == "]").otherwise(F.lit(True)))
-    return F.when(ok, F.try_parse_json(t))
+    mark = F.md5(t)
+    both = F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), mark, F.lit('"]')))
+    pair = F.try_variant_get(both, "$", "array<variant>")
+    return F.when((F.size(pair) == 2) & (F.try_variant_get(F.get(pair, F.lit(1)), "$", "string") == mark), F.get(pair, F.lit(0)))
 
 
 def looks_like_object(text) -> Column:
-    """Cheap shape test: after surrounding whitespace, ``{`` … ``}``.  A
-    strict parser rejects trailing text after an object, so this is also the
-    end check ``try_parse_json`` lacks."""
+    """Cheap shape test before a parse: after surrounding whitespace, ``{`` … ``}``."""
     trimmed = F.btrim(T.col(text), F.lit(" \t\n\r"))
     return F.coalesce((F.left(trimmed, F.lit(1)) == "{") & (F.right(trimmed, F.lit(1)) == "}"), F.lit(False))
 
@@ -60,7 +61,7 @@ def extract_tool_call(df: DataFrame, reply: str = "reply") -> DataFrame:
     # anything else), extracted in one pass over the parsed value.
     call_t = "struct<tool:variant,parameters:variant>"
     d = (df.withColumn("_s", strip_fence(reply))
-         .withColumn("_v", F.when(looks_like_object("_s"), F.try_parse_json("_s")))
+         .withColumn("_v", F.when(looks_like_object("_s"), strict_parse_json("_s")))
          .withColumn("_call", F.try_variant_get("_v", "$", call_t)))
     tool_v = F.col("_call.tool")
     has_tool = tool_v.isNotNull()
@@ -79,7 +80,7 @@ def tool_calls(df: DataFrame, reply: str = "reply") -> DataFrame:
     a generator is evaluated once."""
     call_t = "struct<tool:variant,parameters:variant>"
     d = (df.withColumn("_s", strip_fence(reply))
-         .withColumn("_call", F.try_variant_get(F.when(looks_like_object("_s"), F.try_parse_json("_s")), "$", call_t)))
+         .withColumn("_call", F.try_variant_get(F.when(looks_like_object("_s"), strict_parse_json("_s")), "$", call_t)))
     tool_v = F.col("_call.tool")
     found = F.when(tool_v.isNotNull(), F.array(F.struct(
         F.try_variant_get(tool_v, "$", "string").alias("tool"),
@@ -92,8 +93,7 @@ def classify(df: DataFrame, reply: str = "reply", query: str = "query", prefix:
     """F8: classifier reply ``{type, prompt}``; any failure → ``chat`` with
     the original query.  Non-chat results are rewritten to a command body
     ``<prefix> {type} {prompt}`` for the command parser (P9)."""
-    parsed = F.when(looks_like_object(reply) & F.try_parse_json(T.col(reply)).isNotNull(),
-                    F.from_json(T.col(reply), "struct<type:string,prompt:string>"))
+    parsed = F.try_variant_get(F.when(looks_like_object(reply), strict_parse_json(reply)), "$", "struct<type:string,prompt:string>")
     ok = parsed.isNotNull() & parsed["type"].isNotNull()
     typ = F.when(ok, parsed["type"]).otherwise(F.lit("chat"))
     prompt = F.when(ok, parsed["prompt"]).otherwise(T.col(query))
@@ -108,38 +108,47 @@ def _map_lit(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
+def _as_text(v: Column) -> Column:
+    """A JSON value as text: strings as they are, anything else as JSON."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+
+
+def _falsy(v: Column) -> Column:
+    """JSON ``null``, ``false``, a zero number, and the empty string, array and object.
+    Other strings are truthy whatever they spell."""
+    return F.to_json(v).rlike(r'^(?:null|false|""|\[\]|\{\}|-?0+(?:\.0*)?(?:[eE][+-]?\d+)?)$')
+
+
 def normalise_tool_args(df: DataFrame, tool: str = "tool", arguments: str = "arguments") -> DataFrame:
     """Defaults fill missing arguments; every required argument must be
-    present and truthy.  ``status``: ``ok``, ``missing_argument`` (with
+    present and truthy by its JSON type.  ``status``: ``ok``, ``missing_argument`` (with
     ``missing``), or ``not_found`` for an unknown tool; ``args`` is the
     merged map rendered as sorted ``k=v`` pairs."""
     t = F.col(tool)
-    params = F.coalesce(F.from_json(F.col(arguments), "map<string,string>"), _map_lit({}))
     # per-tool defaults and required names: literal maps keyed by tool
     all_defaults = F.create_map(*[x for name in TOOL_REQUIRED
                                   for x in (F.lit(name), _map_lit(TOOL_DEFAULTS.get(name, {})))])
     all_required = F.create_map(*[x for name in TOOL_REQUIRED
                                   for x in (F.lit(name), F.array(*[F.lit(k) for k in TOOL_REQUIRED[name]])
                                             .cast("array<string>"))])
-    defaults = F.try_element_at(all_defaults, t)
-    required = F.try_element_at(all_required, t)
+    defaults = F.coalesce(F.try_element_at(all_defaults, t), _map_lit({}))
+    required = F.coalesce(F.try_element_at(all_required, t), F.array().cast("array<string>"))
     known = t.isin(list(TOOL_REQUIRED))
-    d = (df.withColumn("_params", params)
-         .withColumn("_merged", F.map_concat(
-             F.map_filter(F.coalesce(defaults, _map_lit({})),
-                          lambda k, v: ~F.array_contains(F.map_keys(F.col("_params")), k)), F.col("_params"))))
-    falsy = ["", "false", "0", "0.0", "null", "[]", "{}"]
-    d = d.withColumn("_missing", F.filter(
-        F.coalesce(required, F.array().cast("array<string>")),
-        lambda k: ~F.coalesce(~F.try_element_at(F.col("_merged"), k).isin(falsy), F.lit(False))))
-    rendered = F.array_join(F.transform(F.array_sort(F.map_entries("_merged")),
-                                        lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    given = F.try_variant_get(F.try_parse_json(F.col(arguments)), "$", "map<string,variant>")
+    d = df.withColumn("_given", F.map_entries(given))
+    pair = lambda k, v, bad: F.struct(k.alias("key"), v.alias("value"), bad.alias("falsy"))
+    own = F.transform("_given", lambda e: pair(e["key"], _as_text(e["value"]), _falsy(e["value"])))
+    d = d.withColumn("_own", F.coalesce(own, F.array().cast("array<struct<key:string,value:string,falsy:boolean>>")))
+    rest = F.filter(F.map_entries(defaults), lambda e: ~F.exists("_own", lambda o: o["key"] == e["key"]))
+    d = d.withColumn("_merged", F.concat("_own", F.transform(rest, lambda e: pair(e["key"], e["value"], e["value"] == ""))))
+    d = d.withColumn("_missing", F.filter(required, lambda k: ~F.exists("_merged", lambda m: (m["key"] == k) & ~m["falsy"])))
+    rendered = F.array_join(F.transform(F.array_sort("_merged"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     has_missing = F.size("_missing") > 0
     return (d.withColumn("status", F.when(~known, F.lit("not_found"))
                          .when(has_missing, F.lit("missing_argument")).otherwise(F.lit("ok")))
             .withColumn("missing", F.when(known & has_missing, F.element_at("_missing", 1)))
             .withColumn("args", F.when(known, rendered))
-            .drop("_params", "_merged", "_missing"))
+            .drop("_given", "_own", "_merged", "_missing"))
 
 
 def is_tool_model(model) -> Column:

@@ -58,36 +58,37 @@ OUTCOMES = ["ok", "stop", "handover"]
 
 
 def request_tokens(rounds: DataFrame, outcomes: list[str] = OUTCOMES) -> DataFrame:
-    """Tokens per request = all rounds' usage (missing → 0); when the
-    request ends in ``stop`` or ``handover`` the outer round's usage is
-    dropped.  ``rounds(request_id, tokens, ts, seq, outcome)``; the outer
-    round is the first by ``(ts, seq)`` and the final outcome is the last.
+    """Tokens per request.  A round that itself ends in ``stop`` or
+    ``handover`` adds nothing; every other round, before or after it, adds
+    its own usage (missing → 0).  ``rounds(request_id, tokens, ts, seq,
+    outcome)``; ``outcome`` of the request is that of the last by ``(ts, seq)``.
 
     The outcome travels as its index in ``outcomes`` and the order as a
     packed key, so every buffer is fixed-width and the aggregation is a
     hash aggregate; an outcome outside the list comes back as NULL."""
     order = W.ordering(rounds, ["ts", "seq"])
     codes = F.array(*[F.lit(o) for o in outcomes])
+    counted = F.when(F.col("outcome").isin("stop", "handover"), F.lit(0)).otherwise(F.coalesce(F.col("tokens"), F.lit(0)))
     agg = rounds.groupBy("request_id").agg(
-        F.sum(F.coalesce(F.col("tokens"), F.lit(0))).alias("_all"),
-        F.min_by(F.coalesce(F.col("tokens"), F.lit(0)), order).alias("_outer"),
+        F.sum(counted).alias("_all"),
         F.max_by(F.array_position(codes, F.col("outcome")).cast("int"), order).alias("_code"),
         F.count("*").alias("rounds"))
     outcome = F.when(F.col("_code") > 0, F.element_at(codes, F.col("_code")))
-    dropped = F.coalesce(outcome.isin("stop", "handover"), F.lit(False))
-    return agg.select("request_id", "rounds", outcome.alias("outcome"),
-                      (F.col("_all") - F.when(dropped, F.col("_outer")).otherwise(F.lit(0))).cast("bigint").alias("tokens"))
+    return agg.select("request_id", "rounds", outcome.alias("outcome"), F.col("_all").cast("bigint").alias("tokens"))
 
 
 def level_filter(logs: DataFrame, min_level: str = "info", levels: list[str] = LOG_LEVELS) -> DataFrame:
-    """Keep records at or above ``min_level``; an unknown level fails the
-    query (``raise_error``), as an unknown level is an error."""
+    """Keep records at or above ``min_level``.  Records of an unknown or
+    missing level are not dropped in silence: see ``unknown_levels``."""
     if min_level not in levels:
-        raise ValueError(f"Invalid log level {min_level}. Valid levels are {', '.join(levels)}")
+        raise ValueError(f"{min_level!r} is no log level; the levels are {levels}")
     arr = F.array(*[F.lit(x) for x in levels])
-    pos = F.array_position(arr, F.col("level"))
-    checked = F.when(pos == 0, F.raise_error(F.concat(F.lit("Invalid log level "), F.col("level")))).otherwise(pos)
-    return logs.where(checked >= levels.index(min_level) + 1)
+    return logs.where(F.array_position(arr, F.col("level")) >= levels.index(min_level) + 1)
+
+
+def unknown_levels(logs: DataFrame, levels: list[str] = LOG_LEVELS) -> DataFrame:
+    """The reject side, records whose level is unknown or missing."""
+    return logs.where(~F.coalesce(F.col("level").isin(levels), F.lit(False)))
 
 
 LOG_PARSE = r"(?s)^\[([^\]]*)\] - (.*?) - \[([A-Z]+)\] (.*)$"
@@ -100,13 +101,22 @@ def render_log(ts="ts", caller="caller", level="level", message="message") -> Co
 
 
 def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
-    """F16 reversed: split rendered log lines back into columns."""
+    """F16 reversed: split rendered log lines back into columns; ``status`` is ``ok`` or, for a
+    line of another form or with an impossible time, ``malformed`` (all
+    other columns NULL).  The pattern is matched once for each line."""
     c = F.col(line)
-    return lines.select(
-        F.to_timestamp_ntz(F.regexp_extract(c, LOG_PARSE, 1), F.lit(LOG_TS_FORMAT)).alias("ts"),
-        F.regexp_extract(c, LOG_PARSE, 2).alias("caller"),
-        F.lower(F.regexp_extract(c, LOG_PARSE, 3)).alias("level"),
-        F.regexp_extract(c, LOG_PARSE, 4).alias("message"))
+    parts = F.split(F.regexp_replace(c, LOG_PARSE, "$1\u0000$2\u0000$3\u0000$4"), "\u0000", 4)
+    d = lines.select(F.when(~F.contains(c, F.lit("\u0000")) | c.rlike(LOG_PARSE), parts).alias("_p"))
+    stamp = F.get("_p", F.lit(0))
+    n = lambda start, size: F.expr("try_cast(substr(_p[0], %d, %d) AS INT)" % (start, size))
+    second = (n(18, 2) + F.expr("try_cast(substr(_p[0], 21, 6) AS INT)") / 1000000).cast("decimal(8,6)")
+    ts = F.when(stamp.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d:\d{6}$"),
+                F.try_make_timestamp_ntz(n(1, 4), n(6, 2), n(9, 2), n(12, 2), n(15, 2), second))
+    d = d.withColumn("_ts", F.when(F.size("_p") == 4, ts))
+    ok = F.col("_ts").isNotNull()
+    part = lambda k: F.when(ok, F.get("_p", F.lit(k)))
+    return d.select(F.col("_ts").alias("ts"), part(1).alias("caller"), F.lower(part(2)).alias("level"), part(3).alias("message"),
+                    F.when(ok, "ok").otherwise("malformed").alias("status"))
 
 
 def timing(sent_ms, received, processed) -> tuple[Column, Column]:

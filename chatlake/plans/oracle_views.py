@@ -24,7 +24,7 @@ SELECT concat('!r', user_id % 10, ':', CASE user_id % 10 % 3 WHEN 0 THEN 'alpha.
        CASE event_type WHEN 'click' THEN 'always_reply' WHEN 'view' THEN 'tts' WHEN 'error' THEN 'stt' WHEN 'signup' THEN 'model' ELSE 'system_message' END AS setting,
        CASE event_type WHEN 'signup' THEN concat('model-', event_id % 4) WHEN 'purchase' THEN concat('Be terse ', event_id % 9) ELSE CAST(event_id % 2 AS STRING) END AS value,
        ts, event_id
-FROM events WHERE user_id % 10 < 8 AND NOT (user_id % 10 = 3 AND event_type = 'purchase')""",
+FROM events""",
     "usage_log": """
 SELECT concat('$', event_id) AS message_id, concat('!r', user_id % 10) AS room_id,
        concat('openai-', event_type) AS api, CAST(floor(value * 10) AS BIGINT) AS tokens, ts
@@ -35,9 +35,10 @@ SELECT concat('!m', event_id % 2000) AS room_id, concat('@u', user_id, ':alpha.e
 FROM events""",
     "room_state": """
 SELECT concat('!m', event_id % 2000) AS room_id,
-       CASE event_type WHEN 'view' THEN 'm.room.avatar' ELSE 'm.room.name' END AS type,
+       CASE event_type WHEN 'view' THEN 'm.room.avatar' WHEN 'click' THEN 'm.room.name' WHEN 'signup' THEN 'm.room.topic'
+            WHEN 'error' THEN 'm.room.encryption' ELSE 'm.room.canonical_alias' END AS type,
        '' AS state_key, props AS content, ts, event_id
-FROM events WHERE event_type IN ('view', 'click')""",
+FROM events""",
     "invites": """
 SELECT concat('!m', event_id % 2000) AS room_id, event_id FROM events WHERE event_type = 'signup'""",
     "ignored_rooms": """
@@ -45,9 +46,9 @@ SELECT DISTINCT concat('!m', event_id % 2000) AS room_id FROM events WHERE event
     "user_spaces": """
 SELECT DISTINCT concat('!space', user_id, ':alpha.example') AS space_id, concat('@u', user_id, ':alpha.example') AS user_id, user_id % 3 <> 0 AS active
 FROM events""",
-    "wiki_payloads": """
-SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN '{"query":{"pages":{}}}'
-       ELSE concat('{"query":{"pages":{"', doc_id, '":{"title":"doc ', doc_id, '","revisions":[{"*":"', lang, ' ', source, '"}]}}}}') END AS payload
+    "wiki_pages": """
+SELECT doc_id AS id, doc_id % 11 <> 0 AS found, CASE WHEN doc_id % 13 <> 0 THEN concat('doc ', doc_id) END AS title,
+       CASE WHEN doc_id % 17 <> 0 THEN text END AS content
 FROM documents""",
     "weather_payloads": """
 SELECT event_id AS id, concat('{"current":{"temp":', event_id % 40, ',"feels_like":', event_id % 38, ',"humidity":', event_id % 100, ',"wind_speed":', event_id % 25,
@@ -55,14 +56,15 @@ SELECT event_id AS id, concat('{"current":{"temp":', event_id % 40, ',"feels_lik
        '},"summary":"a","weather":[{"description":"x"}]},{"temp":{"day":', event_id % 31, '},"summary":"b","weather":[{"description":"y"}]}]}') AS payload
 FROM events""",
     "settings_commands": """
-SELECT concat('!r', user_id % 10, ':', CASE user_id % 10 % 3 WHEN 0 THEN 'alpha.example' WHEN 1 THEN 'beta.example' ELSE 'gamma.example' END) AS room_id,
-       event_id,
-       regexp_replace(concat('!bot roomsettings ',
+SELECT room_id, event_id, regexp_replace(CASE WHEN event_id % 13 = 0 THEN concat('!bot systemmessage ', v)
+         WHEN event_id % 13 = 1 THEN concat('* !bot systemmessage ', v)
+         ELSE concat(CASE event_id % 11 WHEN 0 THEN '* !bot roomsettings ' WHEN 1 THEN '!bot chat '
+                          WHEN 2 THEN '!other roomsettings ' ELSE '!bot roomsettings ' END, name, ' ', v) END, '\\s+$', '') AS body, ts
+FROM (SELECT *, concat('!r', user_id % 10, ':', CASE user_id % 10 % 3 WHEN 0 THEN 'alpha.example' WHEN 1 THEN 'beta.example' ELSE 'gamma.example' END) AS room_id,
          CASE event_id % 7 WHEN 0 THEN 'classification' WHEN 1 THEN 'timing' WHEN 2 THEN 'systemmessage'
-              WHEN 3 THEN 'always_reply' WHEN 4 THEN 'model' WHEN 5 THEN 'tts' ELSE 'bogus' END, ' ',
+              WHEN 3 THEN 'always_reply' WHEN 4 THEN 'model' WHEN 5 THEN 'tts' ELSE 'bogus' END AS name,
          CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'FALSE' WHEN 2 THEN 'yes' WHEN 3 THEN ''
-              ELSE concat('Be brief ', user_id) END), '\\s+$', '') AS body, ts
-FROM events""",
+              ELSE concat('Be brief ', user_id) END AS v FROM events)""",
     "log_records": """
 SELECT ts, concat('f', user_id % 5) AS caller,
        CASE event_type WHEN 'view' THEN 'debug' WHEN 'click' THEN 'info' WHEN 'signup' THEN 'warning' WHEN 'error' THEN 'error' ELSE 'critical' END AS level,
@@ -71,13 +73,16 @@ FROM events""",
     "media_meta": """
 SELECT p_partkey AS media_id, p_size * 100 AS w, CAST((p_partkey % 40 + 1) * 60 AS INT) AS h FROM part""",
     "model_replies": """
-SELECT event_id AS reply_id, concat('q', event_id) AS query,
-       CASE event_id % 8
-         WHEN 0 THEN concat('```json', chr(10), '{"tool":"dice","parameters":{"dice":"20"}}', '```')
-         WHEN 1 THEN '{"tool":"wikipedia","parameters":{"query":"x"}}'
-         WHEN 2 THEN '{}' WHEN 3 THEN 'plain text' WHEN 4 THEN '{"type":"calculate","prompt":"1+1"}'
-         WHEN 5 THEN '[1]' WHEN 6 THEN '{"tool":"nosuch"}' ELSE '{"tool":"wikipedia"}' END AS reply
-FROM events""",
+SELECT doc_id AS reply_id, concat('q', doc_id) AS query,
+       CASE doc_id % 20 WHEN 0 THEN concat('```json', chr(10), call, '```') WHEN 1 THEN call WHEN 2 THEN concat(call, ' ', call)
+            WHEN 3 THEN concat(call, ' or {so}') WHEN 4 THEN text WHEN 5 THEN typed WHEN 6 THEN concat(typed, ' {}')
+            WHEN 7 THEN concat('[', call, ']') WHEN 16 THEN '{"tool":"nosuch"}' WHEN 17 THEN '{"tool":"wikipedia"}' WHEN 18 THEN '{}'
+            WHEN 19 THEN concat('```json', chr(10), '{"tool":"dice","parameters":{"dice":"20"}}', '```')
+            ELSE concat('{"tool":"weather","parameters":{"latitude":',
+                        CASE doc_id % 20 WHEN 8 THEN '"0"' WHEN 9 THEN '0' WHEN 10 THEN '""' WHEN 11 THEN 'false' WHEN 12 THEN '"false"'
+                             WHEN 13 THEN 'null' WHEN 14 THEN '[]' WHEN 15 THEN '12.5' END, ',"longitude":"51"}}') END AS reply
+FROM (SELECT doc_id, text, concat('{"tool":"wikipedia","parameters":', json_object('query', text), '}') AS call,
+             concat('{"type":"imagine","prompt":', to_json(text), '}') AS typed FROM documents)""",
 }
 
 

@@ -25,13 +25,18 @@ def q_context_last_small(spark, sf):
     return q_context_last_n(spark, sf, n=SMALL_N)
 
 
-def q_context_token_budget(spark, sf):
+def q_context_token_budget(spark, sf, budget=BUDGET):
     ctx = C.last_n_messages(V.messages(spark, sf), CFG)
-    out = C.truncate_to_budget(ctx.withColumn("cost", T.message_cost("body")), BUDGET,
+    out = C.truncate_to_budget(ctx.withColumn("cost", T.message_cost("body")), budget,
                                system_cost=T.system_cost(F.lit(CFG.default_system_message)))
     return out.select("room_id", "seq", C.role_of("sender", CFG).alias("role"), "cost", "cum", "pinned")
 
 
+def q_context_default_budget(spark, sf):
+    """W2 at the default limit."""
+    return q_context_token_budget(spark, sf, CFG.max_tokens - 1)
+
+
 def _w1_sql(n: int) -> str:
     return f"""
 SELECT * FROM (
@@ -58,21 +63,27 @@ def _ctx_sql(n: int) -> str:
 
 SYS_COST = -(-len(CFG.default_system_message) // 4) + 1
 
-ORACLE = {
-    "context_last_n": _ctx_sql(CFG.max_messages),
-    "context_last_small": _ctx_sql(SMALL_N),
-    "context_token_budget": with_ctes(["messages"], [
+def _budget_sql(budget: int) -> str:
+    return with_ctes(["messages"], [
         ("ctx", _w1_sql(CFG.max_messages)),
         ("c", """SELECT room_id, seq, sender, CAST(ceil(length(body) / 4) AS BIGINT) + 1 AS cost,
                         seq = min(seq) OVER (PARTITION BY room_id) AS pinned FROM ctx"""),
         ("r", f"""SELECT *, CAST({SYS_COST} + sum(cost) OVER (PARTITION BY room_id ORDER BY pinned DESC, seq DESC
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum FROM c"""),
     ], f"""SELECT room_id, seq, CASE WHEN sender = '{CFG.bot_id}' THEN 'assistant' ELSE 'user' END AS role,
-               cost, cum, pinned FROM r WHERE cum <= {BUDGET}"""),
+               cost, cum, pinned FROM r WHERE cum <= {budget}""")
+
+
+ORACLE = {
+    "context_last_n": _ctx_sql(CFG.max_messages),
+    "context_last_small": _ctx_sql(SMALL_N),
+    "context_token_budget": _budget_sql(BUDGET),
+    "context_default_budget": _budget_sql(CFG.max_tokens - 1),
 }
 
 QUERIES = {
     "context_last_n": q_context_last_n,
     "context_last_small": q_context_last_small,
     "context_token_budget": q_context_token_budget,
+    "context_default_budget": q_context_default_budget,
 }

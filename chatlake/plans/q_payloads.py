@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_CONFIG, SEARCH_HEADER, SEARCH_RESULT
+from ..config import DEFAULT_CONFIG
 from ..functions import html as H
 from ..functions import payloads as P
 from ..functions import text as T
@@ -16,7 +16,6 @@ from ..sources.tables import table
 from .oracle_views import with_ctes
 
 CFG = DEFAULT_CONFIG
-TOP_RESULTS = 10
 CUSTOM = CFG.custom_kind_prefix + "."
 
 
@@ -86,15 +85,25 @@ def q_pod_flatten(spark, sf):
     return P.pod_lines(pods, subs, text=False)
 
 
+def search_payloads(spark, sf):
+    """One search per order, its lines as the results: a JSON array of a naturally small group."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    line = F.struct(F.col("l_linenumber").alias("k"), F.struct(
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"),
+        F.concat(F.lit("https://example.com/part/"), F.col("l_partkey").cast("string")).alias("url"),
+        F.concat(F.lit('by "'), F.col("l_returnflag"), F.lit('"')).alias("description"),
+        F.col("l_returnflag").alias("name"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("code")).alias("r"))
+    rows = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["r"])
+    return li.groupBy(F.col("l_orderkey").alias("order_id")).agg(F.to_json(rows).alias("payload"))
+
+
 def q_result_list(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    r = s.join(n, s.s_nationkey == n.n_nationkey).withColumnRenamed("n_name", "query")
-    key = F.col("s_suppkey").cast("string")
-    line = T.fill(SEARCH_RESULT, title=F.col("s_name"), url=F.concat(F.lit("https://example.com/supplier/"), key),
-                  description=F.concat(F.lit("supplier "), key, F.lit(" of "), F.col("query")))
-    header = T.fill(SEARCH_HEADER, query=F.col("query"))
-    return P.result_list(r, "query", [F.col("s_acctbal").desc(), F.col("s_suppkey")], TOP_RESULTS, line, header)
+    query = F.concat(F.lit("order "), F.col("order_id").cast("string"))
+    return search_payloads(spark, sf).select("order_id", P.result_list("payload", query).alias("text"))
+
+
+def q_carrier_list(spark, sf):
+    return search_payloads(spark, sf).select("order_id", P.carrier_list("payload").alias("text"))
 
 
 def _doc_bytes(spark, sf):
@@ -160,8 +169,9 @@ def _re(pattern: str) -> str:
 _HTML_SQL = "html"
 for _p in (H.COMMENT, H.SCRIPT, H.STYLE, H.DECLARATION):
     _HTML_SQL = f"regexp_replace({_HTML_SQL}, {_re(_p)}, '', 'g')"
-_HTML_SQL = f"regexp_replace({_HTML_SQL}, {_re(H.ANCHOR_HREF)}, '\\4 (\\1\\2\\3)', 'g')"
-_HTML_SQL = f"regexp_replace({_HTML_SQL}, {_re(H.ANCHOR_BARE)}, '\\1 (None)', 'g')"
+_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
+_HTML_SQL = f"regexp_replace({_HTML_SQL}, {_re(_HREF)}, '\\4 (\\1\\2\\3)', 'g')"
+_HTML_SQL = f"regexp_replace({_HTML_SQL}, {_re('(?is)<a(?:[ ][^>]*)?>(.*?)</a *>')}, '\\1 (None)', 'g')"
 _HTML_SQL = f"regexp_replace({_HTML_SQL}, {_re(H.TAG)}, '', 'g')"
 for _e, _c in H.ENTITIES:
     _HTML_SQL = f"replace({_HTML_SQL}, {_s(_e)}, {_s(_c)})"
@@ -212,12 +222,10 @@ SELECT page_id, {_enc("concat(url, ' page ', page_id)")} AS search_q,
        concat('https://', {_LANG}, '.wikipedia.org/w/api.php?action=query&format=json&titles=', {_enc(_TITLE)},
               '&prop=revisions&rvprop=content') AS wiki_request
 FROM pages""",
-    "wiki_extract": with_ctes(["wiki_payloads"], [("p", """
-SELECT id, json_extract(payload, '$.query.pages') -> json_keys(json_extract(payload, '$.query.pages'))[1] AS pg
-FROM wiki_payloads"""), ("q", """
-SELECT id, pg ->> 'title' AS title, (json_extract(pg, '$.revisions[0]')::MAP(VARCHAR, VARCHAR))['*'] AS content FROM p""")], """
-SELECT id, CASE WHEN content IS NOT NULL THEN 'ok' ELSE 'no_results' END AS status,
-       CASE WHEN content IS NOT NULL THEN concat('**Wikipedia: ', title, '**', chr(10), content)
+    "wiki_extract": with_ctes(["wiki_pages"], [("q", """
+SELECT *, found AND title IS NOT NULL AND content IS NOT NULL AS ok FROM wiki_pages""")], """
+SELECT id, CASE WHEN ok THEN 'ok' ELSE 'no_results' END AS status,
+       CASE WHEN ok THEN concat('**Wikipedia: ', title, '**', chr(10), content)
             ELSE concat('No results for q', id, ' found in Wikipedia.') END AS text
 FROM q"""),
     "weather_report": with_ctes(["weather_payloads"], [("t", f"""
@@ -249,14 +257,13 @@ SELECT o_custkey, l_orderkey, l_linenumber, 2,
             ELSE concat('```', {_NL}, l_partkey, {_NL}, '```') END
 FROM s""",
     "result_list": f"""
-WITH r AS (
-  SELECT n.n_name AS query,
-         concat({_NL}, s.s_name, {_NL}, 'https://example.com/supplier/', s.s_suppkey, {_NL}, 'supplier ', s.s_suppkey,
-                ' of ', n.n_name, {_NL}) AS line,
-         row_number() OVER (PARTITION BY n.n_name ORDER BY s.s_acctbal DESC, s.s_suppkey) AS rk
-  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey)
-SELECT query, concat('**Search results for ', query, '**', string_agg(line, '' ORDER BY rk)) AS text
-FROM r WHERE rk <= {TOP_RESULTS} GROUP BY query""",
+SELECT l_orderkey AS order_id, concat('**Search results for order ', l_orderkey, '**', string_agg(
+         concat({_NL}, 'part ', l_partkey, {_NL}, 'https://example.com/part/', l_partkey, {_NL}, 'by "', l_returnflag, '"', {_NL}),
+         '' ORDER BY l_linenumber, l_partkey::VARCHAR, l_returnflag)) AS text
+FROM lineitem GROUP BY l_orderkey""",
+    "carrier_list": f"""
+SELECT l_orderkey AS order_id, string_agg(concat('* ', l_returnflag, ' - c', l_linenumber), {_NL} ORDER BY l_linenumber, l_partkey::VARCHAR, l_returnflag) AS text
+FROM lineitem GROUP BY l_orderkey""",
     "file_text": "SELECT doc_id, text FROM documents WHERE doc_id % 9 <> 0 AND text <> ''",
     "data_url": "SELECT doc_id, concat('data:text/plain;base64,', to_base64(encode(text))) AS url FROM documents",
     "outbox_envelope": with_ctes(["messages"], [("m", f"""
@@ -291,6 +298,7 @@ QUERIES = {
     "weather_report": q_weather_report,
     "pod_flatten": q_pod_flatten,
     "result_list": q_result_list,
+    "carrier_list": q_carrier_list,
     "file_text": q_file_text,
     "data_url": q_data_url,
     "outbox_envelope": q_outbox_envelope,

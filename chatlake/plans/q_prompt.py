@@ -188,7 +188,6 @@ _DEF = _values([(t, k, v) for t, d in TOOL_DEFAULTS.items() for k, v in d.items(
 _REQ = _values([(t, k) for t, ks in TOOL_REQUIRED.items() for k in ks])
 _KNOWN = ", ".join(f"'{t}'" for t in TOOL_REQUIRED)
 _TOOLS = ", ".join(f"'{t}'" for t in TOOLS)
-_FALSY = "('', 'false', '0', '0.0', 'null', '[]', '{}')"
 
 
 def _model_case(col="reply_id"):
@@ -246,17 +245,20 @@ SELECT *, CAST({SYS_COST} + sum(cost) OVER (PARTITION BY room_id ORDER BY pinned
         ("d", f"SELECT * FROM (VALUES {_DEF}) d(tool, k, v)"),
         ("req", f"SELECT * FROM (VALUES {_REQ}) q(tool, k)"),
         ("pk", """
-SELECT c.reply_id, c.tool, u.key AS k, json_extract_string(c.arguments, concat('$."', u.key, '"')) AS v
-FROM calls c, unnest(json_keys(c.arguments)) AS u(key)"""),
+SELECT reply_id, tool, k, coalesce(json_extract_string(x, '$'), 'null') AS v,
+       CASE json_type(x) WHEN 'NULL' THEN true WHEN 'BOOLEAN' THEN x::VARCHAR = 'false' WHEN 'VARCHAR' THEN json_extract_string(x, '$') = ''
+            WHEN 'ARRAY' THEN json_array_length(x) = 0 WHEN 'OBJECT' THEN len(json_keys(x)) = 0 ELSE x::DOUBLE = 0 END AS falsy
+FROM (SELECT c.reply_id, c.tool, u.key AS k, json_extract(c.arguments, concat('$."', u.key, '"')) AS x
+      FROM calls c, unnest(json_keys(c.arguments)) AS u(key))"""),
         ("merged", """
-SELECT reply_id, tool, k, v FROM pk
+SELECT reply_id, tool, k, v, falsy FROM pk
 UNION ALL
-SELECT c.reply_id, c.tool, d.k, d.v FROM calls c JOIN d ON c.tool = d.tool
+SELECT c.reply_id, c.tool, d.k, d.v, d.v = '' FROM calls c JOIN d ON c.tool = d.tool
 WHERE NOT EXISTS (SELECT 1 FROM pk WHERE pk.reply_id = c.reply_id AND pk.k = d.k)"""),
         ("miss", f"""
 SELECT c.reply_id, min(q.k) AS missing FROM calls c JOIN req q ON c.tool = q.tool
 LEFT JOIN merged m ON m.reply_id = c.reply_id AND m.k = q.k
-WHERE m.v IS NULL OR m.v IN {_FALSY}
+WHERE m.v IS NULL OR m.falsy
 GROUP BY c.reply_id"""),
         ("agg", "SELECT reply_id, string_agg(concat(k, '=', v), ';' ORDER BY k) AS args FROM merged GROUP BY reply_id")], f"""
 SELECT c.reply_id, c.tool,

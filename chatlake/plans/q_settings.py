@@ -118,6 +118,23 @@ def _id_ok_table(c: str) -> str:
             f"(concat('*:', {srv}) IN (SELECT user_id FROM al) OR concat('@*:', {srv}) IN (SELECT user_id FROM al))))")
 
 
+_BOOLS = ", ".join(f"'{x}'" for x in BOOLEAN_SETTINGS)
+# P24 from the command's words: an edit marker goes first; only two commands write settings
+SETTINGS_STEPS = [("t", """
+SELECT *, list_filter(string_split_regex(CASE WHEN starts_with(body, '* ') THEN substr(body, 3) ELSE body END, '\\s+'),
+                      lambda x: x <> '') AS toks FROM settings_commands"""), ("u", """
+SELECT *, starts_with(toks[1], '!bot') AND toks[2] IN ('roomsettings', 'systemmessage') AS ours, toks[2] = 'systemmessage' AS msg FROM t"""),
+    ("w", """
+SELECT *, CASE WHEN NOT ours THEN NULL WHEN msg THEN 'system_message'
+               ELSE CASE toks[3] WHEN 'classification' THEN 'use_classification' WHEN 'timing' THEN 'use_timing'
+                                 WHEN 'systemmessage' THEN 'system_message' ELSE toks[3] END END AS setting,
+       coalesce(array_to_string(CASE WHEN msg THEN toks[3:] ELSE toks[4:] END, ' '), '') AS v FROM u"""), ("st", f"""
+SELECT *, CASE WHEN NOT ours THEN 'other_command'
+               WHEN setting IN ({_BOOLS}) THEN CASE WHEN v = '' THEN 'read' WHEN lower(v) IN ('true', 'false') THEN 'store' ELSE 'invalid_boolean' END
+               WHEN setting = 'system_message' {"OR setting = 'model'" if CFG.allow_model_override else ""} THEN CASE WHEN v = '' THEN 'read' ELSE 'store' END
+               ELSE 'unknown' END AS status,
+       CASE WHEN setting IN ({_BOOLS}) THEN CASE lower(v) WHEN 'true' THEN '1' ELSE '0' END ELSE v END AS stored FROM w""")]
+
 ORACLE = {
     "allowed_messages": with_ctes(["messages"], [_ACCESS], "SELECT room_id, event_id, sender FROM acc WHERE ok"),
     "allowed_by_table": with_ctes(["messages", "user_spaces"], [("al", "SELECT user_id FROM user_spaces WHERE active")], f"""
@@ -140,22 +157,8 @@ SELECT room_id, concat('GPT Room info:', chr(10), chr(10), 'Model: ', model, chr
                        'Bot user ID: {CFG.bot_id}', chr(10), chr(10), 'Current room ID: ', room_id, chr(10), chr(10),
                        'System message: ', system_message, chr(10)) AS info
 FROM profile"""),
-    "settings_validate": with_ctes(["settings_commands"], [("t", """
-SELECT *, list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '') AS toks FROM settings_commands"""), ("u", """
-SELECT *, CASE toks[3] WHEN 'classification' THEN 'use_classification' WHEN 'timing' THEN 'use_timing'
-                       WHEN 'systemmessage' THEN 'system_message' ELSE toks[3] END AS setting,
-       CASE WHEN len(toks) > 3 THEN array_to_string(toks[4:], ' ') END AS v FROM t"""), ("w", f"""
-SELECT *, CASE WHEN setting = 'system_message' THEN CASE WHEN coalesce(v, '') <> '' THEN 'store' ELSE 'read' END
-               WHEN setting IN ({", ".join(f"'{s}'" for s in BOOLEAN_SETTINGS)}) THEN
-                    CASE WHEN coalesce(v, '') = '' THEN 'read' WHEN lower(v) IN ('true', 'false') THEN 'store'
-                         ELSE 'invalid_boolean' END
-               {"WHEN setting = 'model' THEN CASE WHEN coalesce(v, '') <> '' THEN 'store' ELSE 'read' END" if CFG.allow_model_override else ""}
-               ELSE 'unknown' END AS status FROM u""")], f"""
-SELECT room_id, event_id, setting,
-       CASE WHEN status <> 'store' THEN NULL
-            WHEN setting IN ({", ".join(f"'{s}'" for s in BOOLEAN_SETTINGS)}) THEN CASE WHEN lower(v) = 'true' THEN '1' ELSE '0' END
-            ELSE v END AS value, status
-FROM w"""),
+    "settings_validate": with_ctes(["settings_commands"], SETTINGS_STEPS, """
+SELECT room_id, event_id, setting, CASE WHEN status = 'store' THEN stored END AS value, status FROM st"""),
     "reply_gate": with_ctes(["messages", "settings_log"], [_LATEST, _WIDE, _PROFILE], f"""
 SELECT m.room_id, m.event_id, p.always_reply, p.always_reply OR coalesce(contains(m.body, '{CFG.bot_id}'), false) AS reply
 FROM messages m LEFT JOIN profile p ON m.room_id = p.room_id

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG
 from ..operators import routing as R
+from ..operators import settings as S
 from ..operators import spaces as SP
 from ..sources import views as V
 from .oracle_views import with_ctes
 from .q_routing import _CMD_CTE, commands
 
 CFG = DEFAULT_CONFIG
+BOT_MEMBER = "@u1:alpha.example"    # the user of the membership fixture that stands for the bot
 
 
 def askers(spark, sf):
@@ -28,7 +30,10 @@ def q_abandoned_rooms(spark, sf):
 
 
 def q_pending_invites(spark, sf):
-    return SP.pending_invites(V.invites(spark, sf), V.ignored_rooms(spark, sf), V.room_state(spark, sf))
+    """Joined rooms: where the bot's newest membership is ``join``."""
+    own = V.member_events(spark, sf).where(F.col("user_id") == BOT_MEMBER)
+    joined = S.latest_per_key(own, ["room_id"], ["membership"]).where(F.col("membership") == "join")
+    return SP.pending_invites(V.invites(spark, sf), V.ignored_rooms(spark, sf), joined)
 
 
 def q_rooms_without_avatar(spark, sf):
@@ -84,9 +89,11 @@ FROM member_events"""), ("r", """
 SELECT *, sum(delta) OVER (PARTITION BY room_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m
 FROM d""")], """
 SELECT room_id, user_id, event_id, ts, CAST(m AS BIGINT) AS members_after FROM r WHERE membership = 'leave' AND m = 1"""),
-    "pending_invites": with_ctes(["invites", "ignored_rooms", "room_state"], [], """
+    "pending_invites": with_ctes(["invites", "ignored_rooms", "member_events"], [("joined", f"""
+SELECT room_id FROM member_events WHERE user_id = '{BOT_MEMBER}'
+GROUP BY room_id HAVING arg_max(membership, (ts, event_id)) = 'join'""")], """
 SELECT DISTINCT room_id FROM invites
-WHERE room_id NOT IN (SELECT room_id FROM ignored_rooms) AND room_id NOT IN (SELECT room_id FROM room_state)"""),
+WHERE room_id NOT IN (SELECT room_id FROM ignored_rooms) AND room_id NOT IN (SELECT room_id FROM joined)"""),
     "rooms_without_avatar": with_ctes(["member_events", "room_state"], [], """
 SELECT DISTINCT room_id FROM member_events
 WHERE room_id NOT IN (SELECT room_id FROM room_state WHERE type = 'm.room.avatar')"""),

@@ -14,6 +14,7 @@ from ..streaming import streams as ST
 from .q_routing import ORACLE as ROUTING_ORACLE
 from .q_spaces import ORACLE as SPACES_ORACLE
 from .q_usage import ORACLE as USAGE_ORACLE
+from .q_settings import SETTINGS_STEPS
 from .oracle_views import with_ctes
 
 CFG = DEFAULT_CONFIG
@@ -65,18 +66,8 @@ def q_stream_abandoned(spark, sf):
     return ST.read_abandoned(spark, out).select("room_id", "user_id", "event_id", "ts", "members_after")
 
 
-_SETTINGS_STORE = with_ctes(["settings_commands"], [("t", """
-SELECT *, list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '') AS toks FROM settings_commands"""), ("u", """
-SELECT *, CASE toks[3] WHEN 'classification' THEN 'use_classification' WHEN 'timing' THEN 'use_timing'
-                       WHEN 'systemmessage' THEN 'system_message' ELSE toks[3] END AS setting,
-       CASE WHEN len(toks) > 3 THEN array_to_string(toks[4:], ' ') END AS v FROM t"""), ("w", """
-SELECT room_id, setting, ts, event_id,
-       CASE WHEN setting = 'system_message' THEN v ELSE CASE WHEN lower(v) = 'true' THEN '1' ELSE '0' END END AS value
-FROM u
-WHERE (setting = 'system_message' AND coalesce(v, '') <> '')
-   OR (setting IN ('use_classification', 'use_timing', 'always_reply', 'tts', 'stt') AND lower(v) IN ('true', 'false'))""")],
-    """
-SELECT room_id, setting, value FROM w
+_SETTINGS_STORE = with_ctes(["settings_commands"], SETTINGS_STEPS, """
+SELECT room_id, setting, stored AS value FROM st WHERE status = 'store'
 QUALIFY row_number() OVER (PARTITION BY room_id, setting ORDER BY ts DESC, event_id DESC) = 1""")
 
 ORACLE = {

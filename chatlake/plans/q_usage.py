@@ -66,7 +66,11 @@ def q_log_render(spark, sf):
 
 
 def q_log_parse(spark, sf):
-    return U.parse_log(q_log_render(spark, sf))
+    """Rendered lines, some of them broken: no level, no time, or a month 13."""
+    line, n = F.col("line"), F.length("line") + F.ascii(F.substring("line", -2, 1))
+    broken = (F.when(n % 7 == 0, F.replace(line, F.lit("] - "), F.lit("] "))).when(n % 7 == 1, F.concat(F.lit("[] - "), F.substr(line, F.lit(33))))
+              .when(n % 7 == 2, F.concat(F.substring("line", 1, 6), F.lit("13"), F.substr(line, F.lit(9)))).otherwise(line))
+    return U.parse_log(q_log_render(spark, sf).select(broken.alias("line")))
 
 
 def q_message_timing(spark, sf):
@@ -111,12 +115,10 @@ FROM usage_log GROUP BY api"""),
 SELECT user_id AS request_id, CASE WHEN event_type = 'view' THEN NULL ELSE CAST(floor(value * 10) AS BIGINT) END AS tokens,
        ts, event_id AS seq,
        CASE event_type WHEN 'error' THEN 'stop' WHEN 'signup' THEN 'handover' ELSE 'ok' END AS outcome
-FROM events"""), ("a", """
-SELECT request_id, count(*) AS rounds, sum(coalesce(tokens, 0)) AS total,
-       arg_min(coalesce(tokens, 0), (ts, seq)) AS outer_t, arg_max(outcome, (ts, seq)) AS outcome
-FROM r GROUP BY request_id""")], """
-SELECT request_id, rounds, outcome,
-       CAST(total - CASE WHEN outcome IN ('stop', 'handover') THEN outer_t ELSE 0 END AS BIGINT) AS tokens FROM a"""),
+FROM events""")], """
+SELECT request_id, count(*) AS rounds, arg_max(outcome, (ts, seq)) AS outcome,
+       CAST(coalesce(sum(tokens) FILTER (WHERE outcome = 'ok'), 0) AS BIGINT) AS tokens
+FROM r GROUP BY request_id"""),
     "log_level_filter": with_ctes(["log_records"], [], f"""
 SELECT * FROM log_records
 WHERE list_position(['trace', 'debug', 'info', 'warning', 'error', 'critical'], level)
@@ -124,7 +126,11 @@ WHERE list_position(['trace', 'debug', 'info', 'warning', 'error', 'critical'],
     "log_render": with_ctes(["log_records"], [], """
 SELECT concat('[', strftime(ts, '%Y-%m-%d %H:%M:%S:%f'), '] - ', caller, ' - [', upper(level), '] ', message) AS line
 FROM log_records"""),
-    "log_parse": with_ctes(["log_records"], [], "SELECT ts, caller, level, message FROM log_records"),
+    "log_parse": with_ctes(["log_records"], [("l", """
+SELECT *, concat('[', strftime(ts, '%Y-%m-%d %H:%M:%S:%f'), '] - ', caller, ' - [', upper(level), '] ', message) AS line FROM log_records"""),
+        ("b", "SELECT *, (length(line) + ascii(substr(line, -2, 1))) % 7 > 2 AS ok FROM l")], """
+SELECT CASE WHEN ok THEN ts END AS ts, CASE WHEN ok THEN caller END AS caller, CASE WHEN ok THEN level END AS level,
+       CASE WHEN ok THEN message END AS message, CASE WHEN ok THEN 'ok' ELSE 'malformed' END AS status FROM b"""),
     "message_timing": """
 SELECT event_id,
        (epoch_us(ts) - (epoch_us(ts) // 1000 - event_id % 5000) * 1000) / 1e6 AS latency_s,

@@ -44,18 +44,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
-               max_shuffle_partitions: int = 100_000) -> dict[str, str]:
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Shuffle and scan sizing for an input of ``input_bytes`` on a cluster
     with ``total_cores`` task slots.
 
     Scan splits and shuffle partitions aim at ``target_partition_bytes``
     each, so a task's working set fits executor memory whatever the scale;
     the shuffle starts with one partition per target-sized slice of the
-    input (at least two waves of tasks, at most ``max_shuffle_partitions``
-    because shuffle blocks grow as mappers × reducers), and AQE coalesces
+    input (at least two waves of tasks), and AQE coalesces
     small ones and splits skewed ones at run time."""
-    initial = min(max(2 * total_cores, -(-input_bytes // target_partition_bytes)), max_shuffle_partitions)
+    initial = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(initial),
@@ -87,10 +85,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only when
-    none is configured (single-machine tests)."""
+    """Return the session's checkpoint folder.  A local one is set only where none is
+    configured and everything runs on one machine (tests); on a cluster a missing
+    setting is an error, as each executor would write to its own disk."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share (master {master})")
         path = tempfile.mkdtemp(prefix="chatlake-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -68,7 +68,7 @@ def messages_of(conversations: DataFrame, bot_id: str = "@bot:alpha.example",
 
 
 def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2: room setting writes; rooms 8 and 9 have none."""
+    """V2: room setting writes, one for each event."""
     return settings_log_of(table(spark, sf_dir, "events"))
 
 
@@ -81,9 +81,8 @@ def settings_log_of(events: DataFrame) -> DataFrame:
     value = (F.when(et == "signup", F.concat(F.lit("model-"), (eid % 4).cast("string")))
              .when(et == "purchase", F.concat(F.lit("Be terse "), (eid % 9).cast("string")))
              .otherwise((eid % 2).cast("string")))
-    return (e.where((u % 10 < 8) & ~((u % 10 == 3) & (et == "purchase")))
-            .select(_room(u).alias("room_id"), setting.alias("setting"), value.alias("value"),
-                    F.col("ts"), eid.alias("event_id")))
+    return e.select(_room(u).alias("room_id"), setting.alias("setting"), value.alias("value"),
+                    F.col("ts"), eid.alias("event_id"))
 
 
 def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,13 +117,13 @@ def member_events_of(events: DataFrame) -> DataFrame:
 
 
 def room_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Room state events (avatar or name)."""
+    """Room state events, a type for every event type."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "props")
-    return (e.where(F.col("event_type").isin("view", "click"))
-            .select(F.concat(F.lit("!m"), (F.col("event_id") % 2000).cast("string")).alias("room_id"),
-                    F.when(F.col("event_type") == "view", "m.room.avatar").otherwise("m.room.name").alias("type"),
-                    F.lit("").alias("state_key"), F.col("props").alias("content"),
-                    F.col("ts"), F.col("event_id")))
+    et = F.col("event_type")
+    kind = (F.when(et == "view", "m.room.avatar").when(et == "click", "m.room.name").when(et == "signup", "m.room.topic")
+            .when(et == "error", "m.room.encryption").otherwise("m.room.canonical_alias"))
+    return e.select(F.concat(F.lit("!m"), (F.col("event_id") % 2000).cast("string")).alias("room_id"), kind.alias("type"),
+                    F.lit("").alias("state_key"), F.col("props").alias("content"), F.col("ts"), F.col("event_id"))
 
 
 def invites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,14 +152,16 @@ def user_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wiki_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V6: encyclopedia payloads; one in eleven has no page."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    did = F.col("doc_id").cast("string")
-    payload = F.when(F.col("doc_id") % 11 == 0, F.lit('{"query":{"pages":{}}}')).otherwise(
-        F.concat(F.lit('{"query":{"pages":{"'), did, F.lit('":{"title":"doc '), did,
-                 F.lit('","revisions":[{"*":"'), F.col("lang"), F.lit(" "), F.col("source"),
-                 F.lit('"}]}}}}')))
-    return d.select(F.col("doc_id").alias("id"), payload.alias("payload"))
+    """V6: encyclopedia payloads with the documents' texts as content; one in eleven
+    has no page, one in thirteen a page without a title, one in seventeen a page without content."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    i, did = F.col("doc_id"), F.col("doc_id").cast("string")
+    title = F.when(i % 13 != 0, F.concat(F.lit("doc "), did))
+    content = F.when(i % 17 != 0, F.col("text"))
+    page = F.struct(title.alias("title"), F.array(F.struct(content.alias("*"))).alias("revisions"))
+    payload = F.when(i % 11 == 0, F.lit('{"query":{"pages":{}}}')).otherwise(
+        F.concat(F.lit('{"query":{"pages":'), F.to_json(F.create_map(did, page)), F.lit("}}")))
+    return d.select(i.alias("id"), payload.alias("payload"))
 
 
 def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,18 +202,21 @@ def media_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model replies of every shape (fenced JSON, tool calls, text)."""
-    e = table(spark, sf_dir, "events").select("event_id")
-    m = F.col("event_id") % 8
-    reply = (F.when(m == 0, F.lit('```json\n{"tool":"dice","parameters":{"dice":"20"}}```'))
-             .when(m == 1, F.lit('{"tool":"wikipedia","parameters":{"query":"x"}}'))
-             .when(m == 2, F.lit("{}")).when(m == 3, F.lit("plain text"))
-             .when(m == 4, F.lit('{"type":"calculate","prompt":"1+1"}'))
-             .when(m == 5, F.lit("[1]")).when(m == 6, F.lit('{"tool":"nosuch"}'))
-             .otherwise(F.lit('{"tool":"wikipedia"}')))
-    return e.select(F.col("event_id").alias("reply_id"),
-                    F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("query"),
-                    reply.alias("reply"))
+    """Raw model replies around the documents' texts: fenced, plain, concatenated, with words
+    after them, and tool arguments of every JSON type that may pass for empty."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    i = F.col("doc_id")
+    text = F.to_json(F.struct(F.col("text").alias("query")))              # {"query":"..."}
+    fence, end = F.lit("```json\n"), F.lit("```")
+    call = F.concat(F.lit('{"tool":"wikipedia","parameters":'), text, F.lit("}"))
+    typed = F.concat(F.lit('{"type":"imagine","prompt":'), F.expr("substr(to_json(named_struct('q', text)), 6)"))
+    weather = lambda lat: F.lit('{"tool":"weather","parameters":{"latitude":%s,"longitude":"51"}}' % lat)
+    shapes = [F.concat(fence, call, end), call, F.concat(call, F.lit(" "), call), F.concat(call, F.lit(" or {so}")), F.col("text"),
+              typed, F.concat(typed, F.lit(" {}")), F.concat(F.lit("["), call, F.lit("]")), weather('"0"'), weather("0"), weather('""'),
+              weather("false"), weather('"false"'), weather("null"), weather("[]"), weather("12.5"), F.lit('{"tool":"nosuch"}'),
+              F.lit('{"tool":"wikipedia"}'), F.lit("{}"), F.lit('```json\n{"tool":"dice","parameters":{"dice":"20"}}```')]
+    reply = F.element_at(F.array(*shapes), (F.pmod(i, F.lit(len(shapes))) + 1).cast("int"))
+    return d.select(i.alias("reply_id"), F.concat(F.lit("q"), i.cast("string")).alias("query"), reply.alias("reply"))
 
 
 def settings_commands(spark: SparkSession, sf_dir: str, prefix: str = "!bot") -> DataFrame:
@@ -229,5 +233,10 @@ def settings_commands_of(events: DataFrame, prefix: str = "!bot") -> DataFrame:
             .otherwise("bogus"))
     value = (F.when(i % 5 == 0, F.lit("true")).when(i % 5 == 1, F.lit("FALSE")).when(i % 5 == 2, F.lit("yes"))
              .when(i % 5 == 3, F.lit("")).otherwise(F.concat(F.lit("Be brief "), F.col("user_id").cast("string"))))
-    body = F.regexp_replace(F.concat(F.lit(prefix + " roomsettings "), name, F.lit(" "), value), r"\s+$", "")
-    return e.select(_room(F.col("user_id")).alias("room_id"), i.alias("event_id"), body.alias("body"), F.col("ts"))
+    head = (F.when(i % 11 == 0, F.lit(f"* {prefix} roomsettings ")).when(i % 11 == 1, F.lit(f"{prefix} chat "))
+            .when(i % 11 == 2, F.lit("!other roomsettings ")).otherwise(F.lit(prefix + " roomsettings ")))
+    body = (F.when(i % 13 == 0, F.concat(F.lit(prefix + " systemmessage "), value))
+            .when(i % 13 == 1, F.concat(F.lit(f"* {prefix} systemmessage "), value))
+            .otherwise(F.concat(head, name, F.lit(" "), value)))
+    return e.select(_room(F.col("user_id")).alias("room_id"), i.alias("event_id"),
+                    F.regexp_replace(body, r"\s+$", "").alias("body"), F.col("ts"))

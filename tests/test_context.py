@@ -16,29 +16,22 @@ SCHEMA = "room_id string, event_id string, sender string, kind string, body stri
 MEDIA = {"m.image", "m.audio", "m.file", "m.video"}
 
 
+def belongs(row, ignore_notices):
+    """May this message stand in a context at all?"""
+    kind, body = row[3] or "", row[4] or ""
+    custom_call = body.split()[1:2] == ["custom"]
+    return any((kind.startswith(CFG.custom_kind_prefix), kind in MEDIA, kind == "m.notice" and not ignore_notices,
+                kind == "m.text" and (custom_call or not body.startswith("!"))))
+
+
 def ref_last_n(rows, n, ignore_notices=True):
-    page = sorted(rows, key=lambda r: -r[5])[:2 * n]
-    out = []
-    for r in page:
-        kind, body = r[3], r[4]
-        if kind is None:
-            pass
-        elif kind.startswith(CFG.custom_kind_prefix):
-            out.append(r)
-        elif kind == "m.text":
-            toks = body.split()
-            if toks == [CFG.prefix, "ignoreolder"]:
-                break
-            if not body.startswith("!") or (len(toks) > 1 and toks[1] == "custom"):
-                out.append(r)
-        elif kind == "m.notice":
-            if not ignore_notices:
-                out.append(r)
-        elif kind in MEDIA:
-            out.append(r)
-        if len(out) >= n:
-            break
-    return out[::-1]
+    """W1 as a set: of the 2n newest messages those after the newest marker that
+    belong, and of these the n newest."""
+    seqs = sorted((r[5] for r in rows), reverse=True)
+    oldest = min(seqs[:2 * n], default=0)
+    marks = [r[5] for r in rows if r[3] == "m.text" and (r[4] or "").split() == [CFG.prefix, "ignoreolder"] and r[5] >= oldest]
+    fit = [r for r in rows if r[5] >= oldest and r[5] > max(marks, default=-1) and belongs(r, ignore_notices)]
+    return [r for r in fit if sum(x[5] >= r[5] for x in fit) <= n]
 
 
 def cost(body):
@@ -46,15 +39,10 @@ def cost(body):
 
 
 def ref_truncate(msgs, budget, sys_cost):
-    if not msgs or sys_cost > budget:
-        return []
-    total, kept = sys_cost, []
-    for m in [msgs[0]] + list(reversed(msgs[1:])):
-        if total + cost(m[4]) > budget:
-            break
-        total += cost(m[4])
-        kept.append(m)
-    return kept
+    """W2 as the longest prefix of (oldest, newest, second newest, ...) that fits."""
+    order = msgs[:1] + msgs[:0:-1]
+    fitting = [k for k in range(len(order) + 1) if sys_cost + sum(cost(m[4]) for m in order[:k]) <= budget]
+    return order[:max(fitting, default=0)]
 
 
 def run_w1(spark, rows, n, ignore_notices=True):

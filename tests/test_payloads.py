@@ -1,7 +1,7 @@
 """Edge rows for payload functions: HTML, fenced JSON / tool calls,
 service payloads, image box planning, attachments, form encoding."""
 
-import math
+import json
 import urllib.parse
 
 from pyspark.sql import functions as F
@@ -113,34 +113,28 @@ def test_wiki_and_weather_edges(spark):
     assert (rows[1].s, rows[1].t) == ("error", None)
 
 
-def pil_thumbnail(w, h, bx, by):
-    """The aspect-preserving fit rule, as a plain loop-free function."""
-    if bx >= w and by >= h:
-        return w, h
-    aspect = w / h
-    if bx / by >= aspect:
-        x = max(min(math.floor(by * aspect), math.ceil(by * aspect), key=lambda n: abs(aspect - n / by)), 1)
-        return x, by
-    y = max(min(math.floor(bx / aspect), math.ceil(bx / aspect),
-                key=lambda n: 0 if n == 0 else abs(aspect - bx / n)), 1)
-    return bx, y
-
-
-def py_fit(w, h, long_=2000, short=768):
-    if not (long_ and short):
-        return w, h
-    if w > h:
-        return pil_thumbnail(w, h, long_, short) if w > long_ else (w, h)
-    return pil_thumbnail(w, h, short, long_) if h > long_ else (w, h)
+def aspect_error(w, h, nw, nh):
+    return abs(w / h - nw / nh)
 
 
 def test_fit_box(spark):
+    """Fits the box, never enlarges, one side is the box's, and no other length of the
+    other side keeps the proportions better."""
+    long_, short = 2000, 768
     sizes = [(3000, 3000), (2000, 500), (2001, 1999), (1900, 1000), (1, 1), (5000, 60), (60, 5000), (2100, 1000),
              (2400, 1000), (768, 2001), (4000, 3000), (3, 2001)]
     df = spark.createDataFrame(sizes, "w int, h int")
     nw, nh = P.fit_box("w", "h", CFG)
     got = [(r.a, r.b) for r in df.select(nw.alias("a"), nh.alias("b")).collect()]
-    assert got == [py_fit(w, h) for w, h in sizes]
+    for (w, h), (a, b) in zip(sizes, got):
+        box = (long_, short) if w > h else (short, long_)
+        if (w > h and w <= long_) or (w <= h and h <= long_):
+            assert (a, b) == (w, h)
+            continue
+        assert 1 <= a <= min(w, box[0]) and 1 <= b <= min(h, box[1])
+        assert a == box[0] or b == box[1]
+        others = [(x, b) for x in range(1, box[0] + 1)] if b == box[1] else [(a, y) for y in range(1, box[1] + 1)]
+        assert aspect_error(w, h, a, b) <= min(aspect_error(w, h, *o) for o in others) + 1e-12
     nw0, nh0 = P.fit_box("w", "h", CFG.with_(image_long_side=0))
     assert [(r.a, r.b) for r in df.select(nw0.alias("a"), nh0.alias("b")).collect()] == sizes
 
@@ -190,9 +184,37 @@ def test_pod_lines_from_nested(spark):
                                     ["Could not process your query."]]
 
 
-def test_result_list_bullets_and_top_k(spark):
-    rows = [("carriers", i, f"Carrier {i}", f"c{i}") for i in (3, 1, 2)] + [("other", 1, "Solo", "s")]
-    df = spark.createDataFrame(rows, "q string, rank int, name string, code string")
-    line = F.concat(F.lit("* "), F.col("name"), F.lit(" - "), F.col("code"))
-    got = {r.q: r.text for r in P.result_list(df, "q", "rank", 2, line, sep="\n").collect()}
-    assert got == {"carriers": "* Carrier 1 - c1\n* Carrier 2 - c2", "other": "* Solo - s"}
+def test_lists_hold_every_item(spark):
+    many = [{"title": f"t{i}", "url": f"u{i}", "description": "d", "name": f"n{i}", "code": f"c{i}"} for i in range(25)]
+    rows = [(1, json.dumps(many)), (2, "[]"), (3, "no json"), (4, json.dumps([{"title": "only"}])), (5, None)]
+    df = spark.createDataFrame(rows, "i int, payload string")
+    got = {r.i: (r.a, r.b) for r in df.select("i", P.result_list("payload", F.lit("q")).alias("a"), P.carrier_list("payload").alias("b")).collect()}
+    head = "**Search results for q**"
+    assert got[1][0] == head + "".join(f"\nt{i}\nu{i}\nd\n" for i in range(25))
+    assert got[1][1] == "\n".join(f"* n{i} - c{i}" for i in range(25))
+    assert got[2] == (head, "") and got[4] == (head, "") and got[5] == (None, None)
+
+
+def test_wiki_without_title(spark):
+    payloads = ['{"query":{"pages":{"1":{"title":"T","revisions":[{"*":"x"}]}}}}', '{"query":{"pages":{"1":{"revisions":[{"*":"x"}]}}}}',
+                '{"query":{"pages":{"1":{"title":"T"}}}}', '{"query":{"pages":{}}}', "{"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i int, p string")
+    status, text = P.wiki_report("p", F.lit("q"))
+    got = [(r.s, r.t is not None) for r in df.select("i", status.alias("s"), text.alias("t")).orderBy("i").collect()]
+    assert got == [("ok", True)] + [("no_results", True)] * 4
+
+
+def test_html_anchors_and_entities(spark):
+    from time import perf_counter
+
+    from chatlake.functions import html as H
+
+    cases = [('<a data-href="/x" href="/y">t</a>', "t (/y)"), ("&#8217;&mdash;&#x41;&#0;&#xD800;&#99999999;&amp;#65;", "’—A&#0;&#xD800;&#99999999;&#65;"),
+             ("<a href='/1'>one<a href='/2'>two</a>", "onetwo (/2)"), ("<a>bare <b>x</b></a>", "bare x (None)"), ("&# &#; a&#65", "&# &#; a&#65")]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "h string")
+    assert [r.t for r in df.select(H.html_to_text("h").alias("t")).collect()] == [t for _, t in cases]
+    big = spark.createDataFrame([('<a href="/x">open ' * 8000,)], "h string").select(H.html_to_text("h").alias("t"))
+    big.collect()
+    start = perf_counter()
+    assert big.collect()[0].t.startswith("open open")
+    assert perf_counter() - start < 5

@@ -42,8 +42,8 @@ def test_no_python_in_native_operators(spark, sf_dir, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
-    t = plan_text(Q["state_lookup"](spark, sf_dir))
-    assert re.search(r"PushedFilters: \[[^\]]*In\(event_type", t), t
+    t = plan_text(Q["pending_invites"](spark, sf_dir))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(event_type,signup\)", t), t
     t = plan_text(Q["usage_by_room"](spark, sf_dir))
     assert "ReadSchema: struct<user_id:bigint,value:double>" in t, t
     t = plan_text(Q["allowed_messages"](spark, sf_dir))

@@ -15,7 +15,7 @@ def test_membership_counts_hash_aggregate(spark, sf_dir):
 
 def test_scale_conf():
     c = scale_conf(100 * 2 ** 40, 8000)
-    assert c["spark.sql.shuffle.partitions"] == "100000"          # capped
+    assert c["spark.sql.shuffle.partitions"] == str(100 * 2 ** 40 // (256 << 20))
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
     small = scale_conf(100 * 2 ** 20, 8)
     assert small["spark.sql.shuffle.partitions"] == "16"          # two waves of 8 cores

@@ -46,9 +46,25 @@ def test_log_levels(spark):
     assert [r.level for r in U.level_filter(logs, "info").collect()] == ["info", "warning", "critical"]
     with pytest.raises(ValueError):
         U.level_filter(logs, "loud")
-    bad = spark.createDataFrame([("loud",)], "level string")
-    with pytest.raises(Exception):
-        U.level_filter(bad, "info").collect()
+    bad = spark.createDataFrame([("loud",), (None,), ("info",)], "level string")
+    assert [r.level for r in U.level_filter(bad, "info").collect()] == ["info"]
+    assert [r.level for r in U.unknown_levels(bad).collect()] == ["loud", None]
+
+
+def test_request_tokens_by_round(spark):
+    rounds = [(1, 100, 1, "ok"), (1, 50, 2, "stop"), (2, 100, 1, "ok"), (2, 50, 2, "handover"), (2, 7, 3, "ok"), (3, None, 1, "ok"), (4, 9, 1, "stop")]
+    df = spark.createDataFrame([(r, t, s, s, o) for r, t, s, o in rounds], "request_id int, tokens long, ts long, seq long, outcome string")
+    got = {r.request_id: (r.rounds, r.outcome, r.tokens) for r in U.request_tokens(df.withColumn("ts", F.timestamp_seconds("ts"))).collect()}
+    assert got == {1: (2, "stop", 100), 2: (3, "ok", 107), 3: (1, "ok", 0), 4: (1, "stop", 0)}
+
+
+def test_malformed_log_lines(spark):
+    lines = ["[2024-02-03 04:05:06:000007] - f1 - [INFO] a - [X] b\nc", "[] - f - [INFO] x", "[2024-13-03 04:05:06:000007] - f1 - [INFO] a", "free text", None]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    rows = U.parse_log(df).collect()
+    assert [r.status for r in rows] == ["ok"] + ["malformed"] * 4
+    assert (str(rows[0].ts), rows[0].caller, rows[0].level, rows[0].message) == ("2024-02-03 04:05:06.000007", "f1", "info", "a - [X] b\nc")
+    assert all(tuple(r)[:4] == (None,) * 4 for r in rows[1:])
 
 
 def test_read_attachments_folder(spark):
