@@ -1,11 +1,11 @@
 """Context assembly: history window (W1), token budget (W2), media merge
 (W3) and prompt sequence assembly (U1, U2, P13, P17-P19).
 
-All windows partition by ``room_id``.  The first window ranks newest-first
+All windows partition by ``room_id``.  The first one ranks newest-first
 and is cut at ``2n`` rows with ``row_number() <= k``, which Catalyst turns
-into a ``WindowGroupLimit`` on both sides of the exchange: a room holding a
-third of all messages still ships at most ``2n`` rows per map task to the
-reducer, so the later running sums work on bounded groups.
+into a ``WindowGroupLimit`` on both sides of the exchange, after a limit by (room,
+salt): a room holding a third of all messages brings its reducer at most
+``SALTS * 2n`` rows, however many splits hold it.
 """
 
 from __future__ import annotations
@@ -56,6 +56,33 @@ def context_eligible(cfg: BotConfig = DEFAULT_CONFIG, ignore_notices: bool = Tru
             .otherwise(F.lit(False)))
 
 
+def resolve_kind(events: DataFrame) -> DataFrame:
+    """An event's ``kind`` is its ``type``, else the ``msgtype`` of its ``content`` (JSON).
+    ``kind_status``: ``ok``; without either, ``ignored`` for membership events
+    (``membership`` not NULL), which are skipped quietly, and ``unprocessable`` for
+    others, which deserve a warning."""
+    kind = F.coalesce(F.col("type"), F.get_json_object("content", "$.msgtype"))
+    return events.withColumn("kind", kind).withColumn(
+        "kind_status", F.when(F.col("kind").isNotNull(), "ok").when(F.col("membership").isNotNull(), "ignored").otherwise("unprocessable"))
+
+
+#: Parts that a room's messages are limited in before the limit of the room itself.
+SALTS = 256
+
+
+def newest_raw(messages: DataFrame, k: int, salts: int = SALTS) -> DataFrame:
+    """L1: the ``k`` newest rows of each room with ``raw_rank``, in two levels.
+
+    A limit by room alone leaves ``k`` rows of each map task to one reducer, which for a
+    room in all splits grows with their number.  Rows are therefore limited
+    by (room, salt) first; the room's reducer then gets ``salts * k`` rows at most."""
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(salts))
+    part = Window.partitionBy("room_id", "_salt").orderBy(F.col("seq").desc())
+    first = (messages.withColumn("_salt", salt).withColumn("_part_rank", F.row_number().over(part))
+             .where(F.col("_part_rank") <= k).drop("_salt", "_part_rank"))
+    return first.withColumn("raw_rank", F.row_number().over(newest_first())).where(F.col("raw_rank") <= k)
+
+
 def last_n_messages(messages: DataFrame, cfg: BotConfig = DEFAULT_CONFIG, n: int | None = None,
                     ignore_notices: bool = True) -> DataFrame:
     """S1 + P1 + P7 + W1 + L1: the context window of every room.
@@ -68,9 +95,7 @@ def last_n_messages(messages: DataFrame, cfg: BotConfig = DEFAULT_CONFIG, n: int
     n = n or cfg.max_messages
     # Rows without a kind still occupy a slot of the fetched page; they
     # are never kept (context_eligible is false for a NULL kind).
-    raw = (messages
-           .withColumn("raw_rank", F.row_number().over(newest_first()))
-           .where(F.col("raw_rank") <= 2 * n))                  # WindowGroupLimit
+    raw = newest_raw(messages, 2 * n)
     flagged = (raw
                .withColumn("_marker", F.when(is_marker(cfg), 1).otherwise(0))
                .withColumn("_keep", F.when(context_eligible(cfg, ignore_notices), 1).otherwise(0))
@@ -89,9 +114,7 @@ def context_with_trigger(messages: DataFrame, cfg: BotConfig = DEFAULT_CONFIG, n
     context.  No aggregation or join: everything stays inside the one
     shuffle by room."""
     n = n or cfg.max_messages
-    raw = (messages
-           .withColumn("raw_rank", F.row_number().over(newest_first()))
-           .where(F.col("raw_rank") <= 2 * n))
+    raw = newest_raw(messages, 2 * n)
     flagged = (raw
                .withColumn("_marker", F.when(is_marker(cfg), 1).otherwise(0))
                .withColumn("_keep", F.when(context_eligible(cfg, ignore_notices), 1).otherwise(0))

@@ -16,6 +16,10 @@ BUDGET = 1000
 SMALL_N = 8
 
 
+def q_kind_resolution(spark, sf):
+    return C.resolve_kind(V.raw_events(spark, sf)).select("event_id", "kind", F.col("kind_status").alias("status"))
+
+
 def q_context_last_n(spark, sf, n=None):
     ctx = C.last_n_messages(V.messages(spark, sf), CFG, n=n)
     return ctx.select("room_id", "event_id", "seq", "kind", "sender", "ctx_rank")
@@ -75,6 +79,12 @@ def _budget_sql(budget: int) -> str:
 
 
 ORACLE = {
+    "kind_resolution": """
+SELECT concat('$', conv_id, '-', turn) AS event_id, kind,
+       CASE WHEN kind IS NOT NULL THEN 'ok' WHEN k IN (2, 8, 14) THEN 'ignored' ELSE 'unprocessable' END AS status
+FROM (SELECT *, CASE WHEN k < 5 THEN concat('m.type', k) WHEN k IN (13, 14) THEN NULL
+                     WHEN k % 3 = 0 THEN 'm.text' WHEN k % 3 = 1 THEN 'm.image' END AS kind
+      FROM (SELECT *, (conv_id * 7 + turn * 3) % 16 AS k FROM conversations))""",
     "context_last_n": _ctx_sql(CFG.max_messages),
     "context_last_small": _ctx_sql(SMALL_N),
     "context_token_budget": _budget_sql(BUDGET),
@@ -82,6 +92,7 @@ ORACLE = {
 }
 
 QUERIES = {
+    "kind_resolution": q_kind_resolution,
     "context_last_n": q_context_last_n,
     "context_last_small": q_context_last_small,
     "context_token_budget": q_context_token_budget,

@@ -47,7 +47,7 @@ def q_stream_usage(spark, sf):
     agg = u.groupBy("api").agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("units"),
                                F.count("*").alias("requests"))
     ST.run_available_now(agg, out, output_mode="complete", foreach_batch=ST.snapshot_sink(out))
-    return ST.read_latest_snapshot(spark, out).withColumn("unit", U.unit_of("api"))
+    return ST.read_latest_snapshot(spark, out, "api string, units bigint, requests bigint").withColumn("unit", U.unit_of("api"))
 
 
 def q_stream_dedup(spark, sf):

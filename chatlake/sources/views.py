@@ -67,6 +67,18 @@ def messages_of(conversations: DataFrame, bot_id: str = "@bot:alpha.example",
     )
 
 
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events before their kind is known: type given or not, content with or without
+    ``msgtype``, broken or missing, membership events among them."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    k = (F.col("conv_id") * 7 + F.col("turn") * 3) % 16
+    msgtype = F.when(k % 3 == 0, "m.text").when(k % 3 == 1, "m.image")
+    content = F.when(k == 13, F.lit("{broken")).when(k != 14, F.to_json(F.struct(msgtype.alias("msgtype"), F.col("text").alias("body"))))
+    return c.select(F.concat(F.lit("$"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("event_id"),
+                    F.when(k < 5, F.concat(F.lit("m.type"), k.cast("string"))).alias("type"), content.alias("content"),
+                    F.when(k.isin(2, 8, 14), "join").alias("membership"))
+
+
 def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: room setting writes, one for each event."""
     return settings_log_of(table(spark, sf_dir, "events"))

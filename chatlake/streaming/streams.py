@@ -31,8 +31,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pyspark.errors import AnalysisException
-
 from ..operators.settings import latest_per_key
 from ..operators.spaces import abandoned_increment
 from ..session import checkpoint_path
@@ -105,9 +103,19 @@ def change_log_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A sink's partitions; nothing written yet is an empty table of ``schema``.  Any
+    other trouble with the folder is an error, never taken for emptiness."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCH}=*/*.parquet")
+    found = files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files)
+    if found is None or len(found) == 0:
+        return spark.createDataFrame([], f"{schema}, {BATCH} bigint")
+    return spark.read.parquet(path)
+
+
 def read_settings(spark: SparkSession, out_dir: str) -> DataFrame:
     """Latest value per ``(room_id, setting)`` over the change log."""
-    log = spark.read.parquet(f"{out_dir}/log")
+    log = _read(spark, f"{out_dir}/log", "room_id string, setting string, value string, ts timestamp, event_id bigint")
     return latest_per_key(log, ["room_id", "setting"], ["value"])
 
 
@@ -124,12 +132,11 @@ def snapshot_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def read_latest_snapshot(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The snapshot of the highest batch id (a one-row aggregate joined
-    back; the aggregate is broadcast, bounded by construction)."""
-    s = spark.read.parquet(f"{out_dir}/snapshots")
-    top = F.broadcast(s.agg(F.max(BATCH).alias("_top")))
-    return s.join(top, s[BATCH] == top["_top"]).drop("_top", BATCH)
+def read_latest_snapshot(spark: SparkSession, out_dir: str, schema: str = "api string, units bigint, requests bigint") -> DataFrame:
+    """The snapshot of the highest batch id (a scalar subquery); ``schema`` is that of a sink
+    without any."""
+    s = _read(spark, f"{out_dir}/snapshots", schema)
+    return s.where(F.col(BATCH) == s.agg(F.max(BATCH)).scalar()).drop(BATCH)
 
 
 # --------------------------------------------------------------------- T2
@@ -138,9 +145,8 @@ def read_latest_snapshot(spark: SparkSession, out_dir: str) -> DataFrame:
 def _state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """The state snapshot written by the newest batch before ``batch_id``
     (None before the first batch)."""
-    try:
-        s = spark.read.parquet(path)
-    except AnalysisException:
+    s = _read(spark, path, "room_id string")
+    if "user_id" not in s.columns:
         return None
     prev = s.where(F.col(BATCH) < batch_id)
     top = prev.agg(F.max(BATCH)).scalar()
@@ -175,7 +181,7 @@ def abandoned_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
 
 
 def read_abandoned(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{out_dir}/abandoned").drop(BATCH)
+    return _read(spark, f"{out_dir}/abandoned", ABANDON_SCHEMA).drop(BATCH)
 
 
 # The same operator with Python state per room (``applyInPandasWithState``):
@@ -216,9 +222,16 @@ def abandoned_stream(events: DataFrame) -> DataFrame:
 
 
 def dedup_redelivered(events: DataFrame, key: str = "event_id", ts: str = "ts",
-                      delay: str = "10 minutes") -> DataFrame:
-    """T5: drop re-delivered events (same key) that arrive within the
-    watermark delay of each other."""
+                      delay: str | None = None) -> DataFrame:
+    """T5: drop re-delivered events (same key).
+
+    Without ``delay`` every key is remembered, so each event comes out exactly once however
+    late its first delivery is: the form for backfills and sources out of time order;
+    its state grows with the keys.  With ``delay`` only keys within the watermark
+    are remembered, and a row later than that, first delivery or not, is dropped: the
+    form for live streams whose lateness is known."""
+    if delay is None:
+        return events.dropDuplicates([key])
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 

@@ -10,6 +10,26 @@ from chatlake.streaming import streams as ST
 SCHEMA = "event_id bigint, ts timestamp, v string"
 
 
+def test_late_first_delivery_comes_out_once(spark):
+    base = tempfile.mkdtemp(prefix="chatlake-late-")
+    src, out = os.path.join(base, "src"), os.path.join(base, "out")
+    t0 = dt.datetime(2024, 1, 1)
+    days = [(1, 5), (2, 1), (1, 5), (3, 0), (2, 1)]             # out of time order, with repeats
+
+    for i, (event, day) in enumerate(days):
+        spark.createDataFrame([(event, t0 + dt.timedelta(days=day), "a")], SCHEMA).write.parquet(os.path.join(src, f"p{i}"))
+        s = spark.readStream.schema(SCHEMA).parquet(os.path.join(src, "*"))
+        ST.run_available_now(ST.dedup_redelivered(s), out)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{out}/data").collect()) == [1, 2, 3]
+
+
+def test_readers_of_empty_sinks(spark):
+    out = tempfile.mkdtemp(prefix="chatlake-empty-")
+    assert ST.read_settings(spark, out).count() == 0
+    assert ST.read_abandoned(spark, out).count() == 0
+    assert ST.read_latest_snapshot(spark, out, "api string, units bigint").count() == 0
+
+
 def test_redelivery_beyond_watermark(spark):
     base = tempfile.mkdtemp(prefix="chatlake-late-")
     src, out = os.path.join(base, "src"), os.path.join(base, "out")

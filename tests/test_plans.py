@@ -23,10 +23,10 @@ def exchanges(text):
 
 @pytest.mark.parametrize("name", ["context_last_n", "context_token_budget", "media_merge", "prompt_build",
                                   "prompt_context", "trigger_dedup"])
-def test_context_windows_share_one_exchange(spark, sf_dir, name):
+def test_context_windows_share_their_exchange(spark, sf_dir, name):
     o = overview(Q[name](spark, sf_dir))
-    assert exchanges(o) == 1, o
-    assert o.count("WindowGroupLimit") == 2, o      # before and after the shuffle
+    assert exchanges(o) == 2, o                     # by (room, salt), then by room for all windows
+    assert o.count("WindowGroupLimit") == 4, o      # before and after each
 
 
 def test_allow_list_is_a_projection(spark, sf_dir):
