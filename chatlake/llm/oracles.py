@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .linededup import DIVISOR, MODULUS, MULTIPLIER, WINDOW
 from .quality import STOP_WORDS
+from .urls import FOLDS, LIMIT, ORDER, RULES, STEPS
 
 _STOP = ", ".join("'" + x.replace("'", "''") + "'" for x in sorted(
     {x for ws in STOP_WORDS.values() for w in ws for x in (w, w.capitalize())}))
@@ -91,4 +92,51 @@ WITH {line_dedup_sql('documents', 'doc_id, text')}
 SELECT doc_id, n_lines, n_removed, n_chunks, sha256(left_text) AS kept_sha256 FROM kept
 """
 
-ORACLE = {"op6_line_dedup": OP6, "op8_decontamination": OP8, "op10_quality_rules": OP10}
+def _rule_cases(give) -> str:
+    out = ""
+    for action, rule in sorted(RULES, key=lambda x: -len(x[1])):
+        host, _, path = rule.partition("/")
+        out += f" WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN '{give(action, rule)}'"
+    return f"CASE{out} END"
+
+
+def _level(name: str) -> str:
+    return ", ".join(f"max(CASE WHEN k = {k} THEN coalesce({name}, 0) END) AS {name}{k}" for k in range(ORDER + 1))
+
+
+def _chance(n: str, c: str, t: str) -> str:
+    p = "(1.0::DOUBLE / 256)"
+    for k in range(ORDER + 1):
+        p = f"(CASE WHEN {n}{k} > 0 THEN ({c}{k} + {t}{k} * {p}) / ({n}{k} + {t}{k}) ELSE {p} END)"
+    return p
+
+
+OP2 = f"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT *, {_rule_cases(lambda a, r: r)} AS rule, {_rule_cases(lambda a, r: a)} AS ruled, lower(concat(host, path)) AS s FROM h),
+u AS (SELECT s, count(*) AS n, bool_or(ruled = 'allow') AS accepted, ('0x' || substr(md5(s), 1, 6))::BIGINT % {FOLDS} AS fold FROM r GROUP BY s),
+w AS (SELECT s, n, accepted, fold, substr(concat(repeat(chr(2), {ORDER}), s, chr(3)), i, {ORDER + 1}) AS w
+      FROM (SELECT *, unnest(range(1, length(s) + 2)) AS i FROM u)),
+k AS (SELECT unnest(range(0, {ORDER + 1})) AS k),
+g AS (SELECT substr(w, {ORDER + 1} - k, k + 1) AS gram, sum(CASE WHEN accepted THEN n ELSE 0 END) AS a, sum(CASE WHEN accepted THEN 0 ELSE n END) AS r
+      FROM w, k WHERE accepted IS NOT NULL AND fold <> 0 GROUP BY 1),
+c AS (SELECT left(gram, length(gram) - 1) AS ctx, sum(a) AS na, sum(r) AS nr, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr
+      FROM g GROUP BY 1),
+d AS (SELECT DISTINCT w FROM w WHERE accepted IS NULL OR fold = 0),
+l AS (SELECT w, {', '.join(map(_level, ('a', 'r', 'na', 'nr', 'ta', 'tr')))}
+      FROM d CROSS JOIN k LEFT JOIN g ON gram = substr(w, {ORDER + 1} - k, k + 1) LEFT JOIN c ON ctx = substr(w, {ORDER + 1} - k, k) GROUP BY w),
+t AS (SELECT w, ln({_chance('na', 'a', 'ta')}) - ln({_chance('nr', 'r', 'tr')}) AS ratio FROM l),
+sc AS (SELECT s, sum(ratio) / count(*) AS score FROM w JOIN t USING (w) GROUP BY s),
+hist AS (SELECT floor(greatest(least(score, {LIMIT}), -{LIMIT}) * {STEPS}) AS b, sum(CASE WHEN accepted THEN n ELSE 0 END) AS a,
+                sum(CASE WHEN accepted THEN 0 ELSE n END) AS r FROM sc JOIN u USING (s) WHERE accepted IS NOT NULL GROUP BY 1),
+gain AS (SELECT b, round(sum(a) OVER v / greatest(sum(a) OVER (), 1) - sum(r) OVER v / greatest(sum(r) OVER (), 1), 9) AS x FROM hist
+         WINDOW v AS (ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+best AS (SELECT coalesce((SELECT b FROM gain ORDER BY x DESC, abs(b) LIMIT 1), 0) / {STEPS} AS b,
+                coalesce((SELECT na > 0 AND nr > 0 FROM c WHERE ctx = ''), false) AS learned)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN NOT learned OR score >= b THEN 'allow' ELSE 'block' END) AS verdict
+FROM r LEFT JOIN sc ON r.rule IS NULL AND r.s = sc.s, best
+"""
+
+ORACLE = {"op2_url_filter": OP2, "op6_line_dedup": OP6, "op8_decontamination": OP8, "op10_quality_rules": OP10}
