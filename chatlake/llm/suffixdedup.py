@@ -47,7 +47,7 @@ LENGTH = 200
 WINDOW = 128
 CORE = LENGTH - WINDOW + 1
 GRAM = 8
-BITMAP = 1 << 27
+BITMAP = 1 << 26
 CLASS = 512
 #: Bytes that are hashed at a time.
 BLOCK = 4 << 20
@@ -168,7 +168,7 @@ def _parse_rows(d: DataFrame, bitmap=None, only: str | None = None) -> DataFrame
         names = [c.split()[0] for c in PARSE.split(", ")]
         for b in batches:
             uid = b.column(0).to_numpy()
-            for text, at, last, first, class_, entry in parse([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]):
+            for text, at, last, first, class_, entry in parse(b.column(1).cast(pa.large_binary()).to_pylist()):
                 cols = [uid[text], at, last.astype(np.int32), first.astype(np.int32), class_, entry]
                 if only:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[names.index(only)])], names=[only])
@@ -187,9 +187,9 @@ def _bitmap(classes: DataFrame):
     """Broadcast: bits of the classes, as 64-bit words."""
     bit = F.pmod(F.shiftrightunsigned("class", 8), F.lit(BITMAP))
     words = classes.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(shiftrightunsigned(class, 8), {BITMAP}) & 63 AS INT))").alias("b")) \
-        .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+        .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table = np.zeros(BITMAP // 64, np.uint64)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return classes.sparkSession.sparkContext.broadcast(table)
 
 
@@ -200,7 +200,7 @@ def _packed_texts(d: DataFrame) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            z = [pack(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
+            z = [pack(t) for t in b.column(2).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["_uid", "_id", "z"])
 
     return d.select("_uid", "_id", "_text").mapInArrow(each, f"_uid long, _id {d.schema['_id'].dataType.simpleString()}, z binary")
