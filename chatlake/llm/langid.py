@@ -40,6 +40,8 @@ WORD_LIMIT, SWITCH = 6.0, 9.0
 SCRIPT_SHARE = 0.01
 #: Words whose scores a task keeps at most.
 CACHE = 400_000
+#: Words that are labelled together (and one text more).
+WORDS_AT_ONCE = 1_500_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -183,38 +185,54 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
         m: Model = shared.value
         known: dict[str, int] = {}
-        table, size = np.zeros((1024, len(m.langs))), np.zeros(1024, np.int64)
-        for b in batches:
-            texts = [words_of(t) if m.langs else [] for t in b.column(1).to_pylist()]
-            if len(known) > CACHE:
-                known = {}
-            new = sorted({w for ws in texts for w in ws if w not in known})
-            if new:
-                first = len(known)
-                known.update(zip(new, range(first, first + len(new))))
-                while len(table) < len(known):
-                    table, size = np.concatenate([table, np.zeros_like(table)]), np.concatenate([size, np.zeros_like(size)])
-                table[first:len(known)] = m.word_scores(new)
-                size[first:len(known)] = [len(w) for w in new]
-            lengths = np.array([len(ws) for ws in texts], np.int64)
-            ids = np.fromiter((known[w] for ws in texts for w in ws), np.int64, int(lengths.sum()))
-            path = viterbi(table[ids], lengths, switch) if len(ids) else np.zeros(0, np.int64)
-            text_of = np.repeat(np.arange(len(texts)), lengths)
-            letters = np.zeros((len(texts), max(1, len(m.langs))))
-            np.add.at(letters, (text_of, path), size[ids])
-            all_ = letters.sum(axis=1)
-            best = letters.argmax(axis=1)
-            score = letters.max(axis=1) / np.maximum(all_, 1)
-            place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            opens = np.flatnonzero((place == 0) | np.concatenate(([True], path[1:] != path[:-1]))) if len(ids) else np.zeros(0, np.int64)
-            last = np.append(opens[1:], len(ids))[:len(opens)]
-            offsets = np.searchsorted(text_of[opens], np.arange(len(texts) + 1))
+        table, size = np.zeros((1024, len(m.langs)), np.float32), np.zeros(1024, np.int64)
+
+        def learn(new: list[str], first: int) -> None:
+            """Scores of new words, whose numbers begin at ``first``."""
+            nonlocal table, size
+            while len(table) < first + len(new):
+                table, size = np.concatenate([table, np.zeros_like(table)]), np.concatenate([size, np.zeros_like(size)])
+            for k in range(0, len(new), 20_000):
+                part = new[k:k + 20_000]
+                table[first + k:first + k + len(part)] = m.word_scores(part)
+                size[first + k:first + k + len(part)] = [len(w) for w in part]
+
+        def label(ids: list[np.ndarray]):
+            lengths = np.array([len(x) for x in ids], np.int64)
+            line = np.concatenate([np.zeros(0, np.int32), *ids])
+            path = viterbi(table[line], lengths, switch) if len(line) else np.zeros(0, np.int64)
+            text_of = np.repeat(np.arange(len(ids)), lengths)
+            n = max(1, len(m.langs))
+            letters = np.bincount(text_of * n + path, weights=size[line], minlength=len(ids) * n).reshape(len(ids), n)
+            place = np.arange(len(line)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            opens = np.flatnonzero((place == 0) | np.concatenate(([True], path[1:] != path[:-1]))) if len(line) else np.zeros(0, np.int64)
+            last = np.append(opens[1:], len(line))[:len(opens)]
+            offsets = np.searchsorted(text_of[opens], np.arange(len(ids) + 1))
             spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
                 [pa.array(place[opens], pa.int32()), pa.array(place[opens] + last - opens, pa.int32()),
                  pa.array([m.langs[k] for k in path[opens]], pa.string())], names=["start", "end", "lang"]))
-            pred = [m.langs[k] if n else UNKNOWN for k, n in zip(best, all_)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score), spans],
-                                             names=["_id", "lang_pred", "score", "spans"])
+            total = letters.sum(axis=1)
+            pred = [m.langs[k] if t else UNKNOWN for k, t in zip(letters.argmax(axis=1), total)]
+            return pa.array(pred, pa.string()), pa.array(letters.max(axis=1) / np.maximum(total, 1)), spans
+
+        for b in batches:
+            at, ids, words = 0, [], 0
+            new: list[str] = []
+            for r in range(b.num_rows):
+                # words become numbers text by text, so a batch's words are never all held as strings
+                own = words_of(b.column(1)[r].as_py()) if m.langs else []
+                for w in {w for w in own if w not in known}:
+                    known[w] = len(known)
+                    new.append(w)
+                ids.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
+                words += len(own)
+                if words > WORDS_AT_ONCE or r == b.num_rows - 1:
+                    learn(new, len(known) - len(new))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), *label(ids)],
+                                                     names=["_id", "lang_pred", "score", "spans"])
+                    at, ids, words, new = r + 1, [], 0, []
+                    if len(known) > CACHE:
+                        known = {}
 
     out = d.mapInArrow(each, f"_id {d.schema['_id'].dataType.simpleString()}, lang_pred string, score double, "
                              "spans array<struct<start:int,end:int,lang:string>>")
