@@ -139,4 +139,79 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN NOT learned OR score
 FROM r LEFT JOIN sc ON r.rule IS NULL AND r.s = sc.s, best
 """
 
-ORACLE = {"op2_url_filter": OP2, "op6_line_dedup": OP6, "op8_decontamination": OP8, "op10_quality_rules": OP10}
+OP11 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+g AS (SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY t) END AS top FROM p)
+SELECT page_id, size::BIGINT AS payload_bytes, sha1(t) AS payload_digest,
+  CASE WHEN top IS DISTINCT FROM page_id AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
+FROM g
+"""
+
+
+def _crc32(text: str) -> str:
+    """Bit by bit over the bytes of a text of ASCII characters."""
+    step = "xor(crc >> 1, CASE WHEN crc & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    eight = "xor(crc, byte)"
+    for _ in range(8):
+        eight = step.replace("crc", f"({eight})")
+    fold = eight.replace("crc", "acc").replace("byte", "x")
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT), lambda acc, x: {fold}), 4294967295)"
+
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', role, text))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, max(i) AS own, c - c % 100 AS base FROM t GROUP BY c),
+k AS (SELECT c, own, base, h, least(h, coalesce((SELECT own FROM s AS z WHERE z.c = s.base), 0)) AS lent
+      FROM (SELECT *, {_crc32('c::VARCHAR')} % 6 AS h FROM s) AS s),
+u AS (
+  SELECT k.c, t.i AS p, r, x FROM k JOIN t ON t.c = k.base AND t.i <= h
+  UNION ALL SELECT k.c, t.i - h + lent, r, x FROM k JOIN t ON t.c = k.c AND t.i > h),
+l AS (SELECT k.c, coalesce(max(p), 0) AS len FROM k LEFT JOIN u USING (c) GROUP BY k.c),
+w AS (
+  SELECT c, p, length(x) AS chars, md5(string_agg(concat(length(r), ':', r, length(x), ':', x), '') OVER (PARTITION BY c ORDER BY p)) AS a
+  FROM u
+  UNION ALL SELECT c, 0, 0, '' FROM k),
+v AS (SELECT *, lag(a) OVER (PARTITION BY c ORDER BY p) AS pa FROM w),
+n AS (SELECT a, any_value(pa) AS pa, max(p) AS depth, min(c) AS rep, count(*) AS n, max(chars) AS chars FROM v GROUP BY a),
+d AS (SELECT pa AS a, count(*) AS kids FROM n WHERE pa IS NOT NULL GROUP BY pa),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN d USING (a)),
+roll AS (
+  SELECT v.a, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * f.chars) AS saved
+  FROM f JOIN v ON v.c = f.rep AND v.p <= f.depth GROUP BY v.a),
+e AS (SELECT a, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM v JOIN l USING (c) WHERE p = len GROUP BY a)
+SELECT f.rep AS conv_id, f.depth::BIGINT AS depth, up.rep AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM f JOIN roll USING (a) LEFT JOIN e USING (a) LEFT JOIN f AS up ON up.a = f.pa
+"""
+
+OP13 = """
+WITH p AS (
+  SELECT row_number() OVER () AS p, lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+held AS (
+  SELECT DISTINCT lang, phrase FROM (
+    SELECT lang, a, k - 1 AS k, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase
+    FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 2)) AS o
+  JOIN f USING (lang, k, phrase) WHERE 100 * o.a >= 100 * f.a),
+c AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS left_part, array_to_string(w[j + 1:k], ' ') AS right_part
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM f ANTI JOIN held USING (lang, phrase) WHERE k > 1)),
+s AS (
+  SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, n, ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM c JOIN f AS x ON x.lang = c.lang AND x.phrase = left_part JOIN f AS y ON y.lang = c.lang AND y.phrase = right_part JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY rank <= 2000
+"""
+
+ORACLE = {"op11_warc_archive": OP11, "op12_prefix_trie": OP12, "op13_collocations": OP13, "op2_url_filter": OP2, "op6_line_dedup": OP6, "op8_decontamination": OP8, "op10_quality_rules": OP10}

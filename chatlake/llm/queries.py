@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import table
-from . import decontam, kdshard, langid, linededup, packing, quality, rollup, simhash, suffixdedup, tokens, urls
+from . import collocations, decontam, kdshard, langid, linededup, packing, quality, rollup, simhash, suffixdedup, tokens, trie, urls, warc
 from .common import cut, shared_folder
 from .oracles import ORACLE  # noqa: F401
 
@@ -96,6 +96,19 @@ def op10_quality_rules(spark, sf_dir):
     return r.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_warc_archive(spark, sf_dir):
+    r = warc.archive(table(spark, sf_dir, "pages"))
+    return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def _shipped(fn):
     @functools.wraps(fn)
     def run(spark, sf_dir):
@@ -107,4 +120,4 @@ def _shipped(fn):
 
 QUERIES = {f.__name__: _shipped(f) for f in (
     op1_best_fit_packing, op2_url_filter, op3_token_rollup, op4_kd_sharding, op5_language_id, op6_line_dedup, op7_simhash, op8_decontamination, op9_suffix_dedup,
-    op10_quality_rules)}
+    op10_quality_rules, op11_warc_archive, op12_prefix_trie, op13_collocations)}
