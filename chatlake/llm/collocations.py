@@ -11,9 +11,9 @@ Rounds.  The first round expands a language's rarest words, up to a share ``FIRS
 ``TOP``-th best score among its survivors is a lower bound of the final one, so the second round expands exactly the
 words whose bound reaches it (all, if there are fewer survivors), and then the language is settled.
 
-A round.  Prefixes of length k that occur ``least`` times or more are the frontier; one scan counts their
-continuations, for k from 1 to ``LONGEST`` - 1.  A last scan counts right parts that begin with words outside
-the frontier.  Scans read the texts anew; they pick phrases by a bitmap of the frontier, sized by
+A round.  Words that occur ``least`` times or more are the frontier; one scan counts the pairs that continue it, another
+all longer phrases that continue a pair which occurs as often.  A last scan counts right parts that begin with words outside
+the frontier.  Scans read lines of numbered words, which are written once; they pick phrases by a bitmap of the frontier, sized by
 its number, whose chance hits cost rows but no truth: counts, words and phrases are exact strings.
 
 Survival.  If a longer candidate holds a phrase as often as the phrase occurs, so does one that is a word
@@ -113,30 +113,40 @@ def _source(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
         .where("text IS NOT NULL AND text != ''")
 
 
-def count_words(source: DataFrame) -> DataFrame:
-    """``lang``, ``phrase`` (a word), ``f``."""
+def encoded(source: DataFrame) -> DataFrame:
+    """Lines of words as numbers: ``lang``, ``words`` (the line's distinct words, the end mark first) and ``ids``
+    (little-endian 32-bit places in ``words``).  Texts are split into words once; scans read these."""
     def each(batches) -> Iterator:
-        from collections import Counter
-
         import pyarrow as pa
 
-        held: dict[str, Counter] = {}
+        for x, line in _by_language(batches):
+            words = _words(line)
+            known = {_END: 0}
+            ids = np.fromiter((known.setdefault(w, len(known)) for w in words), "<i4", len(words))
+            del words
+            own = pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), pa.array([w.decode() for w in known], pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()), own, pa.array([ids.tobytes()], pa.binary())], names=["lang", "words", "ids"])
 
-        def batch(x):
-            c = held.pop(x)
-            c.pop(_END, 0)
-            return pa.RecordBatch.from_arrays([pa.array([x] * len(c), pa.string()), pa.array([w.decode() for w in c], pa.string()),
-                                               pa.array(list(c.values()), pa.int64())], names=["lang", "phrase", "f"])
+    return source.mapInArrow(each, "lang string, words array<string>, ids binary")
 
-        for x, line in _by_language(batches):
-            held.setdefault(x, Counter()).update(_words(line))
-            if sum(map(len, held.values())) > AT_ONCE:
-                for y in list(held):
-                    yield batch(y)
-        for y in list(held):
-            yield batch(y)
 
-    return source.mapInArrow(each, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+def _encoded_lines(batches) -> Iterator[tuple]:
+    """Language, words (an Arrow array) and ids of each line."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.column(0)[k].as_py(), b.column(1)[k].values, np.frombuffer(b.column(2)[k].as_buffer(), "<i4")
+
+
+def count_words(lines: DataFrame) -> DataFrame:
+    """``lang``, ``phrase`` (a word), ``f``."""
+    def each(batches) -> Iterator:
+        import pyarrow as pa
+
+        for x, words, ids in _encoded_lines(batches):
+            n = np.bincount(ids, minlength=len(words))[1:]
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(n), pa.string()), words.slice(1), pa.array(n.astype(np.int64))], names=["lang", "phrase", "f"])
+
+    return lines.mapInArrow(each, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _bitmap(phrases: DataFrame):
@@ -167,62 +177,50 @@ def _hit(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 GRAMS = "lang string, phrase string, a long, l_low long, l_high long, r_low long, r_high long"
 
 
-def count_phrases(source: DataFrame, bitmap, lengths: tuple[int, ...], head: int | None, frequent=None) -> DataFrame:
+def count_phrases(lines: DataFrame, bitmap, lengths: tuple[int, ...], head: int | None, frequent=None) -> DataFrame:
     """Phrases of these lengths whose first ``head`` words (None: that all together) are on the bitmap and whose last word is
     on ``frequent``, if given: ``lang``, ``phrase``, ``a`` and the least and greatest hash of the left and of the right neighbour (0: none)."""
     def each(batches) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        known: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
-        for x, line in _by_language(batches):
-            ids, hashes = known.setdefault(x, ({_END: 0}, [np.zeros(1, np.uint64)]))
-            words = _words(line)
-            new = [w for w in set(words) if w not in ids]
-            ids.update(zip(new, range(len(ids), len(ids) + len(new))))
-            hashes.append(word_hash(x, new))
-            table = np.concatenate(hashes)
-            known[x] = ids, [table]
-            own = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-            names = pa.array([w.decode() for w in ids], pa.string())
+        for x, names, ids in _encoded_lines(batches):
+            table = word_hash(x, [w.encode() for w in names.to_pylist()])
+            table[0] = 0
+            often = _hit(frequent.value, phrase_hash([table])) if frequent is not None else np.ones(len(table), bool)
+            often[0] = False
             # end marks around, so that every place has neighbours and phrases cannot leave the line
-            own = np.concatenate(([0], own, np.zeros(LONGEST + 1, np.int64)))
-            h = table[own]
-            whole = own > 0
-            often = whole & _hit(frequent.value, phrase_hash([h])) if frequent is not None else whole
-            for k in lengths:
-                m = len(own) - LONGEST - 1
-                first = np.ones(m - 1, bool) if m > 1 else np.zeros(0, bool)
-                at = np.arange(1, m)
-                for j in range(k):
-                    first &= whole[1 + j:m + j]
-                first &= often[k:m + k - 1]
-                at = at[first]
-                at = at[_hit(bitmap.value, phrase_hash([h[at + j] for j in range(head or k)]))]
-                if not len(at):
+            own = np.concatenate(([0], ids, np.zeros(LONGEST + 1, np.int32))).astype(np.int64)
+            h, whole, m = table[own], own > 0, len(ids)
+            at, upto = np.arange(1, m + 1), 0
+            for k in sorted(lengths):
+                while upto < k:                                    # places from which k words follow
+                    at = at[whole[at + upto]]
+                    upto += 1
+                if head and k == min(lengths):
+                    at = at[_hit(bitmap.value, phrase_hash([h[at + j] for j in range(head)]))]
+                if frequent is not None:                           # a rare word is in no candidate
+                    at = at[often[own[at + k - 1]]]
+                here = at if head else at[_hit(bitmap.value, phrase_hash([h[at + j] for j in range(k)]))]
+                if not len(here):
                     continue
-                rank = own[at]
+                rank = own[here]
                 for j in range(1, k):                              # places of equal phrases get equal numbers
-                    rank = rank * np.int64(len(table)) + own[at + j]
+                    rank = rank * np.int64(len(table)) + own[here + j]
                     if j < k - 1:
                         rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
                 order = np.argsort(rank, kind="stable")
                 starts = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
-                at = at[order]
-                left, right = h[at - 1].view(np.int64), h[at + k].view(np.int64)
-                one = at[starts]
-                text = names.take(pa.array(own[one]))
-                if k > 1:
-                    import pyarrow.compute as pc
-
-                    text = pc.binary_join_element_wise(*[names.take(pa.array(own[one + j])) for j in range(k)], " ")
+                here = here[order]
+                left, right = h[here - 1].view(np.int64), h[here + k].view(np.int64)
+                one = here[starts]
+                text = pc.binary_join_element_wise(*[names.take(pa.array(own[one + j])) for j in range(k)], " ")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x] * len(one), pa.string()), text, pa.array(np.diff(np.append(starts, len(at))).astype(np.int64)),
+                    [pa.array([x] * len(one), pa.string()), text, pa.array(np.diff(np.append(starts, len(here))).astype(np.int64)),
                      *[pa.array(f.reduceat(v, starts)) for v in (left, right) for f in (np.minimum, np.maximum)]],
                     names=[c.split()[0] for c in GRAMS.split(", ")])
-            if len(ids) > AT_ONCE:
-                del known[x]
 
-    return source.mapInArrow(each, GRAMS).groupBy("lang", "phrase").agg(
+    return lines.mapInArrow(each, GRAMS).groupBy("lang", "phrase").agg(
         F.sum("a").alias("a"), F.min("l_low").alias("l_low"), F.max("l_high").alias("l_high"), F.min("r_low").alias("r_low"), F.max("r_high").alias("r_high"))
 
 
@@ -232,21 +230,23 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def expanded(source: DataFrame, band: DataFrame, frequent, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+def expanded(lines: DataFrame, band: DataFrame, frequent, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """Candidates that begin with the words of the band: ``lang``, ``phrase``, ``size``, ``a``, ``lone`` (no longer
     candidate holds it as often)."""
-    front, out = band.select("lang", "phrase"), None
     starts = band.select(F.col("lang").alias("_x"), F.col("phrase").alias("_w"))
+    size = F.size(F.split("phrase", " "))
     lone = ~((F.col("l_low") == F.col("l_high")) & (F.col("l_low") != 0)) & ~((F.col("r_low") == F.col("r_high")) & (F.col("r_low") != 0))
-    for k in range(2, longest + 1):
-        rows = count_phrases(source, _bitmap(front), (k,), k - 1, frequent).where(F.col("a") >= least)
+
+    def grown(front: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+        rows = count_phrases(lines, _bitmap(front), lengths, lengths[0] - 1, frequent).where(F.col("a") >= least)
         # chance hits of the bitmap belong to other bands
         rows = rows.join(starts, (F.col("lang") == F.col("_x")) & (F.substring_index("phrase", " ", 1) == F.col("_w")), "left_semi")
-        front = _written(rows.select("lang", "phrase", F.lit(k).alias("size"), "a", (F.lit(k == longest) | lone).alias("lone")), f"phrases-{k}")
-        out = front if out is None else out.unionByName(front)
-        if front.isEmpty():
-            break
-    return out
+        return _written(rows.select("lang", "phrase", size.alias("size"), "a", ((size == longest) | lone).alias("lone")), "phrases")
+
+    pairs = grown(band, (2,))
+    if longest == 2 or pairs.isEmpty():
+        return pairs
+    return pairs.unionByName(grown(pairs, tuple(range(3, longest + 1))))
 
 
 def scored(survivors: DataFrame, counts: DataFrame, totals: DataFrame, longest: int = LONGEST) -> DataFrame:
@@ -275,7 +275,8 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
     """The ``top`` best phrases of each language: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``."""
     ship_package(docs.sparkSession)
     source = _source(docs, lang_col, text_col)
-    every = count_words(source)
+    lines = _written(encoded(source), "phrase-lines")
+    every = count_words(lines)
     totals_path = _written(every.withColumn("_few", F.col("f") < least).groupBy("lang", "_few", F.when(~F.col("_few"), F.col("phrase")).alias("phrase"))
                            .agg(F.sum("f").alias("f")), "phrase-words")
     totals = _written(totals_path.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
@@ -292,7 +293,7 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
     band = _written(banded.where("f <= done").select("lang", "phrase", "f"), "phrase-band")
     found, looked_up = None, None
     for round_ in (1, 2):
-        new = expanded(source, band, frequent, least, longest)
+        new = expanded(lines, band, frequent, least, longest)
         found = new if found is None else found.unionByName(new)
         survivors = found.where("lone")
         known = words.unionByName(found.select("lang", "phrase", F.col("a").alias("f")))
@@ -303,7 +304,7 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
         wanted = rights.where(F.contains("phrase", F.lit(" "))).distinct()
         wanted = _written(wanted.join(known, ["lang", "phrase"], "left_anti"), "phrase-rights")
         if not wanted.isEmpty():
-            more = count_phrases(source, _bitmap(wanted), tuple(range(2, longest)), None).select("lang", "phrase", F.col("a").alias("f"))
+            more = count_phrases(lines, _bitmap(wanted), tuple(range(2, longest)), None).select("lang", "phrase", F.col("a").alias("f"))
             more = _written(more.join(wanted, ["lang", "phrase"], "left_semi"), "phrase-counts")
             looked_up = more if looked_up is None else looked_up.unionByName(more)
             known = known.unionByName(more)
