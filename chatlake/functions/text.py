@@ -30,6 +30,11 @@ def fill(template: str, **values) -> Column:
     return F.concat(*parts)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, as a lambda variable."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tail(arr, start: int) -> Column:
     """The elements of an array from ``start`` (counted from 1) to its end."""
     return F.filter(col(arr), lambda x, i: i >= start - 1)

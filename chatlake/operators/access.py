@@ -10,9 +10,9 @@ never an ``OR`` join condition (which would plan as a nested-loop join):
 
 * list from configuration → ``arrays_overlap`` with a literal array, a pure
   projection (no join, no shuffle);
-* list held in a table → explode the candidate keys and ``left_semi`` join
-  on the key; the table side is broadcast only if AQE measures it under the
-  broadcast threshold, otherwise it is a shuffle join on the key.
+* list held in a table → candidate keys of the distinct ids of the messages' distinct (sender,
+  room) pairs, then one semi join of the messages on the pair; sides are broadcast only
+  if AQE measures them under the broadcast threshold.
 """
 
 from __future__ import annotations
@@ -69,19 +69,22 @@ def split_allowed(messages: DataFrame, allow: Column | list | tuple | DataFrame,
 
 
 def _split_by_table(msgs: DataFrame, allow: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """J8 with the list in a table ``allow(user_id)``: candidate keys +
-    ``left_semi`` on the key, then one left join back on ``event_id``
-    (unique per message).  An empty table allows everyone: the list size is
-    a scalar subquery (no join)."""
+    """J8 with the list in a table ``allow(user_id)``.
+
+    Messages are first reduced to their distinct (sender, room) pairs, and these to distinct
+    ids; only ids are exploded into candidate keys and met with the list.  The pairs that pass
+    select the messages in one semi join.  An empty table allows everyone: the list size is a
+    scalar subquery (no join)."""
     keys = allow.select(F.col("user_id").alias("_key")).distinct()
     size = keys.agg(F.count("*")).scalar()
-    exploded = msgs.select("event_id", F.explode(
-        F.array_distinct(F.concat(candidate_keys("sender"), candidate_keys("room_id")))).alias("_key"))
-    hit = (exploded.join(keys, "_key", "left_semi").select("event_id").distinct()
-           .withColumn("_hit", F.lit(True)))
-    tagged = msgs.join(hit, "event_id", "left")
-    ok = F.coalesce(F.col("_hit"), F.lit(False)) | (size == 0)
-    return tagged.where(ok).drop("_hit"), tagged.where(~ok).drop("_hit")
+    pairs = msgs.select(F.col("sender").alias("_s"), F.col("room_id").alias("_r")).distinct()
+    ids = pairs.select(F.explode(F.array("_s", "_r")).alias("_id")).where("_id IS NOT NULL").distinct()
+    passed = ids.select("_id", F.explode(F.array_distinct(candidate_keys("_id"))).alias("_key")).join(keys, "_key", "left_semi").select("_id").distinct()
+    by_sender = pairs.join(passed, F.col("_s") == F.col("_id"), "left").withColumn("_ok", F.col("_id").isNotNull()).drop("_id")
+    both = by_sender.join(passed, F.col("_r") == F.col("_id"), "left")
+    good = both.where(F.col("_ok") | F.col("_id").isNotNull() | (size == 0)).select("_s", "_r")
+    same = F.col("sender").eqNullSafe(F.col("_s")) & F.col("room_id").eqNullSafe(F.col("_r"))
+    return msgs.join(good, same, "left_semi"), msgs.join(good, same, "left_anti")
 
 
 def deny_notices(denied: DataFrame, members: DataFrame, cfg: BotConfig = DEFAULT_CONFIG) -> DataFrame:

@@ -4,8 +4,9 @@
 All windows partition by ``room_id``.  The first one ranks newest-first
 and is cut at ``2n`` rows with ``row_number() <= k``, which Catalyst turns
 into a ``WindowGroupLimit`` on both sides of the exchange, after a limit by (room,
-salt): a room holding a third of all messages brings its reducer at most
-``SALTS * 2n`` rows, however many splits hold it.
+salt) whose salt is constant within a split: a split sends ``2n`` rows of a room at
+most, a first-level reducer gets ``2n * splits / SALTS`` of them, and the
+room's reducer ``2n * SALTS``, however many splits hold the room.
 """
 
 from __future__ import annotations
@@ -66,19 +67,20 @@ def resolve_kind(events: DataFrame) -> DataFrame:
         "kind_status", F.when(F.col("kind").isNotNull(), "ok").when(F.col("membership").isNotNull(), "ignored").otherwise("unprocessable"))
 
 
-#: Parts that a room's messages are limited in before the limit of the room itself.
+#: Groups of splits that a room's messages are limited in before the limit of the room itself.
 SALTS = 256
 
 
 def newest_raw(messages: DataFrame, k: int, salts: int = SALTS) -> DataFrame:
     """L1: the ``k`` newest rows of each room with ``raw_rank``, in two levels.
 
-    A limit by room alone leaves ``k`` rows of each map task to one reducer, which for a
-    room in all splits grows with their number.  Rows are therefore limited
-    by (room, salt) first; the room's reducer then gets ``salts * k`` rows at most."""
-    salt = F.pmod(F.xxhash64("event_id"), F.lit(salts))
+    A limit by room alone leaves ``k`` rows of each split to one reducer, which for a
+    room in all splits grows with their number.  Splits are therefore dealt into ``salts``
+    groups and rows limited by (room, group) first.  All rows of a split are in one group, so its own limit
+    leaves ``k`` rows of a room, as a plain limit would, and the total shuffle is that of a plain limit
+    and ``salts * k`` rows of a room more.  Which group a split is in has no influence on the result."""
     part = Window.partitionBy("room_id", "_salt").orderBy(F.col("seq").desc())
-    first = (messages.withColumn("_salt", salt).withColumn("_part_rank", F.row_number().over(part))
+    first = (messages.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))).withColumn("_part_rank", F.row_number().over(part))
              .where(F.col("_part_rank") <= k).drop("_salt", "_part_rank"))
     return first.withColumn("raw_rank", F.row_number().over(newest_first())).where(F.col("raw_rank") <= k)
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BOOLEAN_SETTINGS, DEFAULT_CONFIG, ROOM_INFO, SETTING_ALIASES, BotConfig
+from ..functions import decode as D
 from ..functions import text as T
 from .routing import parse_command
 
@@ -43,8 +44,8 @@ def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def text_bool(value) -> Column:
-    """text-encoded boolean ``bool(int(v))``; NULL when not an integer."""
-    return T.col(value).try_cast("int") != 0
+    """text-encoded boolean ``bool(int(v))``; NULL when not an integer (``decode.flag`` names the reject)."""
+    return D.flag(value)["value"]
 
 
 def settings_wide(log: DataFrame) -> DataFrame:
@@ -73,12 +74,14 @@ def room_profile(rooms: DataFrame, log: DataFrame, cfg: BotConfig = DEFAULT_CONF
     wide settings table has one row per room; it is joined on ``room_id``
     and left for AQE to broadcast when its measured size is under the
     threshold (it grows with the number of rooms, so no unconditional
-    broadcast hint)."""
+    broadcast hint).
+
+    A flag that is no integer is neither its default nor true: it is NULL (see ``settings_rejects``)."""
     wide = settings_wide(log)
     j = rooms.join(wide, "room_id", "left")
     cols = [F.col("room_id")]
     for s, default in BOOLEAN_SETTINGS.items():
-        cols.append(F.coalesce(text_bool(f"raw_{s}"), F.lit(default)).alias(s))
+        cols.append(F.when(F.col(f"raw_{s}").isNull(), F.lit(default)).otherwise(text_bool(f"raw_{s}")).alias(s))
     cols.append(F.coalesce(F.col("raw_model"), F.lit(cfg.chat_model)).alias("model"))
     cols.append(resolve_system_message("raw_system_message", cfg).alias("system_message"))
     cols.append(F.lit(cfg.max_tokens).alias("max_tokens"))
@@ -86,6 +89,18 @@ def room_profile(rooms: DataFrame, log: DataFrame, cfg: BotConfig = DEFAULT_CONF
     return j.select(*cols)
 
 
+def checked_flags(log: DataFrame) -> DataFrame:
+    """for each room its flags (NULL: not set, or no integer) and ``rejects``, from one aggregation."""
+    wide = settings_wide(log).select("room_id", *[F.col(f"raw_{s}").alias(s) for s in BOOLEAN_SETTINGS])
+    return D.decoded(wide, {s: D.flag for s in BOOLEAN_SETTINGS})
+
+
+def settings_rejects(log: DataFrame) -> DataFrame:
+    """the flags in force that are no integers: ``room_id``, ``setting``, ``value``, ``reason``."""
+    return checked_flags(log).select("room_id", F.explode("rejects").alias("r")).select(
+        "room_id", F.col("r.field").alias("setting"), F.col("r.raw").alias("value"), F.col("r.reason").alias("reason"))
+
+
 def room_info(profile: DataFrame, cfg: BotConfig = DEFAULT_CONFIG) -> DataFrame:
     """the room info report of each room (model, limits, ids, system
     message), one blank line between fields."""

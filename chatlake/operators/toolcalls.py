@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG, TOOL_DEFAULTS, TOOL_MODELS, TOOL_REQUIRED, VISION_MODELS, BotConfig
+from ..functions import decode as D
 from ..functions import text as T
 
 
@@ -122,8 +123,9 @@ def _falsy(v: Column) -> Column:
 def normalise_tool_args(df: DataFrame, tool: str = "tool", arguments: str = "arguments") -> DataFrame:
     """Defaults fill missing arguments; every required argument must be
     present and truthy by its JSON type.  ``status``: ``ok``, ``missing_argument`` (with
-    ``missing``), or ``not_found`` for an unknown tool; ``args`` is the
-    merged map rendered as sorted ``k=v`` pairs."""
+    ``missing``), ``malformed`` for arguments that are not exactly one JSON object (see
+    ``decode.arguments``), or ``not_found`` for an unknown tool; ``args`` is the
+    merged map rendered as sorted ``k=v`` pairs, NULL unless the arguments could be read."""
     t = F.col(tool)
     # per-tool defaults and required names: literal maps keyed by tool
     all_defaults = F.create_map(*[x for name in TOOL_REQUIRED
@@ -134,8 +136,8 @@ def normalise_tool_args(df: DataFrame, tool: str = "tool", arguments: str = "arg
     defaults = F.coalesce(F.try_element_at(all_defaults, t), _map_lit({}))
     required = F.coalesce(F.try_element_at(all_required, t), F.array().cast("array<string>"))
     known = t.isin(list(TOOL_REQUIRED))
-    given = F.try_variant_get(F.try_parse_json(F.col(arguments)), "$", "map<string,variant>")
-    d = df.withColumn("_given", F.map_entries(given))
+    d = df.withColumn("_decoded", D.arguments(arguments))
+    d = d.withColumn("_given", F.col("_decoded.value")).withColumn("_malformed", F.col("_decoded.reject").isNotNull())
     pair = lambda k, v, bad: F.struct(k.alias("key"), v.alias("value"), bad.alias("falsy"))
     own = F.transform("_given", lambda e: pair(e["key"], _as_text(e["value"]), _falsy(e["value"])))
     d = d.withColumn("_own", F.coalesce(own, F.array().cast("array<struct<key:string,value:string,falsy:boolean>>")))
@@ -144,11 +146,11 @@ def normalise_tool_args(df: DataFrame, tool: str = "tool", arguments: str = "arg
     d = d.withColumn("_missing", F.filter(required, lambda k: ~F.exists("_merged", lambda m: (m["key"] == k) & ~m["falsy"])))
     rendered = F.array_join(F.transform(F.array_sort("_merged"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     has_missing = F.size("_missing") > 0
-    return (d.withColumn("status", F.when(~known, F.lit("not_found"))
+    return (d.withColumn("status", F.when(~known, F.lit("not_found")).when(F.col("_malformed"), F.lit("malformed"))
                          .when(has_missing, F.lit("missing_argument")).otherwise(F.lit("ok")))
-            .withColumn("missing", F.when(known & has_missing, F.element_at("_missing", 1)))
-            .withColumn("args", F.when(known, rendered))
-            .drop("_given", "_own", "_merged", "_missing"))
+            .withColumn("missing", F.when(known & ~F.col("_malformed") & has_missing, F.element_at("_missing", 1)))
+            .withColumn("args", F.when(known & ~F.col("_malformed"), rendered))
+            .drop("_given", "_decoded", "_malformed", "_own", "_merged", "_missing"))
 
 
 def is_tool_model(model) -> Column:

@@ -10,6 +10,7 @@ from ..operators import routing as R
 from ..operators import settings as S
 from ..operators import usage as U
 from ..sources import views as V
+from ..sources.tables import table
 from ..streaming import streams as ST
 from .q_routing import ORACLE as ROUTING_ORACLE
 from .q_spaces import ORACLE as SPACES_ORACLE
@@ -20,10 +21,21 @@ from .oracle_views import with_ctes
 CFG = DEFAULT_CONFIG
 
 
+#: Files that a table is split into, out of time order, and files of a micro-batch.
+FILES, PER_BATCH = 6, 2
+
+
 def _src(spark, sf, name):
     return ST.file_stream(spark, sf.rstrip("/"), f"{name}.parquet")
 
 
+def _split(spark, sf, name, out, key, *columns):
+    """A stream of the table as it may arrive: several files, out of time order, several micro-batches."""
+    rows = table(spark, sf, name).select(*columns) if columns else table(spark, sf, name)
+    rows.repartition(FILES, key).write.parquet(f"{out}/arriving")
+    return ST.file_stream(spark, f"{out}/arriving", max_files_per_trigger=PER_BATCH)
+
+
 def q_stream_route(spark, sf):
     out = ST.new_run_dir(spark, "route")
     m = R.dispatch(V.messages_of(_src(spark, sf, "conversations")))
@@ -35,35 +47,34 @@ def q_stream_route(spark, sf):
 
 def q_stream_settings(spark, sf):
     out = ST.new_run_dir(spark, "settings")
-    cmds = S.validate_commands(V.settings_commands_of(_src(spark, sf, "events")), cfg=CFG)
+    cmds = S.validate_commands(V.settings_commands_of(_split(spark, sf, "events", out, "event_id")), cfg=CFG)
     writes = cmds.where(F.col("status") == "store").select("room_id", "setting", "value", "ts", "event_id")
-    ST.run_available_now(writes, out, foreach_batch=ST.change_log_sink(out))
+    ST.run_available_now(writes, out, foreach_batch=ST.change_log_sink(out, every=2))
     return ST.read_settings(spark, out).select("room_id", "setting", "value")
 
 
 def q_stream_usage(spark, sf):
     out = ST.new_run_dir(spark, "usage")
-    u = V.usage_log_of(_src(spark, sf, "events"))
-    agg = u.groupBy("api").agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("units"),
-                               F.count("*").alias("requests"))
-    ST.run_available_now(agg, out, output_mode="complete", foreach_batch=ST.snapshot_sink(out))
-    return ST.read_latest_snapshot(spark, out, "api string, units bigint, requests bigint").withColumn("unit", U.unit_of("api"))
+    u = V.usage_log_of(_split(spark, sf, "events", out, "event_id"))
+    ST.run_available_now(u, out, foreach_batch=ST.totals_sink(out, every=2))
+    return ST.read_totals(spark, out).withColumn("unit", U.unit_of("api"))
 
 
 def q_stream_dedup(spark, sf):
+    """Each event is delivered twice, mostly in different micro-batches."""
     out = ST.new_run_dir(spark, "dedup")
-    e = ST.with_event_time(_src(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"))
-    redelivered = e.unionByName(ST.with_event_time(
-        _src(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")))
-    ST.run_available_now(ST.dedup_redelivered(redelivered), out)
-    return spark.read.parquet(f"{out}/data").select("event_id", "user_id", "event_type")
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    twice = e.withColumn("_n", F.explode(F.array(F.lit(0), F.lit(1))))
+    twice.repartition(FILES, "event_id", "_n").drop("_n").write.parquet(f"{out}/arriving")
+    ST.run_available_now(ST.file_stream(spark, f"{out}/arriving", max_files_per_trigger=PER_BATCH), out, foreach_batch=ST.dedup_sink(out, every=2))
+    return ST.read_deduped(spark, out).select("event_id", "user_id", "event_type")
 
 
 def q_stream_abandoned(spark, sf):
     out = ST.new_run_dir(spark, "abandoned")
-    members = V.member_events_of(_src(spark, sf, "events"))
-    ST.run_available_now(members, out, foreach_batch=ST.abandoned_sink(out))
-    return ST.read_abandoned(spark, out).select("room_id", "user_id", "event_id", "ts", "members_after")
+    members = V.member_events_of(_split(spark, sf, "events", out, "event_id"))
+    ST.run_available_now(members, out, foreach_batch=ST.abandoned_sink(out, every=2))
+    return ST.read_abandoned(spark, out).select("room_id", "user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "members_after")
 
 
 _SETTINGS_STORE = with_ctes(["settings_commands"], SETTINGS_STEPS, """

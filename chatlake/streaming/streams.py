@@ -4,16 +4,16 @@
   run is the full catch-up, later runs continue where the checkpoint left
   off; ``trigger(availableNow=True)`` is the one-last-sync on shutdown.
 * T3: settings commands are parsed per micro-batch and appended to a change
-  log by ``foreachBatch`` (one partition per batch id, so a replayed batch
-  rewrites the same partition: idempotent); current settings are W4 over
-  the log.
-* T4: usage totals as a streaming aggregation in complete mode, written by
-  ``foreachBatch``.
-* T5: re-delivered events are dropped with
-  ``dropDuplicatesWithinWatermark`` (state bounded by the watermark).
-* T2: ``foreachBatch`` with the distributed membership algorithm over a
-  per-(room, user) state snapshot; an ``applyInPandasWithState`` variant
-  for small micro-batches.
+  log, which is compacted to the latest value per key.
+* T4: usage totals are kept as additive deltas, one row per key and batch, and compacted by
+  adding them up.
+* T5: re-delivered events are dropped by an anti-join with an index of the keys on
+  shared storage, so nothing is held in streaming state and lateness has no limit; or
+  with ``dropDuplicatesWithinWatermark`` where lateness is known.
+* T2: events in any order; a batch recomputes the affected end of the rooms that
+  it touches and emits what has changed.
+
+T2 to T5 keep their data in ``logstore.LogStore``: a reduced base, a bounded tail, a manifest.
 
 All sinks and checkpoints live under the session's ``spark.checkpoint.dir``
 (a shared folder on a cluster), so a lost executor or driver restart
@@ -22,18 +22,16 @@ resumes from the last committed batch.
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.settings import latest_per_key
 from ..operators.spaces import abandoned_increment
 from ..session import checkpoint_path
+from .logstore import LogStore, hashed_part
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str = "*.parquet",
@@ -81,99 +79,104 @@ def run_continuously(df: DataFrame, out_dir: str, interval: str = "30 seconds",
 
 # --------------------------------------------------------------------- T3
 
-BATCH = "batch_id"
+SETTINGS = "room_id string, setting string, value string, ts timestamp, event_id bigint"
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch as partition ``batch_id``; a replayed batch
-    overwrites only its own partition (dynamic partition overwrite), so
-    the sink is idempotent."""
-    (df.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(BATCH).parquet(path))
+def settings_store(spark: SparkSession, out_dir: str, every: int = 8) -> LogStore:
+    return LogStore(spark, f"{out_dir}/log", SETTINGS, lambda d: latest_per_key(d, ["room_id", "setting"], ["value"]), hashed_part("room_id"), every)
 
 
-def change_log_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body for T3: append the batch's settings writes to the
-    change log (S5); the current settings are W4 over the log."""
+def change_log_sink(out_dir: str, every: int = 8) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body for T3: append the batch's settings writes."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch.select("room_id", "setting", "value", "ts", "event_id"), f"{out_dir}/log", batch_id)
+        settings_store(batch.sparkSession, out_dir, every).appended(batch.withColumn("ts", F.col("ts").cast("timestamp")), batch_id)
 
     return write
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A sink's partitions; nothing written yet is an empty table of ``schema``.  Any
-    other trouble with the folder is an error, never taken for emptiness."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCH}=*/*.parquet")
-    found = files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files)
-    if found is None or len(found) == 0:
-        return spark.createDataFrame([], f"{schema}, {BATCH} bigint")
-    return spark.read.parquet(path)
-
-
 def read_settings(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest value per ``(room_id, setting)`` over the change log."""
-    log = _read(spark, f"{out_dir}/log", "room_id string, setting string, value string, ts timestamp, event_id bigint")
-    return latest_per_key(log, ["room_id", "setting"], ["value"])
+    """Latest value per ``(room_id, setting)``."""
+    return settings_store(spark, out_dir).current()
 
 
 # --------------------------------------------------------------------- T4
 
+TOTALS = "api string, units bigint, requests bigint"
+
+
+def _added_up(d: DataFrame) -> DataFrame:
+    return d.groupBy("api").agg(F.sum("units").alias("units"), F.sum("requests").alias("requests"))
+
+
+def totals_store(spark: SparkSession, out_dir: str, every: int = 8) -> LogStore:
+    return LogStore(spark, f"{out_dir}/totals", TOTALS, _added_up, None, every)
+
 
-def snapshot_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body for complete-mode results: each batch is the whole
-    result, stored as the partition of its batch id."""
+def totals_sink(out_dir: str, every: int = 8) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body for T4 on usage records (``api``, ``tokens``): the batch's totals are added to the store."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, f"{out_dir}/snapshots", batch_id)
+        deltas = batch.groupBy("api").agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("units"), F.count("*").alias("requests"))
+        totals_store(batch.sparkSession, out_dir, every).appended(deltas, batch_id)
 
     return write
 
 
-def read_latest_snapshot(spark: SparkSession, out_dir: str, schema: str = "api string, units bigint, requests bigint") -> DataFrame:
-    """The snapshot of the highest batch id (a scalar subquery); ``schema`` is that of a sink
-    without any."""
-    s = _read(spark, f"{out_dir}/snapshots", schema)
-    return s.where(F.col(BATCH) == s.agg(F.max(BATCH)).scalar()).drop(BATCH)
+def read_totals(spark: SparkSession, out_dir: str) -> DataFrame:
+    return totals_store(spark, out_dir).current()
 
 
 # --------------------------------------------------------------------- T2
 
+MEMBERS = "room_id string, user_id string, membership string, ts timestamp, event_id bigint"
+ABANDONED = "room_id string, user_id string, event_id bigint, ts timestamp, members_after bigint, sign int"
 
-def _state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The state snapshot written by the newest batch before ``batch_id``
-    (None before the first batch)."""
-    s = _read(spark, path, "room_id string")
-    if "user_id" not in s.columns:
-        return None
-    prev = s.where(F.col(BATCH) < batch_id)
-    top = prev.agg(F.max(BATCH)).scalar()
-    return prev.where(F.col(BATCH) == top).drop(BATCH)
 
+def member_store(spark: SparkSession, out_dir: str, every: int = 8) -> LogStore:
+    return LogStore(spark, f"{out_dir}/members", MEMBERS, None, hashed_part("room_id"), every)
 
-def abandoned_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body for T2: the batch's events on top of the membership
-    state of earlier batches, with the distributed (bucketed) batch
-    algorithm — no room is gathered into one task.  Emitted events and the
-    new state are written as partitions of the batch id, so a replayed
-    batch rewrites the same output."""
+
+def _net(d: DataFrame) -> DataFrame:
+    """Changes that cancel out are gone; what remains holds."""
+    keys = ["room_id", "user_id", "event_id", "ts", "members_after"]
+    return d.groupBy(*keys).agg(F.sum("sign").cast("int").alias("sign")).where("sign != 0")
+
+
+def abandoned_store(spark: SparkSession, out_dir: str, every: int = 8) -> LogStore:
+    return LogStore(spark, f"{out_dir}/abandoned", ABANDONED, _net, hashed_part("room_id"), every)
+
+
+def abandoned_sink(out_dir: str, every: int = 8) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body for T2, for events in any order.
+
+    An event changes the member counts of its room from its own time on.  For each room of the
+    batch the stored events before the batch's first one are reduced to the membership that they leave
+    (one aggregation); the events after it, without and with the batch, give the abandoned
+    events before and now, and the differences are appended with a sign.  What is written
+    for a batch is the batch and its differences, whatever the history; what is read
+    are the parts of the rooms it touches.  For events that arrive in order there is nothing after it."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        events, results = member_store(spark, out_dir, every), abandoned_store(spark, out_dir, every)
+        cols = events.columns
+        batch = batch.select(*cols).withColumn("ts", F.col("ts").cast("timestamp")).persist()
         try:
-            state = _state_before(spark, f"{out_dir}/state", batch_id)
-            out, new_state = abandoned_increment(batch, state)
-            _write_batch(out, f"{out_dir}/abandoned", batch_id)
-            _write_batch(new_state, f"{out_dir}/state", batch_id)
-            # retention: batch N-1 is committed once batch N runs, so the
-            # snapshot of N-2 can never be read again; empty it (a state
-            # snapshot never shrinks, so an empty one is never the newest)
-            if batch_id >= 2:
-                (spark.createDataFrame([], new_state.schema).write.mode("overwrite")
-                 .parquet(f"{out_dir}/state/{BATCH}={batch_id - 2}"))
+            parts = [r[0] for r in batch.select(events.part.alias("p")).distinct().collect()]       # at most PARTS
+            first = batch.groupBy(F.col("room_id").alias("_room")).agg(F.min(F.struct("ts", "event_id")).alias("_first"))
+            stored = events.read(before=batch_id, parts=parts).join(first, F.col("room_id") == F.col("_room"))
+            early = F.struct("ts", "event_id") < F.col("_first")
+            state = latest_per_key(stored.where(early).select(*cols), ["room_id", "user_id"], ["membership"])
+            later = stored.where(~early).select(*cols)
+            then, _ = abandoned_increment(later, state)
+            now, _ = abandoned_increment(later.unionByName(batch), state)
+            changes = _net(now.withColumn("sign", F.lit(1)).unionByName(then.withColumn("sign", F.lit(-1))))
+            results.append(changes, batch_id)
+            events.append(batch, batch_id)
+            for store in (results, events):
+                if len(store.batches()) >= every:
+                    store.compact()
         finally:
             batch.unpersist()
 
@@ -181,60 +184,52 @@ def abandoned_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
 
 
 def read_abandoned(spark: SparkSession, out_dir: str) -> DataFrame:
-    return _read(spark, f"{out_dir}/abandoned", ABANDON_SCHEMA).drop(BATCH)
-
-
-# The same operator with Python state per room (``applyInPandasWithState``):
-# simple, but one room's micro-batch is gathered into one pandas frame, so it
-# suits streams whose micro-batches are small; ``abandoned_sink`` has no such
-# limit.
-ABANDON_SCHEMA = "room_id string, user_id string, event_id bigint, ts timestamp, members_after bigint"
-ABANDON_STATE = "members string"
-
-
-def _abandon(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per room: apply this batch's membership events in (ts, event_id)
-    order to the stored user → membership map; a leave that leaves exactly
-    one member is emitted."""
-    members: dict[str, str] = json.loads(state.get[0]) if state.exists else {}
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    out = []
-    joined = sum(1 for m in members.values() if m == "join")
-    for row in batch.itertuples(index=False):
-        before = members.get(row.user_id) == "join"
-        members[row.user_id] = row.membership
-        after = row.membership == "join"
-        joined += int(after) - int(before)
-        if row.membership == "leave" and joined == 1:
-            out.append((key[0], row.user_id, int(row.event_id), row.ts, joined))
-    state.update((json.dumps(members),))
-    if out:
-        yield pd.DataFrame(out, columns=["room_id", "user_id", "event_id", "ts", "members_after"])
-
-
-def abandoned_stream(events: DataFrame) -> DataFrame:
-    """Streaming twin of ``spaces.abandoned_events``."""
-    return events.groupBy("room_id").applyInPandasWithState(
-        _abandon, ABANDON_SCHEMA, ABANDON_STATE, "append", GroupStateTimeout.NoTimeout)
+    """Leave events after which one member was left, by all events so far."""
+    return abandoned_store(spark, out_dir).current().drop("sign")
 
 
 # --------------------------------------------------------------------- T5
 
 
-def dedup_redelivered(events: DataFrame, key: str = "event_id", ts: str = "ts",
-                      delay: str | None = None) -> DataFrame:
-    """T5: drop re-delivered events (same key).
-
-    Without ``delay`` every key is remembered, so each event comes out exactly once however
-    late its first delivery is: the form for backfills and sources out of time order;
-    its state grows with the keys.  With ``delay`` only keys within the watermark
-    are remembered, and a row later than that, first delivery or not, is dropped: the
-    form for live streams whose lateness is known."""
-    if delay is None:
-        return events.dropDuplicates([key])
+def dedup_redelivered(events: DataFrame, key: str = "event_id", ts: str = "ts", delay: str = "1 day") -> DataFrame:
+    """T5 where lateness is known: keys within the watermark are remembered, and a row later than
+    that, first delivery or not, is dropped.  ``dedup_sink`` has no such limit."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def key_index(spark: SparkSession, out_dir: str, key_type: str = "bigint", every: int = 8) -> LogStore:
+    """The keys seen so far.  Parts follow the event's day, which a re-delivery shares, so
+    a live stream consults the parts of its recent days only."""
+    return LogStore(spark, f"{out_dir}/keys", f"key {key_type}, ts timestamp", None, hashed_part(F.to_date("ts")), every)
+
+
+def dedup_sink(out_dir: str, key: str = "event_id", ts: str = "ts", every: int = 8) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body for T5: each event comes out exactly once, however late its first delivery is, and
+    nothing is kept in streaming state.  A re-delivered event has its key and its timestamp."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        index = key_index(spark, out_dir, batch.schema[key].dataType.simpleString(), every)
+        batch = batch.dropDuplicates([key, ts]).persist()
+        try:
+            keys = batch.select(F.col(f"`{key}`").alias("key"), F.col(f"`{ts}`").cast("timestamp").alias("ts"))
+            parts = [r[0] for r in keys.select(index.part.alias("p")).distinct().collect()]
+            seen = index.read(before=batch_id, parts=parts).select(F.col("key").alias("_key"), F.col("ts").alias("_ts"))
+            same = F.col(f"`{key}`").eqNullSafe(F.col("_key")) & F.col(f"`{ts}`").cast("timestamp").eqNullSafe(F.col("_ts"))
+            if batch_id <= index.manifest()["upto"]:
+                return                                             # a replay; its rows were written before its keys
+            batch.join(seen, same, "left_anti").write.mode("overwrite").parquet(f"{out_dir}/data/batch_id={batch_id}")
+            index.appended(keys, batch_id)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
+def read_deduped(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.option("basePath", f"{out_dir}/data").parquet(f"{out_dir}/data").drop("batch_id")
+
+
 def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Watermarks need TIMESTAMP; the fixtures store TIMESTAMP_NTZ (read as
     UTC, the session zone)."""
