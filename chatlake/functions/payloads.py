@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import (CALC_DID_YOU_MEAN, CALC_FAILED, DEFAULT_CONFIG, HTML_MESSAGE_FORMAT, CARRIER_LINE,
                       SEARCH_HEADER, SEARCH_RESULT, WEATHER_REPORT, WIKI_NO_RESULTS, WIKI_REPORT, WIKI_REQUEST, WIKI_REQUEST_ARGS, BotConfig)
-from .text import col, fill
+from .text import col, fill, let
 
 # --------------------------------------------------------------------- F3/F4
 
@@ -70,26 +70,32 @@ def _hhmm(epoch) -> Column:
     return F.concat(hh, F.lit(":"), mm)
 
 
-def weather_report(payload, name=None) -> tuple[Column, Column]:
-    """the weather report text; ``(status, text)`` with ``error`` when a
-    needed field is missing."""
-    d = F.from_json(col(payload), WEATHER_SCHEMA)
-    cur = d["current"]
-    day0 = F.try_element_at(d["daily"], F.lit(1))
-    day1 = F.try_element_at(d["daily"], F.lit(2))
+def weather_text(payload, name=None) -> Column:
+    """the weather report; NULL when a needed field is missing.  The payload is parsed once."""
+    def text_of(d: Column) -> Column:
+        cur = d["current"]
+        day0 = F.try_element_at(d["daily"], F.lit(1))
+        day1 = F.try_element_at(d["daily"], F.lit(2))
 
-    def desc(w):
-        return F.try_element_at(w["weather"], F.lit(1))["description"]
+        def desc(w):
+            return F.try_element_at(w["weather"], F.lit(1))["description"]
 
-    nm = col(name) if name is not None else F.lit(None).cast("string")
-    text = fill(WEATHER_REPORT,             # NULL as soon as any part is missing
-                for_name=F.when(nm != "", F.concat(F.lit(" for "), nm)).otherwise(F.lit("")),
-                temp=cur["temp"], description=desc(cur), feels_like=cur["feels_like"],
-                humidity=cur["humidity"], wind_speed=cur["wind_speed"],
-                sunrise=_hhmm(cur["sunrise"]), sunset=_hhmm(cur["sunset"]),
-                day0=day0["temp"]["day"], description0=desc(day0), summary0=day0["summary"],
-                day1=day1["temp"]["day"], description1=desc(day1), summary1=day1["summary"])
-    return F.when(text.isNull(), F.lit("error")).otherwise(F.lit("ok")), text
+        nm = col(name) if name is not None else F.lit(None).cast("string")
+        return fill(WEATHER_REPORT,             # NULL as soon as any part is missing
+                    for_name=F.when(nm != "", F.concat(F.lit(" for "), nm)).otherwise(F.lit("")),
+                    temp=cur["temp"], description=desc(cur), feels_like=cur["feels_like"],
+                    humidity=cur["humidity"], wind_speed=cur["wind_speed"],
+                    sunrise=_hhmm(cur["sunrise"]), sunset=_hhmm(cur["sunset"]),
+                    day0=day0["temp"]["day"], description0=desc(day0), summary0=day0["summary"],
+                    day1=day1["temp"]["day"], description1=desc(day1), summary1=day1["summary"])
+
+    return let(F.from_json(col(payload), WEATHER_SCHEMA), text_of)
+
+
+def weather_reports(payloads: DataFrame, payload: str = "payload", name=None) -> DataFrame:
+    """all columns, ``status`` (``error`` when a needed field is missing) and ``text``.  The payload is parsed once a row."""
+    d = payloads.withColumn("text", weather_text(payload, name))
+    return d.withColumn("status", F.when(F.col("text").isNull(), F.lit("error")).otherwise(F.lit("ok")))
 
 
 # ----------------------------------------------------------------------- F11
@@ -144,6 +150,41 @@ def failed_query_lines(suggestion) -> Column:
     return F.filter(F.array(F.lit(CALC_FAILED), fill(CALC_DID_YOU_MEAN, suggestion=s)), lambda x: x.isNotNull())
 
 
+PODS = "array<struct<title:string,is_result:boolean,subpods:array<struct<title:string,img:string,plaintext:string>>>>"
+
+
+def calculation_lines(results: DataFrame, id_col: str = "query_id") -> DataFrame:
+    """F11 + X6 on nested results: every line that is sent for each query, in order, from one generator a record.
+
+    ``results(id, success, suggestion, results_only, text, pods)``.  A failed query has its fixed line and,
+    with a suggestion, a second one.  Otherwise the pods are those marked as results if these are
+    asked for and there are any, else all; a pod gives its title, a subpod its title and its image
+    (unless ``text``) or its plaintext in a code fence.  Empty and missing titles and texts give no line.
+    Returns the id, ``line_no`` (from 1), ``kind`` (``text`` or ``image``) and ``line``."""
+    line = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("line"))
+    some = lambda c: F.coalesce(c != "", F.lit(False))
+    none = "array<struct<kind:string,line:string>>"
+
+    def title(x: Column) -> Column:
+        return F.when(some(x["title"]), line("text", F.concat(F.lit("*"), x["title"], F.lit("*"))))
+
+    def subpod(x: Column) -> Column:
+        body = F.when(some(x["img"]) & ~F.col("text"), line("image", x["img"])) \
+            .when(some(x["plaintext"]), line("text", F.concat(F.lit("```\n"), x["plaintext"], F.lit("\n```"))))
+        return F.array(title(x), body)
+
+    def of_pods(pods: Column) -> Column:
+        best = F.filter(pods, lambda p: F.coalesce(p["is_result"], F.lit(False)))
+        chosen = F.when(F.col("results_only") & (F.size(best) > 0), best).otherwise(pods)
+        return F.flatten(F.transform(chosen, lambda p: F.concat(
+            F.array(title(p)), F.flatten(F.transform(F.coalesce(p["subpods"], F.array().cast("array<struct<title:string,img:string,plaintext:string>>")), subpod)))))
+
+    failed = F.transform(failed_query_lines("suggestion"), lambda x: line("text", x))
+    lines = F.when(~F.col("success"), failed.cast(none)).otherwise(F.coalesce(of_pods(F.col("pods").cast(PODS)).cast(none), F.array().cast(none)))
+    kept = F.filter(lines, lambda x: x.isNotNull())
+    return results.select(id_col, F.posexplode(kept).alias("_n", "l")).select(id_col, (F.col("_n") + 1).alias("line_no"), "l.kind", "l.line")
+
+
 # ------------------------------------------------------------------------ A9
 
 

@@ -27,7 +27,10 @@ from ..functions import text as T
 def parse_allow_list(json_text, fail_open: bool = True) -> Column:
     """P5: JSON array of strings; any failure → empty list (= everyone) when
     ``fail_open``, else NULL (= nobody)."""
-    parsed = F.from_json(T.col(json_text), "array<string>")
+    # the second element of the outer array only comes out if exactly one array stands before it
+    both = F.from_json(F.concat(F.lit("["), T.col(json_text), F.lit(",[]]")), "array<array<variant>>", {"allowSingleQuotes": "false"})
+    items = F.when(F.size(both) == 2, F.get(both, F.lit(0)))
+    parsed = F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
     ok = parsed.isNotNull() & F.forall(parsed, lambda x: x.isNotNull())
     fallback = F.array().cast("array<string>") if fail_open else F.lit(None).cast("array<string>")
     return F.when(ok, parsed).otherwise(fallback)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 USAGE_V1 = ["message_id", "room_id", "tokens", "timestamp"]
 USAGE_V6 = ["message_id", "room_id", "api", "tokens", "timestamp"]
@@ -58,6 +59,68 @@ def ledger_rows(from_version: int, to_version: int) -> list[int]:
     return [v for v in range(from_version + 1, to_version + 1) if v not in LEDGER_SKIPS]
 
 
+# A catalogue: all tables of a store by name, the ledger (``migrations``) among them.
+Catalogue = dict[str, DataFrame]
+TABLES = {
+    "token_usage": "message_id string, room_id string, tokens bigint, timestamp timestamp_ntz",
+    "migrations": "id bigint, timestamp timestamp_ntz",
+    "system_messages": "room_id string, message_id string, user_id string, body string, timestamp bigint",
+    "room_settings": "room_id string, setting string, value string",
+    "user_spaces": "space_id string, user_id string, active boolean",
+    "settings": "setting string, value string",
+}
+
+
+def _empty(spark, name: str) -> DataFrame:
+    fields = T.StructType.fromDDL(TABLES[name]).fields
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def _with(spark, tables: Catalogue, *names: str) -> Catalogue:
+    """Tables that are missing are created empty."""
+    return tables | {n: _empty(spark, n) for n in names if n not in tables}
+
+
+def _settings_from_messages(spark, tables: Catalogue) -> Catalogue:
+    """Version 5: each room's latest system message becomes its setting, unless it has one, and the
+    table of system messages goes.  ``(room_id, setting)`` is a key, so of messages with the latest time the one with the
+    greatest id counts."""
+    tables = _with(spark, tables, "system_messages", "room_settings")
+    latest = tables["system_messages"].groupBy("room_id").agg(F.max_by("body", F.struct("timestamp", "message_id")).alias("value"))
+    new = latest.select("room_id", F.lit("system_message").alias("setting"), "value")
+    new = new.join(tables["room_settings"].select("room_id", "setting"), ["room_id", "setting"], "left_anti")
+    rest = {k: v for k, v in tables.items() if k != "system_messages"}
+    return rest | {"room_settings": tables["room_settings"].select("room_id", "setting", "value").unionByName(new)}
+
+
+CATALOGUE_STEPS: dict[int, Callable[..., Catalogue]] = {
+    1: lambda spark, t: _with(spark, t, "token_usage", "migrations"),
+    2: lambda spark, t: t,
+    3: lambda spark, t: _with(spark, t, "system_messages"),
+    4: lambda spark, t: t | {"token_usage": usage_v4(t["token_usage"])},
+    5: _settings_from_messages,
+    6: lambda spark, t: t | {"token_usage": usage_v6(t["token_usage"])},
+    7: lambda spark, t: _with(spark, t, "user_spaces"),
+    8: lambda spark, t: _with(spark, t, "settings"),
+}
+
+
+def migrate_catalogue(spark, tables: Catalogue, to_version: int = 8, now=None) -> Catalogue:
+    """S12 + S13: fold the versions after the ledger's maximum (0 without a ledger) over the whole
+    catalogue, and add a ledger row for each but those that record none.  Steps are projections, one
+    aggregation for version 5, and nothing is written: the caller writes the tables that come back."""
+    found = schema_version(tables["migrations"]).first()["version"] if "migrations" in tables else 0
+    if found > to_version:
+        raise ValueError(f"cannot migrate down from {found} to {to_version}")
+    for v in range(found + 1, to_version + 1):
+        tables = CATALOGUE_STEPS[v](spark, tables)
+    if done := ledger_rows(found, to_version):
+        stamp = F.current_timestamp() if now is None else F.lit(now)
+        rows = spark.range(1).select(F.explode(F.array(*[F.lit(v).cast("bigint") for v in done])).alias("id"), stamp.cast("timestamp_ntz").alias("timestamp"))
+        tables = tables | {"migrations": tables["migrations"].select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp")).unionByName(rows)}
+    return tables
+
+
 def merge_versions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Union stores written at different versions; missing ``api`` gets
     the default."""

@@ -43,7 +43,7 @@ def q_context_default_budget(spark, sf):
 
 
 #: The default limit, and some that the system message or the pinned message may not fit.
-LIMITS = [CFG.max_tokens - 1, 60, 20, 4]
+LIMITS = [CFG.max_tokens - 1, 60, 20, 3]
 
 
 def _full(spark, sf):

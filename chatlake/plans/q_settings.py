@@ -10,6 +10,7 @@ from ..operators import access as A
 from ..operators import routing as R
 from ..operators import settings as S
 from ..sources import views as V
+from ..sources.tables import table
 from .oracle_views import with_ctes
 
 CFG = DEFAULT_CONFIG
@@ -48,6 +49,26 @@ def q_settings_latest(spark, sf):
         .select("room_id", "setting", "value", "ts")
 
 
+FLAGS = list(BOOLEAN_SETTINGS)
+
+
+def q_settings_checked(spark, sf):
+    """flags of rooms whose log holds values that are no integers, and what was rejected."""
+    c = S.checked_flags(V.broken_settings_log(spark, sf))
+    shown = F.array_join(F.array_sort(F.transform("rejects", lambda r: F.concat(r["field"], F.lit("="), r["raw"]))), ";")
+    return c.select("room_id", *FLAGS, shown.alias("rejected"))
+
+
+def q_allow_list_parse(spark, sf):
+    """P5: the texts of conversations as allow lists: JSON arrays of strings, other JSON and no JSON at all."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    listed = F.to_json(F.array("role", "text"))
+    raw = F.when(k == 0, listed).when(k == 1, F.col("text")).when(k == 2, F.concat(F.lit("["), F.to_json(F.struct("text")), F.lit("]"))) \
+        .when(k == 3, F.lit("[]")).when(k == 4, F.concat(listed, F.lit(" ]"))).otherwise(F.lit(None))
+    return c.select("conv_id", "turn", F.array_join(A.parse_allow_list(raw), "|").alias("open_list"), F.array_join(A.parse_allow_list(raw, fail_open=False), "|").alias("closed_list"))
+
+
 def _profile(spark, sf):
     rooms = V.messages(spark, sf).select("room_id").distinct()
     return S.room_profile(rooms, V.settings_log(spark, sf), CFG)
@@ -135,7 +156,26 @@ SELECT *, CASE WHEN NOT ours THEN 'other_command'
                ELSE 'unknown' END AS status,
        CASE WHEN setting IN ({_BOOLS}) THEN CASE lower(v) WHEN 'true' THEN '1' ELSE '0' END ELSE v END AS stored FROM w""")]
 
+def _flag_sql(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL OR NOT regexp_matches({name}, '^\\s*[+-]?[0-9]+(?:_[0-9]+)*\\s*$') THEN NULL ELSE regexp_matches({name}, '[1-9]') END"
+
+
+_BROKEN = ("broken", """
+SELECT concat(room_id, '/', event_id % 50) AS room_id, setting, ts, event_id,
+  CASE event_id % 7 WHEN 0 THEN props WHEN 1 THEN concat(' ', value, ' ') WHEN 2 THEN concat(value, 'x') WHEN 3 THEN ''
+       WHEN 4 THEN concat('0000000000000000000000000', value) ELSE value END AS value
+FROM settings_log JOIN (SELECT event_id, props FROM events) USING (event_id)""")
+_BROKEN_WIDE = ("wide", "SELECT room_id, " + ", ".join(
+    f"arg_max(value, (ts, event_id)) FILTER (setting = '{s}') AS {s}" for s in FLAGS) + " FROM broken GROUP BY room_id")
+
 ORACLE = {
+    "settings_checked": with_ctes(["settings_log"], [_BROKEN, _BROKEN_WIDE], "SELECT room_id, " + ", ".join(f"{_flag_sql(s)} AS {s}" for s in FLAGS)
+        + ", array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {s} IS NOT NULL AND {_flag_sql(s)} IS NULL THEN concat('{s}=', {s}) END" for s in FLAGS)
+        + "], lambda x: x IS NOT NULL)), ';') AS rejected FROM wide"),
+    "allow_list_parse": """
+SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN concat(role, '|', text) ELSE '' END AS open_list,
+  CASE (conv_id + turn) % 6 WHEN 0 THEN concat(role, '|', text) WHEN 3 THEN '' END AS closed_list
+FROM conversations""",
     "allowed_messages": with_ctes(["messages"], [_ACCESS], "SELECT room_id, event_id, sender FROM acc WHERE ok"),
     "allowed_by_table": with_ctes(["messages", "user_spaces"], [("al", "SELECT user_id FROM user_spaces WHERE active")], f"""
 SELECT room_id, event_id, sender FROM messages
@@ -170,6 +210,8 @@ QUALIFY row_number() OVER (PARTITION BY room_id ORDER BY ts DESC, event_id DESC)
 }
 
 QUERIES = {
+    "settings_checked": q_settings_checked,
+    "allow_list_parse": q_allow_list_parse,
     "allowed_messages": q_allowed_messages,
     "allowed_by_table": q_allowed_by_table,
     "denied_notices": q_denied_notices,

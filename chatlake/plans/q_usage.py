@@ -3,15 +3,19 @@ evolution."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import evolve as E
 from ..operators import usage as U
+from ..session import checkpoint_path
 from ..sources import views as V
 from ..sources.tables import table
 from .oracle_views import with_ctes
 
 MIN_LEVEL = "warning"
+STAMP = "2024-01-01 00:00:00"
 
 
 def rounds(spark, sf):
@@ -95,6 +99,34 @@ def q_usage_schema_v6(spark, sf):
     return E.merge_versions(E.migrate(old, 0, 8), new)
 
 
+def q_catalogue_v8(spark, sf):
+    """A store at version 4 brought to version 8, all tables as rows."""
+    start = spark.range(1).select(F.explode(F.array(*[F.lit(v).cast("bigint") for v in (1, 3, 4)])).alias("id"), F.lit(STAMP).cast("timestamp_ntz").alias("timestamp"))
+    own = V.settings_log(spark, sf).where("setting = 'model'").groupBy("room_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    usage = V.usage_log(spark, sf)
+    tables = {"token_usage": usage.select("message_id", "room_id", "tokens", F.col("ts").alias("timestamp"), "api"), "system_messages": system_messages(spark, sf),
+              "room_settings": own.select("room_id", F.lit("model").alias("setting"), "value"), "migrations": start}
+    done = E.migrate_catalogue(spark, tables, now=STAMP)
+    shape = {"token_usage": ("message_id", "room_id", "api", "tokens"), "room_settings": ("room_id", "setting", "value", None), "migrations": (None, None, None, "id"),
+             "user_spaces": ("space_id", "user_id", None, None), "settings": ("setting", None, "value", None)}
+    out = None
+    for name, cols in shape.items():
+        rows = done[name].select(F.lit(name).alias("tbl"), *[(F.col(c) if c else F.lit(None)).cast("bigint" if k == 3 else "string").alias(a)
+                                                            for k, (c, a) in enumerate(zip(cols, ("key1", "key2", "value", "n")))])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def q_usage_records(spark, sf):
+    """S3: records of model calls as the sink stores them, written and read back."""
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    r = U.usage_record(F.concat(F.lit("$"), F.col("event_id").cast("string")), F.concat(F.lit("!r"), (F.col("user_id") % 10).cast("string")),
+                       F.lit("openai"), "event_type", F.floor(F.col("value") * 10), F.col("ts").cast("timestamp"))
+    path = checkpoint_path(spark, f"usage-{uuid.uuid4().hex}")
+    U.append_usage(e.select(r.alias("r")).select("r.*"), path)
+    return spark.read.parquet(path).select("message_id", "room_id", "api", "tokens", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 def q_schema_version(spark, sf):
     """A3 over a ledger written by a migration run per event day (the
     ledger grows with the data; version = highest applied)."""
@@ -148,6 +180,14 @@ FROM sm s JOIN (SELECT room_id, max(timestamp) AS m FROM sm GROUP BY room_id) x
 SELECT message_id, room_id, CASE WHEN CAST(substr(message_id, 2) AS BIGINT) % 2 = 0 THEN 'openai' ELSE api END AS api,
        tokens, ts AS timestamp
 FROM usage_log"""),
+    "catalogue_v8": with_ctes(["usage_log", "settings_log"], [("sm", """
+SELECT room_id, arg_max(value, (date_trunc('day', ts), concat('$', event_id))) AS value FROM settings_log WHERE setting = 'system_message' GROUP BY room_id"""), ("own", """
+SELECT room_id, arg_max(value, (ts, event_id)) AS value FROM settings_log WHERE setting = 'model' GROUP BY room_id""")], """
+SELECT 'token_usage' AS tbl, message_id AS key1, room_id AS key2, api AS value, tokens AS n FROM usage_log
+UNION ALL SELECT 'room_settings', room_id, 'system_message', value, NULL FROM sm
+UNION ALL SELECT 'room_settings', room_id, 'model', value, NULL FROM own
+UNION ALL SELECT 'migrations', NULL, NULL, NULL, unnest([1, 3, 4, 5, 6, 7, 8])::BIGINT"""),
+    "usage_records": with_ctes(["usage_log"], [], "SELECT message_id, room_id, api, tokens, ts FROM usage_log"),
     "schema_version": """
 SELECT CAST(coalesce(max(event_id % 9), 0) AS BIGINT) AS version FROM events WHERE event_id % 9 <> 2""",
 }
@@ -163,5 +203,7 @@ QUERIES = {
     "format_ts": q_format_ts,
     "latest_by_join": q_latest_by_join,
     "usage_schema_v6": q_usage_schema_v6,
+    "catalogue_v8": q_catalogue_v8,
+    "usage_records": q_usage_records,
     "schema_version": q_schema_version,
 }

@@ -219,6 +219,33 @@ def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(i.alias("id"), payload.alias("payload"))
 
 
+def calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested calculation results, one for each order with a pod for each of its (at most seven) lines;
+    one in nine failed, and half of these have a suggestion."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_partkey", "l_quantity")
+    n = F.col("l_linenumber")
+    sub = lambda title, img, text: F.struct(title.alias("title"), img.alias("img"), text.alias("plaintext"))
+    none = F.lit(None).cast("string")
+    pod = F.struct(n.alias("_n"), F.when(n % 4 != 0, F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))).otherwise("").alias("title"), (F.col("l_returnflag") == "R").alias("is_result"), F.array(
+        sub(F.col("l_linestatus"), F.when(n % 2 == 0, F.concat(F.lit("img-"), F.col("l_partkey").cast("string"))), F.col("l_partkey").cast("string")),
+        sub(F.lit(""), none, F.when(n % 3 != 0, F.col("l_quantity").cast("int").cast("string")))).alias("subpods"))
+    q = li.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.array_sort(F.collect_list(pod)).alias("_p"))
+    i = F.col("query_id")
+    return q.select("query_id", (i % 9 != 0).alias("success"), F.when(i % 18 == 0, F.concat(F.lit("order "), i.cast("string"))).alias("suggestion"),
+                    (i % 2 == 0).alias("results_only"), (i % 5 == 0).alias("text"),
+                    F.transform("_p", lambda p: F.struct(p["title"].alias("title"), p["is_result"].alias("is_result"), p["subpods"].alias("subpods"))).alias("pods"))
+
+
+def broken_settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2 with values that are no integers (the event's properties, an ``x`` after the number, nothing) and blanks around some."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("_e"), "props")
+    s = settings_log(spark, sf_dir).join(e, F.col("event_id") == F.col("_e"))
+    i, v = F.col("event_id"), F.col("value")
+    bad = F.when(i % 7 == 0, F.col("props")).when(i % 7 == 1, F.concat(F.lit(" "), v, F.lit(" "))).when(i % 7 == 2, F.concat(v, F.lit("x"))) \
+        .when(i % 7 == 3, F.lit("")).when(i % 7 == 4, F.concat(F.lit("0000000000000000000000000"), v)).otherwise(v)
+    return s.select(F.concat("room_id", F.lit("/"), (i % 50).cast("string")).alias("room_id"), "setting", bad.alias("value"), "ts", "event_id")
+
+
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: log records with every level."""
     e = table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "props")

@@ -105,8 +105,7 @@ def test_wiki_and_weather_edges(spark):
          '"weather":[{"description":"rain"}]},"daily":[{"temp":{"day":6},"summary":"s0","weather":[{"description":"d0"}]}%s]}')
     two = w % ',{"temp":{"day":7},"summary":"s1","weather":[{"description":"d1"}]}'
     df = spark.createDataFrame([(two, "Oslo"), (w % "", None)], "payload string, name string")
-    st, tx = P.weather_report("payload", "name")
-    rows = df.select(st.alias("s"), tx.alias("t")).collect()
+    rows = P.weather_reports(df, "payload", "name").select(F.col("status").alias("s"), F.col("text").alias("t")).collect()
     assert rows[0].s == "ok" and rows[0].t == (
         "**Weather report for Oslo**\nCurrent: 5°C, rain\nFeels like: 3.5°C\nHumidity: 80%\nWind: 2m/s\n"
         "Sunrise: 06:00\nSunset: 16:00\n\nToday: 6°C, d0, s0\nTomorrow: 7°C, d1, s1\n")
