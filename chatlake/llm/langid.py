@@ -92,7 +92,11 @@ def scripts(words: list[str]) -> np.ndarray:
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters; superscript digits, fractions and the like are word characters but no letters."""
+    out = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, out)):
+        return out
+    return "".join(c if c.isalpha() else " " for w in out for c in (*w, " ")).split()
 
 
 @dataclass

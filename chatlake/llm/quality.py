@@ -167,7 +167,10 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """The documents that no rule rejects, with all their columns.
 
     The counts are taken from the row's own text, so no join is needed and
-    repeated ids do no harm."""
+    repeated ids do no harm.  The rows are selected by a generator over an array that only kept rows have:
+    a filter would be pushed below the projection with every measure inlined, and each
+    would be computed again for each rule."""
     cols = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(f"`{text_col}`").alias("_t"))
-    return judge(row, "_row", "_t", rules).where("kept").select("_row.*")
+    kept = judge(row, "_row", "_t", rules).select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
+    return kept.select("_row.*")

@@ -69,19 +69,19 @@ class Encoder:
         """Little-endian unsigned 32-bit ids."""
         pieces = text.replace("\n", " ").split(" ")
         known, older = self.known, self.older
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
+        found = list(map(known.get, pieces))                       # one look at each piece
+        missing = [k for k, ids in enumerate(found) if ids is None] if None in found else []
         new = []
-        for p in {p for p in pieces if p not in known}:
+        for p in {pieces[k] for k in missing}:
             if p in older:
                 known[p] = older[p]
             else:
                 new.append(p)
         if new:
             known.update(zip(new, self._pieces(new)))
-        out = b"".join(map(known.__getitem__, pieces))
+        for k in missing:
+            found[k] = known[pieces[k]]
+        out = b"".join(found)
         for p in new:
             if len(p) > LONG_PIECE:
                 del known[p]

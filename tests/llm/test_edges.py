@@ -298,3 +298,17 @@ def test_counted_keeps_other_columns(docs):
     out = counted(docs)
     assert out.columns == [c for c in docs.columns if c != "text"] + ["n_tokens"]
     assert out.where("doc_id = 3").first().n_tokens == 0
+
+
+def test_language_needs_letters(spark):
+    """Superscripts, fractions and circled digits are no letters."""
+    d = spark.createDataFrame([(1, "²"), (2, "½ ①"), (3, "7 __ ²"), (4, "the a² and"), (5, "x²y")], "doc_id long, text string")
+    model = langid.train(spark.createDataFrame([("the cat and the dog", "en"), ("le chat et le chien", "fr")], "text string, lang string"))
+    got = {r.doc_id: r for r in langid.identify(d, model).collect()}
+    assert all((got[k].lang_pred, got[k].score, got[k].spans) == ("und", 0.0, []) for k in (1, 2, 3))
+    assert got[4].lang_pred == "en" and langid.words_of("x²y É½z") == ["x", "y", "é", "z"]
+
+
+def test_kept_rows_are_measured_once(docs):
+    once = quality.judge(docs)._jdf.queryExecution().executedPlan().toString().count("split(")
+    assert quality.keep_good(docs)._jdf.queryExecution().executedPlan().toString().count("split(") <= 2 * once
