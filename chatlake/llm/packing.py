@@ -57,12 +57,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     def cut_texts(batches) -> Iterator:
         import pyarrow as pa
 
-        encode = encoder(tokenizer_path(tokenizer)).ids
+        encode = encoder(tokenizer_path(tokenizer)).many
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            for r, ids in enumerate(encode(batch.column(1).to_pylist())):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append(r), piece.append(k), start.append(at // 4)
