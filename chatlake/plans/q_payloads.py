@@ -246,18 +246,19 @@ SELECT id, '**Weather report' || coalesce(' for ' || CASE WHEN id % 3 = 0 THEN N
 FROM weather_payloads""")], "SELECT id, CASE WHEN text IS NULL THEN 'error' ELSE 'ok' END AS status, text FROM t"),
     "calculation_lines": """
 WITH q AS (SELECT DISTINCT l_orderkey AS i FROM lineitem),
-l AS (SELECT l_orderkey AS i, l_linenumber AS n, l_returnflag = 'R' AS res, CASE WHEN l_linenumber % 4 <> 0 THEN concat('supplier ', l_suppkey) ELSE '' END AS t,
+l AS (SELECT l_orderkey AS i, l_linenumber AS n,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey, l_returnflag, l_linestatus) AS r, l_returnflag = 'R' AS res, CASE WHEN l_linenumber % 4 <> 0 THEN concat('supplier ', l_suppkey) ELSE '' END AS t,
              l_linestatus AS st, l_partkey AS p, l_quantity AS qty FROM lineitem),
 c AS (SELECT * FROM (SELECT *, bool_or(res) OVER (PARTITION BY i) AS has FROM l) WHERE i % 9 <> 0 AND (i % 2 <> 0 OR NOT has OR res)),
 x AS (
-  SELECT i, n, 0 AS k, 'text' AS kind, concat('*', t, '*') AS line FROM c WHERE t <> ''
-  UNION ALL SELECT i, n, 1, 'text', concat('*', st, '*') FROM c WHERE st <> ''
-  UNION ALL SELECT i, n, 2, CASE WHEN n % 2 = 0 AND i % 5 <> 0 THEN 'image' ELSE 'text' END,
+  SELECT i, r, 0 AS k, 'text' AS kind, concat('*', t, '*') AS line FROM c WHERE t <> ''
+  UNION ALL SELECT i, r, 1, 'text', concat('*', st, '*') FROM c WHERE st <> ''
+  UNION ALL SELECT i, r, 2, CASE WHEN n % 2 = 0 AND i % 5 <> 0 THEN 'image' ELSE 'text' END,
     CASE WHEN n % 2 = 0 AND i % 5 <> 0 THEN concat('img-', p) ELSE concat('```', chr(10), p, chr(10), '```') END FROM c
-  UNION ALL SELECT i, n, 3, 'text', concat('```', chr(10), qty::INT, chr(10), '```') FROM c WHERE n % 3 <> 0
+  UNION ALL SELECT i, r, 3, 'text', concat('```', chr(10), qty::INT, chr(10), '```') FROM c WHERE n % 3 <> 0
   UNION ALL SELECT i, 0, 0, 'text', 'Could not process your query.' FROM q WHERE i % 9 = 0
   UNION ALL SELECT i, 0, 1, 'text', concat('Did you mean: order ', i) FROM q WHERE i % 18 = 0)
-SELECT i AS query_id, row_number() OVER (PARTITION BY i ORDER BY n, k)::INT AS line_no, kind, line FROM x""",
+SELECT i AS query_id, row_number() OVER (PARTITION BY i ORDER BY r, k)::INT AS line_no, kind, line FROM x""",
     "pod_flatten": f"""
 WITH o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END AS t FROM orders),
      s AS (SELECT o.o_custkey, l.* FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)

@@ -220,13 +220,13 @@ def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested calculation results, one for each order with a pod for each of its (at most seven) lines;
+    """Nested calculation results, one for each order with a pod for each of its lines;
     one in nine failed, and half of these have a suggestion."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_partkey", "l_quantity")
     n = F.col("l_linenumber")
     sub = lambda title, img, text: F.struct(title.alias("title"), img.alias("img"), text.alias("plaintext"))
     none = F.lit(None).cast("string")
-    pod = F.struct(n.alias("_n"), F.when(n % 4 != 0, F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))).otherwise("").alias("title"), (F.col("l_returnflag") == "R").alias("is_result"), F.array(
+    pod = F.struct(n.alias("_n"), "l_partkey", "l_quantity", "l_suppkey", "l_returnflag", "l_linestatus", F.when(n % 4 != 0, F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))).otherwise("").alias("title"), (F.col("l_returnflag") == "R").alias("is_result"), F.array(
         sub(F.col("l_linestatus"), F.when(n % 2 == 0, F.concat(F.lit("img-"), F.col("l_partkey").cast("string"))), F.col("l_partkey").cast("string")),
         sub(F.lit(""), none, F.when(n % 3 != 0, F.col("l_quantity").cast("int").cast("string")))).alias("subpods"))
     q = li.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.array_sort(F.collect_list(pod)).alias("_p"))
