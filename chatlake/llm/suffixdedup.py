@@ -20,12 +20,20 @@ then go back to all its places in the parse, which gives them for the corpus.
 The corpus order itself, a row for each byte, is never written: equality of
 neighbours in it is all that is asked for, and classes have that.
 
+Refinement.  One task sorts ``GROUP`` entries at most.  A larger group is refined first: the
+distances from the trigger, at which its strings start, are halved, and each half
+of an entry goes to the group of the bytes that all strings of this half
+share, which are more bytes than before.  Entries that agree in all bytes of
+a half repeat there whole; one of them goes on for the others.  A group with one
+left is done, one of ``GROUP`` at most is sorted, others are refined
+again.  At a single distance the shared bytes are the string, so seven
+rounds are enough.  A round makes two rows for each entry that is still open at most.
+
 Distribution: parse rows are (document, place, class, entry), one for some 50 bytes.
-Rows whose class can't repeat are left out by a bitmap of fixed size (``BITMAP`` bits;
-classes that fall on a set bit by chance stay in and do no harm).
-Counts combine before they are shuffled.  A class of more than ``CLASS`` entries is not
-sorted in one task: its suffixes go out as 128-bit digests, one row each, and are
-counted like words.  Texts are compressed before they meet their marks.
+Rows whose class can't repeat are left out by a bitmap of ``BITMAP`` bits (classes that fall
+on a set bit by chance stay in and do no harm), or by a join where more than an eighth of
+the bits would be set.  Counts combine before they are shuffled.  Documents are
+named by 128 bits of their id and text.  Texts are compressed before they meet their marks.
 
 Nulls and edge cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; a
 row that is repeated is a copy like any other, and its strings start elsewhere;
@@ -34,6 +42,7 @@ null ids are kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +50,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import base, row_key, shared_folder
+from .common import base, shared_folder
 
 LENGTH = 200
 WINDOW = 128
 CORE = LENGTH - WINDOW + 1
 GRAM = 8
 BITMAP = 1 << 26
-CLASS = 512
+#: Entries that one task sorts together.
+GROUP = 512
 #: Bytes that are hashed at a time.
 BLOCK = 4 << 20
 
@@ -146,18 +156,12 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id``, ``_text`` and ``_uid``: a long for each (id, text), under the first seed
-    that gives different ones different longs."""
-    d = base(docs, id_col, text_col)
-    for seed in range(8):
-        uid = F.xxhash64(F.lit(seed), "_id", "_text")
-        if d.select(uid.alias("u"), row_key(F.col("_id"), F.col("_text")).alias("k")).distinct() \
-                .groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-            return d.select("_id", "_text", uid.alias("_uid"))
-    raise RuntimeError("no seed without collisions")
+    """``_id``, ``_text`` and two longs that name each (id, text): ``_u1``, ``_u2``."""
+    return base(docs, id_col, text_col).select(
+        "_id", "_text", *[F.xxhash64(F.lit(seed), "_id", F.length("_text"), "_text").alias(f"_u{seed}") for seed in (1, 2)])
 
 
-PARSE = "uid long, at long, last int, first int, class long, entry long"
+PARSE = "u1 long, u2 long, at long, last int, first int, class long, entry long"
 
 
 def _parse_rows(d: DataFrame, bitmap=None, only: str | None = None) -> DataFrame:
@@ -167,9 +171,9 @@ def _parse_rows(d: DataFrame, bitmap=None, only: str | None = None) -> DataFrame
 
         names = [c.split()[0] for c in PARSE.split(", ")]
         for b in batches:
-            uid = b.column(0).to_numpy()
-            for text, at, last, first, class_, entry in parse(b.column(1).cast(pa.large_binary()).to_pylist()):
-                cols = [uid[text], at, last.astype(np.int32), first.astype(np.int32), class_, entry]
+            u1, u2 = (b.column(k).to_numpy() for k in (0, 1))
+            for text, at, last, first, class_, entry in parse(b.column(2).cast(pa.large_binary()).to_pylist()):
+                cols = [u1[text], u2[text], at, last.astype(np.int32), first.astype(np.int32), class_, entry]
                 if only:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[names.index(only)])], names=[only])
                     continue
@@ -180,7 +184,7 @@ def _parse_rows(d: DataFrame, bitmap=None, only: str | None = None) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     schema = next(c for c in PARSE.split(", ") if c.split()[0] == only) if only else PARSE
-    return d.select("_uid", "_text").mapInArrow(each, schema)
+    return d.select("_u1", "_u2", "_text").mapInArrow(each, schema)
 
 
 def _bitmap(classes: DataFrame):
@@ -200,16 +204,20 @@ def _packed_texts(d: DataFrame) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            z = [pack(t) for t in b.column(2).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["_uid", "_id", "z"])
+            z = [pack(t) for t in b.column(3).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(z, pa.binary())], names=["_u1", "_u2", "_id", "z"])
+
+    return d.select("_u1", "_u2", "_id", "_text").mapInArrow(each, f"_u1 long, _u2 long, _id {d.schema['_id'].dataType.simpleString()}, z binary")
 
-    return d.select("_uid", "_id", "_text").mapInArrow(each, f"_uid long, _id {d.schema['_id'].dataType.simpleString()}, z binary")
+
+def _same_text():
+    return (F.col("_u1") == F.col("u1")) & (F.col("_u2") == F.col("u2"))
 
 
 def _contexts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """For ``uid``, ``at``, ``last``, ``first``, ``class``, ``entry``, ``n``: the same without place, with the entry's bytes."""
-    by_text = wanted.groupBy("uid").agg(F.collect_list(F.struct("at", "last", "first", "class", "entry", "n")).alias("want"))
-    rows = texts.select("_uid", "z").dropDuplicates(["_uid"]).join(by_text, F.col("_uid") == F.col("uid")).select("z", "want")
+    """For ``u1``, ``u2``, ``at``, ``last``, ``first``, ``class``, ``entry``, ``n``: the same without place, with the entry's bytes."""
+    by_text = wanted.groupBy("u1", "u2").agg(F.collect_list(F.struct("at", "last", "first", "class", "entry", "n")).alias("want"))
+    rows = texts.select("_u1", "_u2", "z").dropDuplicates(["_u1", "_u2"]).join(by_text, _same_text()).select("z", "want")
 
     def each(batches) -> Iterator:
         import pyarrow as pa
@@ -236,16 +244,19 @@ def _contexts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(each, "last int, first int, class long, entry long, n long, bytes binary")
 
 
-def _sorted_classes(contexts: DataFrame) -> DataFrame:
-    """``class``, ``entry`` and marks (``lo``, ``hi``) from the order of the suffixes of each class."""
-    rows = contexts.select("class", "entry", "last", "first", "bytes").repartition("class").sortWithinPartitions("class")
+ROWS = "class long, entry long, last int, first int, bytes binary"
+
+
+def _sorted_groups(rows: DataFrame) -> DataFrame:
+    """``class``, ``entry`` and marks (``lo``, ``hi``) from the order of the suffixes of each group (``k1``, ``k2``)."""
+    rows = rows.select("k1", "k2", "class", "entry", "last", "first", "bytes").repartition("k1", "k2").sortWithinPartitions("k1", "k2")
 
     def each(batches) -> Iterator:
         import pyarrow as pa
 
-        def flush(class_, group):
-            masks = repeated_suffixes([(last, first, b) for _, last, first, b in group])
-            return [(class_, e[0], *_halves(m)) for e, m in zip(group, masks) if m]
+        def flush(group):
+            masks = repeated_suffixes([e[2:] for e in group])
+            return [(*e[:2], *_halves(m)) for e, m in zip(group, masks) if m]
 
         def batch(found):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(4)], names=["class", "entry", "lo", "hi"])
@@ -253,60 +264,104 @@ def _sorted_classes(contexts: DataFrame) -> DataFrame:
         now, group = None, []
         for b in batches:
             found = []
-            for class_, entry, last, first, bytes_ in zip(*(c.to_pylist() for c in b.columns)):
-                if class_ != now:
-                    found += flush(now, group)
-                    now, group = class_, []
-                group.append((entry, last, first, bytes_))
+            for k1, k2, *entry in zip(*(c.to_pylist() for c in b.columns)):
+                if (k1, k2) != now:
+                    found += flush(group)
+                    now, group = (k1, k2), []
+                group.append(entry)
             yield batch(found)
-        yield batch(flush(now, group))
+        yield batch(flush(group))
 
     return rows.mapInArrow(each, "class long, entry long, lo long, hi long")
 
 
-def _counted_suffixes(contexts: DataFrame) -> DataFrame:
-    """The same from digests of single suffixes, for classes of any size."""
+def halves(last: int, first: int, bytes_: bytes, size: int) -> list[tuple[int, int, bytes, bytes]]:
+    """The parts of an entry by blocks of ``size`` distances: last and first distance, the bytes
+    of the strings that start there, and the bytes that all strings of the block share."""
+    out = []
+    for low in range(last // size * size, first + 1, size):
+        y, f = max(last, low), min(first, low + size - 1)
+        out.append((y, f, bytes_[first - f:first - y + LENGTH], bytes_[first - low:first - low - size + 1 + LENGTH]))
+    return out
+
+
+def _refined(rows: DataFrame, size: int) -> DataFrame:
+    """The parts of all entries by blocks of ``size`` distances, with their group (``k1``, ``k2``), its number of
+    different parts ``n``, how many entries have the part, ``copies``, and if this one stands ``first_of`` them."""
     def each(batches) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh3_128_intdigest
 
-        names = ["h1", "h2", "class", "entry", "d"]
+        names = [c.split()[0] for c in ROWS.split(", ")]
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                class_, entry, last, first = (c.to_numpy() for c in part.columns[:4])
-                n = first - last + 1
-                d = np.concatenate([np.arange(x, y + 1) for x, y in zip(last, first)])
-                h = [xxh3_128_intdigest(t[f - x:f - x + LENGTH]) for t, y, f in zip(part.column(4).to_pylist(), last.tolist(), first.tolist())
-                     for x in range(y, f + 1)]
-                halves = (np.array([x >> s & (2 ** 64 - 1) for x in h], np.uint64).view(np.int64) for s in (0, 64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*halves, np.repeat(class_, n), np.repeat(entry, n), d.astype(np.int32))],
-                                                 names=names)
-
-    rows = _written(contexts.select("class", "entry", "last", "first", "bytes").mapInArrow(
-        each, "h1 long, h2 long, class long, entry long, d int"), "suffixes")
-    twice = _written(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2")), "repeated")
-    bit = lambda low: F.when((F.col("d") >= low) & (F.col("d") < low + 64), F.expr(f"shiftleft(1L, d - {low})")).otherwise(F.lit(0).cast("long"))
-    return rows.join(twice, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_semi") \
-        .groupBy("class", "entry").agg(F.bit_or(bit(0)).alias("lo"), F.bit_or(bit(64)).alias("hi"))
+            for k in range(0, b.num_rows, 2000):
+                kept, keys = [], []
+                for class_, entry, last, first, bytes_ in zip(*(c.to_pylist() for c in b.slice(k, 2000).columns)):
+                    for y, f, whole, shared in halves(last, first, bytes_, size):
+                        kept.append((class_, entry, y, f, whole))
+                        keys.append((*_halves(xxh3_128_intdigest(shared, y // size)), *_halves(xxh3_128_intdigest(whole, y << 8 | f))))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], t) for i, t in enumerate(kinds)] +
+                                                 [pa.array([r[i] for r in keys], pa.int64()) for i in range(4)],
+                                                 names=[*names, "k1", "k2", "w1", "w2"])
+
+    parts = _written(rows.select("class", "entry", "last", "first", "bytes").mapInArrow(
+        each, ROWS + ", k1 long, k2 long, w1 long, w2 long"), "parts")
+    whole = _written(parts.groupBy("k1", "k2", "w1", "w2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("class", "entry")).alias("one")), "wholes")
+    groups = whole.groupBy(F.col("k1").alias("g1"), F.col("k2").alias("g2")).agg(F.count(F.lit(1)).alias("n"))
+    whole = whole.join(groups, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))).where("n > 1 OR copies > 1") \
+        .select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "copies", "one", "n")
+    first = (F.col("class") == F.col("one.class")) & (F.col("entry") == F.col("one.entry"))
+    return _written(parts.join(whole, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")))
+                    .select("class", "entry", "last", "first", F.when(first, F.col("bytes")).alias("bytes"), "k1", "k2", "n", "copies",
+                            first.alias("first_of")), "refined")
+
+
+def _between(last, first):
+    """``lo`` and ``hi`` with the bits from last to first."""
+    def bits(start):
+        y, f = F.greatest(last - start, F.lit(0)), F.least(first - start, F.lit(63))
+        ones = F.lit(-1).cast("long")
+        # a shift takes the last six bits of its number, so a word of no bits is a case of its own
+        return F.when(y > f, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.call_function("shiftleft", ones, y + 63 - f), F.lit(63) - f))
+
+    return bits(0).alias("lo"), bits(64).alias("hi")
+
+
+def _class_marks(contexts: DataFrame) -> DataFrame:
+    """``class``, ``entry`` and marks (``lo``, ``hi``) of the entries of classes with ``n`` different ones."""
+    rows = contexts.withColumn("k1", F.col("class")).withColumn("k2", F.lit(0).cast("long"))
+    sort, whole, size = [rows.where(F.col("n") <= GROUP)], [], WINDOW
+    while not (large := rows.where(F.col("n") > GROUP)).isEmpty():
+        size //= 2
+        rows = _refined(large, size)
+        whole.append(rows.where("copies > 1").select("class", "entry", *_between(F.col("last"), F.col("first"))))
+        rows = rows.where("first_of AND n > 1")
+        sort.append(rows.where(F.col("n") <= GROUP))
+    columns = ["k1", "k2", "class", "entry", "last", "first", "bytes"]
+    out = _sorted_groups(functools.reduce(DataFrame.union, [r.select(*columns) for r in sort]))
+    return functools.reduce(DataFrame.union, whole, out)
 
 
 def marks(d: DataFrame, texts: DataFrame) -> DataFrame:
-    """``uid`` and ``marks``: (at, last, first, lo, hi) of all its phrases with repeated strings."""
-    classes = _parse_rows(d, only="class").groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class")
-    rows = _written(_parse_rows(d, _bitmap(classes)), "parse")
-    place = F.struct("uid", "at", "last", "first")
+    """``u1``, ``u2`` and ``marks``: (at, last, first, lo, hi) of all the text's phrases with repeated strings."""
+    classes = _written(_parse_rows(d, only="class").groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class"), "classes")
+    if classes.count() <= BITMAP // 8:
+        rows = _parse_rows(d, _bitmap(classes))
+    else:
+        rows = _parse_rows(d).join(classes, "class", "left_semi")
+    rows = _written(rows, "parse")
+    place = F.struct("u1", "u2", "at", "last", "first")
     entries = _written(rows.groupBy("class", "entry").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("p")), "entries")
     mixed = entries.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("class", "c")
     wanted = entries.join(mixed, F.col("class") == F.col("c")).select("p.*", "class", "entry", "n")
-    found = _written(_contexts(wanted, texts), "contexts")
-    some = _sorted_classes(found.where(F.col("n") <= CLASS)).union(_counted_suffixes(found.where(F.col("n") > CLASS)))
+    some = _class_marks(_written(_contexts(wanted, texts), "contexts"))
     every = F.lit(-1).cast("long")
     whole = entries.where("copies > 1").select("class", "entry", every.alias("lo"), every.alias("hi"))
     known = _written(some.union(whole).groupBy(F.col("class").alias("c"), F.col("entry").alias("e"))
                      .agg(F.bit_or("lo").alias("lo"), F.bit_or("hi").alias("hi")), "marks")
     return rows.join(known, (F.col("class") == F.col("c")) & (F.col("entry") == F.col("e"))) \
-        .groupBy("uid").agg(F.collect_list(F.struct("at", "last", "first", "lo", "hi")).alias("marks"))
+        .groupBy("u1", "u2").agg(F.collect_list(F.struct("at", "last", "first", "lo", "hi")).alias("marks"))
 
 
 def _starts(marked: list[dict]) -> np.ndarray:
@@ -324,7 +379,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ship_package(docs.sparkSession)
     d = _keyed(docs, id_col, text_col)
     texts = _packed_texts(d)
-    joined = texts.join(marks(d, texts), F.col("_uid") == F.col("uid"), "left").select("_id", "z", "marks")
+    joined = texts.join(marks(d, texts), _same_text(), "left").select("_id", "z", "marks")
 
     def each(batches) -> Iterator:
         import pyarrow as pa

@@ -164,14 +164,46 @@ def without_repeats(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("largest_class", [512, 2])
-def test_suffix_dedup(spark, largest_class, monkeypatch):
+@pytest.mark.parametrize("group, bits", [(512, 1 << 26), (2, 1 << 26), (3, 1 << 6)])
+def test_suffix_dedup(spark, group, bits, monkeypatch):
+    """Groups that are refined down to two entries, and a parse that is filtered by a join, give the same."""
     import duckdb
 
     from chatlake.llm import suffixdedup
 
-    monkeypatch.setattr(suffixdedup, "CLASS", largest_class)
+    monkeypatch.setattr(suffixdedup, "GROUP", group)
+    monkeypatch.setattr(suffixdedup, "BITMAP", bits)
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{TINY}/documents.parquet' ORDER BY doc_id").fetchall()
     want = dict(zip([d[0] for d in docs], without_repeats([(d[1] or "").encode() for d in docs])))
     got = {r[0]: tuple(r[1:]) for r in Q.QUERIES["op9_suffix_dedup"](spark, TINY).collect()}
     assert got == want
+
+
+def test_suffix_dedup_refinement(spark, monkeypatch):
+    """Hot near copies: one passage whose surroundings differ at many distances; the rows of a round are at most two an open entry."""
+    import random
+
+    from chatlake.llm import suffixdedup
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    passage = [word() for _ in range(60)]
+    texts = []
+    for _ in range(160):
+        w = list(passage)
+        for _ in range(2):
+            w[r.randrange(60)] = word()
+        texts.append(" ".join(w).encode())
+    made, inner = [], suffixdedup._refined
+
+    def counted(rows, size):
+        out = inner(rows, size)
+        made.append((size, rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(suffixdedup, "GROUP", 4)
+    monkeypatch.setattr(suffixdedup, "_refined", counted)
+    d = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, len(x.spans), hashlib.sha256(bytes(x.kept)).hexdigest()) for x in suffixdedup.dedup(d).collect()}
+    assert got == dict(enumerate(without_repeats(texts)))
+    assert made and made[-1][0] < made[0][0] and all(out <= 2 * rows for _, rows, out in made)
