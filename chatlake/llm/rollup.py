@@ -9,8 +9,10 @@ Commits are idempotent.  A batch's deltas go to a folder named by its id, and th
 folder counts as committed once Spark's committer has put ``_SUCCESS`` there:
 a batch that failed half-way is written anew by its retry, a batch that is
 delivered again after its commit changes nothing.  ``compact`` folds the committed
-deltas into a snapshot that also holds their batch ids, so that reading stays
-cheap and late repeats are still known.
+deltas into a snapshot and adds their batch ids to a ledger, a table with a part for
+each snapshot, so that reading stays cheap and late repeats are still known.  The
+ledger is asked for single ids and only grows by the new ones; the driver sees the
+names of the deltas since the last compaction, never all ids.
 
 The deltas of a batch combine before the shuffle, so a source that holds a third
 of the changes leaves each task as one row.
@@ -64,40 +66,45 @@ class Rollup:
     def _snapshot(self) -> str | None:
         return next(iter(self._committed("snapshots")[::-1]), None)
 
-    def _batches(self, snapshot: str | None) -> set[str]:
-        if snapshot is None:
+    def _folded(self, snapshot: str | None, ids: list[str]) -> set[str]:
+        """Those of the ids that the snapshot holds."""
+        if snapshot is None or not ids:
             return set()
-        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/batches/{snapshot}").collect()}
+        ledger = self.spark.read.schema("batch string, snapshot long").parquet(f"{self.folder}/batches")
+        return {r[0] for r in ledger.where((F.col("snapshot") <= int(snapshot)) & F.col("batch").isin(ids)).select("batch").distinct().collect()}
+
+    def _open(self, snapshot: str | None) -> tuple[list[str], set[str]]:
+        """Names of the committed deltas that the snapshot doesn't hold, and of those that it holds already."""
+        names = self._committed("deltas")
+        folded = self._folded(snapshot, [unquote(n[2:]) for n in names])
+        return [n for n in names if unquote(n[2:]) not in folded], {n for n in names if unquote(n[2:]) in folded}
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch; False if it had been committed before."""
         name = "b-" + quote(batch_id, safe="")
-        if name in self._committed("deltas") or batch_id in self._batches(self._snapshot()):
+        if name in self._committed("deltas") or self._folded(self._snapshot(), [batch_id]):
             return False
         deltas(changes).write.mode("overwrite").parquet(f"{self.folder}/deltas/{name}")
         return True
 
     def totals(self) -> DataFrame:
         last = self._snapshot()
-        folded = self._batches(last)
-        paths = [f"{self.folder}/deltas/{n}" for n in self._committed("deltas") if unquote(n[2:]) not in folded]
+        paths = [f"{self.folder}/deltas/{n}" for n in self._open(last)[0]]
         paths += [f"{self.folder}/snapshots/{last}"] if last else []
         every = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
         return every.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")) \
             .where("n_docs != 0 OR n_tokens != 0")
 
     def compact(self) -> None:
-        """A new snapshot of all that is committed; the deltas in it are deleted after it is complete."""
+        """A new snapshot of all that is committed; the deltas in it are deleted after it is complete.
+        The ledger's new part counts once its snapshot is complete, and a retry writes it anew."""
         last = self._snapshot()
-        folded = self._batches(last)
-        new = [n for n in self._committed("deltas") if unquote(n[2:]) not in folded]
+        new, gone = self._open(last)
         if new:
             name = f"{int(last or 0) + 1:012d}"
-            ids = [(b,) for b in sorted(folded | {unquote(n[2:]) for n in new})]
-            self.spark.createDataFrame(ids, "batch string").write.mode("overwrite").parquet(f"{self.folder}/batches/{name}")
+            ids = [(unquote(n[2:]),) for n in new]
+            self.spark.createDataFrame(ids, "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batches/snapshot={name}")
             self.totals().write.mode("overwrite").parquet(f"{self.folder}/snapshots/{name}")
-            folded |= {unquote(n[2:]) for n in new}
-        for n in self._committed("deltas"):
-            if unquote(n[2:]) in folded:
-                fs, p = self._fs(f"{self.folder}/deltas/{n}")
-                fs.delete(p, True)
+        for n in gone | set(new):
+            fs, p = self._fs(f"{self.folder}/deltas/{n}")
+            fs.delete(p, True)

@@ -135,9 +135,10 @@ class Encoder:
 
 
 def counted(docs: DataFrame, text_col: str = "text", tokenizer: str = "word_bpe_49k.json", name: str = "n_tokens") -> DataFrame:
-    """All columns but the text, and the number of its tokens (null: 0)."""
+    """All columns but the text, and the number of its tokens (null: 0), which takes the place of a
+    column that is called so, in whatever case."""
     ship_package(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c != text_col and c.lower() != name.lower()]
     d = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text_col))
 
     def each(batches):

@@ -294,10 +294,45 @@ def test_rollup(spark, tmp_path):
     assert total() == {(None, 1, 0)} and r.commit("bad", a)
 
 
+def test_rollup_compaction_stopped_between_steps(spark, tmp_path, monkeypatch):
+    """A compaction that ends after its ledger part, or after its snapshot, leaves the totals and all batch ids right."""
+    r = rollup.Rollup(spark, str(tmp_path / "r"))
+    schema = "op string, source string, lang string, tokenizer_version string, n_tokens long, old_tokens long"
+    a = spark.createDataFrame([("insert", "s", "en", "1", 10, None)], schema)
+    total = lambda: [(x.n_docs, x.n_tokens) for x in r.totals().collect()]
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    assert r.commit("1", a) and r.commit("2", a)
+    with monkeypatch.context() as m:
+        m.setattr(rollup.Rollup, "totals", stop)
+        with pytest.raises(RuntimeError):
+            r.compact()
+    assert total() == [(2, 20)] and not r.commit("1", a) and r.commit("3", a)
+    fs = rollup.Rollup._fs
+
+    class Deletes:
+        def __init__(self, inner):
+            self.exists, self.listStatus, self.delete = inner.exists, inner.listStatus, stop
+
+    with monkeypatch.context() as m:
+        m.setattr(rollup.Rollup, "_fs", lambda self, path: (Deletes(fs(self, path)[0]), fs(self, path)[1]))
+        with pytest.raises(RuntimeError):
+            r.compact()
+    assert total() == [(3, 30)] and not r.commit("2", a) and not r.commit("3", a) and r.commit("4", a)
+    r.compact()
+    assert total() == [(4, 40)] and not any(r.commit(b, a) for b in "1234") and r._committed("deltas") == []
+    ledger = spark.read.parquet(f"{r.folder}/batches").groupBy("snapshot").count().collect()
+    assert sorted(x["count"] for x in ledger) == [1, 3]         # a compaction adds its own ids only
+
+
 def test_counted_keeps_other_columns(docs):
     out = counted(docs)
     assert out.columns == [c for c in docs.columns if c != "text"] + ["n_tokens"]
     assert out.where("doc_id = 3").first().n_tokens == 0
+    clash = counted(docs.withColumn("N_Tokens", F.lit("x")))
+    assert clash.columns == out.columns and clash.where("doc_id = 3").first().n_tokens == 0
 
 
 def test_language_needs_letters(spark):

@@ -97,6 +97,16 @@ def test_token_rollup(spark, sf_dir, duck):
     assert {k[:2]: v for k, v in got.items() if k[2] == "words"} == {(s, x): (n, w) for s, x, n, w in want}
     assert {k[:2]: v[0] for k, v in got.items() if k[2] != "words"} == {(s, x): n for s, x, n, _ in want}
 
+    from tokenizers import Tokenizer
+
+    from chatlake.llm.tokens import tokenizer_path
+
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    tokens = Counter()
+    for s, x, text in duck.execute("SELECT source, lang, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1").fetchall():
+        tokens[s, x] += len(t.encode(text or "", add_special_tokens=False).ids)
+    assert {k[:2]: v[1] for k, v in got.items() if k[2] != "words"} == dict(tokens)
+
 
 def test_sharding(spark, sf_dir, texts):
     rows = Q.QUERIES["op4_kd_sharding"](spark, sf_dir).collect()
@@ -110,6 +120,37 @@ def test_sharding(spark, sf_dir, texts):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in rows)
 
 
+def test_sharding_tree(spark, sf_dir):
+    """The shards against the same tree, node by node, on all points at once."""
+    from chatlake.llm import kdshard as K
+
+    points = [(r._id, r._size, tuple(r._c), r._tie) for r in K.points(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", K.DIMENSIONS).collect()]
+    want = {}
+
+    def place(node, first, k):
+        if k == 1 or not node:
+            want.update((p[0], first) for p in node)
+            return
+        low = [min(p[2][d] for p in node) for d in range(4)]
+        width = [max(p[2][d] for p in node) - low[d] for d in range(4)]
+        d = width.index(max(width))
+        step = lambda p: (min(int((p[2][d] - low[d]) / width[d] * K.BINS), K.BINS - 1) if width[d] > 0 else 0, p[3])
+        weight = Counter()
+        for p in node:
+            weight[step(p)] += p[1]
+        target, so_far, cut = sum(weight.values()) * (k // 2) / k, 0, None
+        for key in sorted(weight):
+            if so_far + weight[key] >= target:
+                cut = key if so_far + weight[key] - target >= target - so_far else (key[0], key[1] + 1)
+                break
+            so_far += weight[key]
+        place([p for p in node if step(p) < cut], first, k // 2)
+        place([p for p in node if step(p) >= cut], first + k // 2, k - k // 2)
+
+    place(points, 0, 24)
+    assert {r.doc_id: r.shard for r in Q.QUERIES["op4_kd_sharding"](spark, sf_dir).collect()} == want
+
+
 def test_language_id(spark, sf_dir, duck):
     lang = dict(duck.execute("SELECT doc_id, lang FROM documents").fetchall())
     rows = Q.QUERIES["op5_language_id"](spark, sf_dir).collect()
