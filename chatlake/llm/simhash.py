@@ -13,8 +13,9 @@ first bits have to be joined.  A task takes its subtries and traverses
 pairs of their nodes together, from the root: each pair of a 0 and a 1 child adds
 a differing bit, and a pair with more than ``max_bits`` of them is left there.
 t follows from the number of fingerprints, so that subtries stay small.  A
-subtrie with more than ``subtrie`` members is cut into buckets of about that
-size, joined pair by pair of buckets in tasks of their own.  A task
+subtrie with more than ``subtrie`` members goes further down, by the bits that vary
+in it, in rounds (``deal``); only one that this doesn't spread is cut into buckets
+of about that size, joined pair by pair of buckets in tasks of their own.  A task
 hands on a spanning forest of the links that it found, not the links, so
 dense groups give no more edges than members.
 
@@ -27,15 +28,16 @@ share fingerprint and component; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import base, cut
+from .common import base, cut, let
 from .components import components
 
 SHINGLE = 4
@@ -180,6 +182,55 @@ def block_masks(n: int, max_bits: int, members: int = 64) -> list[int]:
     return [sum(c) for c in combinations(masks, t - max_bits)]
 
 
+def _parts(varying: Column, parts: int) -> Column:
+    """Masks of even parts of the bits set in ``varying``."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    edge = lambda p, k: F.floor(F.size(p) * k / parts).cast("int")
+
+    def masks(p: Column) -> Column:
+        return F.array(*[F.aggregate(F.slice(p, edge(p, k) + 1, edge(p, k + 1) - edge(p, k)), F.lit(0).cast("long"),
+                                     lambda m, i: m.bitwiseOR(bit(i))) for k in range(parts)])
+
+    return let(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(varying, i) == 1), masks)
+
+
+def deal(rows: DataFrame, max_bits: int, subtrie: int) -> DataFrame:
+    """Members of subtries (``_path``, ``_top``, ``_fp``) to members of jobs (``_path``, ``_top``, ``_lo``,
+    ``_hi``, ``_fp``): each job is a subtrie or a pair of buckets of one.
+
+    A subtrie with more than ``subtrie`` members goes down by the bits that vary in it: in
+    ``max_bits + 1`` parts of these, a linked pair agrees in one whole, which then stands first. That round
+    is kept only if it at least halves the pairs of members; so the work falls from round to
+    round, and what remains large (members that nearly all agree in nearly all parts) is cut into buckets."""
+    key, whole = ["_path", "_top"], F.lit(0)
+    done = []
+    while True:
+        large = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.bit_or("_fp").alias("_any"), F.bit_and("_fp").alias("_all"))
+                    .where(F.col("_n") > subtrie)
+                    .select(F.col("_path").alias("_p"), F.col("_top").alias("_t"), "_n",
+                            _parts(F.col("_any").bitwiseXOR(F.col("_all")), max_bits + 1).alias("_masks")))
+        mine = (F.col("_path") == F.col("_p")) & (F.col("_top") == F.col("_t"))
+        done.append(rows.join(large, mine, "left_anti").select(*key, whole.alias("_lo"), whole.alias("_hi"), "_fp"))
+        if large.isEmpty():
+            break
+        down = (rows.join(large, mine).select("_p", "_t", "_fp", F.posexplode("_masks").alias("_k", "_mask"))
+                .select("_p", "_t", F.xxhash64("_p", "_t", "_k").alias("_path"),
+                        F.col("_fp").bitwiseAND(F.col("_mask")).alias("_top"), "_fp"))
+        pairs = (down.groupBy("_p", "_t", *key).agg(F.count(F.lit(1)).cast("double").alias("_m"))
+                 .groupBy("_p", "_t").agg(F.sum(F.col("_m") * F.col("_m")).alias("_after")))
+        judged = cut(large.select(F.col("_p").alias("_lp"), F.col("_t").alias("_lt"), "_n")
+                     .join(pairs, (F.col("_lp") == F.col("_p")) & (F.col("_lt") == F.col("_t")))
+                     .select("_lp", "_lt", "_n", (2 * F.col("_after") <= F.col("_n").cast("double") * F.col("_n")).alias("_better")))
+        dense = judged.where("NOT _better").withColumn("_g", F.ceil(F.col("_n") / subtrie).cast("int"))
+        bucket = F.pmod(F.xxhash64("_fp"), F.col("_g")).cast("int")
+        with_each = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda k: F.struct(
+            F.least(bucket, k).alias("lo"), F.greatest(bucket, k).alias("hi")))
+        done.append(rows.join(dense, (F.col("_path") == F.col("_lp")) & (F.col("_top") == F.col("_lt")))
+                    .select(*key, F.explode(with_each).alias("_j"), "_fp").select(*key, "_j.lo", "_j.hi", "_fp").toDF(*key, "_lo", "_hi", "_fp"))
+        rows = cut(down.join(judged.where("_better"), (F.col("_p") == F.col("_lp")) & (F.col("_t") == F.col("_lt"))).select(*key, "_fp"))
+    return reduce(DataFrame.union, done)
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, subtrie: int = SUBTRIE) -> DataFrame:
     """Edges ``u``, ``v`` between distinct fingerprints (``_fp``) whose components are
     those of all links."""
@@ -188,18 +239,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, subtrie: int = SUBTRIE) -> D
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     masks = F.array(*[F.lit(signed(m)).cast("long") for m in block_masks(n, max_bits)])
     rows = fps.select("_fp", F.posexplode(masks).alias("_choice", "_mask")) \
-        .select("_fp", "_choice", F.col("_fp").bitwiseAND(F.col("_mask")).alias("_top"))
-    large = rows.groupBy("_choice", "_top").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > subtrie) \
-        .select(F.col("_choice").alias("_c"), F.col("_top").alias("_t"), F.ceil(F.col("_n") / subtrie).cast("int").alias("_g"))
-    dealt = rows.join(large, (F.col("_choice") == F.col("_c")) & (F.col("_top") == F.col("_t")), "left")
-    bucket = F.pmod(F.xxhash64("_fp"), F.col("_g")).cast("int")
-    whole = F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda k: F.struct(
-        F.least(bucket, k).alias("lo"), F.greatest(bucket, k).alias("hi")))
-    jobs = dealt.select("_choice", "_top", F.explode(F.when(F.col("_g").isNull(), F.array(whole)).otherwise(pairs)).alias("_j"), "_fp")
-    key = ["_choice", "_top", "_lo", "_hi"]
-    sorted_ = (jobs.select("_choice", "_top", F.col("_j.lo").alias("_lo"), F.col("_j.hi").alias("_hi"), "_fp")
-               .repartition(*key).sortWithinPartitions(*key, "_fp"))
+        .select(F.col("_choice").cast("long").alias("_path"), F.col("_fp").bitwiseAND(F.col("_mask")).alias("_top"), "_fp")
+    key = ["_path", "_top", "_lo", "_hi"]
+    sorted_ = deal(rows, max_bits, subtrie).repartition(*key).sortWithinPartitions(*key, "_fp")
     return sorted_.mapInArrow(_forests(max_bits, 1 << 22), "u long, v long")
 
 
