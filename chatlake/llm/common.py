@@ -8,6 +8,7 @@ whatever they are called, can neither clash with nor slip into its work.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,27 +60,44 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def rank_in_groups(df: DataFrame, group: list[str], order: list[str], rank: str, rows: int,
+def rank_in_groups(df: DataFrame, group: list[str], order: list[str], rank: str, rows: int | Column,
                    bucket_rows: int = 1024) -> DataFrame:
     """Gapless numbers from 0 within each group, for groups of any size.
 
-    Rows of a group are dealt into hash buckets of the ``order`` columns, about
-    ``rows / bucket_rows`` of them; a row's number is its bucket's start (a
-    running sum over the group's bucket counts) plus its place in the
-    bucket.  No task ever holds a whole hot group, only its bucket counts.
+    ``rows``: a group's rows, or a bound of them.  They are dealt into hash buckets of the ``order``
+    columns, of about ``bucket_rows`` rows, and buckets into about as many blocks as a block has
+    buckets.  A row's number is its block's start plus its bucket's start in the block plus its place in the
+    bucket.  No task ever holds a whole hot group, nor all its bucket counts: a running sum goes
+    over the buckets of a block or the blocks of a group, the square root of the buckets.
     Rows that agree in all ``order`` columns are numbered in any order."""
     from pyspark.sql import Window
 
-    buckets = max(1, -(-rows // bucket_rows))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_b"),
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)) - 1
-    same = F.col("_bucket") == F.col("_b")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return (dealt.withColumn("_place", place).join(starts, same)
+    rows = F.lit(rows) if isinstance(rows, int) else rows
+    wide = F.greatest(F.ceil(F.sqrt(rows / bucket_rows)), F.lit(1)).cast("long")
+    dealt = df.withColumn("_wide", wide).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_wide") * F.col("_wide"))) \
+        .withColumn("_block", (F.col("_bucket") / F.col("_wide")).cast("long")).drop("_wide")
+    counts = dealt.groupBy(*group, "_block", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = counts.groupBy(*group, "_block").agg(F.sum("_n").alias("_n"))
+
+    def before(by: list[str], place: str) -> Column:
+        return F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def side(t: DataFrame, by: list[str], place: str, start: str) -> DataFrame:
+        names = [c for c in t.columns if c != "_n"]
+        return t.select(*[F.col(c).alias(f"{start}{i}") for i, c in enumerate(names)], before(by, place).alias(start))
+
+    def same(cols: list[str], start: str) -> Column:
+        every = F.lit(True)
+        for i, c in enumerate(cols):
+            every = every & F.col(c).eqNullSafe(F.col(f"{start}{i}"))
+        return every
+
+    keys = [*group, "_block", "_bucket"]
+    starts = side(counts, [*group, "_block"], "_bucket", "_in") \
+        .join(side(blocks, group, "_block", "_at"), reduce(Column.__and__, [
+            F.col(f"_in{i}").eqNullSafe(F.col(f"_at{i}")) for i in range(len(group) + 1)])) \
+        .select(*[F.col(f"_in{i}") for i in range(len(keys))], (F.col("_in") + F.col("_at")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return (dealt.withColumn("_place", place).join(starts, same(keys, "_in"))
             .withColumn(rank, (F.col("_start") + F.col("_place")).cast("long"))
-            .drop("_bucket", "_place", "_b", "_start", *[f"_g{i}" for i in range(len(group))]))
+            .drop("_bucket", "_block", "_place", "_start", *[f"_in{i}" for i in range(len(keys))]))

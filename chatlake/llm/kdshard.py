@@ -125,9 +125,10 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     ``slot`` (gapless from 0 in its shard).  The number of shards is given, or
     follows from the bytes that a leaf shall reach."""
     p = points(docs, id_col, text_col, dims)
-    total = p.agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("n")).first()
     if shards is None:
-        shards = max(1, -(-(total["s"] or 0) // target_bytes))
+        shards = max(1, -(-(p.agg(F.sum("_size").alias("s")).first()["s"] or 0) // target_bytes))
     placed = cut(tree(p, shards, len(dims)).select("_id", "_size", "_crc", "_tie", "shard"))
-    out = rank_in_groups(placed, ["shard"], ["_tie", "_id", "_crc"], "slot", total["n"])
+    own = placed.groupBy(F.col("shard").alias("_s")).agg(F.count(F.lit(1)).alias("_rows"))       # at most MAX_SHARDS rows
+    counted = placed.join(F.broadcast(own), F.col("shard") == F.col("_s")).drop("_s")
+    out = rank_in_groups(counted, ["shard"], ["_tie", "_id", "_crc"], "slot", F.col("_rows"))
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot")

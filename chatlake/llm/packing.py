@@ -236,7 +236,9 @@ def pack(parts: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, gri
     places = spark.createDataFrame(table, "_length long, _from long, _to long, _shift long, offset long")
     if len(table) <= MAX_PLAN:
         places = F.broadcast(places)
-    ranked = rank_in_groups(parts, ["length"], [id_col, "piece", "ids_crc32"], "_rank", sum(hist.values()))
+    by_length = ",".join(str(hist.get(k, 0)) for k in range(max(hist, default=0) + 1))      # at most capacity + 1 numbers
+    of_length = F.get(F.split(F.lit(by_length), ",").cast("array<bigint>"), F.col("length").cast("int"))
+    ranked = rank_in_groups(parts, ["length"], [id_col, "piece", "ids_crc32"], "_rank", of_length)
     out = ranked.join(places, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from"))
                       & (F.col("_rank") < F.col("_to")))
     return out.select(id_col, "piece", "start", "length", "ids_crc32",
