@@ -116,7 +116,7 @@ WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpo
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 r AS (SELECT *, {_rule_cases(lambda a, r: r)} AS rule, {_rule_cases(lambda a, r: a)} AS ruled, lower(concat(host, path)) AS s FROM h),
-u AS (SELECT s, count(*) AS n, bool_or(ruled = 'allow') AS accepted, ('0x' || substr(md5(s), 1, 6))::BIGINT % {FOLDS} AS fold FROM r GROUP BY s),
+u AS (SELECT s, count(*) AS n, ruled = 'allow' AS accepted, ('0x' || substr(md5(s), 1, 6))::BIGINT % {FOLDS} AS fold FROM r GROUP BY s, ruled),
 w AS (SELECT s, n, accepted, fold, substr(concat(repeat(chr(2), {ORDER}), s, chr(3)), i, {ORDER + 1}) AS w
       FROM (SELECT *, unnest(range(1, length(s) + 2)) AS i FROM u)),
 k AS (SELECT unnest(range(0, {ORDER + 1})) AS k),
@@ -128,9 +128,11 @@ d AS (SELECT DISTINCT w FROM w WHERE accepted IS NULL OR fold = 0),
 l AS (SELECT w, {', '.join(map(_level, ('a', 'r', 'na', 'nr', 'ta', 'tr')))}
       FROM d CROSS JOIN k LEFT JOIN g ON gram = substr(w, {ORDER + 1} - k, k + 1) LEFT JOIN c ON ctx = substr(w, {ORDER + 1} - k, k) GROUP BY w),
 t AS (SELECT w, ln({_chance('na', 'a', 'ta')}) - ln({_chance('nr', 'r', 'tr')}) AS ratio FROM l),
-sc AS (SELECT s, sum(ratio) / count(*) AS score FROM w JOIN t USING (w) GROUP BY s),
+sw AS (SELECT s, substr(concat(repeat(chr(2), {ORDER}), s, chr(3)), i, {ORDER + 1}) AS w
+       FROM (SELECT s, unnest(range(1, length(s) + 2)) AS i FROM (SELECT DISTINCT s FROM u WHERE accepted IS NULL OR fold = 0))),
+sc AS (SELECT s, sum(ratio) / count(*) AS score FROM sw JOIN t USING (w) GROUP BY s),
 hist AS (SELECT floor(greatest(least(score, {LIMIT}), -{LIMIT}) * {STEPS}) AS b, sum(CASE WHEN accepted THEN n ELSE 0 END) AS a,
-                sum(CASE WHEN accepted THEN 0 ELSE n END) AS r FROM sc JOIN u USING (s) WHERE accepted IS NOT NULL GROUP BY 1),
+                sum(CASE WHEN accepted THEN 0 ELSE n END) AS r FROM sc JOIN u USING (s) WHERE accepted IS NOT NULL AND fold = 0 GROUP BY 1),
 gain AS (SELECT b, round(sum(a) OVER v / greatest(sum(a) OVER (), 1) - sum(r) OVER v / greatest(sum(r) OVER (), 1), 9) AS x FROM hist
          WINDOW v AS (ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 best AS (SELECT coalesce((SELECT b FROM gain ORDER BY x DESC, abs(b) LIMIT 1), 0) / {STEPS} AS b,

@@ -127,14 +127,15 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     ruled = cut(split.select("*", rule.alias("rule"), verdict.alias("_verdict"), F.lower(F.concat("host", "path")).alias("s"))
                 .withColumn("key", F.md5("s")))
     fold = F.pmod(F.conv(F.substring("key", 1, 6), 16, 10).cast("long"), F.lit(folds))
-    strings = cut(ruled.groupBy("key", "s").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_verdict") == "allow").alias("accepted"))
-                  .withColumn("fold", fold))
+    # a string stands once for each verdict: case variants of one string may have different rules, or none
+    strings = cut(ruled.groupBy("key", "s", "_verdict").agg(F.count(F.lit(1)).alias("n"))
+                  .withColumn("accepted", F.col("_verdict") == "allow").withColumn("fold", fold))
     labelled = strings.where("accepted IS NOT NULL")
-    to_score = strings.where("accepted IS NULL OR fold = 0").select("key", "s")
+    to_score = strings.where("accepted IS NULL OR fold = 0").select("key", "s").distinct()
     grams, contexts = count_tables(labelled.where("fold != 0"), order)
     table = cut(ratios(windows(to_score, order).select("w").distinct(), grams, contexts, order))
     scored = cut(scores(to_score, table, order)).select(F.col("key").alias("_k"), "score")
-    best = threshold(scored.join(labelled, F.col("_k") == F.col("key")))
+    best = threshold(scored.join(labelled.where("fold = 0"), F.col("_k") == F.col("key")))
     both = contexts.where("ctx = ''").agg(F.coalesce(F.max((F.col("na") > 0) & (F.col("nr") > 0)), F.lit(False))).scalar()
     out = ruled.join(scored, F.col("rule").isNull() & (F.col("key") == F.col("_k")), "left")
     score = F.when(both, F.col("score")).when(F.col("rule").isNull(), F.lit(0.0))
