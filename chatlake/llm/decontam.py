@@ -5,7 +5,7 @@ Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters.
 A test item of ``window`` words or more gives all its windows; a shorter one
 gives a single window of all its words; one without words gives none.  Each
 document position is looked up by the hash of its next words, first in a bitmap
-of fixed size and, where that has the bit, in the set; a hash hit counts only
+sized by the windows and, where that has the bit, in the set; a hash hit counts only
 if the words themselves are equal.  Only positions with a set bit become rows,
 each with the words of its window and not with the document's.
 
@@ -31,8 +31,9 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: About 64 bytes of key and row each, and a list of item ids: some 300 MB at most.
 BROADCAST_WINDOWS = 2_000_000
-#: Of the bitmap that goes before the set; a power of two.
-BITS = 1 << 20
+#: Of the bitmap that goes before the set: least and most, powers of two.  Between them, 8 bits a window
+#: and more, up to all windows that are broadcast; it only spares probes, beyond it as within.
+BITS, MOST_BITS = 1 << 20, 1 << 24
 
 
 def norm_words(text: Column) -> Column:
@@ -70,48 +71,47 @@ def _first_hash(n: int):
     return lambda h: _hash(h, F.lit(0), n)
 
 
-def _bitmap(windows: DataFrame) -> Column:
-    """``BITS`` bits as an array of longs, those of the windows' hashes set: a literal of fixed size."""
-    word = F.shiftright(F.col("_h").bitwiseAND(BITS - 1), 6)
+def _bitmap(windows: DataFrame, bits: int) -> Column:
+    """``bits`` bits as an array of longs, those of the windows' hashes set: a literal of that size."""
+    word = F.shiftright(F.col("_h").bitwiseAND(bits - 1), 6)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_h").bitwiseAND(63).cast("int"))
-    words_ = [0] * (BITS // 64)
+    words_ = [0] * (bits // 64)
     for r in windows.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).collect():
         words_[r["w"]] = r["b"]
     return F.split(F.lit(",".join(map(str, words_))), ",").cast("array<bigint>")
 
 
-def _probes(n: int, bitmap: Column):
-    """From the words and their hashes: (place, probe, the window's words) of every place whose
-    probe may be in the set."""
+def _probes(lengths: list[int], bitmap: Column, bits: int):
+    """From the words and their hashes: (length, place, probe, the window's words) of every place and
+    length whose probe may be in the set."""
     def may_be(p: Column) -> Column:
         h = p["h"]
-        return F.getbit(F.get(bitmap, F.shiftright(h.bitwiseAND(BITS - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+        return F.getbit(F.get(bitmap, F.shiftright(h.bitwiseAND(bits - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
 
-    def found(x: Column) -> Column:
+    def of_length(x: Column, n: int) -> Column:
         every = F.transform(F.sequence(F.lit(0), F.size(x["h"]) - n), lambda i: F.struct(i.alias("at"), _hash(x["h"], i, n).alias("h")))
-        return F.when(F.size(x["h"]) >= n, F.transform(F.filter(every, may_be), lambda p: F.struct(
-            p["at"].alias("at"), p["h"].alias("h"),
-            F.concat_ws(" ", *[_norm(F.get(x["w"], p["at"] + k)) for k in range(n)]).alias("words"))))
+        found = F.transform(F.filter(every, may_be), lambda p: F.struct(
+            F.lit(n).alias("n"), p["at"].alias("at"), p["h"].alias("h"),
+            F.concat_ws(" ", *[_norm(F.get(x["w"], p["at"] + k)) for k in range(n)]).alias("words")))
+        return F.when(F.size(x["h"]) >= n, found).otherwise(F.expr("CAST(array() AS array<struct<n:int,at:int,h:bigint,words:string>>)"))
 
-    return found
+    return lambda x: F.concat(*[of_length(x, n) for n in lengths])
 
 
 def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Verified occurrences: ``_key`` of the document, ``_at`` (first word,
-    from 0), ``_len``, ``_items``.  One scan of the documents for each window
-    length: one, and one more for each length of shorter items."""
+    from 0), ``_len``, ``_items``.  One scan of the documents for all window lengths:
+    ``window``, and those of shorter items."""
     stats = {r["_len"]: r["n"] for r in windows.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).collect()}
-    side = F.broadcast(windows) if sum(stats.values()) <= broadcast_windows else windows
-    bitmap = _bitmap(windows)
+    n = sum(stats.values())
+    side = F.broadcast(windows) if n <= broadcast_windows else windows
+    bits = min(MOST_BITS, max(BITS, 1 << (8 * n).bit_length()))
     d = base(docs, id_col, text_col).select(
         row_key(F.col("_id"), F.col("_text")).alias("_key"), words(F.col("_text"), SEPARATORS).alias("_w"))
-    found = None
-    for n in sorted(stats) or [WINDOW]:
-        both = F.struct(F.col("_w").alias("w"), F.transform("_w", lambda w: F.xxhash64(_norm(w))).alias("h"))
-        rows = d.select("_key", F.explode(let(both, _probes(n, bitmap))).alias("_p"))
-        part = rows.join(side.where(F.col("_len") == n), F.col("_p.h") == F.col("_h"))
-        found = part if found is None else found.union(part)
+    both = F.struct(F.col("_w").alias("w"), F.transform("_w", lambda w: F.xxhash64(_norm(w))).alias("h"))
+    rows = d.select("_key", F.explode(let(both, _probes(sorted(stats) or [WINDOW], _bitmap(windows, bits), bits))).alias("_p"))
+    found = rows.join(side, (F.col("_p.n") == F.col("_len")) & (F.col("_p.h") == F.col("_h")))
     return found.where(F.col("_p.words") == F.col("_words")).select("_key", F.col("_p.at").alias("_at"), "_len", "_items")
 
 

@@ -392,3 +392,19 @@ def test_rank_in_groups_is_gapless_by_blocks(spark):
         by = out.groupBy("g").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.count_distinct("r").alias("d"), F.count("*").alias("n")).collect()
         assert len(by) == 3 and all(x.a == 0 and x.b == x.n - 1 == x.d - 1 for x in by)
     assert rank_in_groups(df.limit(0), ["g"], ["id"], "r", 0).count() == 0
+
+
+def test_url_case_variants_keep_their_own_verdicts(spark):
+    urls_ = [f"http://a{i}.net/es/x" for i in range(8)] + [f"http://b{i}.com/y" for i in range(8)]
+    urls_ += [u.replace("/es/", "/ES/") for u in urls_[:8]]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls_)], "page_id long, url string")
+    r = {x.page_id: x for x in urls.judge(pages).collect()}
+    assert all(r[i].rule == "net/es/" and r[i].score is None for i in range(8))
+    assert all(r[i].rule is None and r[i].score < 0 and r[i].verdict == "block" for i in range(16, 24))
+
+
+def test_decontamination_of_all_lengths_in_one_pass(spark):
+    items = spark.createDataFrame([(1, "a b"), (2, "c"), (3, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x A b c y"), (2, " ".join(f"w{i}" for i in range(11))), (3, "a"), (4, "")], "doc_id long, text string")
+    r = {x.doc_id: (x.n_hit, x["items"]) for x in decontam.judge(docs, items).collect()}
+    assert r == {1: (3, ["1", "2"]), 2: (11, ["3"]), 3: (0, []), 4: (0, [])}
