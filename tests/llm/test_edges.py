@@ -124,37 +124,6 @@ def test_simhash_large_subtries_agree(spark):
     assert parts(label[512]) == parts(label[8])
 
 
-def test_simhash_dealing(spark):
-    """One subtrie whose members agree in 32 bits: rows dealt grow with its members, and, also over
-    several rounds, every linked pair shares a job."""
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    rng = np.random.default_rng(11)
-
-    def dealt(n, subtrie):
-        v = rng.integers(0, 1 << 32, n // 2, dtype=np.uint64)
-        v = np.unique(np.concatenate([v, v ^ (np.uint64(1) << rng.integers(0, 32, n // 2).astype(np.uint64))])) | np.uint64(5 << 40)
-        rows = spark.createDataFrame([(0, 0, int(x)) for x in v.view(np.int64)], "_path long, _top long, _fp long")
-        return v, simhash.deal(rows, 4, subtrie)
-
-    per = {}
-    for n in (4000, 16000):
-        v, jobs = dealt(n, simhash.SUBTRIE)
-        per[n] = jobs.count() / len(v)
-    assert per[16000] <= 1.2 * per[4000]
-    v, jobs = dealt(2000, 32)
-    jobs = jobs.groupBy("_path", "_top", "_lo", "_hi").agg(F.collect_set("_fp").alias("f")).collect()
-    near = lambda x: np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4, 1))
-    shared = set()
-    for j in jobs:
-        f = np.array(sorted(j.f), np.int64).view(np.uint64)
-        x, y = near(f)
-        shared |= set(zip(f[x].tolist(), f[y].tolist()))
-    x, y = near(v)
-    assert shared == set(zip(v[x].tolist(), v[y].tolist()))
-
-
 def test_trie_pairs_against_all_pairs():
     import numpy as np
 
