@@ -26,7 +26,7 @@ FILES, PER_BATCH = 6, 2
 
 
 def _src(spark, sf, name):
-    return ST.file_stream(spark, sf.rstrip("/"), f"{name}.parquet")
+    return ST.table_stream(spark, f"{sf.rstrip('/')}/{name}.parquet")
 
 
 def _split(spark, sf, name, out, key, *columns):

@@ -47,6 +47,15 @@ def file_stream(spark: SparkSession, folder: str, glob: str = "*.parquet",
     return r.load(folder)
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A file stream over a parquet table at ``path``, be it one file or a folder of
+    files of any names, as ``spark.read.parquet(path)`` takes it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return file_stream(spark, path, "*")
+    return file_stream(spark, p.getParent().toString(), p.getName())
+
+
 def new_run_dir(spark: SparkSession, name: str) -> str:
     return checkpoint_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
 

@@ -6,7 +6,9 @@ import tempfile
 
 import pandas as pd
 from chatlake.operators import spaces as SP
+from chatlake.plans import registry
 from chatlake.streaming import streams as ST
+from pyspark.sql import functions as F
 
 
 def _write(spark, folder, name, rows, schema):
@@ -100,3 +102,21 @@ def test_usage_totals_stream(spark):
     assert run() == {"openai-gpt": 7, "openai-dall-e-3": 1}
     _write(spark, src, "p2", [("openai-gpt", 10)], schema)
     assert run() == {"openai-gpt": 17, "openai-dall-e-3": 1}
+
+
+def test_stream_of_a_table_in_one_file_or_in_a_folder_of_files(spark):
+    base = tempfile.mkdtemp(prefix="chatlake-table-")
+    rows = [(c, t, "user", f"!gptbot word {c} {t}" if t % 2 else "a plain message") for c in range(12) for t in range(4)] + [(None, 0, "user", None)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    frame.repartition(5).write.parquet(f"{base}/folder/conversations.parquet")
+    os.makedirs(f"{base}/named/conversations.parquet")
+    os.makedirs(f"{base}/file")
+    for k in range(3):                                             # files without an ending
+        frame.where(F.coalesce("conv_id", F.lit(0)) % 3 == k).toPandas().astype({"conv_id": "Int64"}).to_parquet(f"{base}/named/conversations.parquet/part-{k}")
+    frame.toPandas().astype({"conv_id": "Int64"}).to_parquet(f"{base}/file/conversations.parquet")
+    frame.toPandas().astype({"conv_id": "Int64"}).to_parquet(f"{base}/file/pages.parquet")       # a table beside it is not read
+    want = sorted(map(str, registry.queries()["message_route"](spark, f"{base}/folder").collect()))
+    assert want
+    for form in ("folder", "named", "file"):
+        got = registry.queries()["stream_route"](spark, f"{base}/{form}/")
+        assert sorted(map(str, got.collect())) == want, form
