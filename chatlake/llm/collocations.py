@@ -20,7 +20,8 @@ Survival.  If a longer candidate holds a phrase as often as the phrase occurs, s
 longer, and then every occurrence has the same neighbour on that side.  Scans therefore keep the least and
 greatest hash of the left and right neighbours, and no longer phrase needs to be counted for it.
 
-Distribution: a task counts phrases in ``AT_ONCE`` words at a time and emits each once; counts combine in the task
+Distribution: a task counts phrases in ``AT_ONCE`` words at a time and emits each once, in lots of first words
+so that it holds little more than the line; counts combine in the task
 and after the shuffle, keyed by language and phrase, so neither a frequent phrase nor a language is a hot key.
 Scores are computed in 38 decimal digits.  The best of a language are limited in each task first.
 
@@ -30,7 +31,7 @@ cut between pieces; repeated rows count each; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -43,8 +44,10 @@ UNKNOWN = "und"
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Share of a language's occurrences whose rarest words the first round expands.
 FIRST = 0.25
-#: Words that a task counts at a time (and one piece more).
+#: Words of a line (and one piece more), of which a task counts each phrase once.
 AT_ONCE = 1_000_000
+#: Places of a line that a task works on at a time: phrases are taken by their first word, so none is met in two lots.
+LOT = 1 << 17
 #: Bits for each phrase of a bitmap, and the fewest and most bits of one.
 BITS, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
@@ -76,16 +79,21 @@ def _lines(texts: Iterator[bytes]) -> Iterator[bytes]:
         yield b"\n".join(held)
 
 
-def _words(line: bytes) -> list[bytes]:
-    """Words and end marks."""
-    return [w for w in line.replace(b"\n", b" \n ").split(b" ") if w]
+def _words(line: bytes) -> Iterator[bytes]:
+    """Words and end marks; some pieces are split at a time."""
+    at = 0
+    while at < len(line):
+        end = line.find(b"\n", at + LOT)
+        end = len(line) if end < 0 else end
+        yield from (w for w in line[at:end].replace(b"\n", b" \n ").split(b" ") if w)
+        at = end
 
 
-def word_hash(lang: str, words: list[bytes]) -> np.ndarray:
+def word_hash(lang: str, words: Iterable[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
     seed = xxh64_intdigest(lang.encode())
-    return np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    return np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64)
 
 
 def phrase_hash(parts: list[np.ndarray]) -> np.ndarray:
@@ -120,10 +128,8 @@ def encoded(source: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for x, line in _by_language(batches):
-            words = _words(line)
             known = {_END: 0}
-            ids = np.fromiter((known.setdefault(w, len(known)) for w in words), "<i4", len(words))
-            del words
+            ids = np.fromiter((known.setdefault(w, len(known)) for w in _words(line)), "<i4")
             own = pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), pa.array([w.decode() for w in known], pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()), own, pa.array([ids.tobytes()], pa.binary())], names=["lang", "words", "ids"])
 
@@ -185,40 +191,41 @@ def count_phrases(lines: DataFrame, bitmap, lengths: tuple[int, ...], head: int
         import pyarrow.compute as pc
 
         for x, names, ids in _encoded_lines(batches):
-            table = word_hash(x, [w.encode() for w in names.to_pylist()])
+            table = word_hash(x, (w.encode() for k in range(0, len(names), LOT) for w in names.slice(k, LOT).to_pylist()))
             table[0] = 0
             often = _hit(frequent.value, phrase_hash([table])) if frequent is not None else np.ones(len(table), bool)
             often[0] = False
             # end marks around, so that every place has neighbours and phrases cannot leave the line
-            own = np.concatenate(([0], ids, np.zeros(LONGEST + 1, np.int32))).astype(np.int64)
-            h, whole, m = table[own], own > 0, len(ids)
-            at, upto = np.arange(1, m + 1), 0
-            for k in sorted(lengths):
-                while upto < k:                                    # places from which k words follow
-                    at = at[whole[at + upto]]
-                    upto += 1
-                if head and k == min(lengths):
-                    at = at[_hit(bitmap.value, phrase_hash([h[at + j] for j in range(head)]))]
-                if frequent is not None:                           # a rare word is in no candidate
-                    at = at[often[own[at + k - 1]]]
-                here = at if head else at[_hit(bitmap.value, phrase_hash([h[at + j] for j in range(k)]))]
-                if not len(here):
-                    continue
-                rank = own[here]
-                for j in range(1, k):                              # places of equal phrases get equal numbers
-                    rank = rank * np.int64(len(table)) + own[here + j]
-                    if j < k - 1:
-                        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-                order = np.argsort(rank, kind="stable")
-                starts = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
-                here = here[order]
-                left, right = h[here - 1].view(np.int64), h[here + k].view(np.int64)
-                one = here[starts]
-                text = pc.binary_join_element_wise(*[names.take(pa.array(own[one + j])) for j in range(k)], " ")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x] * len(one), pa.string()), text, pa.array(np.diff(np.append(starts, len(here))).astype(np.int64)),
-                     *[pa.array(f.reduceat(v, starts)) for v in (left, right) for f in (np.minimum, np.maximum)]],
-                    names=[c.split()[0] for c in GRAMS.split(", ")])
+            own, m = np.concatenate(([0], ids, np.zeros(LONGEST + 1)), dtype=np.int32, casting="unsafe"), len(ids)
+            lots = -(-m // LOT)
+            for lot in range(lots):
+                at, upto = np.flatnonzero((own[1:m + 1] > 0) & (own[1:m + 1] % lots == lot)) + 1, 1
+                for k in sorted(lengths):
+                    while upto < k:                                # places from which k words follow
+                        at = at[own[at + upto] > 0]
+                        upto += 1
+                    if head and k == min(lengths):
+                        at = at[_hit(bitmap.value, phrase_hash([table[own[at + j]] for j in range(head)]))]
+                    if frequent is not None:                       # a rare word is in no candidate
+                        at = at[often[own[at + k - 1]]]
+                    here = at if head else at[_hit(bitmap.value, phrase_hash([table[own[at + j]] for j in range(k)]))]
+                    if not len(here):
+                        continue
+                    rank = own[here].astype(np.int64)
+                    for j in range(1, k):                          # places of equal phrases get equal numbers
+                        rank = rank * np.int64(len(table)) + own[here + j]
+                        if j < k - 1:
+                            rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+                    order = np.argsort(rank, kind="stable")
+                    rank, here = rank[order], here[order]
+                    starts = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
+                    left, right = table[own[here - 1]].view(np.int64), table[own[here + k]].view(np.int64)
+                    one = here[starts]
+                    text = pc.binary_join_element_wise(*[names.take(pa.array(own[one + j])) for j in range(k)], " ")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x] * len(one), pa.string()), text, pa.array(np.diff(np.append(starts, len(here))).astype(np.int64)),
+                         *[pa.array(f.reduceat(v, starts)) for v in (left, right) for f in (np.minimum, np.maximum)]],
+                        names=[c.split()[0] for c in GRAMS.split(", ")])
 
     return lines.mapInArrow(each, GRAMS).groupBy("lang", "phrase").agg(
         F.sum("a").alias("a"), F.min("l_low").alias("l_low"), F.max("l_high").alias("l_high"), F.min("r_low").alias("r_low"), F.max("r_high").alias("r_high"))

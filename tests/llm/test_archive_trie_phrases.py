@@ -204,3 +204,48 @@ def test_long_text_and_no_rows(spark, monkeypatch):
     assert sorted(tuple(r) for r in collocations.mine(d).collect()) == sorted(brute_phrases(rows, 100, 2000))
     assert list(collocations._lines(iter([b"A b.\nc" * 200]))) and len(list(collocations._lines(iter([b"A b.\nc" * 200])))) > 2
     assert collocations.mine(d.limit(0)).count() == 0
+
+
+def run_task(scan, batches):
+    """The batches that a task of the scan gives for these."""
+    class Lines:
+        def mapInArrow(self, each, schema):
+            self.each = each
+            raise StopIteration
+
+    lines = Lines()
+    with pytest.raises(StopIteration):
+        scan(lines)
+    return lines.each(iter(batches))
+
+
+def test_a_line_is_counted_in_lots(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    pieces = [rnd.choices(words, [1 / (k + 1) for k in range(3000)], k=rnd.randrange(60)) for _ in range(2500)]
+    text = ". ".join(" ".join(p) for p in pieces)
+    docs = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], names=["lang", "text"])
+    [line] = run_task(collocations.encoded, [docs])
+    assert line.column(1)[0].as_py()[0] == "\n" and len(np.frombuffer(line.column(2)[0].as_py(), "<i4")) == sum(map(len, pieces)) + len(pieces) - 1
+    every = SimpleNamespace(value=np.full(collocations.FEWEST_BITS // 64, 2**64 - 1, np.uint64))
+    for lengths, head, frequent in (((2,), 1, every), ((3, 4, 5), 2, every), ((2, 3, 4), None, None)):
+        scan = lambda lines: collocations.count_phrases(lines, every, lengths, head, frequent)  # noqa: E731, B023
+        monkeypatch.setattr(collocations, "LOT", len(text))
+        whole = sorted(r for b in run_task(scan, [line]) for r in zip(*b.to_pydict().values()))
+        monkeypatch.setattr(collocations, "LOT", 1 << 11)
+        held, most, rows = 0, 0, 0
+        tracemalloc.start()
+        for b in run_task(scan, [line]):
+            most, rows = max(most, b.num_rows), rows + b.num_rows
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == len(whole) and most < rows / 5                      # the more lots, the fewer rows at once
+        assert held < 50 * sum(map(len, pieces))
+        assert sorted(r for b in run_task(scan, [line]) for r in zip(*b.to_pydict().values())) == whole
+        found = Counter(" ".join(p[i:i + k]) for k in lengths for p in pieces for i in range(len(p) - k + 1))
+        assert {p: a for _, p, a, *_ in whole} == found
