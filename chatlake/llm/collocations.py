@@ -23,6 +23,8 @@ greatest hash of the left and right neighbours, and no longer phrase needs to be
 Distribution: a task counts phrases in ``AT_ONCE`` words at a time and emits each once, in lots of first words
 so that it holds little more than the line; counts combine in the task
 and after the shuffle, keyed by language and phrase, so neither a frequent phrase nor a language is a hot key.
+What lies between Spark and Python is outside the heap, on top of it: batches go to Python by
+bytes (``BATCH``) and come back by rows (``ROWS``), and a written line has pages of its own and shares its row group with few.
 Scores are computed in 38 decimal digits.  The best of a language are limited in each task first.
 
 Nulls and edge cases: a null text is empty, a null language ``und``; texts of any length go whole,
@@ -32,9 +34,10 @@ cut between pieces; repeated rows count each; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -48,6 +51,8 @@ FIRST = 0.25
 AT_ONCE = 1_000_000
 #: Places of a line that a task works on at a time: phrases are taken by their first word, so none is met in two lots.
 LOT = 1 << 17
+#: Bytes of a batch that goes to Python, and of a row group of lines (both end with the row that goes beyond), and rows of a batch that comes back.
+BATCH, ROWS = 1 << 22, 1 << 14
 #: Bits for each phrase of a bitmap, and the fewest and most bits of one.
 BITS, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
@@ -55,6 +60,8 @@ BITS, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(ENDS + b"\t", b"\n" * len(ENDS) + b" ")
 _END = b"\n"
+#: How lines are written: a row is a few megabytes, so a page ends and a row group is measured after each.
+PAGES = {"parquet.page.row.count.limit": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size": BATCH}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,13 +113,24 @@ def phrase_hash(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _by_language(batches, langs: int = 0, texts: int = 1) -> Iterator[tuple[str, bytes]]:
-    """(language, line) of Arrow batches; a batch's texts are put together by language."""
+    """(language, line) of Arrow batches; texts are put together by language, across batches.  Where the languages hold as much as
+    four lines, the one that holds most goes out."""
+    most = 6 * AT_ONCE
+    held, size, total = {}, {}, 0
     for b in batches:
-        lang = b.column(langs).to_pylist()
-        for x in dict.fromkeys(lang):
-            rows = (k for k, y in enumerate(lang) if y == x)
-            for line in _lines(b.column(texts)[k].as_buffer().to_pybytes() for k in rows):
-                yield x, line
+        for k, x in enumerate(b.column(langs).to_pylist()):
+            t = b.column(texts)[k].as_buffer().to_pybytes()
+            held.setdefault(x, []).append(t)
+            size[x] = size.get(x, 0) + len(t)
+            total += len(t)
+            if size[x] <= most:
+                if total <= 4 * most:
+                    continue
+                x = max(size, key=size.get)
+            total -= size.pop(x)
+            yield from ((x, line) for line in _lines(iter(held.pop(x))))
+    for x, own in held.items():
+        yield from ((x, line) for line in _lines(iter(own)))
 
 
 def _source(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -136,6 +154,27 @@ def encoded(source: DataFrame) -> DataFrame:
     return source.mapInArrow(each, "lang string, words array<string>, ids binary")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of ``BATCH`` bytes for the scans that run inside; all of them are written or collected there."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _rows(batch) -> Iterator:
+    """A batch in parts of ``ROWS`` rows."""
+    for k in range(0, batch.num_rows, ROWS):
+        yield batch.slice(k, ROWS)
+
+
 def _encoded_lines(batches) -> Iterator[tuple]:
     """Language, words (an Arrow array) and ids of each line."""
     for b in batches:
@@ -150,7 +189,7 @@ def count_words(lines: DataFrame) -> DataFrame:
 
         for x, words, ids in _encoded_lines(batches):
             n = np.bincount(ids, minlength=len(words))[1:]
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(n), pa.string()), words.slice(1), pa.array(n.astype(np.int64))], names=["lang", "phrase", "f"])
+            yield from _rows(pa.RecordBatch.from_arrays([pa.array([x] * len(n), pa.string()), words.slice(1), pa.array(n.astype(np.int64))], names=["lang", "phrase", "f"]))
 
     return lines.mapInArrow(each, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -222,18 +261,18 @@ def count_phrases(lines: DataFrame, bitmap, lengths: tuple[int, ...], head: int
                     left, right = table[own[here - 1]].view(np.int64), table[own[here + k]].view(np.int64)
                     one = here[starts]
                     text = pc.binary_join_element_wise(*[names.take(pa.array(own[one + j])) for j in range(k)], " ")
-                    yield pa.RecordBatch.from_arrays(
+                    yield from _rows(pa.RecordBatch.from_arrays(
                         [pa.array([x] * len(one), pa.string()), text, pa.array(np.diff(np.append(starts, len(here))).astype(np.int64)),
                          *[pa.array(f.reduceat(v, starts)) for v in (left, right) for f in (np.minimum, np.maximum)]],
-                        names=[c.split()[0] for c in GRAMS.split(", ")])
+                        names=[c.split()[0] for c in GRAMS.split(", ")]))
 
     return lines.mapInArrow(each, GRAMS).groupBy("lang", "phrase").agg(
         F.sum("a").alias("a"), F.min("l_low").alias("l_low"), F.max("l_high").alias("l_high"), F.min("r_low").alias("r_low"), F.max("r_high").alias("r_high"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def _written(df: DataFrame, name: str, **options) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -281,8 +320,14 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
          top: int = TOP, first: float = FIRST) -> DataFrame:
     """The ``top`` best phrases of each language: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``."""
     ship_package(docs.sparkSession)
-    source = _source(docs, lang_col, text_col)
-    lines = _written(encoded(source), "phrase-lines")
+    with _small_batches(docs.sparkSession):
+        scores = _scores(_source(docs, lang_col, text_col), least, longest, top, first)
+    return _top(scores, top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def _scores(source: DataFrame, least: int, longest: int, top: int, first: float) -> DataFrame:
+    """The scored survivors of both rounds, written."""
+    lines = _written(encoded(source), "phrase-lines", **PAGES)
     every = count_words(lines)
     totals_path = _written(every.withColumn("_few", F.col("f") < least).groupBy("lang", "_few", F.when(~F.col("_few"), F.col("phrase")).alias("phrase"))
                            .agg(F.sum("f").alias("f")), "phrase-words")
@@ -324,4 +369,4 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
             band = _written(rest.where(need).select("lang", "phrase", "f"), "phrase-band")
             if band.isEmpty():
                 break
-    return _top(scores, top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return scores

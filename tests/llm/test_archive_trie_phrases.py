@@ -249,3 +249,65 @@ def test_a_line_is_counted_in_lots(monkeypatch):
         assert sorted(r for b in run_task(scan, [line]) for r in zip(*b.to_pydict().values())) == whole
         found = Counter(" ".join(p[i:i + k]) for k in lengths for p in pieces for i in range(len(p) - k + 1))
         assert {p: a for _, p, a, *_ in whole} == found
+
+
+def test_scans_get_and_give_little_at_once(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    key, seen, count = "spark.sql.execution.arrow.maxBytesPerBatch", {}, collocations.count_words
+
+    def counted(lines):
+        def each(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+        seen["batches"] = [r.n for r in lines.coalesce(1).mapInArrow(each, "n long").collect()]
+        metas = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in lines.inputFiles()]
+        seen["groups"] = [m.row_group(k).num_rows for m in metas for k in range(m.num_row_groups)]
+        return count(lines)
+
+    monkeypatch.setattr(collocations, "count_words", counted)
+    rnd, before = random.Random(3), spark.conf.get(key)
+    rows = [("en", " ".join(rnd.choices(["ab", "cd", "ef.", "gh"], k=2_200_000))) for _ in range(3)] + [("fr", "ab cd " * 60)] * 2
+    d = spark.createDataFrame([(1, *r, "p", 1, 2, 3) for r in rows], DOCS).coalesce(1)
+    assert sorted(tuple(r) for r in collocations.mine(d).collect() if r.lang == "fr") == sorted(brute_phrases(rows[3:], 100, 2000))
+    for parts in seen.values():                                            # a long line and the next, not all seven of the task
+        assert sum(parts) == 7 and max(parts) <= 2
+    assert spark.conf.get(key) == before
+
+
+def test_small_batches_make_the_same_lines(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["en", "fr", "de"]), " ".join(rnd.choices(["x", "y", "z."], k=40))) for _ in range(300)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([x for x, _ in part]), pa.array([t for _, t in part])], names=["lang", "text"])
+
+    def lines(size):
+        return [r for b in run_task(collocations.encoded, [batch(rows[k:k + size]) for k in range(0, len(rows), size)]) for r in zip(*b.to_pydict().values())]
+
+    assert len(lines(len(rows))) == len(lines(7)) == 3 and lines(len(rows)) == lines(7)
+    # some lines' worth is held at most, however many languages there are
+    monkeypatch.setattr(collocations, "AT_ONCE", 100)
+    rows = [(f"l{k % 50}", "x y z. " * 10) for k in range(500)]
+    parts, read, ahead = lines(1), [], []
+    assert sum(len(np.frombuffer(ids, "<i4")) for *_, ids in parts) >= 500 * 40 and {x for x, *_ in parts} == {x for x, _ in rows}
+
+    def fed():
+        for r in rows:
+            read.append(len(r[1]))
+            yield batch([r])
+
+    for _, line in collocations._by_language(fed()):
+        read.append(-len(line))
+        ahead.append(sum(read))
+    assert max(ahead) < 5 * 6 * collocations.AT_ONCE
+
+    # and what a scan gives comes in parts
+    monkeypatch.setattr(collocations, "ROWS", 10)
+    words = [f"w{k}" for k in range(95)]
+    [line] = run_task(collocations.encoded, [pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([" ".join(words)])], names=["lang", "text"])])
+    got = [b.to_pydict()["phrase"] for b in run_task(collocations.count_words, [line])]
+    assert max(map(len, got)) == 10 and sorted(w for g in got for w in g) == sorted(words)
